@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def extended(schema: T.StructType, **more: str) -> T.StructType:
     return T.StructType([*fields, *[T.StructField(k, kinds[v] if isinstance(v, str) else v) for k, v in more.items()]])
 
 
+def none_of(schema: T.StructType) -> pa.Table:
+    return to_arrow_schema(schema).empty_table()
+
+
 def with_columns(batch, **more):
     """An Arrow batch or table with columns put at its end, replacing those of the same names."""
     names = [c for c in batch.schema.names if c not in more]

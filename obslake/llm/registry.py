@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 _OPERATORS = {
+    "op2_suffix_array_dedup": suffix_dedup,
     "op4_substring_dedup": substring_dedup,
 }
 QUERIES = {name: m.query for name, m in _OPERATORS.items()}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import extended, sha256, with_columns
+from .common import extended, none_of, sha256, with_columns
 from .text import Words, column_bytes, covered, inside_document, window_hash
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -145,7 +145,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     def cut(table, replies):
         if not len(table):
-            return B.empty(pa.schema([(f.name, table.schema.field(f.name).type if f.name in table.schema.names else pa.int64() if f.name.startswith("n_") else pa.string()) for f in out.fields]))
+            return none_of(out)
         table, buf, words = words_of(table)
         ok = inside_document(words.offsets, window)
         h = window_hash(words.hashes, window)
