@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import piece_bpe, substring_dedup, suffix_dedup
 
 _OPERATORS = {
     "op2_suffix_array_dedup": suffix_dedup,
+    "op3_sentencepiece": piece_bpe,
     "op4_substring_dedup": substring_dedup,
 }
 QUERIES = {name: m.query for name, m in _OPERATORS.items()}
