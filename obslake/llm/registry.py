@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import piece_bpe, substring_dedup, suffix_dedup
+from . import decontaminate, piece_bpe, substring_dedup, suffix_dedup
 
 _OPERATORS = {
     "op2_suffix_array_dedup": suffix_dedup,
     "op3_sentencepiece": piece_bpe,
     "op4_substring_dedup": substring_dedup,
+    "op10_decontamination": decontaminate,
 }
 QUERIES = {name: m.query for name, m in _OPERATORS.items()}
 ORACLES = {name: m.ORACLE for name, m in _OPERATORS.items() if getattr(m, "ORACLE", None)}
