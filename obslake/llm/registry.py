@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, piece_bpe, substring_dedup, suffix_dedup
+from . import decontaminate, lm_score, piece_bpe, substring_dedup, suffix_dedup
 
 _OPERATORS = {
     "op2_suffix_array_dedup": suffix_dedup,
     "op3_sentencepiece": piece_bpe,
     "op4_substring_dedup": substring_dedup,
+    "op9_lm_score": lm_score,
     "op10_decontamination": decontaminate,
 }
 QUERIES = {name: m.query for name, m in _OPERATORS.items()}
