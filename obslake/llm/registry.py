@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, piece_bpe, substring_dedup, suffix_dedup
+from . import decontaminate, language_id, lm_score, piece_bpe, substring_dedup, suffix_dedup, toxicity
 
 _OPERATORS = {
     "op2_suffix_array_dedup": suffix_dedup,
     "op3_sentencepiece": piece_bpe,
     "op4_substring_dedup": substring_dedup,
+    "op6_language_id": language_id,
+    "op7_toxicity": toxicity,
     "op9_lm_score": lm_score,
     "op10_decontamination": decontaminate,
 }
