@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, lm_score, piece_bpe, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, language_id, lm_score, piece_bpe, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _OPERATORS = {
     "op2_suffix_array_dedup": suffix_dedup,
@@ -10,6 +10,7 @@ _OPERATORS = {
     "op4_substring_dedup": substring_dedup,
     "op6_language_id": language_id,
     "op7_toxicity": toxicity,
+    "op8_quality_rules": quality_rules,
     "op9_lm_score": lm_score,
     "op10_decontamination": decontaminate,
 }
