@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, lm_score, piece_bpe, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, html_text, language_id, lm_score, piece_bpe, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _OPERATORS = {
     "op2_suffix_array_dedup": suffix_dedup,
     "op3_sentencepiece": piece_bpe,
     "op4_substring_dedup": substring_dedup,
+    "op5_html_extraction": html_text,
     "op6_language_id": language_id,
     "op7_toxicity": toxicity,
     "op8_quality_rules": quality_rules,
