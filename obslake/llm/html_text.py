@@ -57,7 +57,7 @@ END = re.compile(r"[.!?…:;\"”»)]$")
 NAMES = ("bias", "furniture_tag", "furniture_word", "content_tag", "content_word", "heading", "paragraph", "item", "links", "short", "long", "size", "ends", "copyright", "first", "last", "hidden")
 #: the prior: weight of each feature for content, and of staying in a state
 PRIOR = np.array([-1.0, -4, -4, 3, 2, 0.5, 1, -0.5, -3, -0.5, 1, 0.5, 0.5, -2, 0, -0.5, -6])
-STAY = 2.0
+STAY = 1.0
 
 
 def _evidence(tag, attrs):
