@@ -35,23 +35,29 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """df with its block, dealt out by it. One scan measures the bytes, one finds the cut points of the ids.
-
-    A null id comes before all others. Rows with one id share a block.
-    """
-    n = partitions(df)
+def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[float]:
+    """Ids that part df into blocks of about block_bytes. One scan measures the bytes, one finds the cut points."""
     total = df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("b")).first()["b"] or 0
-    want = max(n, math.ceil(total / block_bytes))
-    cuts = df.agg(F.percentile_approx(id_col, [i / want for i in range(1, want)], max(10_000, 20 * want)).alias("c")).first()["c"] if want > 1 else None
-    cuts = sorted({float(c) for c in cuts or []})
+    want = max(partitions(df), math.ceil(total / block_bytes))
+    if want == 1:
+        return []
+    cuts = df.agg(F.percentile_approx(id_col, [i / want for i in range(1, want)], max(10_000, 20 * want)).alias("c")).first()["c"]
+    return sorted({float(c) for c in cuts or []})
+
 
+def with_block(df: DataFrame, id_col: str, cuts: list[float]) -> DataFrame:
+    """df with its block, a range of ids; a null id comes before all others, and rows with one id share a block."""
     if not cuts:
-        return df.withColumn(BLOCK, F.lit(0)).repartition(n, BLOCK)
+        return df.withColumn(BLOCK, F.lit(0))
     at, key = "__ob_at", "__ob_key"
     cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol=at)
     keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("double"), F.lit(-1.7e308)))
-    return cutter.transform(keyed).withColumn(BLOCK, F.col(at).cast("int")).drop(at, key).repartition(n, BLOCK)
+    return cutter.transform(keyed).withColumn(BLOCK, F.col(at).cast("int")).drop(at, key)
+
+
+def in_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """df with its block, dealt out by it."""
+    return with_block(df, id_col, cut_points(df, id_col, text_col, block_bytes)).repartition(partitions(df), BLOCK)
 
 
 def ordered(table: pa.Table, id_col: str, text_col: str) -> pa.Table:

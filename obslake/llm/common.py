@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +38,15 @@ def with_columns(batch, **more):
     return make(cols, names=[*names, *more])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        set_dir = context.getConf().get("spark.checkpoint.dir")
-        if not set_dir:
-            import tempfile
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
 
-            set_dir = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(set_dir)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, its lineage cut."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -301,7 +301,7 @@ def _spelled(raw: bytes) -> bytes:
 
 def tokenized(df: DataFrame, path: str, text_col: str = "text", digest: bool = False) -> DataFrame:
     """df with n_tokens, ids and decoded; with digest, ids_sha256 and decoded_sha256 in place of the two."""
-    more = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {"n_tokens": "long", "ids": T.ArrayType(T.LongType()), "decoded": "string"}
+    more = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} if digest else {"n_tokens": "long", "ids": T.ArrayType(T.IntegerType()), "decoded": "string"}
     out = extended(df.schema, **more)
 
     def work(batches):
@@ -318,7 +318,7 @@ def tokenized(df: DataFrame, path: str, text_col: str = "text", digest: bool = F
                     cols["ids_sha256"] = pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string())
                     cols["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
                 else:
-                    cols["ids"] = pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64()))
+                    cols["ids"] = pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))
                     cols["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield with_columns(part, **cols)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, lm_score, piece_bpe, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, html_text, jaccard_join, language_id, lm_score, piece_bpe, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _OPERATORS = {
+    "op1_ngram_jaccard_join": jaccard_join,
     "op2_suffix_array_dedup": suffix_dedup,
     "op3_sentencepiece": piece_bpe,
     "op4_substring_dedup": substring_dedup,

@@ -12,7 +12,7 @@ positions).  A window is compared further only if an anchor inside it occurs
 twice; then the anchor's match is extended to the whole window, by a 96-bit hash
 of its 20 words, and the first occurrence keeps its words.
 
-Edge cases: null or blank text has no words and keeps nothing ("" as text);
+Edge cases: null or blank text has no words and stays as it is;
 documents shorter than a window are never cut; rows with one id are documents of
 their own, ordered by text; extra columns pass through; a result column replaces
 an input column of its name; an empty table gives an empty table.
@@ -24,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import blocks as B
@@ -64,7 +65,7 @@ def _first_of(keys: np.ndarray):
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block_bytes: int = B.BLOCK_BYTES, digest: bool = False) -> DataFrame:
     """df with text_col cut down to the kept words (joined by one space), n_words and n_removed; with digest, kept_sha256 in place of the text.
 
-    A document from which nothing is removed keeps its words, not its white space; callers that want such texts untouched look at n_removed.
+    A document from which nothing is removed keeps its text as it is.
     """
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
@@ -169,7 +170,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         table = table.drop_columns([B.BLOCK])
         if digest:
             return with_columns(table, **more, kept_sha256=pa.array([sha256(k) for k in kept], pa.string()))
-        table = table.set_column(table.schema.get_field_index(text_col), text_col, pa.array(kept, pa.binary()).cast(pa.string()))
+        texts = pa.array(kept, pa.binary()).cast(pa.string())
+        texts = pc.if_else(pa.array(lost > 0), texts, table.column(text_col))
+        table = table.set_column(table.schema.get_field_index(text_col), text_col, texts)
         return with_columns(table, **more)
 
     anchors = B.by_bucket(B.per_block(blocked, send_anchors, B.ENTRY), shared)
