@@ -1,10 +1,73 @@
-"""A cleaning pipeline over `documents`, built from the training-data operators."""
+"""A cleaning pipeline over `documents`, built from the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
+kept; run() writes each stage's result as Parquet in the shared folder and reads
+it again.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from obslake.llm import decontaminate, jaccard_join, language_id, piece_bpe, substring_dedup
+from obslake.llm.common import shared_dir, table
+
+#: a language is only guessed under this score
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; `und` and mere guesses go."""
+    pred, score = "__ob_pred", "__ob_score"
+    out = language_id.identify(docs, language_id.fit(docs), pred_col=pred, score_col=score)
+    return out.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near duplicates."""
+    found = jaccard_join.near_duplicates(docs)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ob_keep")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__ob_keep"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 20 words and more that stand earlier in the corpus; what is left empty goes."""
+    out = substring_dedup.dedup(docs.withColumn("__ob_chars", F.col("n_chars")))
+    out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("__ob_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", chars).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by benchmark items."""
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.where(~F.col("contaminated")).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its text."""
+    out = piece_bpe.tokenized(docs, piece_bpe.default_path())
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", encode),
+]
+#: language identification is a fitted classifier, which SQL does not express; the stages are tested one by one
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{base}/{k}_{name}")
+            docs = spark.read.parquet(f"{base}/{k}_{name}")
+    return docs
