@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 DOMAINS = {k: f"obslake-{k}-v1\0" for k in ("record-id", "content", "dedupe", "alert-key", "alert-transition", "notification-intent")}
 PREFIXES = {"record-id": "ol_", "dedupe": "ol_d1_", "alert-key": "ol_ak1_", "alert-transition": "ol_atr1_", "notification-intent": "ol_nin1_"}
@@ -204,7 +205,7 @@ def canonical_text(value) -> str:
     return out
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """Canonical JSON of JSON texts of any content; null where a text has none (the general path)."""
 
