@@ -22,7 +22,6 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK, BUCKET = "__ob_block", "__ob_bucket"
@@ -49,6 +48,8 @@ def with_block(df: DataFrame, id_col: str, cuts: list[float]) -> DataFrame:
     """df with its block, a range of ids; a null id comes before all others, and rows with one id share a block."""
     if not cuts:
         return df.withColumn(BLOCK, F.lit(0))
+    from pyspark.ml.feature import Bucketizer  # on the driver only: Python workers import this module too
+
     at, key = "__ob_at", "__ob_key"
     cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol=at)
     keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("double"), F.lit(-1.7e308)))

@@ -202,7 +202,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         out = out.mapInArrow(_marker(context.broadcast(shard), text_col, window), extended(out.schema, **{MARKS: "binary", ITEMS: names}))
 
     def finish(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             buf, off = column_bytes(batch.column(text_col))
             counts = Words(buf, off, ALNUM, BYTE_LOWER, hashed=False).counts
             there = MARKS in batch.schema.names
@@ -222,6 +222,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     return out.mapInArrow(finish, extended(df.schema, n_words="long", n_hit="long", n_items="long", items=names, items_sha256="string", spans=spans, contaminated="boolean"))
 
 
+def _slices(batches):
+    for batch in batches:
+        for a in range(0, len(batch), 512):
+            yield batch.slice(a, 512)
+
+
 def _spans(marks):
     if not marks:
         return []
@@ -233,7 +239,7 @@ def _spans(marks):
 def _marker(shard, text_col, window):
     def work(batches):
         made = _Pass(shard.value, window)
-        for batch in batches:
+        for batch in _slices(batches):
             buf, off = column_bytes(batch.column(text_col))
             words = Words(buf, off, ALNUM, BYTE_LOWER)
             there = MARKS in batch.schema.names

@@ -136,17 +136,15 @@ def identify(df: DataFrame, model: Classifier | None, text_col: str = "text", pr
     def work(batches):
         m = sent.value
         for batch in batches:
-            buf, off = column_bytes(batch.column(text_col))
-            if m is None:
-                names, score = ["und"] * len(batch), np.zeros(len(batch))
-            elif len(batch):
-                best, score = m.predict(buf, off)
-                letters = np.array([bool(t) and LETTER.search(t) is not None for t in batch.column(text_col).to_pylist()], bool)
-                names = [m.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters)]
-                score = np.where(letters, score, 0.0)
-            else:
-                names, score = [], np.zeros(0)
-            yield with_columns(batch, **{pred_col: pa.array(names, pa.string()), score_col: pa.array(score.astype(np.float64), pa.float64())})
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                names, score = ["und"] * len(part), np.zeros(len(part))
+                if m is not None:
+                    best, found = m.predict(*column_bytes(part.column(text_col)))
+                    letters = [bool(t) and LETTER.search(t) is not None for t in part.column(text_col).to_pylist()]
+                    names = [m.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters)]
+                    score = np.where(letters, found, 0.0).astype(np.float64)
+                yield with_columns(part, **{pred_col: pa.array(names, pa.string()), score_col: pa.array(score, pa.float64())})
 
     return df.mapInArrow(work, extended(df.schema, **{pred_col: "string", score_col: "double"}))
 

@@ -2,7 +2,7 @@
 
 Texts arrive as Arrow columns and are handled as one byte buffer with document
 offsets, so that splitting and hashing run as array operations.  Work goes over
-runs of whole documents of about a megabyte, which bounds temporary memory.
+runs of whole documents of about 256 KB, which bounds temporary memory.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: ASCII white space: space and \t \n \v \f \r
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
