@@ -212,7 +212,7 @@ def run_summary(spark, d):
 def _samples(spark, d, cooldown):
     """Events as samples of 20 collectors' rules: errors and views fail; every ninth has no record."""
     e = table(spark, d, "events").select(collector_of(col("user_id") % 20).alias("collector"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.when(col("event_id") % 9 > 0, F.concat(F.lit("r"), F.lpad(col("event_id").cast("string"), 12, "0"))).alias("record_id"), F.when(col("event_type").isin("error", "view"), "failure").otherwise("success").alias("outcome"))
-    rules = table(spark, d, "supplier").where("s_suppkey < 20").select(F.concat(F.lit("rule-"), col("s_suppkey")).alias("rule_id"), F.lit(1).alias("rule_version"), collector_of(col("s_suppkey")).alias("collector"), (col("s_suppkey") % 3 + 1).cast("int").alias("consecutive_failures"), (col("s_suppkey") % 2 + 1).cast("int").alias("consecutive_successes"), F.lit(cooldown).alias("cooldown_seconds"))
+    rules = table(spark, d, "nation").withColumnRenamed("n_nationkey", "rule_no").where("rule_no < 20").select(F.concat(F.lit("rule-"), col("rule_no")).alias("rule_id"), F.lit(1).alias("rule_version"), collector_of(col("rule_no")).alias("collector"), (col("rule_no") % 3 + 1).cast("int").alias("consecutive_failures"), (col("rule_no") % 2 + 1).cast("int").alias("consecutive_successes"), F.lit(cooldown).alias("cooldown_seconds"))
     return AL.sampled(rules, e)
 
 
