@@ -17,6 +17,7 @@ All work of a block or bucket is recomputed alike after the loss of an executor.
 
 from __future__ import annotations
 
+import inspect
 import math
 
 import numpy as np
@@ -24,6 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .common import release
+
 BLOCK, BUCKET = "__ob_block", "__ob_bucket"
 BLOCK_BYTES = 4 << 20
 ENTRY = f"{BUCKET} int, {BLOCK} int, a binary, b binary, c binary"
@@ -180,14 +183,28 @@ def answered(table: pa.Table, order: np.ndarray, bounds: np.ndarray, dtypes: dic
     return [np.concatenate(v) if v else np.zeros(0, np.int64 if k == "a" else dtypes[k]) for k, v in got.items()]
 
 
+def _tidy(work):
+    """work, after what the group before it has freed went back to the system."""
+
+    def one(table):
+        release()
+        return work(table)
+
+    def two(left, right):
+        release()
+        return work(left, right)
+
+    return one if len(inspect.signature(work).parameters) == 1 else two
+
+
 def by_bucket(entries: DataFrame, decide, schema: str = ANSWER) -> DataFrame:
-    return entries.groupBy(BUCKET).applyInArrow(decide, schema)
+    return entries.groupBy(BUCKET).applyInArrow(_tidy(decide), schema)
 
 
 def per_block(blocked: DataFrame, work, schema) -> DataFrame:
-    return blocked.groupBy(BLOCK).applyInArrow(work, schema)
+    return blocked.groupBy(BLOCK).applyInArrow(_tidy(work), schema)
 
 
 def with_answers(blocked: DataFrame, replies: DataFrame, work, schema) -> DataFrame:
     """work(documents of a block, answers to it); a block without documents is skipped."""
-    return blocked.groupBy(BLOCK).cogroup(replies.groupBy(BLOCK)).applyInArrow(work, schema)
+    return blocked.groupBy(BLOCK).cogroup(replies.groupBy(BLOCK)).applyInArrow(_tidy(work), schema)

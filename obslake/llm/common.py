@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 
@@ -38,6 +39,15 @@ def with_columns(batch, **more):
     return make(cols, names=[*names, *more])
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     context = spark.sparkContext

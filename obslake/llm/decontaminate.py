@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .common import extended, sha256, with_columns
+from .common import extended, release, sha256, with_columns
 from .text import ALNUM, BYTE_LOWER, Words, column_bytes
 
 SHARD_WORDS = 200_000
@@ -196,10 +196,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     """df with n_words, n_hit, n_items, items (sorted as strings), items_sha256, spans of hit words, and contaminated (at least share of the words are hit, and one is)."""
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     names = T.ArrayType(T.StringType())
-    out = df
-    context = df.sparkSession.sparkContext
-    for shard in _shards(benchmark, item_col, item_text_col, shard_words):
-        out = out.mapInArrow(_marker(context.broadcast(shard), text_col, window), extended(out.schema, **{MARKS: "binary", ITEMS: names}))
+    out, context = df, df.sparkSession.sparkContext
 
     def finish(batches):
         for batch in _slices(batches):
@@ -219,7 +216,17 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
                 contaminated=pa.array((hit > 0) & (share[1] * hit >= share[0] * counts)),
             )
 
-    return out.mapInArrow(finish, extended(df.schema, n_words="long", n_hit="long", n_items="long", items=names, items_sha256="string", spans=spans, contaminated="boolean"))
+    last = None
+    for shard in _shards(benchmark, item_col, item_text_col, shard_words):
+        if last is not None:
+            out = out.mapInArrow(last, extended(out.schema, **{MARKS: "binary", ITEMS: names}))
+        last = _marker(context.broadcast(shard), text_col, window)
+
+    def end(batches):  # the last shard's pass and the results, in one
+        yield from finish(last(batches) if last is not None else batches)
+        release()
+
+    return out.mapInArrow(end, extended(df.schema, n_words="long", n_hit="long", n_items="long", items=names, items_sha256="string", spans=spans, contaminated="boolean"))
 
 
 def _slices(batches):

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .common import checkpointed
+from .common import checkpointed, release
 from .components import components
 from .text import BYTE_LOWER, WORD, Words, column_bytes, mix, window_hash
 
@@ -198,6 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 sets = shingles(*column_bytes(part.column(text_col)), shingle)
                 one, two = fingerprints(sets)
                 yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], names=["id", "n", "f", "g"])
+        release()
 
     signed = texts.mapInArrow(sign, "id long, n long, f long, g long").withColumn(ID, F.coalesce("id", F.lit(LEAST_ID)))
     signed = checkpointed(signed)

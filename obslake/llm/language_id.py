@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import extended, with_columns
+from .common import extended, release, with_columns
 from .text import chunks, column_bytes
 
 GRAMS = (1, 2, 3, 4)
@@ -145,6 +145,7 @@ def identify(df: DataFrame, model: Classifier | None, text_col: str = "text", pr
                     names = [m.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters)]
                     score = np.where(letters, found, 0.0).astype(np.float64)
                 yield with_columns(part, **{pred_col: pa.array(names, pa.string()), score_col: pa.array(score, pa.float64())})
+        release()
 
     return df.mapInArrow(work, extended(df.schema, **{pred_col: "string", score_col: "double"}))
 

@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import extended, with_columns
+from .common import extended, release, with_columns
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
 #: kinds of pieces in the model file: 1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6 byte
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 FRAGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE = 200_000
+CACHE = 100_000
 _models: dict[str, "Model"] = {}
 
 
@@ -321,6 +321,8 @@ def tokenized(df: DataFrame, path: str, text_col: str = "text", digest: bool = F
                     cols["ids"] = pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))
                     cols["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield with_columns(part, **cols)
+        m.cache.clear()
+        release()
 
     return df.mapInArrow(work, out)
 
