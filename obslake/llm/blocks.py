@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import inspect
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import release
 
 BLOCK, BUCKET = "__ob_block", "__ob_bucket"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, MOST_BYTES, MOST_RANGES = 4 << 20, 16 << 20, 4096
 ENTRY = f"{BUCKET} int, {BLOCK} int, a binary, b binary, c binary"
 ANSWER = f"{BLOCK} int, bucket int, a binary, b binary, c binary"
 
@@ -37,29 +38,55 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[float]:
-    """Ids that part df into blocks of about block_bytes. One scan measures the bytes, one finds the cut points."""
-    total = df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("b")).first()["b"] or 0
-    want = max(partitions(df), math.ceil(total / block_bytes))
-    if want == 1:
-        return []
-    cuts = df.agg(F.percentile_approx(id_col, [i / want for i in range(1, want)], max(10_000, 20 * want)).alias("c")).first()["c"]
-    return sorted({float(c) for c in cuts or []})
+@dataclass(frozen=True)
+class Cuts:
+    """Ranges of ids (edges: least id, cut points, greatest id), each parted evenly into `parts` blocks."""
 
+    edges: tuple[float, ...]
+    parts: int
 
-def with_block(df: DataFrame, id_col: str, cuts: list[float]) -> DataFrame:
-    """df with its block, a range of ids; a null id comes before all others, and rows with one id share a block."""
-    if not cuts:
+
+def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> Cuts:
+    """Ids that part df into blocks. One scan measures the bytes, one finds the cut points.
+
+    A block has BLOCK_BYTES, up to MOST_BYTES on inputs of many blocks a partition; block_bytes sets it. At most
+    MOST_RANGES quantiles are asked for; past that the ranges between them are parted by arithmetic.
+    """
+    n = partitions(df)
+    seen = df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("b"), F.min(id_col).cast("double").alias("low"), F.max(id_col).cast("double").alias("high")).first()
+    total = seen["b"] or 0
+    size = block_bytes or min(MOST_BYTES, max(BLOCK_BYTES, total // (8 * n)))
+    want = max(n, math.ceil(total / size))
+    if want == 1 or seen["low"] is None:
+        return Cuts((), 1)
+    ranges = min(want, MOST_RANGES)
+    cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("c")).first()["c"]
+    return Cuts(tuple(sorted({seen["low"], *map(float, cuts), seen["high"] + 1})), math.ceil(want / ranges))
+
+
+def with_block(df: DataFrame, id_col: str, cuts: Cuts) -> DataFrame:
+    """df with its block, a range of ids in the order of the ids; a null id comes before all others, and rows with one id share a block."""
+    inner = cuts.edges[1:-1]
+    if not inner and cuts.parts == 1:
         return df.withColumn(BLOCK, F.lit(0))
     from pyspark.ml.feature import Bucketizer  # on the driver only: Python workers import this module too
 
     at, key = "__ob_at", "__ob_key"
-    cutter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol=at)
-    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("double"), F.lit(-1.7e308)))
-    return cutter.transform(keyed).withColumn(BLOCK, F.col(at).cast("int")).drop(at, key)
-
-
-def in_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    out = df.withColumn(key, F.coalesce(F.col(id_col).cast("double"), F.lit(-1.7e308)))
+    if inner:
+        out = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=key, outputCol=at).transform(out)
+    else:
+        out = out.withColumn(at, F.lit(0.0))
+    block = F.col(at).cast("int")
+    if cuts.parts > 1:
+        edges = F.array(*[F.lit(e) for e in cuts.edges])
+        low, high = F.get(edges, block), F.get(edges, block + 1)
+        part = (F.col(key) - low) / (high - low) * cuts.parts
+        block = block * cuts.parts + F.least(F.greatest(part, F.lit(0.0)), F.lit(cuts.parts - 1.0)).cast("int")
+    return out.withColumn(BLOCK, block).drop(at, key)
+
+
+def in_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> DataFrame:
     """df with its block, dealt out by it."""
     return with_block(df, id_col, cut_points(df, id_col, text_col, block_bytes)).repartition(partitions(df), BLOCK)
 

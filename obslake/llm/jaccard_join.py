@@ -185,7 +185,7 @@ def _sets(table):
 MET = "hub long, u long, v long, rest boolean"
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, chunk: int = 512, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, chunk: int = 512, block_bytes: int | None = None) -> DataFrame:
     """(id_col, n_shingles, class_id, component_id), a row for each row of df."""
     n = 2 * B.partitions(df)
     texts = df.select(id_col, text_col)

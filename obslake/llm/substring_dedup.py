@@ -62,7 +62,7 @@ def _first_of(keys: np.ndarray):
     return first, number, np.diff(np.concatenate([starts, [len(k)]]))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block_bytes: int = B.BLOCK_BYTES, digest: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block_bytes: int | None = None, digest: bool = False) -> DataFrame:
     """df with text_col cut down to the kept words (joined by one space), n_words and n_removed; with digest, kept_sha256 in place of the text.
 
     A document from which nothing is removed keeps its text as it is.

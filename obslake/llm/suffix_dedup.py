@@ -148,7 +148,7 @@ def _expand(first, counts):
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = B.BLOCK_BYTES, digest: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int | None = None, digest: bool = False) -> DataFrame:
     """df with n_bytes, n_removed, n_spans, the removed spans ([start, end) in bytes) and the kept bytes; with digest, kept_sha256 in place of those two."""
     if not GRAM < length <= 128:
         raise ValueError(f"length must be over {GRAM} and at most 128 bytes")

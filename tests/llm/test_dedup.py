@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from obslake.llm import blocks as B
 from obslake.llm import substring_dedup, suffix_dedup
 
 from .helpers import docs, least, odd_rows, words
@@ -41,6 +42,18 @@ def test_windows_match_brute_force(spark, seed):
     assert collected(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == brute_windows(rows, 20)
 
 
+def test_ranges_parted_by_arithmetic(spark, monkeypatch):
+    """Few quantiles and many blocks: blocks still follow the order of the ids."""
+    monkeypatch.setattr(B, "MOST_RANGES", 3)
+    rows = odd_rows(3)
+    d = docs(spark, rows)
+    cuts = B.cut_points(d, "doc_id", "text", 1000)
+    blocks = sorted((least(r["doc_id"]), r[B.BLOCK]) for r in B.with_block(d, "doc_id", cuts).collect())
+    assert cuts.parts > 3 and [b for _, b in blocks] == sorted(b for _, b in blocks) and len({b for _, b in blocks}) > 5
+    got = substring_dedup.dedup(d, digest=True, block_bytes=1000)
+    assert collected(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == brute_windows(rows, 20)
+
+
 def test_repeated_rows_keep_one(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(30)))] * 3
     got = substring_dedup.dedup(docs(spark, rows)).orderBy("n_removed").collect()
