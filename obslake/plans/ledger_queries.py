@@ -6,12 +6,14 @@ the ledger with planted faults.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import alerts as AL
 from ..operators import ledger as L
+from ..sources import adapters as A
 from ..sources import segments as S
 from ..sources.adapters import collector_of, table, target_of
 
@@ -75,22 +77,63 @@ def built_segments(spark, d):
     return head.select("batch_id", "day", "target_id", "record_count", "content_sha256", "retention_days")
 
 
-def segment_files(spark, d):
-    """The same batches written to the shared folder, scanned again and audited."""
+def _folder(spark, name):
+    """A new folder that driver and executors share."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/segments-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _error_segments(spark, d):
     e = table(spark, d, "events").where("event_type = 'error'")
     rows = e.select(F.lit("events").alias("source_id"), F.date_format("ts", _DAY).alias("day"), F.lit("target").alias("scope"), target_of(col("user_id")).alias("target_id"), F.lit("internal").alias("privacy_class"), F.lit("event").alias("record_type"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), F.to_json(F.struct("event_id", "event_type")).alias("line"))
-    S.write(*S.build(rows, ["record_id"], 50), path)
+    return S.build(rows, ["record_id"], 50)
+
+
+def segment_files(spark, d):
+    """Batches written to the shared folder, scanned again and audited."""
+    path = _folder(spark, "segments")
+    S.write(*_error_segments(spark, d), path)
     head, body, bad = S.scan(spark, path)
     good, trusted = S.trusted(head, body, ~col("record_id").endswith("99"))
     return good.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("records")).join(trusted.agg(F.count(F.lit(1)).alias("frames"))).join(bad.agg(F.count(F.lit(1)).alias("bad_lines"))).join(S.audit(head, body).agg(F.count("code").alias("faults")))
 
 
+def segment_commits(spark, d):
+    """Two commits of the same batches: the second adds nothing; then every batch is verified against the ledger."""
+    root = _folder(spark, "store")
+    head, body = _error_segments(spark, d)
+    for _ in range(2):
+        S.commit(head, body, ["a", "b"], "2024-02-01 00:00:00", root)
+    kept = spark.read.parquet(f"{root}/ledger")
+    got = S.verified(kept, *S.scan(spark, f"{root}/lines")[:2])
+    sizes = kept.agg(F.count(F.lit(1)).alias("batches"), F.sum("record_count").alias("records"))
+    return sizes.join(spark.read.parquet(f"{root}/deliveries").agg(F.count(F.lit(1)).alias("pending"))).join(got.agg(F.sum(col("intact").cast("long")).alias("intact")))
+
+
+def integrity_report(spark, d):
+    """The day segments verified with planted faults: a lost file, a changed line, a repeated sequence, a wrong ledger row."""
+    f = frames(spark, d)
+    n = _number("batch_id")
+    head = S.content_digest(f).join(f.groupBy("batch_id").agg(F.first("scope").alias("scope"), F.first("target_id").alias("target_id"), F.first("privacy_class").alias("privacy_class")), "batch_id")
+    books = head.withColumn("record_count", col("record_count") + F.when(n % 37 == 1, 1).otherwise(0))
+    head, body = head.where(n % 41 != 2), f.where(n % 41 != 2)
+    body = body.withColumn("line", F.when((n % 43 == 3) & (col("sequence") == 1), "changed").otherwise(col("line"))).withColumn("sequence", F.when((n % 47 == 4) & (col("sequence") == 2), 1).otherwise(col("sequence")))
+    return S.verified(books, head, body)
+
+
+def json_sources(spark, d):
+    """Orders as JSON lines, some torn, some too long, read as a source."""
+    path = _folder(spark, "source")
+    o = table(spark, d, "orders")
+    line = F.to_json(F.struct("o_orderkey", "o_orderstatus"))
+    line = F.when(col("o_orderkey") % 10 == 0, F.substring(line, 1, 8)).when(col("o_orderkey") % 11 == 0, F.concat(line, F.repeat(F.lit(" "), 200))).otherwise(line)
+    o.select(line.alias("value")).write.text(path)
+    got = A.json_source(spark, path, "o_orderkey BIGINT, o_orderstatus STRING", lines=True, max_bytes=150)
+    return got.groupBy("error", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ledger_disagreements(spark, d):
     return L.disagreements(ledger(spark, d), files(spark, d), _FIELDS)
 
@@ -295,6 +338,10 @@ ORACLES = {
         SELECT 'events-' || substr(sha256(day || chr(0) || string_agg(record_id, chr(0) ORDER BY n)), 1, 24) AS batch_id, day, target_id, count(*) AS record_count, sha256(string_agg(line || chr(10), '' ORDER BY n)) AS content_sha256, 30::INTEGER AS retention_days FROM n GROUP BY day, target_id, n // 20""",
     "segment_files": """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 10 AS t, 'r' || event_id AS record_id FROM events WHERE event_type = 'error'), n AS (SELECT *, (row_number() OVER (PARTITION BY day, t ORDER BY record_id) - 1) // 50 AS c FROM r), b AS (SELECT count(*) AS k, bool_or(record_id LIKE '%99') AS bad FROM n GROUP BY day, t, c)
         SELECT count(*) FILTER (NOT bad) AS batches, (sum(k) FILTER (NOT bad))::BIGINT AS records, (sum(k) FILTER (NOT bad))::BIGINT AS frames, 0::BIGINT AS bad_lines, 0::BIGINT AS faults FROM b""",
+    "segment_commits": """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 10 AS t, 'r' || event_id AS record_id FROM events WHERE event_type = 'error'), n AS (SELECT *, (row_number() OVER (PARTITION BY day, t ORDER BY record_id) - 1) // 50 AS c FROM r), b AS (SELECT count(*) AS k FROM n GROUP BY day, t, c)
+        SELECT count(*) AS batches, sum(k)::BIGINT AS records, 2 * count(*) AS pending, count(*) AS intact FROM b""",
+    "integrity_report": _W + "SELECT batch_id, code IS NULL AS intact, code FROM (SELECT batch_id, CASE WHEN k % 41 = 2 THEN 'OL_SEGMENT_MISSING' ELSE least(CASE WHEN k % 37 = 1 THEN 'OL_SEGMENT_LEDGER' END, CASE WHEN k % 47 = 4 AND record_count > 1 THEN 'OL_SEGMENT_SEQUENCE' WHEN k % 43 = 3 THEN 'OL_SEGMENT_DIGEST' END) END AS code FROM l)",
+    "json_sources": "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'OL_SOURCE_JSON' WHEN o_orderkey % 11 = 0 THEN 'OL_SOURCE_LARGE' END AS error, CASE WHEN o_orderkey % 10 <> 0 AND o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2",
     "ledger_disagreements": _W + "SELECT batch_id, kind, CASE WHEN kind = 'drift' THEN 'byte_size' END AS fields FROM dis WHERE kind IS NOT NULL",
     "ledger_missing": _W + "SELECT batch_id FROM dis WHERE kind = 'missing_file'",
     "ledger_orphans": _W + "SELECT batch_id, day, 'reconciled' AS origin, day AS committed_on FROM x WHERE k % 40 = 7 AND NOT (month(day::DATE) = 3 AND day(day::DATE) > 15)",

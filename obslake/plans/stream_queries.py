@@ -89,6 +89,22 @@ def streamed_unexpired(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+def streamed_heartbeats(spark, d):
+    """Users from whom nothing came for 18 hours, as far as later events show it."""
+    base = _folder(spark)
+    ST.run(ST.stale_sources(_parts(spark, d, base, 10), "user_id", "ts", "1 minute", 64_800), f"{base}/state", f"{base}/out")
+    return spark.read.parquet(f"{base}/out").agg(F.countDistinct("source_id").alias("sources"))
+
+
+def streamed_intents(spark, d):
+    """Alerts and their intents written batch by batch."""
+    base = _folder(spark)
+    changes = _parts(spark, d, base, 2).where("event_type = 'error'").select(F.lit("r").alias("rule_id"), F.lit(1).alias("rule_version"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), F.lit("inactive").alias("previous_state"), F.lit("firing").alias("state"), F.lit(1).cast("long").alias("revision"))
+    channels = table(spark, d, "region").select(F.concat(F.lit("ch-"), col("r_regionkey")).alias("channel_id"), (col("r_regionkey") != 2).alias("enabled"), F.array(F.lit("internal")).alias("allowed_classifications"))
+    ST.run(changes, f"{base}/state", ST.intents_sink(channels, base))
+    return spark.read.parquet(f"{base}/intents").groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("intent_id").alias("ids"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 ORACLES = {
     "streamed_ingest": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
@@ -97,5 +113,6 @@ ORACLES = {
     "streamed_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY ALL",
     "streamed_sessions": "WITH a AS (SELECT user_id % 10 AS t, ts, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts)) >= 7200000000)::INT, 1) AS new FROM events WHERE event_type = 'error'), s AS (SELECT *, sum(new) OVER (PARTITION BY t ORDER BY ts) AS k FROM a), g AS (SELECT t, k, count(*) AS n, max(ts) + INTERVAL 2 HOUR AS e FROM s GROUP BY ALL) SELECT sum(n)::BIGINT AS alerts, count(*) AS sessions FROM g WHERE e < TIMESTAMP '2024-01-30'",
     "streamed_exports": "SELECT CASE WHEN user_id % 7 = 0 THEN 'OL_USER' WHEN NOT value < 100 THEN 'OL_VALUE' END AS error, count(*) AS n FROM events GROUP BY 1",
+    "streamed_intents": "SELECT 'ch-' || r_regionkey AS channel_id, count(*) AS n, count(*) AS ids FROM events, region WHERE event_type = 'error' AND r_regionkey <> 2 GROUP BY 1",
     "streamed_unexpired": "SELECT event_id FROM events WHERE ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-20'",
 }

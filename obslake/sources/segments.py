@@ -104,3 +104,40 @@ def trusted(headers: DataFrame, frames: DataFrame, identity_ok: Column | None =
     if identity_ok is not None:
         bad = bad.unionByName(frames.where(~F.coalesce(identity_ok, F.lit(False))).select("batch_id")).distinct()
     return headers.join(bad, "batch_id", "left_anti"), frames.join(bad, "batch_id", "left_anti")
+
+
+def commit(headers: DataFrame, frames: DataFrame, exporters: list[str], committed_at, root: str) -> int:
+    """Writes batches that the ledger lacks: lines first, then ledger rows, then a pending delivery for each exporter. Returns their number.
+
+    A crash after the lines leaves orphans that reconciliation adopts; a second commit of a batch does nothing.
+    """
+    spark = headers.sparkSession
+    known = read_table(spark, f"{root}/ledger", "batch_id STRING")
+    new = headers.join(known.select("batch_id"), "batch_id", "left_anti").persist()
+    try:
+        n = new.count()
+        if n:
+            write(new, frames.join(new.select("batch_id"), "batch_id", "left_semi"), f"{root}/lines")
+            new.withColumns({"committed_at": F.lit(committed_at).cast("timestamp"), "origin": F.lit("committed")}).write.mode("append").parquet(f"{root}/ledger")
+            pending = new.select("batch_id", F.explode(F.array(*[F.lit(e) for e in exporters])).alias("exporter_id"), F.lit("pending").alias("delivery_status"))
+            pending.write.mode("append").parquet(f"{root}/deliveries")
+        return n
+    finally:
+        new.unpersist()
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or an empty one of the schema where nothing was written yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def verified(ledger: DataFrame, headers: DataFrame, frames: DataFrame) -> DataFrame:
+    """(batch_id, intact, code) of every batch of the ledger; one bad batch hides no other."""
+    lost = ledger.join(headers.select("batch_id"), "batch_id", "left_anti").select("batch_id", F.lit("OL_SEGMENT_MISSING").alias("code"))
+    drift = ledger.alias("l").join(headers.alias("h"), "batch_id").where(~F.col("l.content_sha256").eqNullSafe(F.col("h.content_sha256")) | ~F.col("l.record_count").eqNullSafe(F.col("h.record_count"))).select("batch_id", F.lit("OL_SEGMENT_LEDGER").alias("code"))
+    own = audit(headers, frames).where("code IS NOT NULL")
+    found = lost.unionByName(drift).unionByName(own).groupBy("batch_id").agg(F.min("code").alias("code"))
+    out = ledger.select("batch_id").join(found, "batch_id", "left")
+    return out.select("batch_id", F.col("code").isNull().alias("intact"), "code")
