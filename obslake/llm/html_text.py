@@ -44,6 +44,8 @@ SCOPE = frozenset("ul ol dl table div section article main body aside nav form".
 #: fixed values: tags and class or id words of page furniture and of content
 FURNITURE_TAGS = frozenset("nav header footer aside form menu button select dialog fieldset".split())
 FURNITURE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar header masthead topbar footer foot bottom sidebar side aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login form search comment comments discussion respond reply replies disqus feedback social share sharing related recommended recommendations more trending popular tags breadcrumb breadcrumbs pagination pager copyright legal disclaimer toolbar tool meta".split())
+#: words that make a class name one of page layout ("has-sidebar"), whatever else it names
+LAYOUT = frozenset("has with no without layout page wrapper container grid row".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT = frozenset("article content story post entry main maincontent body text articlebody postbody".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
@@ -71,7 +73,7 @@ def _evidence(tag, attrs):
                 content |= value.lower() in ("main", "article")
             elif name in ("class", "id"):
                 parts = {p.lower() for p in PART.findall(CAMEL.sub(" ", value))}
-                word |= bool(parts & FURNITURE)
+                word |= bool(parts & FURNITURE) and not parts & LAYOUT
                 content |= bool(parts & CONTENT)
             elif name == "hidden":
                 hidden = True
@@ -79,7 +81,7 @@ def _evidence(tag, attrs):
                 hidden |= "display:none" in value.replace(" ", "").lower()
             else:
                 hidden |= value.lower() == "true"
-    return tag in FURNITURE_TAGS, word and tag not in ("body", "html"), tag in CONTENT_TAGS, content and not word and tag not in ("body", "html"), hidden
+    return tag in FURNITURE_TAGS, word and tag not in ("body", "html", "main", "article"), tag in CONTENT_TAGS, content and not word and tag not in ("body", "html"), hidden
 
 
 def blocks_of(page: str):

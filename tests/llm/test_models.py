@@ -59,6 +59,7 @@ def test_page_text_of_many_layouts():
     crf = H.Crf()
     assert crf.text(PAGE) == TEXT
     assert crf.text(PAGE.replace('<div class="post-content">', "<article>").replace("</ul></div>", "</ul></article>")) == TEXT
+    assert crf.text(PAGE.replace("<body>", '<body><div class="page has-sidebar">')) == TEXT  # words of the layout are no furniture
     assert crf.text(None) == crf.text("") == crf.text("<script>x") == ""
 
 
