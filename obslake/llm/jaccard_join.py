@@ -299,7 +299,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows += [{"hub": hub, "u": int(ids[i]), "v": int(ids[i]), "rest": True} for i in range(len(ids)) if known.find(i) != home]
         return pa.Table.from_pylist(rows, schema=pa.schema([("hub", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("rest", pa.bool_())]))
 
-    first = checkpointed(seats.join(sets, "id").groupBy("hub", "chunk").applyInArrow(meet, MET))
+    # meetings are small in bytes and large in work: dealt out by count, not gathered by size
+    spread = B.partitions(df)
+    first = checkpointed(seats.join(sets, "id").repartition(spread, "hub", "chunk").groupBy("hub", "chunk").applyInArrow(meet, MET))
 
     # sets that a chunked meeting left unconnected with its hub, against its other chunks
     rest = first.where("rest").select("hub", F.col("u").alias("id"))
@@ -314,7 +316,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = [{"hub": hub, "u": int(ids[i]), "v": int(ids[k]), "rest": False} for i, k in links if ids[i] != ids[k]]
         return pa.Table.from_pylist(rows, schema=pa.schema([("hub", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("rest", pa.bool_())]))
 
-    second = left.unionByName(right).join(sets, "id").groupBy("hub", "chunk", "part").applyInArrow(cross, MET)
+    second = left.unionByName(right).join(sets, "id").repartition(spread, "hub", "chunk", "part").groupBy("hub", "chunk", "part").applyInArrow(cross, MET)
     grouped = components(first.where("not rest").select("u", "v").unionByName(second.select("u", "v")))
     out = member.join(grouped.withColumnRenamed("node", "class"), "class", "left")
     own = lambda c: F.when(F.col("id").isNull() & (F.col(c) == LEAST_ID), None).otherwise(F.col(c))
