@@ -4,22 +4,22 @@ Tokens are the words of a text, A-Z lower-cased, and one end token a document.
 Training tokens are those of documents whose crc32 of the id (as text) modulo
 `folds` isn't 0; the others are held out.
 
-Method.  Unigrams and bigrams of all training documents are counted (partial
-counts a task, then one sum a hash bucket).  Counts are quantised to levels
-1 + floor(log2 c), and an n-gram of level q enters the filter as (n-gram, 1) ...
-(n-gram, q).  Buckets build their own slices of the filter; their join is
-broadcast.  A count is read back by probing (n-gram, 1), (n-gram, 2), ... until a
-miss.  The score interpolates the bigram and unigram estimates:
+Method.  Blocks of documents send their distinct unigrams and bigrams, packed by
+hash bucket, with the training counts of each; a bucket sums the counts, builds its
+slice of the filter, probes it for all that it was sent, and answers the blocks.
+Counts are quantised to levels 1 + floor(log2 c), and an n-gram of level q enters
+the filter as (n-gram, 1) ... (n-gram, q).  A count is read back by probing
+(n-gram, 1), (n-gram, 2), ... until a miss.  The score interpolates the bigram and unigram estimates:
 p(w|u) = mix * c(u,w)/c(u) + (1-mix) * (c(w)+0.1)/(N+0.1(V+1)); the first token
 has the unigram estimate alone.
 
-The filter holds all unigrams and the bigrams seen at least twice.  Its size is
-`bits` bits an insertion, and at most max_bytes: where the corpus has more, the
-least bigram level (then the least unigram level) held is raised until it fits,
-so the broadcast is bounded and unheld n-grams fall back to smoothing.
+The filter holds all unigrams and all bigrams, those seen once too, at `bits`
+bits an insertion.  No slice is broadcast and none is cut: buckets grow in number
+with the text, one for each BUCKET_BYTES of it at least, and as many more as keep
+a slice's share of the bound on all insertions within max_bytes.
 
-base_score is exact: counts of all words are looked up by a packed exchange
-between blocks of documents and the buckets of the count table, none broadcast.
+base_score is exact: the buckets answer with the counts of all words too.  N and V
+are summed over the buckets, from the answers in the shared folder.
 
 Edge cases: null or blank text has the end token alone; a null id counts as the
 text "", which is held out; without training tokens N and V are 0; rows with one
@@ -30,6 +30,7 @@ column of its name.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
-from .common import checkpointed, extended, none_of, with_columns
+from .common import extended, none_of, shared_dir, with_columns
 from .text import BYTE_LOWER, WORD, Words, column_bytes, mix
 
 HELD = "__ob_held"
 END = np.uint64(0x5BF03635DCD6A5E1)
-UNI, ONE, MANY = 0, 1, 2
 PROBES, LEVELS = 4, 48
-TABLE = "bucket int, words binary, counts binary, grams binary, levels binary, n long, v long, uni array<long>, bi array<long>"
-_TABLE = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("levels", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("uni", pa.list_(pa.int64())), ("bi", pa.list_(pa.int64()))])
+BUCKET_BYTES, PROBED = 16 << 20, 1 << 20
+TALLY = f"{B.ANSWER}, n long, v long"
+_TALLY = pa.schema([*B.ANSWER_ARROW, ("n", pa.int64()), ("v", pa.int64())])
 
 
 def tokens(buf, off):
@@ -82,148 +83,132 @@ class Filter:
     def __init__(self, raw: np.ndarray, size: int, buckets: int):
         self.raw, self.size, self.buckets = raw, size, buckets
 
-    def counts(self, hashes):
-        """Estimated counts: 0 where (key, 1) is missing, else the middle of the highest level reached."""
-        base = B.bucket_of(hashes, self.buckets) * self.size
-        keys, q, left = _six(hashes), np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+    def levels(self, keys, base=None):
+        """The highest level reached by each 48-bit key, 0 where (key, 1) is missing; base: where its slice begins."""
+        q, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for j in range(1, LEVELS + 1):
             if not len(left):
                 break
             ok = np.ones(len(left), bool)
             for at in _bits(keys[left], j, self.size):
-                at = at + base[left]
+                at = at if base is None else at + base[left]
                 ok &= (self.raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             left = left[ok]
             q[left] = j
-        return np.where(q > 0, (np.exp2(q) + np.exp2(q - 1.0) - 1) / 2, 0)
+        return q
+
+    def counts(self, hashes):
+        """Estimated counts: 0 where (key, 1) is missing, else the middle of the highest level reached."""
+        return middle(self.levels(_six(hashes), B.bucket_of(hashes, self.buckets) * self.size))
+
+
+def middle(levels):
+    q = levels.astype(np.int64)
+    return np.where(q > 0, (np.exp2(q) + np.exp2(q - 1.0) - 1) / 2, 0)
+
+
+def slice_of(held, bits: int) -> np.ndarray:
+    """A bucket's slice with all of the (48-bit keys, levels) held, at `bits` bits an insertion."""
+    size = max(64, -(-sum(int(q.sum(dtype=np.int64)) for _, q in held) * bits // 64) * 64)
+    marks = np.zeros(size, bool)
+    for keys, q in held:
+        for j in range(1, int(q.max(initial=0)) + 1):
+            for at in _bits(keys[q >= j], j, size):
+                marks[at] = True
+    return np.packbits(marks, bitorder="little")
+
+
+def buckets(df: DataFrame, text_col: str, bits: int, max_bytes: int) -> int:
+    """As many buckets as the text needs. A text has at most (bytes + 2) / 2 tokens, and a level is at most its count."""
+    seen = df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    text, most = seen["b"] or 0, (seen["b"] or 0) + 2 * seen["n"]
+    return max(2 * B.partitions(df), math.ceil(text / BUCKET_BYTES), math.ceil(most * bits / 8 / max_bytes))
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, weight: float = 0.7, bits: int = 10, max_bytes: int = 256 << 20, block_bytes: int | None = None) -> DataFrame:
     """df with held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    n = 2 * B.partitions(df)
+    n = buckets(df, text_col, bits, max_bytes)
     df = df.withColumn(HELD, F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0)
 
-    def gather(held, col):
-        buf, off = column_bytes(col)
-        h, o = tokens(buf, off)
-        train = np.repeat(~held, np.diff(o))
-        second = train.copy()
-        second[o[:-1]] = False
-        words, counts = np.unique(h[train], return_counts=True)
-        pairs, many = np.unique(bigrams(h)[second], return_counts=True)
-        one = many == 1
-        yield B.scatter(UNI, B.bucket_of(words, n), n, words.astype("<u8"), counts.astype("<u8"))
-        yield B.scatter(ONE, B.bucket_of(pairs[one], n), n, B.low48(pairs[one]))
-        yield B.scatter(MANY, B.bucket_of(pairs[~one], n), n, B.low48(pairs[~one]), many[~one].astype("<u8"))
-
-    def count(batches):
-        held, texts, size = [], [], 0
-        for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                held.append(part.column(HELD)), texts.append(part.column(text_col))
-                size += texts[-1].nbytes
-                if size >= (block_bytes or B.BLOCK_BYTES):
-                    for t in gather(pa.chunked_array(held).to_numpy(), pa.chunked_array(texts)):
-                        yield from t.cast(B.ENTRY_ARROW).to_batches()
-                    held, texts, size = [], [], 0
-        if held:
-            for t in gather(pa.chunked_array(held).to_numpy(), pa.chunked_array(texts)):
-                yield from t.cast(B.ENTRY_ARROW).to_batches()
-
-    def total(table):
-        """The counts of one bucket."""
-        bucket = table.column(B.BUCKET)[0].as_py()
-        kind = table.column(B.BLOCK)
-        part = {k: table.filter(pc.equal(kind, k)) for k in (UNI, ONE, MANY)}
-        as_array = lambda t, c, d: np.frombuffer(bytes(B.blob(t, c)[0]), d)
-        words, c = _summed(as_array(part[UNI], "a", "<u8"), as_array(part[UNI], "b", "<u8"))
-        ones = B.from48(B.blob(part[ONE], "a")[0])
-        grams, g = _summed(np.concatenate([ones, B.from48(B.blob(part[MANY], "a")[0])]), np.concatenate([np.ones(len(ones), np.uint64), as_array(part[MANY], "b", "<u8")]))
-        grams, g = grams[g > 1], g[g > 1]
-        hist = lambda x: np.bincount(level(x), minlength=LEVELS + 1).tolist()
-        row = [[bucket], [words.astype("<u8").tobytes()], [c.astype("<u8").tobytes()], [grams.astype("<u8").tobytes()], [level(g).tobytes()], [int(c.sum())], [len(words)], [hist(c)], [hist(g)]]
-        return pa.table([pa.array(x, f.type) for x, f in zip(row, _TABLE)], schema=_TABLE)
-
-    counts = checkpointed(df.select(HELD, text_col).mapInArrow(count, B.ENTRY).groupBy(B.BUCKET).applyInArrow(total, TABLE))
-    stats = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *[F.sum(F.col(k)[i]).alias(f"{k}{i}") for k in ("uni", "bi") for i in range(LEVELS + 1)]).first()
-    tokens_all, distinct = stats["n"] or 0, stats["v"] or 0
-    inserted = {k: [i * (stats[f"{k}{i}"] or 0) for i in range(LEVELS + 1)] for k in ("uni", "bi")}
-    low = {"uni": 1, "bi": 2}
-    for k in ("bi", "uni"):
-        while low[k] < LEVELS and sum(sum(inserted[x][low[x] :]) for x in inserted) * bits > max_bytes * 8:
-            low[k] += 1
-    size = max(64, math.ceil(sum(sum(inserted[x][low[x] :]) for x in inserted) * bits / n / 64) * 64)
-
-    def build(batches):
-        for batch in batches:
-            slices = []
-            for row in batch.to_pylist():
-                marks = np.zeros(size, bool)
-                words, grams = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["grams"], "<u8")
-                for keys, q, least in ((_six(words), level(np.frombuffer(row["counts"], "<u8")), low["uni"]), (grams, np.frombuffer(row["levels"], np.uint8), low["bi"])):
-                    keys, q = keys[q >= least], q[q >= least]
-                    for j in range(1, int(q.max(initial=0)) + 1):
-                        for at in _bits(keys[q >= j], j, size):
-                            marks[at] = True
-                slices.append(np.packbits(marks, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(slices, pa.binary())], names=["bucket", "slice"])
-
-    raw = np.zeros(n * size // 8, np.uint8)
-    for row in counts.select("bucket", "words", "counts", "grams", "levels").mapInArrow(build, "bucket int, slice binary").toLocalIterator():
-        raw[row["bucket"] * size // 8 : (row["bucket"] + 1) * size // 8] = np.frombuffer(row["slice"], np.uint8)
-    sent = df.sparkSession.sparkContext.broadcast(raw)
-    base = math.log10(tokens_all + 0.1 * (distinct + 1))
-
     blocked = B.in_blocks(df, id_col, text_col, block_bytes)
 
     def read(table):
+        """The block's rows, its token hashes and offsets, and the tokens that have a bigram."""
         table = B.ordered(table, id_col, text_col)
         h, o = tokens(*column_bytes(table.column(text_col)))
-        return table, h, o
-
-    def ask(table):
+        inner = np.ones(len(h), bool)
+        inner[o[:-1]] = False
+        return table, h, o, inner
+
+    def distinct_of(table, h, o, inner):
+        """(keys, training counts, the key of each token) of the words, then of the bigrams; keys by count, so that equal counts pack to nothing."""
+        train = np.repeat(~table.column(HELD).to_numpy(), np.diff(o))
+        for x, t in ((h, train), (bigrams(h)[inner], train[inner])):
+            keys, which = np.unique(x, return_inverse=True)
+            counts = np.bincount(which[t], minlength=len(keys))
+            order = np.argsort(counts, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            yield keys[order], counts[order], place[which]
+
+    def send(table):
+        """A row a bucket: the block's words (a), its bigrams (b), the counts of the words and then of the bigrams (c)."""
         block = table.column(B.BLOCK)[0].as_py()
-        words = np.unique(read(table)[1])
-        return B.scatter(block, B.bucket_of(words, n), n, words.astype("<u8")).cast(B.ENTRY_ARROW)
-
-    def look_up(asked, counted):
-        if not len(asked):
-            return B.empty(B.ANSWER_ARROW)
-        bucket = asked.column(B.BUCKET)[0].as_py()
-        raw, lens = B.blob(asked, "a")
-        keys = np.frombuffer(bytes(raw), "<u8")
-        block = np.repeat(asked.column(B.BLOCK).to_numpy(), lens // 8)
-        sizes = lens // 8
-        place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        words, c = (np.frombuffer(bytes(B.blob(counted, k)[0]), "<u8") for k in ("words", "counts"))
-        if not len(words):
-            return B.empty(B.ANSWER_ARROW)
-        at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-        hit = words[at] == keys
-        return B.answers(bucket, block[hit], place[hit].astype("<u4"), c[at[hit]].astype("<u8"))
+        (words, c, _), (pairs, g, _) = distinct_of(*read(table))
+        to = [B.bucket_of(words, n), B.bucket_of(pairs, n)]
+        (one, ones), (two, twos) = B.entry_index(words, to[0], n), B.entry_index(pairs, to[1], n)
+        both = np.argsort(np.concatenate(to), kind="stable")
+        used = np.flatnonzero(np.diff(ones + twos))
+        cols = ((words[one].astype("<u8"), 8 * ones), (B.low48(pairs[two]), 6 * twos), (np.concatenate([c, g])[both].astype("<u4"), 4 * (ones + twos)))
+        return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *[B._packed(x.view(np.uint8).reshape(-1), bounds, used) for x, bounds in cols]], schema=B.ENTRY_ARROW)
+
+    def tally(table):
+        """For each row sent, in its order: counts (a) and levels (b) of the words, levels (c) of the bigrams; and a row with the bucket's part of N and V."""
+        bucket = table.column(B.BUCKET)[0].as_py()
+        (words, w), (grams, b), (raw, _) = (B.blob(table, k) for k in "abc")
+        w, b = w // 8, b // 6
+        counts = np.frombuffer(bytes(raw), "<u4")
+        of_word = np.arange(len(counts)) - np.repeat(np.cumsum(w + b) - w - b, w + b) < np.repeat(w, w + b)
+        words, c, word_of = _summed(np.frombuffer(bytes(words), "<u8"), counts[of_word])
+        grams, g, gram_of = _summed(B.from48(grams), counts[~of_word])
+        raw = slice_of([(_six(words[c > 0]), level(c[c > 0])), (grams[g > 0], level(g[g > 0]))], bits)
+        filter_ = Filter(raw, 8 * len(raw), 1)
+        probed = lambda keys: np.concatenate([filter_.levels(keys[i : i + PROBED]) for i in range(0, max(1, len(keys)), PROBED)])
+        ends = lambda lens, width: width * np.concatenate([[0], np.cumsum(lens)])
+        packed = [B._packed(x.view(np.uint8), bounds, np.arange(len(table))) for x, bounds in ((c[word_of], ends(w, 8)), (probed(_six(words))[word_of], ends(w, 1)), (probed(grams)[gram_of], ends(b, 1)))]
+        told = pa.table([table.column(B.BLOCK), pa.array(np.full(len(table), bucket, np.int32)), *packed, pa.nulls(len(table), pa.int64()), pa.nulls(len(table), pa.int64())], schema=_TALLY)
+        return pa.concat_tables([told, pa.table([[None], [bucket], [None], [None], [None], [int(c.sum())], [int(np.count_nonzero(c))]], schema=_TALLY)])
+
+    def heard(replies, column, kind, keys):
+        """The answers in a column, put to the block's keys."""
+        order, bounds = B.entry_index(keys, B.bucket_of(keys, n), n)
+        got = np.zeros(len(keys), kind)
+        for bucket, part in zip(replies.column("bucket").to_pylist(), replies.column(column).to_pylist()):
+            got[order[bounds[bucket] : bounds[bucket + 1]]] = np.frombuffer(part, kind)
+        return got
+
+    folder = f"{shared_dir(df.sparkSession)}/lm_score-{uuid.uuid4().hex}"
+    B.by_bucket(B.per_block(blocked, send, B.ENTRY), tally, TALLY).write.option("compression", "zstd").parquet(folder)
+    told = df.sparkSession.read.schema(TALLY).parquet(folder)
+    stats = told.where(F.col(B.BLOCK).isNull()).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    tokens_all, distinct = stats["n"] or 0, stats["v"] or 0
+    base = math.log10(tokens_all + 0.1 * (distinct + 1))
 
     out = extended(df.drop(HELD).schema, held_out="boolean", n_tokens="long", n_known="long", train_tokens="long", base_score="double", score="double")
 
     def finish(table, replies):
         if not len(table):
             return none_of(out)
-        table, h, o = read(table)
-        words, which = np.unique(h, return_inverse=True)
-        order, bounds = B.entry_index(words, B.bucket_of(words, n), n)
-        at, got = B.answered(replies, order, bounds, {"a": np.uint32, "b": np.uint64})
-        exact = np.zeros(len(words))
-        exact[at] = got
-        filter_ = Filter(sent.value, size, n)
-        single = filter_.counts(words)
-        pairs, pair_of = np.unique(bigrams(h), return_inverse=True)
-        both = filter_.counts(pairs)[pair_of]
+        table, h, o, inner = read(table)
+        (words, _, which), (pairs, _, pair_of) = distinct_of(table, h, o, inner)
+        exact = heard(replies, "a", np.dtype("<u8"), words).astype(np.float64)
+        single = middle(heard(replies, "b", np.dtype("u1"), words))
+        both = np.zeros(len(h))
+        both[inner] = middle(heard(replies, "c", np.dtype("u1"), pairs))[pair_of]
         c = single[which]
         p = (c + 0.1) / (tokens_all + 0.1 * (distinct + 1))
         before = np.concatenate([[0.0], c[:-1]])
         linked = np.where(both > 0, both / np.maximum(np.maximum(before, both), 1), 0)
-        inner = np.ones(len(h), bool)
-        inner[o[:-1]] = False
         p = np.where(inner, weight * linked + (1 - weight) * p, p)
         sums = lambda x: np.add.reduceat(x, o[:-1])  # noqa: E731  every document has its end token
         more = {
@@ -232,18 +217,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         }
         return with_columns(table.drop_columns([B.BLOCK, HELD]), **more)
 
-    asked = B.per_block(blocked, ask, B.ENTRY)
-    replies = asked.groupBy(B.BUCKET).cogroup(counts.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(look_up, B.ANSWER)
-    return B.with_answers(blocked, replies, finish, out)
+    return B.with_answers(blocked, told.where(F.col(B.BLOCK).isNotNull()).select(B.ANSWER_ARROW.names), finish, out)
 
 
 def _summed(keys, counts):
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys)
-    k = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[starts], np.add.reduceat(counts[order], starts)
+    """The distinct keys, the sums of their counts, and the distinct key of each."""
+    each, which = np.unique(keys, return_inverse=True)
+    return each, np.bincount(which, weights=counts, minlength=len(each)).astype("<u8"), which
 
 
 def query(spark, sf_dir: str) -> DataFrame:

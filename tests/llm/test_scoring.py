@@ -116,3 +116,31 @@ def test_rule_order_changes_no_verdict(spark):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     plan = Q.apply_rules(frame, rules, ordered=True)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("max_bytes", [256 << 20, 4096])
+def test_score_holds_every_bigram(spark, max_bytes):
+    """Bigrams seen once count, and no size of the filter takes an n-gram out of the model."""
+    rows = odd_rows(6, n=60) + [(2000 + i, f"once{i} twice{i // 2} only{i}") for i in range(40)]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows}
+    tokens = [(i, [*words(t, lower=True), None]) for i, t in rows]
+    one = Counter(w for i, ws in tokens if not held[i] for w in ws)
+    two = Counter(p for i, ws in tokens if not held[i] for p in zip(ws, ws[1:]))
+    n, v = sum(one.values()), len(one)
+
+    def about(c):
+        q = c.bit_length()
+        return (2**q + 2 ** (q - 1) - 1) / 2 if c else 0
+
+    def logs(ws):
+        for k, w in enumerate(ws):
+            p = (about(one[w]) + 0.1) / (n + 0.1 * (v + 1))
+            if k:
+                b = about(two[ws[k - 1], w])
+                p = 0.7 * (b / max(about(one[ws[k - 1]]), b, 1)) + 0.3 * p
+            yield math.log10(p)
+
+    want = sorted((least(i), sum(logs(ws))) for i, ws in tokens)
+    got = sorted((least(r["doc_id"]), r["score"]) for r in L.score(docs(spark, rows), block_bytes=2000, bits=96, max_bytes=max_bytes).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want])
