@@ -16,6 +16,8 @@ from obslake.llm.common import shared_dir, table
 
 #: a language is only guessed under this score
 LEAST_SCORE = 0.3
+#: near duplicates share 80 % of their shingles of five words; op1's query has a contract of its own
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates."""
-    found = jaccard_join.near_duplicates(docs)
+    found = jaccard_join.near_duplicates(docs, shingle=NEAR_WORDS, percent=NEAR_PERCENT)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ob_keep")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__ob_keep"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
