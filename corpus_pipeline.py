@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from obslake.llm import decontaminate, jaccard_join, language_id, piece_bpe, substring_dedup
-from obslake.llm.common import shared_dir, table
+from obslake.llm.common import checkpointed, shared_dir, table
 
 #: a language is only guessed under this score
 LEAST_SCORE = 0.3
 #: near duplicates share 80 % of their shingles of five words; op1's query has a contract of its own
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+NODE = "__ob_node"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
+def row_nodes(docs: DataFrame) -> tuple[Column, DataFrame]:
+    """A long for each distinct row, whatever its id, and the table (node, id, digest) of them.
+
+    The node is a hash of the row; the table shows whether two rows have one, and then another hash is taken.
+    """
+    row = [c for name in docs.columns for c in (F.col(name), F.col(name).isNull())]
+    digest = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    for salt in range(8):
+        node = F.xxhash64(F.lit(salt), *row)
+        rows = checkpointed(docs.select(node.alias(NODE), F.col("doc_id").alias("id"), digest.alias("digest")).distinct())
+        if rows.groupBy(NODE).count().where("count > 1").isEmpty():
+            return node, rows
+    raise RuntimeError("rows without a hash of their own")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates."""
-    found = jaccard_join.near_duplicates(docs, shingle=NEAR_WORDS, percent=NEAR_PERCENT)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ob_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__ob_keep"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The row of the least id, then digest, of each group of near duplicates. Rows of one id or of none are near duplicates by their texts only; one of fully equal rows stays."""
+    node, rows = row_nodes(docs)
+    keyed = docs.withColumn(NODE, node)
+    found = jaccard_join.near_duplicates(keyed, NODE, shingle=NEAR_WORDS, percent=NEAR_PERCENT).select(NODE, "component_id").distinct()
+    first = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "digest", F.col(NODE))
+    keep = found.join(rows, NODE).groupBy("component_id").agg(F.min(first).alias("first")).select(F.col(f"first.{NODE}").alias(NODE))
+    return keyed.join(keep, NODE, "left_semi").dropDuplicates([NODE]).select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from .helpers import docs, least, words
+from .helpers import docs, least, odd_rows, words
 
 
 def groups(rows):
@@ -50,3 +50,14 @@ def test_copies_at_five_words_and_eighty_percent(spark, sf_dir):
         base = [f"w{k}-{i}" for i in range(50)]
         rows += [(100 * k, " ".join(base)), (100 * k + 1, changed(base, k, r))]
     check(rows, kept(spark, sf_dir, rows))
+
+
+def test_rows_of_one_id_and_of_none(spark, sf_dir):
+    """Rows are dropped for their texts only: null and repeated ids stay with different texts, and one of equal rows stays."""
+    r = random.Random(4)
+    base, other = ([f"{n}{i}" for i in range(60)] for n in "ab")
+    rows = [(None, f"a text of its own number {k} {k * k}") for k in range(6)] + [(7, f"another text under seven {k} {k * k}") for k in range(6)]
+    rows += [(None, " ".join(base)), (3, changed(base, 1, r)), (None, " ".join(other)), (4, changed(other, 2, r)), (9, "the same row twice"), (9, "the same row twice"), (None, None), (None, "")]
+    check(rows, kept(spark, sf_dir, rows))
+    rows = odd_rows(8, n=40, longest=30)
+    check(rows, kept(spark, sf_dir, rows))
