@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -24,84 +25,109 @@ def _folder(spark) -> str:
 
 
 def _parts(spark, d, base, n=3):
-    """The events in n files of later and later times, as they would come."""
+    """A stream over folders of later and later events, and writers of the n folders, to be called one after the other.
+
+    The folders are even ranges of time over all rows; the last one is open, and events without a time come first.
+    """
     e = table(spark, d, "events").withColumn("ts", col("ts").cast("timestamp"))
-    e = e.withColumn("part", F.floor(F.dayofmonth("ts") / (31 / n)).cast("int"))
-    for k in range(n):
-        e.where(col("part") == k).drop("part").coalesce(1).write.parquet(f"{base}/in{k}")
-    return ST.files(spark, f"{base}/in*", e.drop("part").schema, per_trigger=1)
+    at = F.unix_micros("ts")
+    ends = e.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    width = max(1, -(-((ends["high"] or 0) - (ends["low"] or 0)) // n))
+    part = F.coalesce(F.least(F.floor((at - F.lit(ends["low"])) / width), F.lit(n - 1)), F.lit(0)) if ends["low"] is not None else F.lit(0)
+
+    def write(k):
+        e.where(part == k).write.parquet(f"{base}/in{k}")
+
+    spark.createDataFrame([], e.schema).write.parquet(f"{base}/in")  # a folder to begin with
+    return ST.files(spark, f"{base}/in*", e.schema, per_trigger=2**31 - 1), [partial(write, k) for k in range(n)]
+
+
+def _run(stream, parts, state, sink):
+    """Runs the stream over one folder after the other."""
+    for write in parts:
+        write()
+        ST.run(stream, state, sink)
 
 
 def streamed_ingest(spark, d):
     """Two runs over the same input: the second adds nothing."""
     base = _folder(spark)
-    stream = _parts(spark, d, base).select("event_id", "event_type")
-    for _ in range(2):
-        ST.run(stream, f"{base}/state", f"{base}/out")
+    stream, parts = _parts(spark, d, base)
+    stream = stream.select("event_id", "event_type")
+    _run(stream, parts, f"{base}/state", f"{base}/out")
+    ST.run(stream, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def streamed_dedup(spark, d):
     base = _folder(spark)
-    e = _parts(spark, d, base, 1).select(F.concat(F.lit("r"), col("event_id")).alias("record_id"), "ts")
+    stream, parts = _parts(spark, d, base, 1)
+    e = stream.select(F.concat(F.lit("r"), col("event_id")).alias("record_id"), "ts")
     twice = e.unionByName(e)
-    ST.run(ST.deduplicated(twice, "ts", "30 days"), f"{base}/state", f"{base}/out")
+    _run(ST.deduplicated(twice, "ts", "30 days"), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids"))
 
 
 def streamed_alerts(spark, d):
-    """The alert state carried over three batches equals one fold."""
+    """The alert state carried over three runs equals one fold."""
     base = _folder(spark)
     rules = table(spark, d, "nation").withColumnRenamed("n_nationkey", "rule_no").where("rule_no < 20").select(F.concat(F.lit("rule-"), col("rule_no")).alias("rule_id"), F.lit(1).alias("rule_version"), collector_of(col("rule_no")).alias("collector"), (col("rule_no") % 3 + 1).cast("int").alias("consecutive_failures"), (col("rule_no") % 2 + 1).cast("int").alias("consecutive_successes"), F.lit(0).alias("cooldown_seconds"))
-    s = _parts(spark, d, base).select(collector_of(col("user_id") % 20).alias("collector"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.when(col("event_id") % 9 > 0, F.concat(F.lit("r"), F.lpad(col("event_id").cast("string"), 12, "0"))).alias("record_id"), F.when(col("event_type").isin("error", "view"), "failure").otherwise("success").alias("outcome"))
-    ST.run(ST.alert_transitions(s.join(F.broadcast(rules), "collector")), f"{base}/state", f"{base}/out")
+    stream, parts = _parts(spark, d, base)
+    s = stream.select(collector_of(col("user_id") % 20).alias("collector"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.when(col("event_id") % 9 > 0, F.concat(F.lit("r"), F.lpad(col("event_id").cast("string"), 12, "0"))).alias("record_id"), F.when(col("event_type").isin("error", "view"), "failure").otherwise("success").alias("outcome"))
+    _run(ST.alert_transitions(s.join(F.broadcast(rules), "collector")), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").select("rule_id", "target", "record_id", "previous_state", "state", "revision")
 
 
 def streamed_windows(spark, d):
     """Daily counts by event type; the last windows stay open, as no later event closes them."""
     base = _folder(spark)
-    ST.run(ST.windowed_counts(_parts(spark, d, base), "ts", ["event_type"], "1 hour", "1 day"), f"{base}/state", f"{base}/out")
+    stream, parts = _parts(spark, d, base)
+    _run(ST.windowed_counts(stream, "ts", ["event_type"], "1 hour", "1 day"), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").where("window_start < '2024-01-30'").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def streamed_sessions(spark, d):
     base = _folder(spark)
-    e = _parts(spark, d, base).where("event_type = 'error'").withColumn("target", target_of(col("user_id")))
-    ST.run(ST.incident_sessions(e, "ts", ["target"], "1 hour", "2 hours"), f"{base}/state", f"{base}/out")
+    stream, parts = _parts(spark, d, base)
+    e = stream.where("event_type = 'error'").withColumn("target", target_of(col("user_id")))
+    _run(ST.incident_sessions(e, "ts", ["target"], "1 hour", "2 hours"), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").where("closed_at < '2024-01-30'").agg(F.sum("alerts").alias("alerts"), F.count(F.lit(1)).alias("sessions"))
 
 
 def streamed_exports(spark, d):
     """An idempotent sink, run twice from the start: the ledger holds back the second."""
     base = _folder(spark)
-    e = ST.isolated(_parts(spark, d, base, 1), {"OL_USER": col("user_id") % 7 != 0, "OL_VALUE": col("value") < 100})
+    stream, parts = _parts(spark, d, base, 1)
+    e = ST.isolated(stream, {"OL_USER": col("user_id") % 7 != 0, "OL_VALUE": col("value") < 100})
     for k in range(2):
         sink = ST.once_per_batch(lambda b: b.select("event_id", "error").write.mode("append").parquet(f"{base}/out"), f"{base}/ledger")
-        ST.run(e, f"{base}/state{k}", sink)
+        _run(e, parts if k == 0 else [lambda: None], f"{base}/state{k}", sink)
     return spark.read.parquet(f"{base}/out").groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def streamed_unexpired(spark, d):
     base = _folder(spark)
-    e = _parts(spark, d, base, 1).withColumn("expires_at", col("ts") + F.expr("INTERVAL 5 DAY"))
-    ST.run(ST.unexpired(e, "2024-01-20 00:00:00").select("event_id"), f"{base}/state", f"{base}/out")
+    stream, parts = _parts(spark, d, base, 1)
+    e = stream.withColumn("expires_at", col("ts") + F.expr("INTERVAL 5 DAY"))
+    _run(ST.unexpired(e, "2024-01-20 00:00:00").select("event_id"), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out")
 
 
 def streamed_heartbeats(spark, d):
     """Users from whom nothing came for 18 hours, as far as later events show it."""
     base = _folder(spark)
-    ST.run(ST.stale_sources(_parts(spark, d, base, 10), "user_id", "ts", "1 minute", 64_800), f"{base}/state", f"{base}/out")
+    stream, parts = _parts(spark, d, base, 10)
+    _run(ST.stale_sources(stream, "user_id", "ts", "1 minute", 64_800), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").agg(F.countDistinct("source_id").alias("sources"))
 
 
 def streamed_intents(spark, d):
     """Alerts and their intents written batch by batch."""
     base = _folder(spark)
-    changes = _parts(spark, d, base, 2).where("event_type = 'error'").select(F.lit("r").alias("rule_id"), F.lit(1).alias("rule_version"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), F.lit("inactive").alias("previous_state"), F.lit("firing").alias("state"), F.lit(1).cast("long").alias("revision"))
+    stream, parts = _parts(spark, d, base, 2)
+    changes = stream.where("event_type = 'error'").select(F.lit("r").alias("rule_id"), F.lit(1).alias("rule_version"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), F.lit("inactive").alias("previous_state"), F.lit("firing").alias("state"), F.lit(1).cast("long").alias("revision"))
     channels = table(spark, d, "region").select(F.concat(F.lit("ch-"), col("r_regionkey")).alias("channel_id"), (col("r_regionkey") != 2).alias("enabled"), F.array(F.lit("internal")).alias("allowed_classifications"))
-    ST.run(changes, f"{base}/state", ST.intents_sink(channels, base))
+    _run(changes, parts, f"{base}/state", ST.intents_sink(channels, base))
     return spark.read.parquet(f"{base}/intents").groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("intent_id").alias("ids"))
 
 

@@ -77,7 +77,7 @@ def _alert_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         s = state.get
         now = {"state": s[0], "fails": s[1], "wins": s[2], "until": None if pd.isna(s[3]) else pd.Timestamp(s[3]), "revision": s[4]}
         last = pd.Timestamp(s[5])
-        rows = rows[rows["sampled_at"] >= last]  # a late sample stays a record; it can't turn newer state
+        rows = rows if pd.isna(last) else rows[rows["sampled_at"] >= last]  # a late sample stays a record; it can't turn newer state
     if not len(rows):
         return
     first = rows.iloc[0]
@@ -121,9 +121,9 @@ def _heartbeat(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
 
 
 def stale_sources(stream: DataFrame, source: str, at: str, lateness: str, limit_seconds: int) -> DataFrame:
-    """(source_id, last_at) of sources from which nothing came for the limit, by event time."""
+    """(source_id, last_at) of sources from which nothing came for the limit, by event time; an event without a time tells nothing of it."""
     s = stream.select(F.col(source).cast("string").alias("source_id"), F.col(at).cast("timestamp").alias("at"), F.lit(limit_seconds * 1000).cast("long").alias("limit_ms"))
-    return s.withWatermark("at", lateness).groupBy("source_id").applyInPandasWithState(_heartbeat, "source_id string, last_at timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    return s.where(F.col("at").isNotNull()).withWatermark("at", lateness).groupBy("source_id").applyInPandasWithState(_heartbeat, "source_id string, last_at timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def intents_sink(channels: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
