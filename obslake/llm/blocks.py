@@ -30,6 +30,8 @@ from .common import release
 
 BLOCK, BUCKET = "__ob_block", "__ob_bucket"
 BLOCK_BYTES, MOST_BYTES, MOST_RANGES = 4 << 20, 16 << 20, 4096
+#: text that one task of an exchange stands for at most, whatever spark.sql.shuffle.partitions says
+TASK_BYTES = 32 << 20
 ENTRY = f"{BUCKET} int, {BLOCK} int, a binary, b binary, c binary"
 ANSWER = f"{BLOCK} int, bucket int, a binary, b binary, c binary"
 
@@ -40,10 +42,15 @@ def partitions(df: DataFrame) -> int:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Ranges of ids (edges: least id, cut points, greatest id), each parted evenly into `parts` blocks."""
+    """Ranges of ids (edges: least id, cut points, greatest id), each parted evenly into `parts` blocks; and the tasks that the measured text needs."""
 
     edges: tuple[float, ...]
     parts: int
+    tasks: int = 1
+
+    @property
+    def buckets(self) -> int:
+        return 2 * self.tasks
 
 
 def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> Cuts:
@@ -57,11 +64,12 @@ def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int | Non
     total = seen["b"] or 0
     size = block_bytes or min(MOST_BYTES, max(BLOCK_BYTES, total // (8 * n)))
     want = max(n, math.ceil(total / size))
+    tasks = max(n, math.ceil(total / TASK_BYTES))
     if want == 1 or seen["low"] is None:
-        return Cuts((), 1)
+        return Cuts((), 1, tasks)
     ranges = min(want, MOST_RANGES)
     cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("c")).first()["c"]
-    return Cuts(tuple(sorted({seen["low"], *map(float, cuts), seen["high"] + 1})), math.ceil(want / ranges))
+    return Cuts(tuple(sorted({seen["low"], *map(float, cuts), seen["high"] + 1})), math.ceil(want / ranges), tasks)
 
 
 def with_block(df: DataFrame, id_col: str, cuts: Cuts) -> DataFrame:
@@ -86,9 +94,9 @@ def with_block(df: DataFrame, id_col: str, cuts: Cuts) -> DataFrame:
     return out.withColumn(BLOCK, block).drop(at, key)
 
 
-def in_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> DataFrame:
+def dealt(df: DataFrame, id_col: str, cuts: Cuts) -> DataFrame:
     """df with its block, dealt out by it."""
-    return with_block(df, id_col, cut_points(df, id_col, text_col, block_bytes)).repartition(partitions(df), BLOCK)
+    return with_block(df, id_col, cuts).repartition(cuts.tasks, BLOCK)
 
 
 def ordered(table: pa.Table, id_col: str, text_col: str) -> pa.Table:
@@ -224,8 +232,8 @@ def _tidy(work):
     return one if len(inspect.signature(work).parameters) == 1 else two
 
 
-def by_bucket(entries: DataFrame, decide, schema: str = ANSWER) -> DataFrame:
-    return entries.groupBy(BUCKET).applyInArrow(_tidy(decide), schema)
+def by_bucket(entries: DataFrame, cuts: Cuts, decide, schema: str = ANSWER) -> DataFrame:
+    return entries.repartition(cuts.tasks, BUCKET).groupBy(BUCKET).applyInArrow(_tidy(decide), schema)
 
 
 def per_block(blocked: DataFrame, work, schema) -> DataFrame:

@@ -11,67 +11,56 @@ Training tokens stream through it while the length of the longest match is
 tracked: where that reaches the window's length, the words of the match are hit
 and the state's items occur.  Only stretches of tokens all of whose neighbouring
 pairs occur in some item are streamed, as no match goes on over another pair.
-
-The benchmark is broadcast in shards of a fixed number of words, one automaton
-and one pass over the documents each; passes add to the hit marks of the earlier
-ones, so the broadcast is bounded whatever the benchmark's size.
-
-Edge cases: null text has no words; items with equal texts are all reported; an
-item without words has no window; with an empty benchmark nothing is hit; rows
-with one id are handled each by itself; extra columns pass through; a result
-column replaces an input column of its name.
+Spans beyond the length limit, and all spans of a document beyond the coverage
+limit, are taken out of its text (`cleaned`).
+
+The benchmark is dealt into shards of `shard_words` words by DataFrame functions;
+an item that is longer is cut into pieces that overlap by a window less one word,
+so that each window stands whole in one piece.  One task a shard builds its
+automaton, once, as flat arrays in a table.  The driver hands out one shard at a
+time: a pass over the documents for each, its sparse marks written to the shared
+folder before the next shard is sent, and its broadcast destroyed.  So no process
+holds more than a shard, whatever the benchmark's size.  The last shard's pass
+reads the earlier marks by the digest of the text; marks depend on nothing else,
+so copies share theirs.
+
+Words are compared by 64-bit hashes.
+
+Edge cases: null text has no words; item ids are compared as text, a null one is
+the id "", and rows with one id are one item's; items with equal texts are all
+reported; an item without words has no window; with an empty benchmark nothing is
+hit; very long texts are read in slices of rows, each text whole; rows with one id
+are handled each by itself; an empty table gives an empty table; extra columns
+pass through; a result column replaces an input column of its name.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .common import extended, release, sha256, with_columns
+from .common import extended, release, sha256, shared_dir, with_columns
 from .text import ALNUM, BYTE_LOWER, Words, column_bytes
 
 SHARD_WORDS = 200_000
-MARKS, ITEMS = "__ob_marks", "__ob_items"
+DIGEST, MARKED, FOUND = "__ob_digest", "__ob_marked", "__ob_found"
+SHARD, PIECE = "__ob_shard", "__ob_piece"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+NAMES = T.ArrayType(T.StringType())
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-class Automaton:
-    """Generalised suffix automaton over word numbers, with the items of each state down to the window's length."""
+class _Build:
+    """Suffix automaton over word numbers as it grows."""
 
-    def __init__(self, items: list[list[int]], window: int):
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.window = window
-        ends: list[dict[int, None]] = [{}]  # items in which a state's strings end
-        for k, words in enumerate(items):
-            last = 0
-            for w in words:
-                last = self._add(last, w)
-                while len(ends) < len(self.next):
-                    ends.append({})
-                ends[last][k] = None
-        order = sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True)
-        #: of each state: the items of its strings; of a whole short item's state: that window
-        self.items = [frozenset() for _ in self.size]
-        gathered = [set(e) for e in ends]
-        for v in order:
-            if self.link[v] > 0:
-                gathered[self.link[v]] |= gathered[v]
-        for v in order:
-            if self.size[v] >= window:
-                self.items[v] = frozenset(gathered[v])
-        self.whole: dict[int, list[tuple[int, int]]] = {}
-        for k, words in enumerate(items):
-            if 0 < len(words) < window:
-                v = 0
-                for w in words:
-                    v = self.next[v][w]
-                self.whole.setdefault(v, []).append((len(words), k))
-        #: nearest state at or above each on the suffix links where a short item ends
-        self.short = [-1] * len(self.size)
-        for v in reversed(order):
-            self.short[v] = v if v in self.whole else (self.short[self.link[v]] if self.link[v] > 0 else -1)
 
     def _copy(self, p, w, q):
         c = len(self.next)
@@ -84,7 +73,7 @@ class Automaton:
         self.link[q] = c
         return c
 
-    def _add(self, last, w):
+    def add(self, last, w):
         q = self.next[last].get(w)
         if q is not None:
             return q if self.size[q] == self.size[last] + 1 else self._copy(last, w, q)
@@ -101,27 +90,113 @@ class Automaton:
             self.link[new] = q if self.size[q] == self.size[p] + 1 else self._copy(p, w, q)
         return new
 
-    def stream(self, words, start: int, marks: bytearray, found: set[int]) -> None:
-        """Reads words that stand from `start` on; marks what is hit and adds the items that occur."""
+
+class Automaton:
+    """Generalised suffix automaton of some items, in flat arrays.
+
+    Transitions: sorted keys state * words + word, and their states.  link, size: of each state.  top: the shortest state
+    of window length at or above it on the suffix links, -1 for none.  short: the nearest state at or above it where a whole
+    short item ends.  ends[low[v] : high[v]]: items in which the strings of state v end (the states below v on the links
+    are numbered next to each other).  whole_*: short items by state.
+    """
+
+    def __init__(self, items: list[np.ndarray], names: list[str], window: int):
+        self.window, self.names = window, names
+        self.words = np.unique(np.concatenate(items))
+        numbers = [np.searchsorted(self.words, w) for w in items]
+        self.pairs = np.unique(np.concatenate([n[:-1] * len(self.words) + n[1:] for n in numbers]))
+        self.least = min(window, min(map(len, numbers)))
+        made, own = _Build(), []
+        for k, words in enumerate(numbers):
+            last = 0
+            for w in words.tolist():
+                last = made.add(last, w)
+                own.append((last, k))
+        n = len(made.size)
+        self.link, self.size = np.array(made.link, np.int32), np.array(made.size, np.int32)
+        by_size = np.argsort(self.size, kind="stable")[1:].tolist()
+        link, size = made.link, made.size
+        self.top, self.short = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        whole = {}
+        for k, words in enumerate(numbers):
+            if 0 < len(words) < window:
+                v = 0
+                for w in words.tolist():
+                    v = made.next[v][w]
+                whole.setdefault(v, []).append((len(words), k))
+        self.whole_state, self.whole_length, self.whole_item = (np.array(x, np.int32) for x in (zip(*[(v, m, k) for v, x in whole.items() for m, k in x]) if whole else ((), (), ())))
+        for v in by_size:
+            up = link[v]
+            if size[v] >= window:
+                self.top[v] = self.top[up] if size[up] >= window else v
+            self.short[v] = v if v in whole else (self.short[up] if up > 0 else -1)
+        # numbers in depth-first order of the links, from the sizes of the subtrees
+        below = [1] * n
+        for v in reversed(by_size):
+            below[link[v]] += below[v]
+        place, free = [0] * n, [1] * n
+        for v in by_size:
+            place[v] = place[link[v]] + free[link[v]]
+            free[link[v]] += below[v]
+        ends = np.unique(np.array([(place[v], k) for v, k in own], np.int64), axis=0)
+        first = np.array(place)
+        self.ends = ends[:, 1].astype(np.int32)
+        self.low, self.high = (np.searchsorted(ends[:, 0], x).astype(np.int32) for x in (first, first + np.array(below)))
+        keys = np.array([v * len(self.words) + w for v, x in enumerate(made.next) for w in x], np.int64)
+        to = np.array([q for x in made.next for q in x.values()], np.int32)
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[order]
+
+    FLAT = ("words", "pairs", "link", "size", "top", "short", "ends", "low", "high", "keys", "to", "whole_state", "whole_length", "whole_item")
+
+    def row(self) -> dict:
+        """Everything as one row of a table."""
+        return {"window": self.window, "least": int(self.least), "names": self.names, **{k: getattr(self, k).tobytes() for k in self.FLAT}}
+
+    @classmethod
+    def read(cls, row) -> Automaton:
+        kinds = {"words": np.uint64, "pairs": np.int64, "keys": np.int64}
+        made = cls.__new__(cls)
+        made.window, made.least, made.names = row["window"], row["least"], list(row["names"])
+        for k in cls.FLAT:
+            setattr(made, k, np.frombuffer(bytes(row[k]), kinds.get(k, np.int32)))
+        return made
+
+    def look_ups(self):
+        """What streaming reads word by word; made once a Python worker and shard."""
+        if not hasattr(self, "_look_ups"):
+            bits = max(16, int(len(self.words) * 16 - 1).bit_length())
+            shift = np.uint64(64 - bits)
+            seen = np.zeros(1 << bits, bool)
+            seen[(self.words >> shift).astype(np.int64)] = True
+            whole: dict[int, list[tuple[int, int]]] = {}
+            for v, m, k in zip(self.whole_state.tolist(), self.whole_length.tolist(), self.whole_item.tolist()):
+                whole.setdefault(v, []).append((m, k))
+            self._look_ups = (dict(zip(self.keys.tolist(), self.to.tolist())), self.link.tolist(), self.size.tolist(), self.top.tolist(), self.short.tolist(), whole, shift, seen)
+        return self._look_ups
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_look_ups"}
+
+    def stream(self, words, start: int, marks: bytearray, states: set[int], found: set[int]) -> None:
+        """Reads words that stand from `start` on; marks what is hit and adds the states of windows and the short items that occur."""
+        follow, link, size, top, short, whole, *_ = self.look_ups()
+        many, window = len(self.words), self.window
         v = n = 0
-        follow, link, size, window, short, whole, items = self.next, self.link, self.size, self.window, self.short, self.whole, self.items
         for i, w in enumerate(words, start + 1):
-            while v and w not in follow[v]:
+            to = follow.get(v * many + w)
+            while to is None and v:
                 v = link[v]
                 n = size[v]
-            if w in follow[v]:
-                v = follow[v][w]
-                n += 1
-            else:
-                v = n = 0
+                to = follow.get(v * many + w)
+            if to is None:
+                n = 0
                 continue
+            v = to
+            n += 1
             if n >= window:
                 marks[i - n : i] = b"\1" * n
-                found |= items[v]
-                u = link[v]
-                while u > 0 and size[u] >= window:
-                    found |= items[u]
-                    u = link[u]
+                states.add(top[v])
             u = short[v]
             while u > 0:
                 for length, k in whole[u]:
@@ -130,44 +205,11 @@ class Automaton:
                         found.add(k)
                 u = short[link[u]] if link[u] > 0 else -1
 
-
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, most: int):
-    """Lists of (item, words) of at most `most` words (an item that is longer is alone), one at a time."""
-    shard, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(text_col).alias("t"))
-    for row in rows.toLocalIterator():
-        buf = np.frombuffer((row["t"] or "").encode(), np.uint8)
-        words = Words(buf, np.array([0, len(buf)]), ALNUM, BYTE_LOWER).hashes
-        if not len(words):
-            continue
-        if shard and size + len(words) > most:
-            yield shard
-            shard, size = [], 0
-        shard.append((row["k"] or "", words))
-        size += len(words)
-    if shard:
-        yield shard
-
-
-class _Pass:
-    """One shard: the automaton, and the sorted hashes of words and of neighbouring pairs."""
-
-    def __init__(self, shard, window):
-        self.names = [k for k, _ in shard]
-        every = np.concatenate([w for _, w in shard])
-        self.words = np.unique(every)
-        numbers = [np.searchsorted(self.words, w) for _, w in shard]
-        self.pairs = np.unique(np.concatenate([n[:-1] * len(self.words) + n[1:] for n in numbers]))
-        self.least = min(window, min(map(len, numbers)))
-        self.automaton = Automaton([n.tolist() for n in numbers], window)
-        bits = max(16, int(len(self.words) * 16 - 1).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[(self.words >> self.shift).astype(np.int64)] = True
-
-    def run(self, words: Words, marks: list[bytearray], found: list[set[int]]) -> None:
+    def run(self, words: Words) -> dict[int, tuple[bytearray, list[str]]]:
+        """For each document (by its number) with a hit: a mark for each word, and the items, each once."""
+        shift, seen = self.look_ups()[-2:]
         h, o = words.hashes, words.offsets
-        maybe = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
+        maybe = np.flatnonzero(seen[(h >> shift).astype(np.int64)])
         number = np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.words, h[maybe]), len(self.words) - 1)
         known = self.words[at] == h[maybe]
@@ -182,51 +224,120 @@ class _Pass:
             go_on[i[self.pairs[at] == key]] = True
         begin = np.flatnonzero((number >= 0) & ~go_on)
         if not len(begin):
-            return
+            return {}
         stop = np.flatnonzero(~go_on)
         end = np.concatenate([stop[1:], [len(h)]])[np.searchsorted(stop, begin)]
         long = end - begin >= self.least
         begin, end = begin[long], end[long]
         doc = np.searchsorted(o, begin, "right") - 1
+        seen_by: dict[int, tuple[bytearray, set[int], set[int]]] = {}
         for a, z, d in zip(begin.tolist(), end.tolist(), doc.tolist()):
-            self.automaton.stream(number[a:z].tolist(), a - int(o[d]), marks[d], found[d])
-
-
-def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: tuple[int, int] = (1, 20), shard_words: int = SHARD_WORDS) -> DataFrame:
-    """df with n_words, n_hit, n_items, items (sorted as strings), items_sha256, spans of hit words, and contaminated (at least share of the words are hit, and one is)."""
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    names = T.ArrayType(T.StringType())
-    out, context = df, df.sparkSession.sparkContext
+            if d not in seen_by:
+                seen_by[d] = (bytearray(int(o[d + 1] - o[d])), set(), set())
+            self.stream(number[a:z].tolist(), a - int(o[d]), *seen_by[d])
+        out = {}
+        for d, (marks, states, found) in seen_by.items():
+            for v in states:
+                found.update(self.ends[self.low[v] : self.high[v]].tolist())
+            if found:
+                out[d] = marks, sorted({self.names[k] for k in found})
+        return out
+
+
+def shards_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, shard_words: int) -> DataFrame:
+    """A table of automata, each over at most shard_words words or one piece (written to the shared folder)."""
+    most = max(shard_words, 2 * window)
+    kinds = "window int, least int, names array<string>, " + ", ".join(f"{k} binary" for k in Automaton.FLAT)
+
+    def cut(batches):
+        for batch in batches:
+            parts = Words(*column_bytes(batch.column("t")), ALNUM, BYTE_LOWER)
+            o, names, pieces = parts.offsets.tolist(), [], []
+            for k, a, z in zip(batch.column("k").to_pylist(), o, o[1:]):
+                for s in range(a, max(a + 1, z - window + 1), most - window + 1) if z > a else ():
+                    names.append(k), pieces.append(parts.hashes[s : min(z, s + most)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.binary())], names=["k", PIECE])
+
+    def build(table):
+        rows = sorted(zip(table.column("k").to_pylist(), table.column(PIECE).to_pylist()))
+        out, items, size = [], [], 0
+        for k, raw in [*rows, (None, None)]:
+            if items and (raw is None or size + len(raw) // 8 > most):
+                out.append(Automaton([np.frombuffer(x, np.uint64) for _, x in items], [x for x, _ in items], window).row())
+                items, size = [], 0
+            if raw is not None:
+                items.append((k, raw))
+                size += len(raw) // 8
+        return pa.Table.from_pylist(out, schema=pa.schema([("window", pa.int32()), ("least", pa.int32()), ("names", pa.list_(pa.string())), *[(k, pa.binary()) for k in Automaton.FLAT]]))
+
+    pieces = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("k"), F.col(text_col).alias("t")).mapInArrow(cut, f"k string, {PIECE} binary")
+    shards = math.ceil(1.25 * (pieces.agg(F.sum(F.octet_length(PIECE))).first()[0] or 0) / 8 / most)
+    made = pieces.withColumn(SHARD, F.pmod(F.xxhash64("k", PIECE), F.lit(max(1, shards)))).groupBy(SHARD).applyInArrow(build, kinds)
+    folder = f"{shared_dir(benchmark.sparkSession)}/automata-{uuid.uuid4().hex}"
+    made.withColumn(SHARD, F.monotonically_increasing_id()).write.parquet(folder)
+    return benchmark.sparkSession.read.parquet(folder)
+
+
+def _digest(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def decontaminate(
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: tuple[int, int] = (1, 20), shard_words: int = SHARD_WORDS, longest: int | None = None,
+) -> DataFrame:
+    """df with n_words, n_hit, n_items, items (sorted as strings), items_sha256, spans of hit words, contaminated (at least share of the words are hit, and one is), and cleaned.
+
+    cleaned: the text without the spans of more than `longest` hit words (by default: all spans), and without any span where the document is contaminated.
+    """
+    spark = df.sparkSession
+    automata = shards_of(benchmark, item_col, item_text_col, window, shard_words)
+    shards = [r[SHARD] for r in automata.select(SHARD).orderBy(SHARD).collect()]
+    take = lambda k: spark.sparkContext.broadcast(Automaton.read(automata.where(F.col(SHARD) == k).first()))  # noqa: E731  one shard at a time
+    folder = f"{shared_dir(spark)}/decontaminate-{uuid.uuid4().hex}"
+    for k in shards[:-1]:
+        sent = take(k)
+        marked = df.select(F.col(text_col).alias("t")).mapInArrow(_sparse(sent), f"t string, {MARKED} array<struct<start:bigint,end:bigint>>, {FOUND} array<string>")
+        marked.select(_digest("t").alias(DIGEST), MARKED, FOUND).dropDuplicates([DIGEST]).write.mode("append").parquet(folder)
+        sent.destroy()
+    out = df
+    if len(shards) > 1:
+        every = spark.read.schema(f"{DIGEST} string, {MARKED} array<struct<start:bigint,end:bigint>>, {FOUND} array<string>").parquet(folder).groupBy(DIGEST).agg(F.flatten(F.collect_list(MARKED)).alias(MARKED), F.flatten(F.collect_list(FOUND)).alias(FOUND))
+        out = df.withColumn(DIGEST, _digest(text_col)).join(every, DIGEST, "left").drop(DIGEST)
+    last = take(shards[-1]) if shards else None
 
     def finish(batches):
         for batch in _slices(batches):
             buf, off = column_bytes(batch.column(text_col))
-            counts = Words(buf, off, ALNUM, BYTE_LOWER, hashed=False).counts
-            there = MARKS in batch.schema.names
-            marks = batch.column(MARKS).to_pylist() if there else [None] * len(batch)
-            items = batch.column(ITEMS).to_pylist() if there else [None] * len(batch)
-            hit = np.array([m.count(1) if m else 0 for m in marks], np.int64)
-            items = [sorted(x or ()) for x in items]
-            if there:
-                batch = batch.drop_columns([MARKS, ITEMS])
+            words = Words(buf, off, ALNUM, BYTE_LOWER)
+            counts = words.counts
+            got = last.value.run(words) if last is not None else {}
+            if MARKED in batch.schema.names:
+                for d, (spans, names) in enumerate(zip(batch.column(MARKED).to_pylist(), batch.column(FOUND).to_pylist())):
+                    if spans:
+                        marks, items = got.get(d, (bytearray(int(counts[d])), []))
+                        for s in spans:
+                            marks[s["start"] : s["end"]] = b"\1" * (s["end"] - s["start"])
+                        got[d] = marks, sorted({*items, *names})
+                batch = batch.drop_columns([MARKED, FOUND])
+            hit = np.array([got[d][0].count(1) if d in got else 0 for d in range(len(batch))], np.int64)
+            items = [got[d][1] if d in got else [] for d in range(len(batch))]
+            spans = [_spans(got[d][0]) if d in got else [] for d in range(len(batch))]
+            bad = (hit > 0) & (share[1] * hit >= share[0] * counts)
+            texts = batch.column(text_col)
+            if len(got):
+                texts = texts.to_pylist()
+                for d in got:
+                    cut = [s for s in spans[d] if bad[d] or longest is None or s["end"] - s["start"] > longest]
+                    texts[d] = _without(buf, int(off[d]), int(off[d + 1]), words, int(words.offsets[d]), cut)
+                texts = pa.array(texts, pa.string())
             yield with_columns(
                 batch,
                 n_words=pa.array(counts, pa.int64()), n_hit=pa.array(hit, pa.int64()), n_items=pa.array([len(x) for x in items], pa.int64()), items=pa.array(items, pa.list_(pa.string())),
-                items_sha256=pa.array([sha256(",".join(x).encode()) for x in items], pa.string()), spans=pa.array([_spans(m) for m in marks], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                contaminated=pa.array((hit > 0) & (share[1] * hit >= share[0] * counts)),
+                items_sha256=pa.array([sha256(",".join(x).encode()) for x in items], pa.string()), spans=pa.array(spans, _SPAN), contaminated=pa.array(bad), cleaned=texts,
             )
-
-    last = None
-    for shard in _shards(benchmark, item_col, item_text_col, shard_words):
-        if last is not None:
-            out = out.mapInArrow(last, extended(out.schema, **{MARKS: "binary", ITEMS: names}))
-        last = _marker(context.broadcast(shard), text_col, window)
-
-    def end(batches):  # the last shard's pass and the results, in one
-        yield from finish(last(batches) if last is not None else batches)
         release()
 
-    return out.mapInArrow(end, extended(df.schema, n_words="long", n_hit="long", n_items="long", items=names, items_sha256="string", spans=spans, contaminated="boolean"))
+    return out.mapInArrow(finish, extended(df.schema, n_words="long", n_hit="long", n_items="long", items=NAMES, items_sha256="string", spans=SPANS, contaminated="boolean", cleaned="string"))
 
 
 def _slices(batches):
@@ -236,27 +347,29 @@ def _slices(batches):
 
 
 def _spans(marks):
-    if not marks:
-        return []
     m = np.concatenate([[0], np.frombuffer(marks, np.uint8), [0]]).astype(np.int8)
     step = np.diff(m)
     return [{"start": a, "end": z} for a, z in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())]
 
 
-def _marker(shard, text_col, window):
+def _without(buf, low: int, high: int, words: Words, base: int, spans) -> str:
+    """A text (bytes low to high) without the bytes from the first to the last word of each span."""
+    kept, at = [], low
+    for s in spans:
+        kept.append(buf[at : words.starts[base + s["start"]]].tobytes())
+        at = int(words.ends[base + s["end"] - 1])
+    return b"".join([*kept, buf[at:high].tobytes()]).decode()
+
+
+def _sparse(sent):
     def work(batches):
-        made = _Pass(shard.value, window)
         for batch in _slices(batches):
-            buf, off = column_bytes(batch.column(text_col))
-            words = Words(buf, off, ALNUM, BYTE_LOWER)
-            there = MARKS in batch.schema.names
-            before = batch.column(MARKS).to_pylist() if there else [None] * len(batch)
-            items = batch.column(ITEMS).to_pylist() if there else [None] * len(batch)
-            marks = [bytearray(b) if b else bytearray(int(n)) for b, n in zip(before, words.counts)]
-            found: list[set[int]] = [set() for _ in marks]
-            made.run(words, marks, found)
-            cols = {MARKS: pa.array([bytes(m) if f or b else None for m, f, b in zip(marks, found, before)], pa.binary()), ITEMS: pa.array([[*(i or ()), *(made.names[k] for k in f)] for i, f in zip(items, found)], pa.list_(pa.string()))}
-            yield with_columns(batch, **cols)
+            got = sent.value.run(Words(*column_bytes(batch.column("t")), ALNUM, BYTE_LOWER))
+            at = sorted(got)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("t").take(pa.array(at, pa.int64())), pa.array([_spans(got[d][0]) for d in at], _SPAN), pa.array([got[d][1] for d in at], pa.list_(pa.string()))], names=["t", MARKED, FOUND],
+            )
+        release()
 
     return work
 

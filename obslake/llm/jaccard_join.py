@@ -187,7 +187,6 @@ MET = "hub long, u long, v long, rest boolean"
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, chunk: int = 512, block_bytes: int | None = None) -> DataFrame:
     """(id_col, n_shingles, class_id, component_id), a row for each row of df."""
-    n = 2 * B.partitions(df)
     texts = df.select(id_col, text_col)
     ID, FP = "__ob_id", "__ob_fp"
 
@@ -205,7 +204,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = signed.where("n > 0").groupBy("n", "f", "g").agg(F.min(ID).alias("class"))
     member = signed.join(classes, ["n", "f", "g"], "left").withColumn("class", F.coalesce("class", F.col(ID)))
     cuts = B.cut_points(texts, id_col, text_col, block_bytes)
-    blocked = B.with_block(texts, id_col, cuts).repartition(B.partitions(df), B.BLOCK)
+    n = cuts.buckets
+    blocked = B.dealt(texts, id_col, cuts)
     # rows of a class but its least id, told to their blocks
     eight = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     copies = B.with_block(member.where(F.col("class") != F.col(ID)), "id", cuts).select(B.BLOCK, F.lit(-1).alias("bucket"), eight(F.col(ID)).alias("a"), eight(F.col("f")).alias("b"), F.lit(None).cast("binary").alias("c"))
@@ -278,7 +278,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 got.append({"id": i, "first": (first >> np.uint64(16)).astype(np.int64), "set": B.low48(s).tobytes()})
         return pa.Table.from_pylist(got, schema=FOUND)
 
-    told = B.by_bucket(B.with_answers(blocked, copies, send, B.ENTRY), frequent)
+    told = B.by_bucket(B.with_answers(blocked, copies, send, B.ENTRY), cuts, frequent)
     found = checkpointed(B.with_answers(blocked, told.unionByName(copies), candidates, "id long, first array<bigint>, set binary"))
 
     holders = found.select(F.explode("first").alias("t"), "id")
@@ -300,7 +300,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.Table.from_pylist(rows, schema=pa.schema([("hub", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("rest", pa.bool_())]))
 
     # meetings are small in bytes and large in work: dealt out by count, not gathered by size
-    spread = B.partitions(df)
+    spread = cuts.tasks
     first = checkpointed(seats.join(sets, "id").repartition(spread, "hub", "chunk").groupBy("hub", "chunk").applyInArrow(meet, MET))
 
     # sets that a chunked meeting left unconnected with its hub, against its other chunks

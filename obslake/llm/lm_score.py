@@ -4,27 +4,36 @@ Tokens are the words of a text, A-Z lower-cased, and one end token a document.
 Training tokens are those of documents whose crc32 of the id (as text) modulo
 `folds` isn't 0; the others are held out.
 
-Method.  Blocks of documents send their distinct unigrams and bigrams, packed by
-hash bucket, with the training counts of each; a bucket sums the counts, builds its
-slice of the filter, probes it for all that it was sent, and answers the blocks.
-Counts are quantised to levels 1 + floor(log2 c), and an n-gram of level q enters
-the filter as (n-gram, 1) ... (n-gram, q).  A count is read back by probing
-(n-gram, 1), (n-gram, 2), ... until a miss.  The score interpolates the bigram and unigram estimates:
-p(w|u) = mix * c(u,w)/c(u) + (1-mix) * (c(w)+0.1)/(N+0.1(V+1)); the first token
-has the unigram estimate alone.
-
-The filter holds all unigrams and all bigrams, those seen once too, at `bits`
-bits an insertion.  No slice is broadcast and none is cut: buckets grow in number
-with the text, one for each BUCKET_BYTES of it at least, and as many more as keep
-a slice's share of the bound on all insertions within max_bytes.
+Method.  Blocks of documents send their distinct n-grams of 1 to `order` tokens,
+packed by hash bucket, with the training counts of each; a bucket sums the counts,
+builds its slice of the filter, probes it for all that it was sent, and answers the
+blocks.  Counts are quantised to levels 1 + floor(log2 c), and an n-gram of level q
+enters the filter as (n-gram, 1) ... (n-gram, q).  A count is read back by probing
+(n-gram, 1), (n-gram, 2), ... until a miss, as the middle of its level.
+
+The score's estimates go from short to long contexts.  p1(w) = (c(w)+0.1)/(N+0.1(V+1)).
+Without a discount, pk(w|u) = weight c(u,w)/c(u) + (1-weight) p(k-1)(w).  With a
+discount d, absolute discounting: pk(w|u) = max(c(u,w)-d, 0)/c(u) + d c(u)^(spread-1)
+p(k-1)(w), at most 1, where c(u)^spread estimates how many tokens follow u (exactly
+one where c(u) = 1); a context never seen leaves p(k-1).  The first tokens of a
+document have the estimates that fit into it.  With quantised counts the estimates
+of a context add up to 1 only about.
+
+The filter holds all n-grams, those seen once too, at `bits` bits an insertion (a
+false hit of one in fifty at 10 bits and 4 probes; errors are one-sided).  No slice
+is broadcast and none is cut: buckets grow in number with the text, one for each
+BUCKET_BYTES of it at least, and as many more as keep a slice's share of the bound on
+all insertions within max_bytes.  The number of buckets changes no count.
 
 base_score is exact: the buckets answer with the counts of all words too.  N and V
 are summed over the buckets, from the answers in the shared folder.
 
 Edge cases: null or blank text has the end token alone; a null id counts as the
 text "", which is held out; without training tokens N and V are 0; rows with one
-id are each scored; extra columns pass through; a result column replaces an input
-column of its name.
+id, and repeated rows, are each scored and each learned from; equal texts have equal
+scores; very long texts are scored whole (a block holds at least one text); an empty
+table gives an empty table; extra columns pass through; a result column replaces an
+input column of its name.
 """
 
 from __future__ import annotations
@@ -45,6 +54,8 @@ HELD = "__ob_held"
 END = np.uint64(0x5BF03635DCD6A5E1)
 PROBES, LEVELS = 4, 48
 BUCKET_BYTES, PROBED = 16 << 20, 1 << 20
+#: the query's model
+ORDER, DISCOUNT = 3, 0.75
 TALLY = f"{B.ANSWER}, n long, v long"
 _TALLY = pa.schema([*B.ANSWER_ARROW, ("n", pa.int64()), ("v", pa.int64())])
 
@@ -56,10 +67,10 @@ def tokens(buf, off):
     return np.insert(words.hashes, at, END), words.offsets + np.arange(len(off))
 
 
-def bigrams(h):
-    """Hash of each token with the one before it (that of the first has no meaning)."""
+def longer(grams, h):
+    """Hash of each token with the n-gram that ends before it (that of the first has no meaning)."""
     out = np.zeros(len(h), np.uint64)
-    out[1:] = mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] + np.uint64(1))
+    out[1:] = mix(grams[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] + np.uint64(1))
     return out
 
 
@@ -118,41 +129,49 @@ def slice_of(held, bits: int) -> np.ndarray:
     return np.packbits(marks, bitorder="little")
 
 
-def buckets(df: DataFrame, text_col: str, bits: int, max_bytes: int) -> int:
+def buckets(df: DataFrame, text_col: str, order: int, bits: int, max_bytes: int, least: int) -> int:
     """As many buckets as the text needs. A text has at most (bytes + 2) / 2 tokens, and a level is at most its count."""
     seen = df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    text, most = seen["b"] or 0, (seen["b"] or 0) + 2 * seen["n"]
-    return max(2 * B.partitions(df), math.ceil(text / BUCKET_BYTES), math.ceil(most * bits / 8 / max_bytes))
+    text, most = seen["b"] or 0, order * ((seen["b"] or 0) / 2 + seen["n"])
+    return max(least, math.ceil(text / BUCKET_BYTES), math.ceil(most * bits / 8 / max_bytes))
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, weight: float = 0.7, bits: int = 10, max_bytes: int = 256 << 20, block_bytes: int | None = None) -> DataFrame:
+def score(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, weight: float = 0.7, bits: int = 10, max_bytes: int = 256 << 20, block_bytes: int | None = None,
+    order: int = 2, discount: float = 0.0, spread: float = 0.8,
+) -> DataFrame:
     """df with held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    n = buckets(df, text_col, bits, max_bytes)
+    cuts = B.cut_points(df, id_col, text_col, block_bytes)
+    n = buckets(df, text_col, order, bits, max_bytes, cuts.buckets)
     df = df.withColumn(HELD, F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0)
 
-    blocked = B.in_blocks(df, id_col, text_col, block_bytes)
+    blocked = B.dealt(df, id_col, cuts)
 
     def read(table):
-        """The block's rows, its token hashes and offsets, and the tokens that have a bigram."""
+        """The block's rows, its token hashes and offsets, and for each length from 2 the places where its n-grams end."""
         table = B.ordered(table, id_col, text_col)
         h, o = tokens(*column_bytes(table.column(text_col)))
-        inner = np.ones(len(h), bool)
-        inner[o[:-1]] = False
-        return table, h, o, inner
+        within = np.arange(len(h)) - np.repeat(o[:-1], np.diff(o))
+        return table, h, o, [np.flatnonzero(within >= k - 1) for k in range(2, order + 1)]
 
-    def distinct_of(table, h, o, inner):
-        """(keys, training counts, the key of each token) of the words, then of the bigrams; keys by count, so that equal counts pack to nothing."""
+    def distinct_of(table, h, o, places):
+        """(keys, training counts, the key of each token) of the words, then of the longer n-grams, length by length; keys by count, so that equal counts pack to nothing."""
         train = np.repeat(~table.column(HELD).to_numpy(), np.diff(o))
-        for x, t in ((h, train), (bigrams(h)[inner], train[inner])):
+        grams, every = h, []
+        for at in places:
+            grams = longer(grams, h)
+            every.append(grams[at])
+        inner = np.concatenate([train[at] for at in places]) if places else train[:0]
+        for x, t in ((h, train), (np.concatenate(every) if every else h[:0], inner)):
             keys, which = np.unique(x, return_inverse=True)
             counts = np.bincount(which[t], minlength=len(keys))
-            order = np.argsort(counts, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            yield keys[order], counts[order], place[which]
+            order_ = np.argsort(counts, kind="stable")
+            place = np.empty(len(order_), np.int64)
+            place[order_] = np.arange(len(order_))
+            yield keys[order_], counts[order_], place[which]
 
     def send(table):
-        """A row a bucket: the block's words (a), its bigrams (b), the counts of the words and then of the bigrams (c)."""
+        """A row a bucket: the block's words (a), its longer n-grams (b), the counts of the words and then of the others (c)."""
         block = table.column(B.BLOCK)[0].as_py()
         (words, c, _), (pairs, g, _) = distinct_of(*read(table))
         to = [B.bucket_of(words, n), B.bucket_of(pairs, n)]
@@ -163,7 +182,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *[B._packed(x.view(np.uint8).reshape(-1), bounds, used) for x, bounds in cols]], schema=B.ENTRY_ARROW)
 
     def tally(table):
-        """For each row sent, in its order: counts (a) and levels (b) of the words, levels (c) of the bigrams; and a row with the bucket's part of N and V."""
+        """For each row sent, in its order: counts (a) and levels (b) of the words, levels (c) of the longer n-grams; and a row with the bucket's part of N and V."""
         bucket = table.column(B.BUCKET)[0].as_py()
         (words, w), (grams, b), (raw, _) = (B.blob(table, k) for k in "abc")
         w, b = w // 8, b // 6
@@ -188,7 +207,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         return got
 
     folder = f"{shared_dir(df.sparkSession)}/lm_score-{uuid.uuid4().hex}"
-    B.by_bucket(B.per_block(blocked, send, B.ENTRY), tally, TALLY).write.option("compression", "zstd").parquet(folder)
+    B.by_bucket(B.per_block(blocked, send, B.ENTRY), cuts, tally, TALLY).write.option("compression", "zstd").parquet(folder)
     told = df.sparkSession.read.schema(TALLY).parquet(folder)
     stats = told.where(F.col(B.BLOCK).isNull()).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens_all, distinct = stats["n"] or 0, stats["v"] or 0
@@ -199,17 +218,18 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     def finish(table, replies):
         if not len(table):
             return none_of(out)
-        table, h, o, inner = read(table)
-        (words, _, which), (pairs, _, pair_of) = distinct_of(table, h, o, inner)
+        table, h, o, places = read(table)
+        (words, _, which), (grams, _, gram_of) = distinct_of(table, h, o, places)
         exact = heard(replies, "a", np.dtype("<u8"), words).astype(np.float64)
-        single = middle(heard(replies, "b", np.dtype("u1"), words))
-        both = np.zeros(len(h))
-        both[inner] = middle(heard(replies, "c", np.dtype("u1"), pairs))[pair_of]
-        c = single[which]
-        p = (c + 0.1) / (tokens_all + 0.1 * (distinct + 1))
-        before = np.concatenate([[0.0], c[:-1]])
-        linked = np.where(both > 0, both / np.maximum(np.maximum(before, both), 1), 0)
-        p = np.where(inner, weight * linked + (1 - weight) * p, p)
+        seen = middle(heard(replies, "b", np.dtype("u1"), words))[which]
+        p = (seen + 0.1) / (tokens_all + 0.1 * (distinct + 1))
+        longer_seen, start = middle(heard(replies, "c", np.dtype("u1"), grams)), 0
+        for at in places:
+            now = np.zeros(len(h))
+            now[at] = longer_seen[gram_of[start : start + len(at)]]
+            start += len(at)
+            p[at] = _smoothed(now[at], seen[at - 1], p[at], weight, discount, spread)
+            seen = now
         sums = lambda x: np.add.reduceat(x, o[:-1])  # noqa: E731  every document has its end token
         more = {
             "held_out": table.column(HELD), "n_tokens": pa.array(np.diff(o), pa.int64()), "n_known": pa.array(sums((exact > 0).astype(np.int64)[which]), pa.int64()), "train_tokens": pa.array(np.full(len(table), tokens_all), pa.int64()),
@@ -220,6 +240,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     return B.with_answers(blocked, told.where(F.col(B.BLOCK).isNotNull()).select(B.ANSWER_ARROW.names), finish, out)
 
 
+def _smoothed(c, context, shorter, weight, discount, spread):
+    """Estimates from the counts of n-grams and of their contexts, and the estimates from shorter contexts."""
+    context = np.maximum(context, c)
+    if discount:
+        some = np.maximum(context, 1)
+        return np.where(context > 0, np.minimum(1, np.maximum(c - discount, 0) / some + discount * some ** (spread - 1) * shorter), shorter)
+    return weight * np.where(c > 0, c / np.maximum(context, 1), 0) + (1 - weight) * shorter
+
+
 def _summed(keys, counts):
     """The distinct keys, the sums of their counts, and the distinct key of each."""
     each, which = np.unique(keys, return_inverse=True)
@@ -231,4 +260,31 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, order=ORDER, discount=DISCOUNT).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The exact columns of op9, rounded: what SQL can express of it."""
+    from .common import table
+
+    got = score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=1)
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+#: crc32 in SQL: one table look-up a byte, the bytes being digits of the id
+BASE_ORACLE = r"""
+WITH RECURSIVE bits AS (SELECT i AS n, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+       UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+look AS (SELECT list(c ORDER BY n) AS l FROM bits WHERE k = 8),
+ids AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents),
+crc AS (SELECT doc_id, s, 4294967295::BIGINT AS c, 1 AS i FROM ids
+       UNION ALL SELECT doc_id, s, xor(c >> 8, l[(xor(c, ascii(s[i])::BIGINT) & 255) + 1]), i + 1 FROM crc, look WHERE i <= length(s)),
+held AS (SELECT doc_id, xor(c, 4294967295) % 10 = 0 AS held_out FROM crc WHERE i = length(s) + 1),
+d AS (SELECT doc_id, held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') || [' '] AS w FROM documents JOIN held USING (doc_id)),
+t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+a AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(n) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 3) AS base_score
+FROM t LEFT JOIN c USING (word), a GROUP BY doc_id
+"""

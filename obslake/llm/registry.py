@@ -16,5 +16,5 @@ _OPERATORS = {
     "op9_lm_score": lm_score,
     "op10_decontamination": decontaminate,
 }
-QUERIES = {name: m.query for name, m in _OPERATORS.items()}
-ORACLES = {name: m.ORACLE for name, m in _OPERATORS.items() if getattr(m, "ORACLE", None)}
+QUERIES = {**{name: m.query for name, m in _OPERATORS.items()}, "lm_base_score": lm_score.base_query}
+ORACLES = {**{name: m.ORACLE for name, m in _OPERATORS.items() if getattr(m, "ORACLE", None)}, "lm_base_score": lm_score.BASE_ORACLE}

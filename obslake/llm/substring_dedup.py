@@ -69,8 +69,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
-    n = 2 * B.partitions(df)
-    blocked = B.in_blocks(df, id_col, text_col, block_bytes)
+    cuts = B.cut_points(df, id_col, text_col, block_bytes)
+    n = cuts.buckets
+    blocked = B.dealt(df, id_col, cuts)
 
     def words_of(table):
         table = B.ordered(table, id_col, text_col)
@@ -175,8 +176,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         table = table.set_column(table.schema.get_field_index(text_col), text_col, texts)
         return with_columns(table, **more)
 
-    anchors = B.by_bucket(B.per_block(blocked, send_anchors, B.ENTRY), shared)
-    windows = B.by_bucket(B.with_answers(blocked, anchors, send_windows, B.ENTRY), earlier)
+    anchors = B.by_bucket(B.per_block(blocked, send_anchors, B.ENTRY), cuts, shared)
+    windows = B.by_bucket(B.with_answers(blocked, anchors, send_windows, B.ENTRY), cuts, earlier)
     return B.with_answers(blocked, windows, cut, out)
 
 

@@ -152,8 +152,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     """df with n_bytes, n_removed, n_spans, the removed spans ([start, end) in bytes) and the kept bytes; with digest, kept_sha256 in place of those two."""
     if not GRAM < length <= 128:
         raise ValueError(f"length must be over {GRAM} and at most 128 bytes")
-    n, width = 2 * B.partitions(df), 2 * length - GRAM
-    blocked = B.in_blocks(df, id_col, text_col, block_bytes)
+    cuts = B.cut_points(df, id_col, text_col, block_bytes)
+    n, width = cuts.buckets, 2 * length - GRAM
+    blocked = B.dealt(df, id_col, cuts)
 
     def runs_of(table):
         table = B.ordered(table, id_col, text_col)
@@ -306,8 +307,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             more["kept"] = pa.array(kept, pa.binary())
         return with_columns(table.drop_columns([B.BLOCK]), **more)
 
-    told = B.by_bucket(B.per_block(blocked, send_hashes, B.ENTRY), compare)
-    cuts = B.by_bucket(B.with_answers(blocked, told, send_segments, B.ENTRY), scan)
+    told = B.by_bucket(B.per_block(blocked, send_hashes, B.ENTRY), cuts, compare)
+    cuts = B.by_bucket(B.with_answers(blocked, told, send_segments, B.ENTRY), cuts, scan)
     return B.with_answers(blocked, cuts, cut, out)
 
 

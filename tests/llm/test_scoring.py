@@ -82,6 +82,39 @@ def test_decontamination_matches_brute_force(spark, shard_words):
     assert got == brute_hits(rows, items)
 
 
+@pytest.mark.parametrize("shard_words", [200_000, 20])
+def test_repeated_item_ids_are_one_item(spark, shard_words):
+    """Two rows of one id in one shard, and dealt over many shards."""
+    a, b = " ".join(f"q{k}" for k in range(30)), " ".join(f"r{k}" for k in range(30))
+    items = [(5, a), (5, b), (5, a), (6, b), (7, " ".join(f"s{k}" for k in range(200)))]
+    rows = [(1, f"x {a} y {b} z"), (2, a), (3, items[-1][1] + " t"), (4, None), (4, ""), (4, a)]
+    out = D.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), shard_words=shard_words)
+    got = sorted((key(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out.collect())
+    assert got == brute_hits(rows, items)
+    assert {r["doc_id"]: r["items"] for r in out.where("doc_id < 3").collect()} == {1: ["5", "6"], 2: ["5"]}
+
+
+def test_no_process_holds_more_than_a_shard(spark):
+    """Twenty times the items give twenty times the shards, none of them larger."""
+    item = lambda i: (i, " ".join(f"w{i}_{k}" for k in range(50)))
+
+    def sizes(n):
+        table = D.shards_of(spark.createDataFrame([item(i) for i in range(n)], "item_id long, text string"), "item_id", "text", 13, 200)
+        return [sum(len(r[k]) for k in D.Automaton.FLAT) for r in table.collect()]
+
+    few, many = sizes(4), sizes(80)
+    assert len(many) >= 10 * len(few) and max(many) <= 1.3 * 4 * max(few) / len(few)
+
+
+def test_spans_are_taken_out(spark):
+    item = " ".join(f"q{k}" for k in range(15))
+    clean = " ".join(f"c{k}" for k in range(400))
+    rows = [(1, f"é {clean},  {item}! {clean}"), (2, f"{item} a b"), (3, clean), (4, None)]
+    cut = lambda **k: {r["doc_id"]: r["cleaned"] for r in D.decontaminate(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"), **k).collect()}
+    assert cut() == {1: f"é {clean},  ! {clean}", 2: " a b", 3: clean, 4: None}
+    assert cut(longest=15)[1] == rows[0][1] and cut(longest=15)[2] == " a b"
+
+
 def test_decontamination_without_a_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     r = D.decontaminate(docs(spark, [(1, "a b")]), none).first()
@@ -144,3 +177,33 @@ def test_score_holds_every_bigram(spark, max_bytes):
     got = sorted((least(r["doc_id"]), r["score"]) for r in L.score(docs(spark, rows), block_bytes=2000, bits=96, max_bytes=max_bytes).collect())
     assert [i for i, _ in got] == [i for i, _ in want]
     assert [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+@pytest.mark.parametrize("copies", [1, 10])
+def test_trigram_score_matches_brute_force(spark, copies):
+    """The query's model, over counts of one level and ten blocks' worth of the same text."""
+    rows = odd_rows(6, n=40)
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows}
+    tokens = [(i, [*words(t, lower=True), None]) for i, t in rows]
+    grams = [Counter(tuple(ws[a : a + k]) for i, ws in tokens if not held[i] for a in range(len(ws) - k + 1)) for k in (1, 2, 3)]
+    n, v, d, spread = sum(grams[0].values()), len(grams[0]), 0.75, 0.8
+
+    def about(g):
+        q = grams[len(g) - 1][g].bit_length()
+        return (2**q + 2 ** (q - 1) - 1) / 2 if q else 0
+
+    def logs(ws):
+        for at in range(len(ws)):
+            p = (about((ws[at],)) + 0.1) / (n + 0.1 * (v + 1))
+            for k in (2, 3):
+                if at + 1 >= k:
+                    c = about(tuple(ws[at - k + 1 : at + 1]))
+                    u = max(c, about(tuple(ws[at - k + 1 : at])))
+                    p = min(1, max(c - d, 0) / u + d * u ** (spread - 1) * p) if u else p
+            yield math.log10(p)
+
+    want = sorted((least(i), sum(logs(ws))) for i, ws in tokens)
+    got = L.score(docs(spark, rows), block_bytes=20_000 // copies, bits=96, order=3, discount=d, max_bytes=(256 << 20) // 10 ** (copies // 2)).collect()
+    got = sorted((least(r["doc_id"]), r["score"], r["lang"], r["n_words"]) for r in got)
+    assert [(i, *x) for i, _, *x in got] == [(i, "en", -1) for i, _ in want]
+    assert [s for _, s, *_ in got] == pytest.approx([s for _, s in want])
