@@ -62,9 +62,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by benchmark items."""
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return out.where(~F.col("contaminated")).select(docs.columns)
+    """Documents that aren't contaminated by benchmark items, less the few words of them that a benchmark window hits."""
+    out = decontaminate.decontaminate(docs.withColumn("__ob_chars", F.col("n_chars")), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated"))
+    chars = F.when(F.col("n_hit") > 0, F.char_length("cleaned")).otherwise(F.col("__ob_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", chars).withColumn("text", F.col("cleaned")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
