@@ -30,8 +30,8 @@ from .common import release
 
 BLOCK, BUCKET = "__ob_block", "__ob_bucket"
 BLOCK_BYTES, MOST_BYTES, MOST_RANGES = 4 << 20, 16 << 20, 4096
-#: text that one task of an exchange stands for at most, whatever spark.sql.shuffle.partitions says
-TASK_BYTES = 32 << 20
+#: text that one task, and one bucket, of an exchange stands for at most, whatever spark.sql.shuffle.partitions says
+TASK_BYTES, BUCKET_BYTES = 128 << 20, 16 << 20
 ENTRY = f"{BUCKET} int, {BLOCK} int, a binary, b binary, c binary"
 ANSWER = f"{BLOCK} int, bucket int, a binary, b binary, c binary"
 
@@ -42,15 +42,12 @@ def partitions(df: DataFrame) -> int:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Ranges of ids (edges: least id, cut points, greatest id), each parted evenly into `parts` blocks; and the tasks that the measured text needs."""
+    """Ranges of ids (edges: least id, cut points, greatest id), each parted evenly into `parts` blocks; and the tasks and buckets that the measured text needs."""
 
     edges: tuple[float, ...]
     parts: int
     tasks: int = 1
-
-    @property
-    def buckets(self) -> int:
-        return 2 * self.tasks
+    buckets: int = 4
 
 
 def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> Cuts:
@@ -65,11 +62,12 @@ def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int | Non
     size = block_bytes or min(MOST_BYTES, max(BLOCK_BYTES, total // (8 * n)))
     want = max(n, math.ceil(total / size))
     tasks = max(n, math.ceil(total / TASK_BYTES))
+    buckets = max(4 * tasks, math.ceil(total / BUCKET_BYTES))  # several a task, so that the tasks come out alike
     if want == 1 or seen["low"] is None:
-        return Cuts((), 1, tasks)
+        return Cuts((), 1, tasks, buckets)
     ranges = min(want, MOST_RANGES)
     cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("c")).first()["c"]
-    return Cuts(tuple(sorted({seen["low"], *map(float, cuts), seen["high"] + 1})), math.ceil(want / ranges), tasks)
+    return Cuts(tuple(sorted({seen["low"], *map(float, cuts), seen["high"] + 1})), math.ceil(want / ranges), tasks, buckets)
 
 
 def with_block(df: DataFrame, id_col: str, cuts: Cuts) -> DataFrame:
@@ -144,6 +142,19 @@ def scatter(block: int, buckets: np.ndarray, n: int, *parts: np.ndarray) -> pa.T
     return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *cols, *[none] * (3 - len(cols))], names=[BUCKET, BLOCK, "a", "b", "c"])
 
 
+def scatter_each(block: int, n: int, *parts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Entry rows of one block from parts of (bucket of each item, items) with unlike numbers of items."""
+    sizes = [np.bincount(buckets, minlength=n) for buckets, _ in parts]
+    used = np.flatnonzero(sum(sizes))
+    cols = []
+    for (buckets, items), size in zip(parts, sizes):
+        raw = np.ascontiguousarray(items[np.argsort(buckets, kind="stable")])
+        width = raw.itemsize * (raw.shape[1] if raw.ndim > 1 else 1)
+        cols.append(_packed(raw.view(np.uint8).reshape(-1), width * np.concatenate([[0], np.cumsum(size)]), used))
+    none = pa.nulls(len(used), pa.binary())
+    return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *cols, *[none] * (3 - len(cols))], schema=ENTRY_ARROW)
+
+
 def _packed(raw, bounds, used):
     ends = np.concatenate([bounds[used], bounds[-1:]]).astype(np.int32)  # unused buckets are empty, so the used ones stand end to end
     return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])

@@ -21,9 +21,11 @@ of a context add up to 1 only about.
 
 The filter holds all n-grams, those seen once too, at `bits` bits an insertion (a
 false hit of one in fifty at 10 bits and 4 probes; errors are one-sided).  No slice
-is broadcast and none is cut: buckets grow in number with the text, one for each
-BUCKET_BYTES of it at least, and as many more as keep a slice's share of the bound on
-all insertions within max_bytes.  The number of buckets changes no count.
+is broadcast and none is cut: buckets grow in number with the text, and there are as
+many more as keep a slice's share of the bound on all insertions within max_bytes.
+The number of buckets changes no count.  Longer n-grams travel as 32 bits of their
+hashes beside the bucket's number, as differences of sorted neighbours in bytes of
+seven bits: two of them are taken for one far more seldom than the filter errs.
 
 base_score is exact: the buckets answer with the counts of all words too.  N and V
 are summed over the buckets, from the answers in the shared folder.
@@ -53,7 +55,9 @@ from .text import BYTE_LOWER, WORD, Words, column_bytes, mix
 HELD = "__ob_held"
 END = np.uint64(0x5BF03635DCD6A5E1)
 PROBES, LEVELS = 4, 48
-BUCKET_BYTES, PROBED = 16 << 20, 1 << 20
+PROBED = 1 << 20
+#: marks the 32-bit keys of longer n-grams, so that none is a word's
+GRAM = np.uint64(1 << 60)
 #: the query's model
 ORDER, DISCOUNT = 3, 0.75
 TALLY = f"{B.ANSWER}, n long, v long"
@@ -78,6 +82,35 @@ def _six(keys):
     return keys >> np.uint64(16)
 
 
+def shrunk(keys: np.ndarray, starts: np.ndarray):
+    """Keys (32 bits each) as differences, anew from each start, seven bits a byte; and the first byte of each key and of the end."""
+    x = keys.astype(np.uint32)
+    before = np.concatenate([np.zeros(1, np.uint32), x[:-1]])[: len(x)]
+    before[starts[starts < len(x)]] = 0
+    d = x - before
+    n = 1 + sum((d >= np.uint32(1 << k)).astype(np.int64) for k in (7, 14, 21, 28))
+    at = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(at[-1], np.uint8)
+    for k in range(5):
+        has = np.flatnonzero(n > k)
+        out[at[has] + k] = ((d[has] >> np.uint32(7 * k)) & np.uint32(127)).astype(np.uint8) | (n[has] > k + 1).astype(np.uint8) << 7
+    return out, at
+
+
+def grown(raw: np.ndarray, row_bytes: np.ndarray):
+    """The keys that shrunk() packed, of rows of some bytes each, and the number of keys in each row."""
+    raw = np.frombuffer(bytes(raw), np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    n, d = ends - first + 1, np.zeros(len(ends), np.uint64)
+    for k in range(5):
+        has = np.flatnonzero(n > k)
+        d[has] |= (raw[first[has] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    bounds = np.searchsorted(ends, np.concatenate([[0], np.cumsum(row_bytes)]))
+    total, counts = np.concatenate([[0], np.cumsum(d)]).astype(np.uint64), np.diff(bounds)
+    return (total[1:] - np.repeat(total[bounds[:-1]], counts)) & np.uint64(0xFFFF_FFFF), counts
+
+
 def level(counts):
     return np.frexp(counts.astype(np.float64))[1].astype(np.uint8)
 
@@ -132,8 +165,8 @@ def slice_of(held, bits: int) -> np.ndarray:
 def buckets(df: DataFrame, text_col: str, order: int, bits: int, max_bytes: int, least: int) -> int:
     """As many buckets as the text needs. A text has at most (bytes + 2) / 2 tokens, and a level is at most its count."""
     seen = df.agg(F.sum(F.octet_length(text_col).cast("long")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    text, most = seen["b"] or 0, order * ((seen["b"] or 0) / 2 + seen["n"])
-    return max(least, math.ceil(text / BUCKET_BYTES), math.ceil(most * bits / 8 / max_bytes))
+    most = order * ((seen["b"] or 0) / 2 + seen["n"])
+    return max(least, math.ceil(most * bits / 8 / max_bytes))
 
 
 def score(
@@ -178,18 +211,19 @@ def score(
         (one, ones), (two, twos) = B.entry_index(words, to[0], n), B.entry_index(pairs, to[1], n)
         both = np.argsort(np.concatenate(to), kind="stable")
         used = np.flatnonzero(np.diff(ones + twos))
-        cols = ((words[one].astype("<u8"), 8 * ones), (B.low48(pairs[two]), 6 * twos), (np.concatenate([c, g])[both].astype("<u4"), 4 * (ones + twos)))
+        small, at = shrunk(pairs[two] >> np.uint64(32), twos[:-1])
+        cols = ((words[one].astype("<u8"), 8 * ones), (small, at[twos]), (np.concatenate([c, g])[both].astype("<u4"), 4 * (ones + twos)))
         return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *[B._packed(x.view(np.uint8).reshape(-1), bounds, used) for x, bounds in cols]], schema=B.ENTRY_ARROW)
 
     def tally(table):
         """For each row sent, in its order: counts (a) and levels (b) of the words, levels (c) of the longer n-grams; and a row with the bucket's part of N and V."""
         bucket = table.column(B.BUCKET)[0].as_py()
         (words, w), (grams, b), (raw, _) = (B.blob(table, k) for k in "abc")
-        w, b = w // 8, b // 6
+        w, (grams, b) = w // 8, grown(grams, b)
         counts = np.frombuffer(bytes(raw), "<u4")
         of_word = np.arange(len(counts)) - np.repeat(np.cumsum(w + b) - w - b, w + b) < np.repeat(w, w + b)
         words, c, word_of = _summed(np.frombuffer(bytes(words), "<u8"), counts[of_word])
-        grams, g, gram_of = _summed(B.from48(grams), counts[~of_word])
+        grams, g, gram_of = _summed(grams | GRAM, counts[~of_word])
         raw = slice_of([(_six(words[c > 0]), level(c[c > 0])), (grams[g > 0], level(g[g > 0]))], bits)
         filter_ = Filter(raw, 8 * len(raw), 1)
         probed = lambda keys: np.concatenate([filter_.levels(keys[i : i + PROBED]) for i in range(0, max(1, len(keys)), PROBED)])
@@ -280,7 +314,8 @@ ids AS (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents),
 crc AS (SELECT doc_id, s, 4294967295::BIGINT AS c, 1 AS i FROM ids
        UNION ALL SELECT doc_id, s, xor(c >> 8, l[(xor(c, ascii(s[i])::BIGINT) & 255) + 1]), i + 1 FROM crc, look WHERE i <= length(s)),
 held AS (SELECT doc_id, xor(c, 4294967295) % 10 = 0 AS held_out FROM crc WHERE i = length(s) + 1),
-d AS (SELECT doc_id, held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') || [' '] AS w FROM documents JOIN held USING (doc_id)),
+d AS (SELECT doc_id, held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') || [' '] AS w FROM documents JOIN held USING (doc_id)),
 t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
 c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
 a AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
