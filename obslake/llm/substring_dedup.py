@@ -8,14 +8,16 @@ Method.  D = {0, 1, 3, 9} is a difference cover modulo 13: for any two starts i
 and j there is a shift under 13 that brings both onto positions in D.  So two
 equal windows of 20 words share an anchor, the 8 words at an aligned cover
 position, and only anchors at cover positions are hashed and looked up (4 of 13
-positions).  A window is compared further only if an anchor inside it occurs
-twice; then the anchor's match is extended to the whole window, by a 96-bit hash
-of its 20 words, and the first occurrence keeps its words.
+positions), inside a block as between blocks.  Where an anchor occurs twice, its
+match is extended: the windows around it are compared as wholes, by two hashes of
+their 20 words (96 bits between blocks, 128 inside one), and the first occurrence
+keeps its words.  No other window is ever hashed.
 
 Edge cases: null or blank text has no words and stays as it is;
-documents shorter than a window are never cut; rows with one id are documents of
-their own, ordered by text; extra columns pass through; a result column replaces
-an input column of its name; an empty table gives an empty table.
+documents shorter than a window are never cut; very long texts are read whole, in a
+block of their own size; rows with one id are documents of their own, ordered by
+text; extra columns pass through; a result column replaces an input column of its
+name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def _anchors(words: Words, window: int):
     size = window - PERIOD + 1
     ok = (inside_document(words.offsets, size) & cover_positions(words.offsets))[: max(0, len(words) - size + 1)]
     at = np.flatnonzero(ok)
-    return at, window_hash(words.hashes, size)[at]
+    return at, window_hash(words.hashes, size, at=at)
 
 
 def _first_of(keys: np.ndarray):
@@ -62,6 +64,15 @@ def _first_of(keys: np.ndarray):
     return first, number, np.diff(np.concatenate([starts, [len(k)]]))
 
 
+def _windows(words: Words, at: np.ndarray, window: int):
+    """Two hashes of the windows at some positions, the number of each among the distinct ones, and the first of each of those."""
+    one, two = window_hash(words.hashes, window, at=at), window_hash(words.hashes, window, seed=77, at=at)
+    _, a, _ = _first_of(one)
+    _, b, _ = _first_of(two)
+    first, number, _ = _first_of(a * (len(at) + 1) + b)
+    return one, two, number, first
+
+
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, block_bytes: int | None = None, digest: bool = False) -> DataFrame:
     """df with text_col cut down to the kept words (joined by one space), n_words and n_removed; with digest, kept_sha256 in place of the text.
 
@@ -97,30 +108,29 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         return B.answers(bucket, block[hit], place[hit])
 
     def candidates(words, replies):
-        """Marks the windows that hold an anchor which occurs twice."""
+        """Positions of the windows that hold an anchor which occurs twice, in the block or (replies) in others."""
         at, keys = _anchors(words, window)
         first, number, counts = _first_of(keys)
-        unique = keys[first]
-        order, bounds = B.entry_index(unique, B.bucket_of(unique, n), n)
         known = counts > 1
-        known[B.answered(replies, order, bounds, {"a": np.uint32})[0]] = True
+        if replies is not None:
+            unique = keys[first]
+            order, bounds = B.entry_index(unique, B.bucket_of(unique, n), n)
+            known[B.answered(replies, order, bounds, {"a": np.uint32})[0]] = True
         marks = np.zeros(len(words) + PERIOD, np.int64)
         marks[at[known[number]]] = 1
         total = np.concatenate([[0], np.cumsum(marks)])
         i = np.arange(len(words))
-        return ((total[i + PERIOD] - total[i]) > 0) & inside_document(words.offsets, window)
+        return np.flatnonzero(((total[i + PERIOD] - total[i]) > 0) & inside_document(words.offsets, window))
 
     def send_windows(table, replies):
         if not len(table):
             return B.empty(B.ENTRY_ARROW)
         block = table.column(B.BLOCK)[0].as_py()
         words = words_of(table)[2]
-        at = np.flatnonzero(candidates(words, replies))
-        h = window_hash(words.hashes, window)[at]
-        first = np.sort(_first_of(h)[0])
-        at, h = at[first], h[first]
-        check = window_hash(words.hashes, window, seed=77)[at].astype("<u4")
-        return B.scatter(block, B.bucket_of(h, n), n, h.astype("<u8"), check, at.astype("<u4"))
+        at = candidates(words, replies)
+        h, check, _, first = _windows(words, at, window)
+        first = np.sort(first)
+        return B.scatter(block, B.bucket_of(h[first], n), n, h[first].astype("<u8"), check[first].astype("<u4"), at[first].astype("<u4"))
 
     def earlier(table):
         bucket = table.column(B.BUCKET)[0].as_py()
@@ -149,10 +159,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         if not len(table):
             return none_of(out)
         table, buf, words = words_of(table)
-        ok = inside_document(words.offsets, window)
-        h = window_hash(words.hashes, window)
-        at = np.flatnonzero(ok[: len(h)])
-        first, number, counts = _first_of(h[at])
+        at = candidates(words, None)
+        first = _windows(words, at, window)[3]
         gone = np.ones(len(at), bool)
         gone[first] = False
         starts = np.zeros(len(words), bool)

@@ -134,14 +134,16 @@ def span_hash(b, starts, ends, values=BYTE):
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def window_hash(hashes, n, seed=0):
-    """Hash of each n consecutive values; there are max(0, len-n+1)."""
+def window_hash(hashes, n, seed=0, at=None):
+    """Hash of each n consecutive values (there are max(0, len-n+1)), or of those that start `at` some positions."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     x = hashes if not seed else mix(hashes + np.uint64(seed))
     up, down = powers(_Q, len(x) + 1)
     total = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(x * up[:-1], out=total[1:])
+    if at is not None:
+        return mix((total[at + n] - total[at]) * down[at])
     return mix((total[n:] - total[:-n]) * down[: len(x) - n + 1])
 
 

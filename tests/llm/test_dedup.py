@@ -128,3 +128,61 @@ def test_maximal_repeats_cover_all_common_windows():
             for o in range(len(s) - size + 1):
                 holders = {k for k, x in enumerate(segs) if s[o : o + size] in x}
                 assert len(holders) == 1 or found.get((i, o)) == holders
+
+
+def test_only_windows_around_a_shared_anchor_are_hashed(spark, monkeypatch):
+    """Anchors are hashed at cover positions only, windows only where an anchor in them occurs twice."""
+    seen = []
+    plain = substring_dedup.window_hash
+    monkeypatch.setattr(substring_dedup, "window_hash", lambda h, n, seed=0, at=None: (seen.append((n, at)), plain(h, n, seed, at))[1])
+    text = " ".join(f"w{k}" for k in range(100)) + " end " + " ".join(f"w{k}" for k in range(40, 65))
+    buf = np.frombuffer(text.encode(), np.uint8)
+    words = substring_dedup.Words(buf, np.array([0, len(buf)]))
+    at, _ = substring_dedup._anchors(words, 20)
+    assert {int(k) % 13 for k in at} == {0, 1, 3, 9} and (seen[-1][1] == at).all()
+    frame = docs(spark, [(1, text)])
+    assert [(r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(frame).collect()] == [(126, 25)]
+    at = np.arange(40, 45)
+    assert (substring_dedup._windows(words, at, 20)[0] == plain(words.hashes, 20)[at]).all()
+
+
+def test_very_long_documents(spark):
+    r = random.Random(11)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[50_000:50_400])), (3, " ".join(base[:30] + ["x"] + base[70_000:70_100])), (4, None)]
+    got = substring_dedup.dedup(docs(spark, rows), digest=True, block_bytes=100_000)
+    assert collected(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == brute_windows(rows, 20)
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_minimizers_are_split(spark, hot):
+    """Minimizers of many segments are dealt out window by window, with the same result."""
+    rows = odd_rows(3, longest=60)
+    got = suffix_dedup.dedup(docs(spark, rows), digest=True, block_bytes=1500, hot=hot)
+    assert "lang" in got.columns and got.columns.count("n_words") == 1
+    assert collected(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == brute_bytes(rows, 50)
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeat_groups_have_all_occurrences(spark, hot):
+    r = random.Random(4)
+    page = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    shared = [page(130) for _ in range(3)]
+    rows = [(i, page(r.randint(0, 30)) + r.choice(shared) + page(20) + r.choice(shared)[r.randint(0, 60) :]) for i in range(12)]
+    rows += [(20, rows[0][1]), (21, rows[0][1]), (22, page(90)), (23, None)]
+    text = {i: (t or "").encode() for i, t in rows}
+    found = suffix_dedup.repeat_groups(docs(spark, rows), block_bytes=600, hot=hot).collect()
+    groups = {}
+    for g in found:
+        groups.setdefault(g["repeat"], set()).add((g["doc_id"], g["start"], text[g["doc_id"]][g["start"] : g["start"] + g["size"]]))
+    for members in groups.values():
+        (content,) = {c for _, _, c in members}
+        every = {(i, s) for i, t in text.items() for s in range(len(t) - len(content) + 1) if t[s : s + len(content)] == content}
+        assert {(i, s) for i, s, _ in members} == every and len({i for i, _ in every}) > 1
+    windows = {}
+    for i, t in text.items():
+        for s in range(len(t) - 49):
+            windows.setdefault(t[s : s + 50], set()).add((i, s))
+    covered = {(i, s + k) for members in groups.values() for i, s, c in members for k in range(len(c) - 49)}
+    assert covered == {p for w in windows.values() if len({i for i, _ in w}) > 1 for p in w}
+    assert suffix_dedup.repeat_groups(docs(spark, [])).count() == 0
