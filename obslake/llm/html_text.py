@@ -2,47 +2,51 @@
 
 Method.  A page is read tag by tag into leaf blocks: runs of text between
 block-level tags, with their open ancestors.  Each block has features of its
-ancestors (tags and class or id words of page furniture and of content), and of its
-text (length, share of link text, closing punctuation, copyright sign, place).  A
-linear-chain CRF over the blocks labels them content or not; Viterbi decodes.
+ancestors (tags and class or id words of page furniture and of content, forms that
+hold the lesser part of the page), and of its text (length, share of link text,
+closing punctuation, copyright sign, place).  A linear-chain CRF over the blocks
+labels them content or not; Viterbi decodes.
 
-The CRF is trained on labelled pages of the table itself: pages that mark their
-article (article, main, or a content class) label their blocks, content inside and
-not in furniture, the rest not.  About `pages` of them (lowest hashes of the page
-id; pages of at most `most_blocks` blocks) are used, a documented bound.  Weights
-start from, and are drawn to, a fixed prior, which alone decides where no page is
-labelled.
+The CRF is trained on hand-labelled pages (labelled_pages.py) whose labels are marks
+on the blocks: the flags of the markup are features only, and training finds what
+each is worth, from weights of 0.  Labelled pages of one's own can be added: rows with
+the wanted text in `label_col` (a block is content if it is a line of that text), at
+most about `pages` of them, chosen among the labelled rows by a hash of the id.
 
 The text: character references decoded, white space inside a block as one space,
-blocks trimmed and joined by a line break.  script, style, head, templates and
-comments of the markup are never text.
+blocks trimmed and joined by a line break.  script, style, head, template and iframe,
+what a textarea holds, and comments of the markup are never text.
 
 Edge cases: null or empty html gives "" and 0; unclosed and stray tags are
 tolerated; a page without content blocks gives ""; text outside all tags is a block;
-rows with one page id are each extracted; extra columns pass through; a result
-column replaces an input column of its name.
+very long pages are read whole, and time and memory grow with their length; ties of
+the two labels go to "not content"; rows with one page id, and repeated rows, are
+each extracted; an empty table gives an empty table; extra columns pass through; a
+result column replaces an input column of its name.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import extended, with_columns
+from .labelled_pages import MARK, pages as hand_labelled
 
 #: fixed values: HTML's block-level tags, raw-text tags, and void tags
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style noscript template iframe svg math head textarea title noembed object canvas audio video".split())
+RAW = frozenset("script style template iframe head textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "button"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div section article main body aside nav form".split())
 #: fixed values: tags and class or id words of page furniture and of content
-FURNITURE_TAGS = frozenset("nav header footer aside form menu button select dialog fieldset".split())
+FURNITURE_TAGS = frozenset("nav header footer aside menu button select dialog".split())
 FURNITURE = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar header masthead topbar footer foot bottom sidebar side aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login form search comment comments discussion respond reply replies disqus feedback social share sharing related recommended recommendations more trending popular tags breadcrumb breadcrumbs pagination pager copyright legal disclaimer toolbar tool meta".split())
 #: words that make a class name one of page layout ("has-sidebar"), whatever else it names
 LAYOUT = frozenset("has with no without layout page wrapper container grid row".split())
@@ -56,10 +60,7 @@ PART = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 END = re.compile(r"[.!?…:;\"”»)]$")
 
-NAMES = ("bias", "furniture_tag", "furniture_word", "content_tag", "content_word", "heading", "paragraph", "item", "links", "short", "long", "size", "ends", "copyright", "first", "last", "hidden")
-#: the prior: weight of each feature for content, and of staying in a state
-PRIOR = np.array([-1.0, -4, -4, 3, 2, 0.5, 1, -0.5, -3, -0.5, 1, 0.5, 0.5, -2, 0, -0.5, -6])
-STAY = 1.0
+NAMES = ("bias", "furniture_tag", "furniture_word", "content_tag", "content_word", "heading", "paragraph", "item", "links", "short", "long", "size", "ends", "copyright", "first", "last", "hidden", "form", "unmarked", "unmarked_size", "unmarked_ends", "unmarked_heading")
 
 
 def _evidence(tag, attrs):
@@ -85,8 +86,10 @@ def _evidence(tag, attrs):
 
 
 def blocks_of(page: str):
-    """[(text, characters of link text, block tag, evidence of the ancestors)] in page order."""
+    """[(text, characters of link text, block tag, evidence of the ancestors, nearest form)] in page order; forms count from 1."""
     out: list[tuple] = []
+    forms: list[int] = []  # forms that are open
+    forms_seen = 0
     stack: list[tuple[str, tuple]] = []  # block-level and link elements that are open, with the evidence down to them
     none = (False,) * 5
     parts: list[str] = []
@@ -100,7 +103,7 @@ def blocks_of(page: str):
             text = " ".join(entities.unescape(raw).split())
             if text:
                 tag, seen = stack[-1] if stack else ("", none)
-                out.append((text, min(linked, len(text)), tag, seen))
+                out.append((text, min(linked, len(text)), tag, seen, forms[-1] if forms else 0))
             parts, linked = [], 0
 
     def text(piece):
@@ -127,6 +130,8 @@ def blocks_of(page: str):
         if m[1]:
             if tag in BLOCKS:
                 flush()
+                if tag == "form" and forms:
+                    forms.pop()
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
@@ -159,6 +164,9 @@ def blocks_of(page: str):
                     break
                 if stack[k][0] in SCOPE:
                     break
+        if tag == "form":
+            forms_seen += 1
+            forms.append(forms_seen)
         own = _evidence(tag, m[3])
         stack.append((tag, tuple(a or b for a, b in zip(stack[-1][1] if stack else none, own))))
     flush()
@@ -167,19 +175,34 @@ def blocks_of(page: str):
 
 def features_of(blocks) -> np.ndarray:
     x = np.zeros((len(blocks), len(NAMES)), np.float32)
-    for i, (text, linked, tag, (ftag, fword, ctag, cword, hidden)) in enumerate(blocks):
+    held = np.bincount([b[4] for b in blocks], [len(b[0]) for b in blocks]) if blocks else np.zeros(1)
+    page = held.sum()
+    # a page that has no content tag or word anywhere is told by its text
+    marked = any((c or w) and not (f or g or h) for _, _, _, (f, g, c, w, h), _ in blocks)
+    for i, (text, linked, tag, (ftag, fword, ctag, cword, hidden), form) in enumerate(blocks):
         words, furniture = text.count(" ") + 1, ftag or fword
+        size, ends, heading = min(np.log1p(len(text)) / 6, 2), END.search(text) is not None, len(tag) == 2 and tag[0] == "h" and tag != "hr"
         x[i] = (
-            1, ftag, fword, ctag and not furniture, cword and not furniture, len(tag) == 2 and tag[0] == "h" and tag != "hr", tag in ("p", "blockquote", "pre"), tag in ("li", "dt", "dd", "td", "th"), linked / len(text), words < 5, words > 15,
-            min(np.log1p(len(text)) / 6, 2), END.search(text) is not None, "©" in text, i == 0, i == len(blocks) - 1, hidden,
+            1, ftag, fword, ctag and not furniture, cword and not furniture, heading, tag in ("p", "blockquote", "pre"), tag in ("li", "dt", "dd", "td", "th"), linked / len(text), words < 5, words > 15,
+            size, ends, "©" in text, i == 0, i == len(blocks) - 1, hidden, form > 0 and 2 * held[form] < page, not marked, 0 if marked else size, not marked and ends, not marked and heading,
         )
     return x
 
 
-def labels_of(blocks) -> np.ndarray | None:
-    """1 for blocks of the marked article; None for a page that marks none."""
-    inside = np.array([(c or w) and not (f or g or h) for _, _, _, (f, g, c, w, h) in blocks], bool)
-    return inside.astype(np.int64) if inside.any() else None
+def labels_of(blocks, wanted: str) -> np.ndarray:
+    """1 for blocks that are lines of the wanted text."""
+    lines = {" ".join(line.split()) for line in wanted.split("\n")}
+    return np.array([b[0] in lines for b in blocks], np.int64)
+
+
+def read_marked(page: str):
+    """(blocks, labels) of a page whose content blocks begin with MARK."""
+    blocks, labels = [], []
+    for text, linked, *rest in blocks_of(page):
+        labels.append(text.startswith(MARK))
+        text = text.removeprefix(MARK).strip()
+        blocks.append((text, min(linked, len(text)), *rest))
+    return blocks, np.array(labels, np.int64)
 
 
 def _padded(pages):
@@ -196,16 +219,25 @@ def _lse(x, axis):
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+@cache
+def _hand_trained():
+    blocks, labels = zip(*map(read_marked, hand_labelled()))
+    crf = Crf.fit([features_of(b) for b in blocks], labels)
+    return crf.weights, crf.moves
+
+
 class Crf:
-    """Weights of the features for content (state 1; state 0 has 0) and of the four transitions."""
+    """Weights of the features for content (state 1; state 0 has 0) and of the four transitions; by default those that the hand-labelled pages give."""
 
-    def __init__(self, weights=PRIOR, moves=((STAY, 0.0), (0.0, STAY))):
+    def __init__(self, weights=None, moves=None):
+        if weights is None:
+            weights, moves = _hand_trained()
         self.weights, self.moves = np.array(weights, float), np.array(moves, float)
 
     @classmethod
-    def fit(cls, pages, labels, steps: int = 150, rate: float = 0.1, pull: float = 0.02):
-        """Maximum likelihood with a quadratic pull to the prior; forward-backward over all pages at once."""
-        crf = cls()
+    def fit(cls, pages, labels, steps: int = 300, rate: float = 0.1, pull: float = 0.003):
+        """Maximum likelihood with a quadratic pull to 0; forward-backward over all pages at once."""
+        crf = cls(np.zeros(len(NAMES)), np.zeros((2, 2)))
         if not pages:
             return crf
         x, mask = _padded(pages)
@@ -218,7 +250,7 @@ class Crf:
         np.add.at(seen_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
         start, moved = crf.weights.copy(), crf.moves.copy()
         theta = np.concatenate([start, moved.ravel()])
-        prior, m, v = theta.copy(), np.zeros_like(theta), np.zeros_like(theta)
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
             w, t = theta[:-4], theta[-4:].reshape(2, 2)
             e = np.zeros((n, longest, 2))
@@ -232,7 +264,7 @@ class Crf:
             z = _lse(fwd[:, -1], 1)
             p = np.exp(fwd + bwd - z[:, None, None])[..., 1] * mask
             pair = np.exp(fwd[:, :-1, :, None] + t + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
-            grad = np.concatenate([np.einsum("nt,ntf->f", (y - p) * mask, x), (seen_moves - pair.sum(axis=(0, 1))).ravel()]) / mask.sum() - pull * (theta - prior) / 10
+            grad = np.concatenate([np.einsum("nt,ntf->f", (y - p) * mask, x), (seen_moves - pair.sum(axis=(0, 1))).ravel()]) / mask.sum() - pull * theta / 10
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return cls(theta[:-4], theta[-4:].reshape(2, 2))
@@ -261,23 +293,27 @@ class Crf:
         return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
 
 
-def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", pages: int = 400, most_blocks: int = 200) -> Crf:
-    n = df.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20))
-    rows = df.where(draw < F.lit((1 << 20) * min(1.0, pages / max(n, 1)))).select(F.col(id_col).cast("string").alias("i"), F.col(html_col).alias("h"))
+def fit(df: DataFrame | None = None, id_col: str = "page_id", html_col: str = "html", label_col: str | None = None, pages: int = 400) -> Crf:
+    """A CRF from the hand-labelled pages, and from about `pages` of the rows of df that have a text in label_col."""
+    if df is None or label_col is None:
+        return Crf()
+    rows = df.where(F.col(label_col).isNotNull() & F.col(html_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(html_col).alias("h"), F.col(label_col).alias("w"))
+    share = min(1.0, pages / max(rows.count(), 1))
+    rows = rows.where(F.pmod(F.xxhash64("i", "h"), F.lit(1 << 20)) < F.lit((1 << 20) * share))
 
     def featurize(batches):
         for batch in batches:
             got = []
-            for i, h in zip(batch.column("i").to_pylist(), batch.column("h").to_pylist()):
-                blocks = blocks_of(h or "")
-                y = labels_of(blocks) if blocks else None
-                if y is not None and len(blocks) <= most_blocks:
-                    got.append((i or "", features_of(blocks).astype("<f4").tobytes(), y.astype(np.uint8).tobytes()))
+            for i, h, w in zip(batch.column("i").to_pylist(), batch.column("h").to_pylist(), batch.column("w").to_pylist()):
+                blocks = blocks_of(h)
+                if blocks:
+                    got.append((i or "", features_of(blocks).astype("<f4").tobytes(), labels_of(blocks, w).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip("ixy", g)) for g in got], schema=pa.schema([("i", pa.string()), ("x", pa.binary()), ("y", pa.binary())]))
 
     got = sorted(rows.mapInArrow(featurize, "i string, x binary, y binary").collect(), key=lambda r: (r["i"], bytes(r["x"])))
-    return Crf.fit([np.frombuffer(r["x"], "<f4").reshape(-1, len(NAMES)) for r in got], [np.frombuffer(r["y"], np.uint8).astype(np.int64) for r in got])
+    ours = [read_marked(p) for p in hand_labelled()]
+    x = [features_of(b) for b, _ in ours] + [np.frombuffer(r["x"], "<f4").reshape(-1, len(NAMES)) for r in got]
+    return Crf.fit(x, [y for _, y in ours] + [np.frombuffer(r["y"], np.uint8).astype(np.int64) for r in got])
 
 
 def extract(df: DataFrame, model: Crf, html_col: str = "html", text_col: str = "text") -> DataFrame:

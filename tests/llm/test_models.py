@@ -79,6 +79,54 @@ def test_crf_learns_and_decodes():
     assert right > 0.93 > alone  # the chain corrects what single blocks get wrong
 
 
+def token_f1(got: str, want: str) -> float:
+    from collections import Counter
+
+    a, b = Counter(got.split()), Counter(want.split())
+    both = (a & b).total()
+    return 2 * both / (a.total() + b.total()) if a or b else 1.0
+
+
+def test_held_out_layouts():
+    """Token F1 on layouts that were not trained on: at least 0.9 on each, and 0.95 over all."""
+    from obslake.llm.labelled_pages import MARK, pages
+
+    from .held_out_pages import LAYOUTS
+
+    crf, scores = H.Crf(), {}
+    for k, layout in enumerate(LAYOUTS):
+        for page in pages((layout,), 8):
+            blocks, labels = H.read_marked(page)
+            want = "\n".join(b[0] for b, y in zip(blocks, labels) if y)
+            scores.setdefault(layout.__name__, []).append(token_f1(crf.text(page.replace(MARK, "")), want))
+    means = {k: sum(v) / len(v) for k, v in scores.items()}
+    assert min(means.values()) >= 0.9 and sum(means.values()) / len(means) >= 0.95, means
+
+
+def test_forms_math_and_long_pages():
+    crf = H.Crf()
+    story = "".join(f"<p>Paragraph number {k} of a story that is told at some length, with words and more words.</p>" for k in range(6))
+    formed = f"<body><form action=x.aspx><div class=content><h1>The title</h1>{story}</div></form></body>"
+    assert crf.text(formed).startswith("The title\nParagraph number 0") and crf.text(formed).count("\n") == 6
+    kept = crf.text(f"<article>{story}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> it is, <noscript>always</noscript> and <object>ever</object>.</p></article>")
+    assert kept.endswith("So x=1 it is, always and ever.")
+    assert crf.text(f"<article>{story * 2000}</article>").count("\n") == 6 * 2000 - 1
+
+
+def test_training_takes_labelled_rows(spark):
+    """Pages whose story goes on in boxes of a class that reads like furniture: the labels teach it."""
+    story = [f"Sentence {k} of the notice board, which is long enough to be read." for k in range(5)]
+    made = lambda k: "<body><nav><a href=x>One</a></nav><article><p>The lead.</p></article><div class=widget>" + "".join(f"<p>{x}{k}</p>" for x in story) + "</div></body>"
+    want = lambda k: "\n".join(["The lead.", *(f"{x}{k}" for x in story)])
+    rows = [(k, made(k), want(k)) for k in range(400)] + [(None, None, "x"), (7, "<p>a", None), (8, "", "")]
+    frame = spark.createDataFrame(rows, "page_id long, html string, wanted string")
+    plain, taught = H.Crf(), H.fit(frame, label_col="wanted", pages=1000)
+    at = H.NAMES.index("furniture_word")
+    assert plain.text(made("")) == "The lead." and taught.weights[at] > plain.weights[at] + 1
+    blocks = H.blocks_of(made(""))
+    assert H.labels_of(blocks, want("")).tolist() == [0, 1, 1, 1, 1, 1, 1]
+
+
 def test_extraction_of_a_table(spark):
     rows = [(1, "u", PAGE, 9), (2, "u", None, 9), (2, "u", "<p>", 9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
