@@ -1,17 +1,19 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Words are runs without ASCII white space.  A rule rejects a document; the base
-rules come first, the others in an order found on a sample: each rule's cost (time
-to evaluate it over the sample, less that of a scan) and selectivity (share it
-rejects) give its rejections per cost, and the cascade tries the highest first.
-The rules are nested in one CASE, so a document that a rule rejects does not
-evaluate those after it.  The order changes the cost and which rule is named
-first, never the verdict.
+rules come first, the others in an order found on a sample of the whole table: each
+rule's cost (time to evaluate it, with all that only it needs, over the sample's
+documents that pass the base rules, less that of a scan) and selectivity (share it
+rejects of them) give its rejections per cost, and the cascade tries the highest first.
+The rules are nested in one CASE, and what a rule measures stands inside its own
+branch: a document that a rule rejects computes nothing for those after it.  The
+order changes the cost and which rule is named first, never the verdict.
 
 Edge cases: null or blank text has no words, all measures 0, and fails the base
-rules; ties in rejections per cost keep the rules' given order; extra columns pass
-through; a result column replaces an input column of its name; an empty sample
-keeps the given order.
+rules; ties in rejections per cost keep the rules' given order; very long texts are
+measured whole; repeated rows are each judged, alike; extra columns pass through; a
+result column replaces an input column of its name; an empty sample keeps the given
+order; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,12 +25,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: what is kept between the steps, under names of our own
-T_, W_, N_, C_, S_, L_, D_, R_ = "__ob_text", "__ob_words", "__ob_n", "__ob_chars", "__ob_signs", "__ob_lines", "__ob_dups", "__ob_repeats"
+T_, W_, N_, C_, S_, L_, D_, R_, LS_ = "__ob_text", "__ob_words", "__ob_n", "__ob_chars", "__ob_signs", "__ob_lines", "__ob_dups", "__ob_repeats", "__ob_ls"
+
+
+#: fixed values: frequent function words of English, German, French and Spanish
+STOP_WORDS = (
+    "the of and to in is that it for was with as on be at by "
+    "der die das und ist nicht ein zu den von mit im "
+    "le la les de des et en un une est que pour "
+    "el los las y por con una no es"
+).split()
+BULLET = r"^[\x20\x09-\x0D]*[-*•‣◦·]"
+ELLIPSIS = r"(\.\.\.|…)[\x20\x09-\x0D]*\z"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: a condition over the measures (n_words, word_chars, n_symbols, n_dup_lines, n_lines) and the text."""
+    """rejects: a condition over the base measures (n_words, word_chars, n_symbols, n_dup_lines, n_lines), the text, its words and its lines."""
 
     name: str
     rejects: Column
@@ -46,6 +59,40 @@ def default_rules() -> list[Rule]:
     ]
 
 
+def entropy(text: Column) -> Column:
+    """Bits a character, from the runs of the sorted characters."""
+    kinds = F.array_join(F.sort_array(F.split(text, "")), "")
+    shares = F.transform(F.regexp_extract_all(kinds, F.lit(r"(?s)(.)\1*+"), F.lit(0)), lambda run: F.char_length(run) / F.char_length(text))
+    return F.aggregate(shares, F.lit(0.0), lambda bits, share: bits - share * F.log2(share))
+
+
+def top_pair(words: Column, n: Column) -> Column:
+    """How often the most frequent pair of neighbouring words occurs."""
+    at = lambda i: F.element_at(words, i.cast("int"))
+    pairs = F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.xxhash64(at(i), F.coalesce(F.get(words, i.cast("int")), F.lit("")))))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state, x):
+        run = F.when(state["last"] == x, state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(run, state["best"]).alias("best"))
+
+    return F.when(n > 1, F.aggregate(pairs, start, step, lambda state: state["best"])).otherwise(F.lit(0))
+
+
+def costly_rules() -> list[Rule]:
+    """Rules that measure something of their own: hardly any function words, few kinds of characters, one pair of words again and again, lists of bullets, lines that trail off."""
+    n, lines = F.col(N_), F.col(L_)
+    those = lambda pattern: F.size(F.filter(F.col(LS_), lambda x: x.rlike(pattern)))
+    stops = F.size(F.filter(F.col(W_), lambda w: F.lower(w).isin(STOP_WORDS)))
+    return [
+        Rule("stop_words", (n >= 50) & (100 * stops < 2 * n)),
+        Rule("entropy", entropy(F.col(T_)) < 2.0),
+        Rule("top_pair", 10 * top_pair(F.col(W_), n) > n),
+        Rule("bullets", (lines >= 3) & (10 * those(BULLET) > 9 * lines)),
+        Rule("ellipsis", (lines >= 3) & (10 * those(ELLIPSIS) > 3 * lines)),
+    ]
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
@@ -63,11 +110,11 @@ def measured(df: DataFrame, text_col: str) -> DataFrame:
     out = df.withColumn(T_, text).withColumn(W_, _words(F.col(T_)))
     out = out.withColumn(N_, F.size(W_).cast("long"))
     lines = F.filter(F.split(F.col(T_), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("__ob_ls", lines)
+    out = out.withColumn(LS_, lines)
     out = out.withColumns({
         C_: (F.char_length(T_) - F.char_length(F.regexp_replace(T_, r"[^\x20\x09-\x0D]+", ""))).cast("long"),
         S_: F.char_length(F.regexp_replace(T_, r"[^#*$%&|<>]+", "")).cast("long"),
-        L_: F.size("__ob_ls").cast("long"), D_: (F.size("__ob_ls") - F.size(F.array_distinct("__ob_ls"))).cast("long"),
+        L_: F.size(LS_).cast("long"), D_: (F.size(LS_) - F.size(F.array_distinct(LS_))).cast("long"),
     })
     return out
 
@@ -85,9 +132,15 @@ def with_repeats(df: DataFrame) -> DataFrame:
     return out.withColumn(R_, covered.cast("long"))
 
 
-def order_rules(df: DataFrame, rules: list[Rule], text_col: str = "text", sample: float = 0.01, rows: int = 2_000) -> list[Rule]:
-    """The rules by rejections per cost over about `rows` sampled rows (all rows have the same chance)."""
-    drawn = measured(df.sample(sample, seed=11).limit(rows).select(text_col), text_col).cache()
+def _base(min_words: int, max_repeated: int) -> Column:
+    return (F.col(N_) < min_words) | (100 * F.col(R_) > max_repeated * F.col(N_))
+
+
+def order_rules(df: DataFrame, rules: list[Rule], text_col: str = "text", rows: int = 2_000, min_words: int = 10, max_repeated: int = 20) -> list[Rule]:
+    """The rules by rejections per cost over about `rows` rows, drawn from the whole table: each row has the same chance."""
+    every = df.count()
+    cached = with_repeats(measured(df.sample(min(1.0, rows / max(every, 1)), seed=11).select(text_col), text_col)).cache()
+    drawn = cached.where(~_base(min_words, max_repeated))  # over the cached columns, which it would else repeat
     try:
         n = drawn.count()
         if not n:
@@ -98,26 +151,29 @@ def order_rules(df: DataFrame, rules: list[Rule], text_col: str = "text", sample
             got = drawn.agg(F.count(F.when(condition, 1))).first()[0]
             return got, time.perf_counter() - began
 
-        run(F.lit(False))
-        scan = min(run(F.lit(False))[1] for _ in range(2))
+        def timed(condition):  # the first run compiles, the second counts
+            got = [run(condition) for _ in range(2)]
+            return got[1]
+
+        scan = timed(F.lit(False))[1]
         gain = {}
         for rule in rules:
-            rejected, took = run(rule.rejects)
+            rejected, took = timed(rule.rejects)
             gain[rule.name] = rejected / n / max(took - scan, 1e-3)
         return sorted(rules, key=lambda r: -gain[r.name])
     finally:
-        drawn.unpersist()
+        cached.unpersist()
 
 
 def apply_rules(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", ordered: bool = False, min_words: int = 10, max_repeated: int = 20) -> DataFrame:
     """df with the measures, base_failed, kept, and failed_rule (null where kept)."""
     rules = default_rules() if rules is None else rules
     if not ordered:
-        rules = order_rules(df, rules, text_col)
+        rules = order_rules(df, rules, text_col, min_words=min_words, max_repeated=max_repeated)
     results = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule"}
     mine = [c for c in df.columns if c not in results]
     out = with_repeats(measured(df, text_col))
-    base = (F.col(N_) < min_words) | (100 * F.col(R_) > max_repeated * F.col(N_))
+    base = _base(min_words, max_repeated)
     cascade = F.when(base, "base")
     for rule in rules:
         cascade = cascade.when(rule.rejects, rule.name)
@@ -131,20 +187,29 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return apply_rules(docs, [*default_rules(), *costly_rules()]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-ORACLE = r"""
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+ORACLE = (
+    r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+x AS (SELECT * FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup, count(*) FILTER (regexp_matches(x, '@BULLET')) AS n_bullets, count(*) FILTER (regexp_matches(x, '@ELLIPSIS')) AS n_ellipses FROM x GROUP BY doc_id),
 p AS (SELECT doc_id, s, array_to_string(w[s:s+4], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS s FROM d WHERE len(w) >= 5)),
 q AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, win) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT i) AS n_rep FROM (SELECT doc_id, unnest(generate_series(s, s + 4)) AS i FROM q WHERE c > 1) GROUP BY doc_id),
+g AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, pair, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM d WHERE len(w) > 1) GROUP BY doc_id, pair) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(t, '(?s).')) AS ch FROM d) GROUP BY doc_id, ch),
+e AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS bits FROM (SELECT doc_id, c::DOUBLE AS c, sum(c) OVER (PARTITION BY doc_id) AS n FROM k) GROUP BY doc_id),
 m AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-             coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words
-      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+             coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses, coalesce(n_rep, 0)::BIGINT AS n_repeat_words,
+             len(list_filter(w, lambda x: lower(x) IN (@STOPS))) AS n_stops, coalesce(top, 0) AS top, coalesce(bits, 0) AS bits
+      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN e USING (doc_id)),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words OR n_symbols > n_words OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) OR NOT regexp_matches(t, '\p{L}')) AS kept
+       NOT (base_failed OR 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words OR n_symbols > n_words OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) OR NOT regexp_matches(t, '\p{L}')
+            OR (n_words >= 50 AND 100 * n_stops < 2 * n_words) OR bits < 2 OR 10 * top > n_words OR (n_lines >= 3 AND 10 * n_bullets > 9 * n_lines) OR (n_lines >= 3 AND 10 * n_ellipses > 3 * n_lines)) AS kept
 FROM b
 """
+).replace("@STOPS", _STOPS).replace("@BULLET", BULLET).replace("@ELLIPSIS", ELLIPSIS)

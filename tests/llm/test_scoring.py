@@ -207,3 +207,58 @@ def test_trigram_score_matches_brute_force(spark, copies):
     got = sorted((least(r["doc_id"]), r["score"], r["lang"], r["n_words"]) for r in got)
     assert [(i, *x) for i, _, *x in got] == [(i, "en", -1) for i, _ in want]
     assert [s for _, s, *_ in got] == pytest.approx([s for _, s in want])
+
+
+def brute_costly(rows):
+    out = []
+    for (i, t), (*_, kept) in zip(sorted(rows, key=lambda r: (key(r[0]), r[1] or "")), brute_rules_by_row(rows)):
+        t, w = t or "", words(t)
+        lines = [x for x in t.split("\n") if words(x)]
+        pairs, chars = Counter(zip(w, w[1:])), Counter(t)
+        bits = -sum(c / len(t) * math.log2(c / len(t)) for c in chars.values())
+        bad = (len(w) >= 50 and 100 * sum(x.lower() in Q.STOP_WORDS for x in w) < 2 * len(w)) or bits < 2 or 10 * max(pairs.values(), default=0) > len(w)
+        if len(lines) >= 3:
+            bad |= 10 * sum(bool(re.match("[\x20\x09-\x0d]*[-*•‣◦·]", x)) for x in lines) > 9 * len(lines) or 10 * sum(bool(re.search("(\\.\\.\\.|…)[\x20\x09-\x0d]*\\Z", x)) for x in lines) > 3 * len(lines)
+        out.append((key(i), kept and not bad))
+    return sorted(out)
+
+
+def brute_rules_by_row(rows):
+    return [brute_rules([r])[0] for r in sorted(rows, key=lambda r: (key(r[0]), r[1] or ""))]
+
+
+def test_costly_rules_match_brute_force(spark):
+    r, pool = __import__("random").Random(5), [f"w{k}é" for k in range(90)]
+    prose = lambda n, stop: " ".join(r.choice(Q.STOP_WORDS) if r.random() < stop else r.choice(pool) for _ in range(n))
+    rows = odd_rows(8, n=40, alphabet=tuple(pool)) + [(300 + k, prose(80, k / 40)) for k in range(12)]
+    rows += [(400, "\n".join("- " + prose(6, 0.2) for _ in range(9))), (401, "\n".join(prose(6, 0.2) + "... " for _ in range(9))), (402, "\n".join(("• " if k else "") + prose(9, 0.3) for k in range(9)))]
+    rows += [(403, " ".join(("a b" if k % 3 else prose(2, 0.5)) for k in range(30))), (404, "aab " * 3 + "abba baba bbba aabb abab bbab baab aaab"), (405, prose(8000, 0.3))]
+    got = Q.apply_rules(docs(spark, rows), [*Q.default_rules(), *Q.costly_rules()], ordered=True).select("doc_id", "kept").collect()
+    assert sorted((key(x["doc_id"]), x["kept"]) for x in got) == brute_costly(rows)
+
+
+def test_rejected_rows_skip_the_rules_after(spark):
+    """A rule that fails the job where it is evaluated: no row that the base rules or an earlier rule rejects reaches it."""
+    from pyspark.sql import functions as F
+
+    good = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, good), (2, "too short"), (3, "ab cd " * 30), (4, " ".join("x" * 60 + str(k) for k in range(20))), (5, None)]
+    trap = lambda ids: Q.Rule("trap", F.when(F.col("doc_id").isin(ids), F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(False))
+    rules = [Q.Rule("long_words", F.col(Q.C_) > 25 * F.col(Q.N_)), trap([2, 3, 4, 5])]
+    got = {r["doc_id"]: (r["failed_rule"], r["kept"]) for r in Q.apply_rules(docs(spark, rows), rules, ordered=True).collect()}
+    assert got == {1: (None, True), 2: ("base", False), 3: ("base", False), 4: ("long_words", False), 5: ("base", False)}
+    with pytest.raises(Exception, match="evaluated"):
+        Q.apply_rules(docs(spark, rows), rules[::-1], ordered=True).collect()
+
+
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, " ".join(f"word{k}x{j}" for j in range(40))) for k in range(60)]
+    dear = Q.Rule("dear", Q.entropy(F.repeat(F.col(Q.T_), F.lit(200))) < 0)
+    cheap = Q.Rule("cheap", F.col(Q.T_).contains("word1x"))
+    never = Q.Rule("never", F.lit(False))
+    assert [r.name for r in Q.order_rules(docs(spark, rows), [dear, never, cheap])][0] == "cheap"
+    assert Q.order_rules(docs(spark, []), [dear, cheap]) == [dear, cheap]
+    plan = Q.apply_rules(docs(spark, rows), [*Q.default_rules(), *Q.costly_rules()], ordered=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
