@@ -7,11 +7,15 @@ connected components of the links.
 
 Method.
 1. Documents with equal sets are one class; only its least id goes on.
-2. One global order of shingles: a fixed share of the hash space comes first, rare
-   ones before common ones (their frequencies are counted over all documents by a
-   packed exchange), the rest after them.  In that order a set can be linked only
-   to sets that share one of its first n - ceil(percent n / 100) + 1 shingles.  A
-   set whose first shingles are all its own has no links and is done.
+2. Two global orders of shingles, rare ones before common ones; their frequencies
+   are counted over all documents by a packed exchange.  In an order a set can be
+   linked only to sets that share one of its first n - ceil(percent n / 100) + 1
+   shingles.  Sets of up to SHORT shingles, and those that can be linked to them,
+   count all their shingles.  Longer sets count a fixed share of the hash space, which
+   comes first; the rest after it (a set of over SHORT has enough in the counted part
+   but for chance).  Sets between the two stand in both orders.  So no short text
+   meets others at a common shingle as long as it has a rarer one.  A set whose first
+   shingles are all its own has no links and is done.
 3. Sets that share such a shingle meet at the least id among its holders.  A
    meeting of more than `chunk` sets is dealt into chunks, each with the hub.
 4. In a chunk the sets stand in a compressed trie in hash order.  Every set is run
@@ -25,10 +29,14 @@ Method.
    group is gathered in one task.
 6. Components of the links, by alternating stars over the edge table.
 
+Shingles are compared by 48 bits of their hashes, sets found equal by two 64-bit sums
+of the hashes and the size.
+
 Edge cases: null or blank text has the empty set; a null id stands for the least
-id; rows with one id are one node of the graph (each row keeps its n_shingles);
-extra columns pass through; a result column replaces an input column of its name;
-an empty table gives an empty table.
+id; rows with one id are one node of the graph (each row keeps its n_shingles), so
+repeated rows are too; ties for the least id cannot be; very long texts are read
+whole; columns other than the id and the text take no part and aren't returned,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,7 +51,8 @@ from .common import checkpointed, release
 from .components import components
 from .text import BYTE_LOWER, WORD, Words, column_bytes, mix, window_hash
 
-SAMPLED = 0.3
+SAMPLED, SHORT = 0.3, 128
+SALT = np.uint64(0x8CB92BA72F3D8DD7)
 LEAST_ID = -(1 << 63)
 
 
@@ -225,15 +234,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     edge = np.uint64(int(SAMPLED * 2**64))
 
-    def sampled(sets):
-        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        keys, counts = np.unique(every[every < edge], return_counts=True)
-        return keys, counts
+    def orders(s):
+        """(keys in order, how many of the first are counted) of a set in each order that it stands in."""
+        if percent * len(s) <= 100 * SHORT:
+            mine = np.sort(mix(s ^ SALT))
+            yield mine, len(mine)
+        if len(s) > SHORT:
+            yield s, int(np.searchsorted(s, edge))
+
+    def counted(sets):
+        every = [keys[:k] for s in sets for keys, k in orders(s)]
+        return np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
 
     def send(table, told):
         if not len(table):
             return B.empty(B.ENTRY_ARROW)
-        keys, counts = sampled(unique_sets(table, told)[0])
+        keys, counts = counted(unique_sets(table, told)[0])
         return B.scatter(table.column(B.BLOCK)[0].as_py(), B.bucket_of(keys, n), n, B.low48(keys), np.minimum(counts, 65535).astype("<u2")).cast(B.ENTRY_ARROW)
 
     def frequent(table):
@@ -258,22 +274,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not len(table):
             return FOUND.empty_table()
         sets, ids = unique_sets(table, told)
-        keys, _ = sampled(sets)
+        keys, _ = counted(sets)
         order, bounds = B.entry_index(keys, B.bucket_of(keys, n), n)
         at, total = B.answered(told.filter(pc.greater_equal(told.column("bucket"), 0)), order, bounds, {"a": np.uint32, "b": np.uint32})
         times = np.ones(len(keys), np.int64)
         times[at] = total
         got = []
         for i, s in zip(ids.tolist(), sets):
-            size, spare = len(s), len(s) - needed(len(s), percent)
-            k = int(np.searchsorted(s, edge))
-            often = times[np.searchsorted(keys, s[:k])]
-            if int(np.count_nonzero(often == 1)) > spare:
-                continue  # more shingles of its own than a link allows
-            rank = np.argsort(often, kind="stable")[: spare + 1]
-            first = s[:k][rank[often[rank] > 1]]
-            if k < spare + 1:
-                first = np.concatenate([first, s[k : spare + 1]])
+            spare, first = len(s) - needed(len(s), percent), []
+            for mine, k in orders(s):
+                often = times[np.searchsorted(keys, mine[:k])]
+                if int(np.count_nonzero(often == 1)) > spare:
+                    continue  # more shingles of its own than a link allows
+                rank = np.argsort(often, kind="stable")[: spare + 1]
+                first.append(mine[:k][rank[often[rank] > 1]])
+                if k < spare + 1:
+                    first.append(mine[k : spare + 1])
+            first = np.concatenate(first) if first else np.zeros(0, np.uint64)
             if len(first):
                 got.append({"id": i, "first": (first >> np.uint64(16)).astype(np.int64), "set": B.low48(s).tobytes()})
         return pa.Table.from_pylist(got, schema=FOUND)

@@ -8,14 +8,17 @@ language is fitted on targets +1 and -1.  All of it folds into one matrix, so a
 batch is scored by two matrix products.
 
 The fit uses about `per_language` labelled texts of each language (texts with the
-lowest hashes of their ids, a documented bound; whole texts), and only rows whose
+lowest hashes of their ids, a documented bound; whole texts) and at most
+`most_languages` of them (more are an error), and only rows whose
 crc32 of the id (as text) modulo `folds` isn't 0.  Prediction reads the text only.
 
 Edge cases: null text, text without a letter, or nothing to learn from gives `und`
 with score 0; a null id counts as the text "" (crc32 0: held out); rows with null
 lang are not learned from; with one language, that is predicted; ties go to the
 language that sorts first; extra columns pass through; a result column replaces an
-input column of its name.
+input column of its name; very long texts are read whole (of `dims` places, 20,000
+words fill about a sixth); equal texts, and so repeated rows, are predicted alike; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -106,10 +109,12 @@ def held_out(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 5, per_language: int = 400, landmarks: int = 256, ridge: float = 0.1, dims: int = 8192) -> Classifier | None:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 5, per_language: int = 400, landmarks: int = 256, ridge: float = 0.1, dims: int = 1 << 15, most_languages: int = 500) -> Classifier | None:
     """A classifier from about per_language texts of each language; None without any."""
     rows = df.where(~held_out(id_col, folds) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
+    sizes = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return None
     share = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, per_language / n)])

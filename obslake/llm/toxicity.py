@@ -15,7 +15,9 @@ Edge cases: null or blank text has all features 0 and gets the score those give;
 null labels are not learned from; a document with several label rows counts as
 toxic if one says so; without both classes the score is the share of toxic rows
 (0 without rows); a null id counts as the text "" (held out); extra columns pass
-through; a result column replaces an input column of its name.
+through; a result column replaces an input column of its name; very long texts are
+scored whole; equal texts, and so repeated rows, have equal scores; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -170,7 +172,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     draw = F.pmod(F.xxhash64(F.col("__ob_id").cast("string")), F.lit(1_000_003)) / 1_000_003
     chosen = known.withColumn("__ob_draw", draw).where(F.col("__ob_draw") < rows / max(n, 1)).withColumn("__ob_part", F.pmod(F.xxhash64(F.col("__ob_id").cast("string"), F.lit(1)), F.lit(6)))
     texts = df.select(F.col(id_col).alias("__ob_id"), F.col(text_col).alias("__ob_text"))
-    sample = checkpointed(texts.join(F.broadcast(chosen.drop("__ob_draw")), "__ob_id").coalesce(8))  # about `rows` rows
+    sample = checkpointed(texts.join(F.broadcast(chosen.drop("__ob_draw")), "__ob_id").repartition(8, "__ob_id"))  # about `rows` rows
     share = sample.agg(F.avg("__ob_toxic").alias("s")).first()["s"] or 0.0
     if not 0 < share < 1:
         return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), None, None, float(share))
