@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: fixed values: retention days of each record type
 RETENTION_DAYS = {"event": 30, "metric": 90, "run": 180, "span": 14, "alert": 365, "notification_intent": 365, "incident": 365, "feedback_item": 365, "feedback_transition": 365, "audit": 730}
@@ -67,3 +67,14 @@ def parse_position(text: Column) -> Column:
     """The position of a text, null where it isn't one or an offset is negative."""
     p = F.from_json(text, POSITION)
     return F.when((p["offset"] >= 0) & p["prefix_sha256"].rlike("^[0-9a-f]{64}$") & p["source"].isNotNull(), p)
+
+
+#: rows that a table of configuration may have; it is sent to all tasks only after it was counted
+CONFIGURED = 100_000
+
+
+def configuration(df: DataFrame, most: int = CONFIGURED) -> DataFrame:
+    """df, to be sent to all tasks: a table of at most `most` rows, an error beyond that."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table of configuration has at most {most} rows")
+    return F.broadcast(df)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.identity import alert_key, intent_id, transition_id
+from ..functions.values import configuration
 
 KEY = ("rule_id", "rule_version", "target")
 EMITTED = "rule_id string, rule_version int, target string, sampled_at timestamp, record_id string, previous_state string, state string, revision bigint"
@@ -22,7 +23,7 @@ SUMMARIES = {"firing": "Alert is firing", "resolved": "Alert is resolved"}
 
 def sampled(rules: DataFrame, records: DataFrame) -> DataFrame:
     """Samples of each rule's collector; a rule without samples has no rows. rules is configuration: a small table."""
-    return records.join(F.broadcast(rules), "collector")
+    return records.join(configuration(rules), "collector")
 
 
 def with_streaks(samples: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def alert_records(changes: DataFrame, collector: Column | None = None) -> DataFr
 def intents(alerts: DataFrame, channels: DataFrame) -> DataFrame:
     """One intent for each alert and each enabled channel that allows its class. channels is configuration: a small table."""
     on = F.col("enabled") & F.array_contains("allowed_classifications", F.col("privacy_class"))
-    return alerts.join(F.broadcast(channels), on).select(intent_id(F.col("transition_id"), F.col("channel_id")).alias("intent_id"), "alert_key", "transition_id", "channel_id", "severity", "summary", "evidence_ids")
+    return alerts.join(configuration(channels), on).select(intent_id(F.col("transition_id"), F.col("channel_id")).alias("intent_id"), "alert_key", "transition_id", "channel_id", "severity", "summary", "evidence_ids")
 
 
 def evidence(alerts: DataFrame, records: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ field says so itself.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import is_canonical_time
+from ..functions.values import configuration, is_canonical_time
 
 MACHINE_ID = r"^[a-z][a-z0-9_-]{0,63}$"
 MACHINE_NAME = r"^(?=.{1,128}$)[a-z][a-z0-9]*(?:[._-][a-z0-9]+)*$"
@@ -20,10 +22,15 @@ REDACTION_VERSION = r"^r[1-9][0-9]*-e[1-9][0-9]*$"
 SEVERITIES = ("debug", "info", "warning", "error", "critical")
 TRUST_LEVELS = ("untrusted", "authenticated", "verified")
 PRIVACY_CLASSES = ("public", "internal", "sensitive", "restricted")
-STATUSES = ("success", "failure", "partial", "cancelled")
+RUN_STATUSES = ("success", "failure", "cancelled", "timeout", "partial")
+SPAN_STATUSES = ("ok", "error", "cancelled")
+METRIC_SEMANTICS = ("gauge", "counter_delta", "window_total", "cumulative_counter")
+CHANNEL_TYPES = ("telegram", "github_issues")
+SIGNAL_CLASSES = ("canary", "error", "deploy", "workflow", "metric", "agent_summary", "validation")
 ALERT_EDGES = (("inactive", "firing"), ("firing", "resolved"), ("resolved", "firing"))
 INCIDENT_EDGES = ((None, "opened", "open"), ("open", "mitigated", "mitigated"), ("mitigated", "resolved", "resolved"), ("mitigated", "reopened", "open"), ("resolved", "reopened", "open"))
 FEEDBACK_EDGES = (("open", "accepted"), ("open", "rejected"), ("accepted", "open"), ("accepted", "shipped"), ("accepted", "rejected"), ("shipped", "verified"), ("shipped", "regressed"), ("regressed", "accepted"), ("regressed", "rejected"), ("rejected", "open"), ("verified", "regressed"))
+RECORD_BYTES, FREE_TEXT_BYTES, TITLE_BYTES = 262_144, 10_240, 255
 PREDICATES = ("state_equals", "no_recurrence", "count_at_most", "ratio_at_least", "latency_at_most", "validation_passed")
 
 
@@ -79,18 +86,19 @@ def bounded_counts(c: Column) -> Column:
 
 def envelope_rules() -> dict[str, Column]:
     col, target = F.col, F.col("target")
-    collector = (col("source")["producer"] == "collector")
+    made_by, run = col("collector"), col("collector_run_id")
+    provenance = F.when(col("source")["producer"] == "collector", made_by.isNotNull() & run.isNotNull()).otherwise(made_by.isNull() & run.isNull())
     return {
-        "OL_TYPE": col("record_type") == col("data")["type"], "OL_TARGET_SCOPE": (col("scope") == "target") == target.isNotNull(), "OL_PROVENANCE": collector == (col("collector").isNotNull() & col("collector_run_id").isNotNull()),
+        "OL_TYPE": col("record_type") == col("data")["type"], "OL_TARGET_SCOPE": (col("scope") == "target") == target.isNotNull(), "OL_PROVENANCE": provenance,
         "OL_RESTRICTED": col("privacy_class") != "restricted", "OL_INGESTED_ORDER": col("ingested_at") >= col("observed_at"), "OL_EXPIRY_ORDER": col("expires_at") > col("ingested_at"),
         "OL_TIME_PRECISION": is_canonical_time(col("occurred_at")) & is_canonical_time(col("observed_at")) & is_canonical_time(col("ingested_at")), "OL_SEVERITY": col("severity").isin(*SEVERITIES), "OL_TRUST": col("trust_level").isin(*TRUST_LEVELS),
-        "OL_PRIVACY_CLASS": col("privacy_class").isin(*PRIVACY_CLASSES), "OL_NAME": col("name").rlike(MACHINE_NAME), "OL_REDACTION_VERSION": col("redaction_version").rlike(REDACTION_VERSION), "OL_RECORD_BYTES": F.octet_length(F.to_json("data")) <= 262_144,
+        "OL_PRIVACY_CLASS": col("privacy_class").isin(*PRIVACY_CLASSES), "OL_NAME": col("name").rlike(MACHINE_NAME), "OL_REDACTION_VERSION": col("redaction_version").rlike(REDACTION_VERSION), "OL_RECORD_BYTES": F.octet_length(F.to_json(F.struct("*"))) <= RECORD_BYTES,
     }
 
 
-def payload_coupling(severity: Column, payload_severity: Column, target: Column, payload_target: Column, occurred_at: Column, payload_time: Column) -> dict[str, Column]:
-    """Envelope and payload of a feedback item agree."""
-    return {"OL_SEVERITY_MATCH": severity == payload_severity, "OL_TARGET_MATCH": target == payload_target, "OL_TIME_MATCH": occurred_at == payload_time}
+def payload_coupling(**pairs: tuple[Column, Column]) -> dict[str, Column]:
+    """Envelope and payload agree: (envelope, payload) of severity (alerts, intents, incidents, feedback items), target, trust, privacy and time (feedback)."""
+    return {f"OL_{name.upper()}_MATCH": ours == theirs for name, (ours, theirs) in pairs.items()}
 
 
 def event_rules(category: Column, status: Column, message: Column) -> dict[str, Column]:
@@ -99,15 +107,15 @@ def event_rules(category: Column, status: Column, message: Column) -> dict[str,
 
 def metric_rules(value: Column, semantics: Column, start: Column, end: Column) -> dict[str, Column]:
     window = start.isNotNull() & end.isNotNull() & (end > start)
-    return {"OL_METRIC_VALUE": ~F.isnan(value) & (F.abs(value) != float("inf")), "OL_METRIC_SEMANTICS": semantics.isin("gauge", "counter_delta", "counter_cumulative", "window_total"), "OL_METRIC_WINDOW": F.when(semantics == "window_total", F.coalesce(window, F.lit(False))).otherwise(start.isNull() & end.isNull())}
+    return {"OL_METRIC_VALUE": ~F.isnan(value) & (F.abs(value) != float("inf")), "OL_METRIC_SEMANTICS": semantics.isin(*METRIC_SEMANTICS), "OL_METRIC_WINDOW": F.when(semantics == "window_total", F.coalesce(window, F.lit(False))).otherwise(start.isNull() & end.isNull())}
 
 
 def span_rules(duration: Column, status: Column) -> dict[str, Column]:
-    return {"OL_SPAN_DURATION": duration >= 0, "OL_SPAN_STATUS": status.isin("ok", "error", "unset")}
+    return {"OL_SPAN_DURATION": duration >= 0, "OL_SPAN_STATUS": status.isin(*SPAN_STATUSES)}
 
 
 def run_rules(started: Column, ended: Column, status: Column) -> dict[str, Column]:
-    return {"OL_RUN_ORDER": or_null(ended, ended >= started), "OL_RUN_STATUS": status.isin(*STATUSES)}
+    return {"OL_RUN_ORDER": ended >= started, "OL_RUN_STATUS": status.isin(*RUN_STATUSES)}
 
 
 def alert_rules(previous: Column, state: Column, evidence: Column) -> dict[str, Column]:
@@ -115,22 +123,50 @@ def alert_rules(previous: Column, state: Column, evidence: Column) -> dict[str,
 
 
 def intent_rules(channel_type: Column, evidence: Column) -> dict[str, Column]:
-    return {"OL_INTENT_CHANNEL": channel_type.isin("local_log", "telegram", "github_issues"), "OL_INTENT_EVIDENCE": unique_ids(evidence, 1)}
+    return {"OL_INTENT_CHANNEL": channel_type.isin(*CHANNEL_TYPES), "OL_INTENT_EVIDENCE": unique_ids(evidence, 1)}
 
 
 def incident_rules(previous: Column, transition: Column, state: Column, evidence: Column) -> dict[str, Column]:
     return {"OL_INCIDENT_EDGE": one_of(INCIDENT_EDGES, previous, transition, state), "OL_INCIDENT_EVIDENCE": unique_ids(evidence, 1)}
 
 
-def verification_rules(predicate: Column, names: Column, window: Column, lateness: Column, least: Column) -> dict[str, Column]:
-    return {"OL_SPEC_PREDICATE": predicate.isin(*PREDICATES), "OL_SPEC_NAMES": unique_ids(names, 1, 32), "OL_SPEC_WINDOW": window.between(1, 31_536_000), "OL_SPEC_LATENESS": lateness.between(0, 2_592_000), "OL_SPEC_MINIMUM": least.between(1, 1_000_000)}
+def threshold_ok(predicate: Column, threshold: Column, state: Column) -> Column:
+    """A state only where it is compared with one, a count or milliseconds from 0, a ratio from 0 to 1, and none for the others."""
+    whole = (threshold >= 0) & (threshold == F.floor(threshold))
+    return (
+        F.when(predicate == "state_equals", state.rlike(MACHINE_NAME) & threshold.isNull()).when(predicate == "ratio_at_least", threshold.between(0, 1) & state.isNull())
+        .when(predicate.isin("count_at_most", "latency_at_most"), whole & state.isNull()).otherwise(threshold.isNull() & state.isNull())
+    )
 
 
-def item_rules(state: Column, revision: Column, priority: Column, actionability: Column, confidence: Column, evidence: Column) -> dict[str, Column]:
-    return {
+def verification_rules(
+    predicate: Column, names: Column, window: Column, lateness: Column, least: Column, signal: Column | None = None, threshold: Column | None = None, state: Column | None = None, deadline: Column | None = None,
+) -> dict[str, Column]:
+    out = {
+        "OL_SPEC_PREDICATE": predicate.isin(*PREDICATES), "OL_SPEC_NAMES": unique_ids(names, 1, 32) & F.forall(names, lambda n: n.rlike(MACHINE_NAME)), "OL_SPEC_WINDOW": window.between(1, 31_536_000),
+        "OL_SPEC_LATENESS": lateness.between(0, 2_592_000), "OL_SPEC_MINIMUM": least.between(1, 1_000_000),
+    }
+    if signal is not None:
+        out["OL_SPEC_SIGNAL"] = signal.isin(*SIGNAL_CLASSES)
+    if threshold is not None:
+        out["OL_SPEC_THRESHOLD"] = threshold_ok(predicate, threshold, F.lit(None).cast("string") if state is None else state)
+    if deadline is not None:
+        out["OL_SPEC_DEADLINE"] = deadline.isNotNull()
+    return out
+
+
+def item_rules(state: Column, revision: Column, priority: Column, actionability: Column, confidence: Column, evidence: Column, fingerprint: Column | None = None, title: Column | None = None, texts: tuple[Column, ...] = ()) -> dict[str, Column]:
+    out = {
         "OL_ITEM_STATE": (state == "open") & (revision == 0), "OL_ITEM_PRIORITY": priority.isin("P0", "P1", "P2", "P3"), "OL_ITEM_ACTIONABILITY": actionability.isin("observe", "investigate", "agent_safe", "needs_approval"),
         "OL_ITEM_CONFIDENCE": confidence.isin("low", "medium", "high"), "OL_ITEM_EVIDENCE": unique_ids(evidence, 1),
     }
+    if fingerprint is not None:
+        out["OL_ITEM_FINGERPRINT"] = fingerprint.rlike(SHA256_HEX)
+    if title is not None:
+        out["OL_ITEM_TITLE"] = bounded_text(title, TITLE_BYTES, single_line=True)
+    if texts:
+        out["OL_ITEM_TEXT"] = functools.reduce(lambda a, b: a & b, [bounded_text(t, FREE_TEXT_BYTES) for t in texts])
+    return out
 
 
 def transition_rules(c: dict[str, Column]) -> dict[str, Column]:
@@ -157,6 +193,6 @@ def reference_violations(references: list[tuple[str, DataFrame, str, DataFrame,
 
 
 def with_target(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """rows with their target's descriptor; an undeclared target has an error code. targets is configuration: a small table."""
+    """rows with their target's descriptor; an undeclared target has an error code. targets is configuration: at most CONFIGURED rows."""
     d = targets.select(F.col("target_id"), F.struct(*[c for c in targets.columns]).alias("target"))
-    return rows.join(F.broadcast(d), "target_id", "left").withColumn("error", F.when(F.col("target").isNull(), "OL_TARGET_UNDECLARED"))
+    return rows.join(configuration(d), "target_id", "left").withColumn("error", F.when(F.col("target").isNull(), "OL_TARGET_UNDECLARED"))

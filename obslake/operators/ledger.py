@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.values import configuration
+
 #: what a file and its ledger row agree on
 AGREED = ("day", "schema_version", "config_generation", "scope", "target_id", "privacy_class", "retention_days", "record_count", "content_sha256", "byte_size", "file_sha256")
 
@@ -65,7 +67,7 @@ def outcomes(ledger: DataFrame, deliveries: DataFrame, exporters: DataFrame, exp
     row is segment_gone, one with an expired record is expired whole, delivered is final, no exporter, failed, delivered.
     """
     d = deliveries.join(ledger.select("batch_id", F.lit(1).alias("_live")), "batch_id", "left").join(expiries, "batch_id", "left")
-    d = d.join(F.broadcast(exporters), "exporter_id", "left")  # configured exporters: a few rows
+    d = d.join(configuration(exporters), "exporter_id", "left")  # configured exporters: a few rows
     outcome = (
         F.when(F.col("_live").isNull(), "segment_gone").when(F.col("delivery_status") == "delivered", "already_delivered").when(F.col("first_expiry") <= F.lit(now).cast("timestamp"), "expired")
         .when(~F.coalesce("identity_ok", F.lit(False)), "no_exporter").when(~F.col("works"), "failed").otherwise("delivered")

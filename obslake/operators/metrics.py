@@ -27,7 +27,7 @@ def aggregate(rows: DataFrame) -> DataFrame:
     series, m = ["target_id", "name", "metric_semantics"], F.col("metric_semantics")
     gauges = rows.where(m == "gauge").withColumn("_v", F.col("value"))
     counters = rows.where(m == "counter_delta").withColumn("_v", F.col("value"))
-    cumulative = deltas(rows.where(m == "counter_cumulative"), series, ["occurred_at", "record_key"], "value").withColumnRenamed("delta", "_v")
+    cumulative = deltas(rows.where(m == "cumulative_counter"), series, ["occurred_at", "record_key"], "value").withColumnRenamed("delta", "_v")
     windows = without_overlaps(rows.where(m == "window_total"), series, "window_start", "window_end", "record_key").withColumn("_v", F.col("value"))
     every = gauges.unionByName(counters).unionByName(cumulative).unionByName(windows)
     gauge = m == "gauge"

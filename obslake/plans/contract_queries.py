@@ -13,7 +13,24 @@ col = F.col
 
 
 def envelope_errors(spark, d):
-    return C.code_counts(C.check(A.event_drafts(table(spark, d, "events")), C.envelope_rules()))
+    """Some drafts lack the collector or its run; some name a collector although an importer produced them."""
+    n = col("source_event_id").cast("long")
+    e = A.event_drafts(table(spark, d, "events"))
+    e = e.withColumn("source", col("source").withField("producer", F.when(n % 5 == 0, "importer").otherwise(col("source")["producer"])))
+    e = e.withColumns({"collector_run_id": F.when(n % 3 > 0, col("collector_run_id")), "collector": F.when(n % 7 > 0, col("collector"))})
+    return C.code_counts(C.check(e, C.envelope_rules()))
+
+
+def item_envelope_errors(spark, d):
+    """Envelope and payload of feedback items, some of which disagree."""
+    o = table(spark, d, "orders")
+    n, time = col("o_orderkey"), col("o_orderdate")
+    other = lambda k, a, b: F.when(n % k == 0, F.lit(b)).otherwise(F.lit(a))
+    pairs = {
+        "severity": (F.lit("error"), other(3, "error", "info")), "target": (F.when(n % 11 > 0, "t1"), other(5, "t1", "t2")), "trust": (F.lit("verified"), other(7, "verified", "untrusted")),
+        "privacy": (F.lit("internal"), other(2, "internal", "public")), "time": (time, F.when(n % 13 == 0, time + F.expr("INTERVAL 1 SECOND")).otherwise(time)),
+    }
+    return C.code_counts(C.check(o, C.payload_coupling(**pairs)))
 
 
 def event_errors(spark, d):
@@ -23,20 +40,20 @@ def event_errors(spark, d):
 
 def metric_errors(spark, d):
     li = table(spark, d, "lineitem")
-    kind = F.when(col("l_returnflag") == "A", "gauge").when(col("l_returnflag") == "N", "window_total").otherwise("total")
+    kind = F.when(col("l_returnflag") == "A", "gauge").when(col("l_returnflag") == "N", "window_total").when(col("l_suppkey") % 2 == 0, "cumulative_counter").otherwise("total")
     end = F.when(col("l_linestatus") == "F", col("l_shipdate") + F.expr("INTERVAL 1 DAY"))
     return C.code_counts(C.check(li, C.metric_rules(F.when(col("l_quantity") == 13, F.lit(float("nan"))).otherwise(col("l_quantity")), kind, F.when(col("l_linestatus") == "F", col("l_shipdate")), end)))
 
 
 def span_errors(spark, d):
     li = table(spark, d, "lineitem")
-    return C.code_counts(C.check(li, C.span_rules(col("l_quantity") - 5, F.when(col("l_returnflag") == "A", "ok").otherwise("odd"))))
+    return C.code_counts(C.check(li, C.span_rules(col("l_quantity") - 5, _pick(("ok", "error", "cancelled", "unset"), col("l_suppkey")))))
 
 
 def run_errors(spark, d):
     o = table(spark, d, "orders")
     runs = o.withColumn("ended", F.when(col("o_orderkey") % 7 == 0, col("o_orderdate") - F.expr("INTERVAL 1 HOUR")).when(col("o_orderkey") % 7 == 1, col("o_orderdate")))
-    status = F.when(col("o_orderstatus") == "F", "success").when(col("o_orderstatus") == "O", "failure").otherwise("unknown")
+    status = _pick(("success", "failure", "cancelled", "timeout", "partial", "unknown"), col("o_custkey"))
     return C.code_counts(C.check(runs, C.run_rules(col("o_orderdate"), col("ended"), status)))
 
 
@@ -55,7 +72,7 @@ def alert_errors(spark, d):
 
 def intent_errors(spark, d):
     o = table(spark, d, "orders")
-    kind = _pick(("local_log", "telegram", "pager"), col("o_orderkey"))
+    kind = _pick(("local_log", "telegram", "pager", "github_issues"), col("o_orderkey"))
     return C.code_counts(C.check(o, C.intent_rules(kind, F.array(col("o_orderpriority")))))
 
 
@@ -66,14 +83,19 @@ def incident_errors(spark, d):
 
 def verification_errors(spark, d):
     p = table(spark, d, "part")
-    names = F.split("p_name", " ")
-    return C.code_counts(C.check(p, C.verification_rules(_pick((*C.PREDICATES, "other"), col("p_partkey")), names, col("p_size") * 900_000, col("p_partkey") * 2_000, col("p_size") - 3)))
+    names, kind = F.split("p_name", " "), _pick((*C.PREDICATES, "other"), col("p_partkey"))
+    threshold = F.when(col("p_partkey") % 5 > 0, (col("p_size") - 3) / F.lit(20.0))
+    return C.code_counts(C.check(p, C.verification_rules(
+        kind, names, col("p_size") * 900_000, col("p_partkey") * 2_000, col("p_size") - 3, _pick((*C.SIGNAL_CLASSES, "log"), col("p_size")), threshold,
+        F.when(col("p_partkey") % 3 == 0, "healthy"), F.when(col("p_partkey") % 4 > 0, F.lit("2026-01-01").cast("timestamp")),
+    )))
 
 
 def item_errors(spark, d):
     o = table(spark, d, "orders")
     priority = F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1).cast("int") - 1)
-    return C.code_counts(C.check(o, C.item_rules(F.when(col("o_orderstatus") == "P", "accepted").otherwise("open"), F.lit(0), priority, _pick(("observe", "investigate", "agent_safe", "other"), col("o_orderkey")), _pick(("low", "high", "sure"), col("o_custkey")), F.array(F.lit("e")))))
+    return C.code_counts(C.check(o, C.item_rules(F.when(col("o_orderstatus") == "P", "accepted").otherwise("open"), F.lit(0), priority, _pick(("observe", "investigate", "agent_safe", "other"), col("o_orderkey")), _pick(("low", "high", "sure"), col("o_custkey")), F.array(F.lit("e")),
+        F.when(col("o_orderkey") % 6 > 0, F.sha2("o_orderstatus", 256)).otherwise("no digest"), F.repeat("o_orderpriority", F.when(col("o_orderkey") % 9 == 0, 60).otherwise(1)), (col("o_orderstatus"), F.when(col("o_orderkey") % 10 > 0, col("o_orderpriority")).otherwise("")))))
 
 
 def transition_errors(spark, d):
@@ -178,16 +200,18 @@ _CC = r"[\x00-\x1F\x7F-\x9F]"
 _F = "([{}])[({}) % {} + 1]"
 _FS = ("open", "accepted", "shipped", "verified", "regressed", "rejected")
 ORACLES = {
-    "envelope_errors": _codes("events", OL_RESTRICTED="user_id % 4 <> 3"),
+    "envelope_errors": _codes("events", OL_RESTRICTED="user_id % 4 <> 3", OL_PROVENANCE="CASE WHEN event_id % 5 > 0 THEN event_id % 3 > 0 AND event_id % 7 > 0 ELSE event_id % 3 = 0 AND event_id % 7 = 0 END"),
+    "item_envelope_errors": _codes("orders", OL_SEVERITY_MATCH="o_orderkey % 3 > 0", OL_TARGET_MATCH="o_orderkey % 11 > 0 AND o_orderkey % 5 > 0", OL_TRUST_MATCH="o_orderkey % 7 > 0", OL_PRIVACY_MATCH="o_orderkey % 2 > 0", OL_TIME_MATCH="o_orderkey % 13 > 0"),
     "event_errors": _codes("events", OL_EVENT_STATUS="user_id % 11 <> 0", OL_EVENT_MESSAGE="event_type <> 'view'"),
-    "metric_errors": _codes("lineitem", OL_METRIC_VALUE="l_quantity <> 13", OL_METRIC_SEMANTICS="l_returnflag IN ('A', 'N')", OL_METRIC_WINDOW="(l_returnflag = 'N') = (l_linestatus = 'F')"),
-    "span_errors": _codes("lineitem", OL_SPAN_DURATION="l_quantity >= 5", OL_SPAN_STATUS="l_returnflag = 'A'"),
-    "run_errors": _codes("orders", OL_RUN_ORDER="o_orderkey % 7 <> 0", OL_RUN_STATUS="o_orderstatus IN ('F', 'O')"),
+    "metric_errors": _codes("lineitem", OL_METRIC_VALUE="l_quantity <> 13", OL_METRIC_SEMANTICS="l_returnflag IN ('A', 'N') OR l_suppkey % 2 = 0", OL_METRIC_WINDOW="(l_returnflag = 'N') = (l_linestatus = 'F')"),
+    "span_errors": _codes("lineitem", OL_SPAN_DURATION="l_quantity >= 5", OL_SPAN_STATUS="l_suppkey % 4 < 3"),
+    "run_errors": _codes("orders", OL_RUN_ORDER="o_orderkey % 7 = 1", OL_RUN_STATUS="o_custkey % 6 < 5"),
     "alert_errors": _codes(f"(SELECT *, {_sql_pick(_STATES, 'o_orderkey')} AS a, {_sql_pick(_STATES, 'o_custkey')} AS b FROM orders)", OL_ALERT_EDGE=_sql_edges(C.ALERT_EDGES, "a", "b"), OL_ALERT_EVIDENCE="o_orderkey % 5 > 1"),
-    "intent_errors": _codes("orders", OL_INTENT_CHANNEL="o_orderkey % 3 <> 2"),
+    "intent_errors": _codes("orders", OL_INTENT_CHANNEL="o_orderkey % 2 = 1"),
     "incident_errors": _codes(f"(SELECT {_sql_pick((None, 'open', 'mitigated', 'resolved'), 'o_orderkey')} AS a, {_sql_pick(('opened', 'mitigated', 'resolved', 'reopened'), 'o_custkey')} AS b, {_sql_pick(('open', 'mitigated', 'resolved'), 'o_orderkey + o_custkey')} AS c FROM orders)", OL_INCIDENT_EDGE=_sql_edges(C.INCIDENT_EDGES, "a", "b", "c")),
-    "verification_errors": _codes("(SELECT *, string_split(p_name, ' ') AS names FROM part)", OL_SPEC_PREDICATE="p_partkey % 7 < 6", OL_SPEC_NAMES="len(names) BETWEEN 1 AND 32 AND len(list_distinct(names)) = len(names)", OL_SPEC_WINDOW="p_size::BIGINT * 900000 BETWEEN 1 AND 31536000", OL_SPEC_LATENESS="p_partkey * 2000 BETWEEN 0 AND 2592000", OL_SPEC_MINIMUM="p_size - 3 BETWEEN 1 AND 1000000"),
-    "item_errors": _codes("orders", OL_ITEM_STATE="o_orderstatus <> 'P'", OL_ITEM_PRIORITY="substr(o_orderpriority, 1, 1)::INT BETWEEN 1 AND 4", OL_ITEM_ACTIONABILITY="o_orderkey % 4 < 3", OL_ITEM_CONFIDENCE="o_custkey % 3 < 2"),
+    "verification_errors": _codes("(SELECT *, string_split(p_name, ' ') AS names FROM part)", OL_SPEC_PREDICATE="p_partkey % 7 < 6", OL_SPEC_NAMES="len(names) BETWEEN 1 AND 32 AND len(list_distinct(names)) = len(names) AND list_bool_and(list_transform(names, lambda x: regexp_full_match(x, '[a-z][a-z0-9]*([._-][a-z0-9]+)*')))", OL_SPEC_WINDOW="p_size::BIGINT * 900000 BETWEEN 1 AND 31536000", OL_SPEC_LATENESS="p_partkey * 2000 BETWEEN 0 AND 2592000", OL_SPEC_MINIMUM="p_size - 3 BETWEEN 1 AND 1000000", OL_SPEC_SIGNAL="p_size % 8 < 7", OL_SPEC_DEADLINE="p_partkey % 4 > 0",
+        OL_SPEC_THRESHOLD="CASE p_partkey % 7 WHEN 0 THEN p_partkey % 3 = 0 AND p_partkey % 5 = 0 WHEN 3 THEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 AND p_size BETWEEN 3 AND 23 WHEN 2 THEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 AND p_size >= 3 AND (p_size - 3) % 20 = 0 WHEN 4 THEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 AND p_size >= 3 AND (p_size - 3) % 20 = 0 ELSE p_partkey % 3 > 0 AND p_partkey % 5 = 0 END"),
+    "item_errors": _codes("orders", OL_ITEM_STATE="o_orderstatus <> 'P'", OL_ITEM_PRIORITY="substr(o_orderpriority, 1, 1)::INT BETWEEN 1 AND 4", OL_ITEM_ACTIONABILITY="o_orderkey % 4 < 3", OL_ITEM_CONFIDENCE="o_custkey % 3 < 2", OL_ITEM_FINGERPRINT="o_orderkey % 6 > 0", OL_ITEM_TITLE="o_orderkey % 9 > 0", OL_ITEM_TEXT="o_orderkey % 10 > 0"),
     "transition_errors": _codes(
         f"(SELECT *, {_sql_pick(_FS, 'l_orderkey')} AS f, {_sql_pick(_FS, 'l_linenumber + l_suppkey')} AS t FROM lineitem)", OL_TRANSITION_EDGE=_sql_edges(C.FEEDBACK_EDGES, "f", "t"), OL_TRANSITION_REVISION="l_linenumber = l_suppkey % 8 + 1", OL_TRANSITION_OWNER="(t = 'accepted') = (l_partkey % 2 = 0)",
         OL_TRANSITION_CLEAR="l_suppkey % 5 <> 0 OR (f = 'accepted' AND t = 'open')", OL_TRANSITION_SHIPPED="t <> 'shipped' OR (l_orderkey % 2 = 0 AND l_partkey % 3 <> 0)", OL_TRANSITION_VERIFIER="t NOT IN ('verified', 'regressed') OR l_partkey % 2 = 1", OL_TRANSITION_EVIDENCE="t NOT IN ('verified', 'regressed') OR l_partkey % 3 <> 0"),

@@ -172,7 +172,7 @@ def separate_windows(spark, d):
 
 
 def metric_aggregates(spark, d):
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("gauge", "counter_delta", "counter_cumulative", "window_total")]), (col("user_id") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("gauge", "counter_delta", "cumulative_counter", "window_total")]), (col("user_id") % 4 + 1).cast("int"))
     e = table(spark, d, "events")
     m = e.select(target_of(col("user_id")).alias("target_id"), col("event_type").alias("name"), kind.alias("metric_semantics"), col("ts").alias("occurred_at"), col("ts").alias("window_start"), (col("ts") + F.expr("INTERVAL 3 HOUR")).alias("window_end"), "value", col("event_id").alias("record_key"))
     return ME.aggregate(m).withColumns({c: F.round(c, 4) for c in ("total", "average")})
@@ -242,8 +242,8 @@ ORACLES = {
         z AS (SELECT *, CASE WHEN quiet <= 9000000000 THEN 'open' WHEN quiet <= 18000000000 THEN 'mitigated' ELSE 'resolved' END AS state FROM q) SELECT target, incident, alerts, (['debug', 'info', 'warning', 'error', 'critical'])[rank] AS severity, state, coalesce(lag(state) OVER (PARTITION BY target ORDER BY incident) <> 'open', false) AS reopened FROM z""",
     "counter_deltas": "WITH d AS (SELECT event_id AS id, value, value - coalesce(lag(value) OVER (PARTITION BY user_id % 10, event_type ORDER BY date_trunc('millisecond', ts), event_id), 0) AS x FROM events) SELECT id, round(CASE WHEN x < 0 THEN value ELSE x END, 4) AS delta FROM d",
     "separate_windows": "WITH w AS (SELECT *, l_shipdate + to_days((l_quantity % 5 + 1)::INT) AS e FROM lineitem), m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, e, l_orderkey, l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM w) SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS total FROM m WHERE m IS NULL OR l_shipdate >= m GROUP BY 1",
-    "metric_aggregates": """WITH b AS (SELECT 't' || (user_id % 10) AS target_id, event_type AS name, (['gauge', 'counter_delta', 'counter_cumulative', 'window_total'])[user_id % 4 + 1] AS k, ts, value, event_id FROM events), c AS (SELECT *, value - coalesce(lag(value) OVER w, 0) AS x, max(ts + INTERVAL 3 HOUR) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b WINDOW w AS (PARTITION BY target_id, name, k ORDER BY ts, event_id))
-        SELECT target_id, name, k AS metric_semantics, count(*) AS n, round(sum(CASE WHEN k = 'gauge' THEN NULL WHEN k = 'counter_cumulative' AND x >= 0 THEN x ELSE value END), 4) AS total, round(avg(CASE WHEN k = 'gauge' THEN value END), 4) AS average, arg_max(CASE WHEN k = 'gauge' THEN value END, (ts, event_id)) AS last FROM c WHERE k <> 'window_total' OR m IS NULL OR ts >= m GROUP BY ALL""",
+    "metric_aggregates": """WITH b AS (SELECT 't' || (user_id % 10) AS target_id, event_type AS name, (['gauge', 'counter_delta', 'cumulative_counter', 'window_total'])[user_id % 4 + 1] AS k, ts, value, event_id FROM events), c AS (SELECT *, value - coalesce(lag(value) OVER w, 0) AS x, max(ts + INTERVAL 3 HOUR) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b WINDOW w AS (PARTITION BY target_id, name, k ORDER BY ts, event_id))
+        SELECT target_id, name, k AS metric_semantics, count(*) AS n, round(sum(CASE WHEN k = 'gauge' THEN NULL WHEN k = 'cumulative_counter' AND x >= 0 THEN x ELSE value END), 4) AS total, round(avg(CASE WHEN k = 'gauge' THEN value END), 4) AS average, arg_max(CASE WHEN k = 'gauge' THEN value END, (ts, event_id)) AS last FROM c WHERE k <> 'window_total' OR m IS NULL OR ts >= m GROUP BY ALL""",
     "source_freshness": "SELECT 'c' || user_id AS source_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_occurred, (epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts) + INTERVAL 1 SECOND)))::BIGINT AS age_seconds FROM events GROUP BY user_id",
     "latest_transitions": f"WITH {TRANSITIONS} SELECT item_id, max(revision) AS revision, arg_max(transition_id, (revision, transition_id)) AS transition_id, arg_max(to_state, (revision, transition_id)) AS to_state FROM t GROUP BY 1",
     "daily_report": """WITH e AS (SELECT ts::DATE AS day, 't' || (user_id % 10) AS target_id, event_type AS name, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM events)

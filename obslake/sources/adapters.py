@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.identity import generation_digest
-from ..functions.values import expires_at, milliseconds
+from ..functions.values import configuration, expires_at, milliseconds
 
 INSTALLATION = "ol_in1_00000000000040008000000000000000"
 NAMESPACE = "ol_ns1_00000000000040008000000000000000"
@@ -69,7 +69,7 @@ def availability(probes: DataFrame, targets: DataFrame) -> DataFrame:
 
     probes(target_id, probed_at, status INT NULL); targets(target_id, expected ARRAY<INT>). A probe of an undeclared target has the error code.
     """
-    out = probes.join(F.broadcast(targets), "target_id", "left")  # declared targets: configuration
+    out = probes.join(configuration(targets), "target_id", "left")  # declared targets: configuration
     failed = F.col("status").isNull()
     healthy = F.array_contains("expected", F.col("status"))
     return out.select(
