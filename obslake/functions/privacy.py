@@ -1,8 +1,9 @@
 """Privacy transforms as columns: pseudonyms, URLs, paths, redaction, egress.
 
-Redaction works category by category on JVM regular expressions.  A category's
-matches are found, given their tokens and replaced; no token can be matched by a
-later category, so redacting twice changes nothing.  Java needs (?U) for Unicode \\w.
+Redaction works category by category on JVM regular expressions, after Unicode NFC.
+A category's matches are found once and replaced where they stand; no token can be
+matched by a later category, so redacting twice changes nothing.  Java needs (?U) for
+Unicode \\w.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ import base64
 import html
 import ipaddress
 import json
-import unicodedata
+import re
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -32,7 +36,7 @@ def _hmac(key: bytes, message: Column) -> Column:
 
 
 def keyed_digest(key: bytes, epoch: int, domain: str, kind: str, value: Column) -> Column:
-    """Hex digest of domain, epoch, kind and the text with LF line ends (NFC is the caller's: see nfc)."""
+    """Hex digest of domain, epoch, kind and the text with LF line ends (NFC is the caller's: see composed)."""
     text = F.replace(F.replace(value, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     head = bytearray(f"obslake-{domain}-v1\0".encode() + epoch.to_bytes(4, "big") + kind.encode() + b"\0")
     return _hmac(key, F.concat(F.lit(head), F.encode(text, "UTF-8")))
@@ -49,10 +53,14 @@ def fingerprint(key: bytes, epoch: int, kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"ol_fp1_e{epoch}_{kind}_"), base32(keyed_digest(key, epoch, "fingerprint", kind, value)))
 
 
-@pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no such function."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def composed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the columns in Unicode NFC, by Arrow's own function; Spark has none."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pc.utf8_normalize(c, form="NFC") if name in columns else c for name, c in zip(batch.schema.names, batch.columns)], names=batch.schema.names)
+
+    return df.mapInArrow(work, df.schema)
 
 
 def normalized_text(text: Column) -> tuple[Column, Column]:
@@ -116,37 +124,71 @@ def sanitized_url(url: Column, allowed: tuple[str, ...] = (), idna: bool = False
     return F.when(good, F.struct(value.alias("value"), removed.alias("removed")))
 
 
-#: redaction patterns in their order; Java's dialect
-_PART = r"(?:\\[ \t]|[^\s<>\"`])+"
-PRIVATE_KEY = r"(?s)-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY-----"
-HEADER = r"(?im)^[ \t]*(authorization|proxy-authorization|cookie|set-cookie|x-api-key|x-auth-token)\s*:(?! ?\[ol:c\]$)[^\n]*$"
+#: fixed values: request headers and key words that carry credentials (a space stands for a joint of _ or - or nothing)
+CREDENTIAL_HEADERS = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "x-auth-token")
+CREDENTIAL_WORDS = ("api key", "access token", "refresh token", "client secret", "password", "passwd", "secret", "token")
+
+# The patterns follow the definitions: RFC 7468 (armour of keys), RFC 3986 and 4291 (addresses), RFC 5322 (dot-atoms), E.164 and the North
+# American plan (telephone numbers), and the roots of POSIX, Windows and UNC paths. A key without its end line is hidden to the end.
+PRIVATE_KEY = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----[\s\S]*?(?:-----END \1-----|\z)"
+HEADER = rf"(?im)^[ \t]*({'|'.join(CREDENTIAL_HEADERS)})[ \t]*:(?! ?\[ol:c\]$)[^\n]*$"
+ASSIGNMENT = rf"(?i)\b({'|'.join('[_-]?'.join(w.split()) for w in CREDENTIAL_WORDS)})\b(\s*[:=]\s*+)(?!\[ol:c\](?:\n|$))[^\n]+"
 URL = r"(?i)https?://[^\s<>\"`]+"
-ASSIGNMENT = r"(?i)\b(api[_-]?key|access[_-]?token|refresh[_-]?token|client[_-]?secret|password|passwd|secret|token)\b(\s*[:=]\s*+)(?!\[ol:c\](?:\n|$))[^\n]+"
-EMAIL = r"(?U)(?<![\w.!#$%&'*+/=?^`{|}~-])[\w.!#$%&'*+/=?^`{|}~-]{1,64}@(?:[\w-]{1,63}\.)+[\w-]{2,63}(?![\w-]|\.[\w-])"
-FILE_URI = rf"(?iU)(?<!\w)file:(?://)?{_PART}"
-IPV6 = r"(?U)(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])"
-IPV4 = r"(?U)(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w.])"
-PHONE = r"(?U)(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(?\d{3}\)?[ .-]?)\d{3}[ .-]\d{4}(?!\w)"
-UNC = rf"(?<!\\)\\\\[^\\/\s<>\"'`]+\\{_PART}"
-WINDOWS = rf"(?U)(?<!\w)[A-Za-z]:[\\/]{_PART}"
-RELATIVE = rf"(?U)(?<![\w.])(?:(?:\.\./)+|\./){_PART}"
-TILDE = rf"(?U)(?<!\w)~[A-Za-z0-9._-]*/{_PART}"
-POSIX = rf"(?U)(?<![<\w:/])/(?!/)(?![.,;:!?)}}](?:\s|$)){_PART}"
+_ATOM = r"[\w!#$%&'*+/=?^`{|}~-]"
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
+EMAIL = rf"(?U)(?<!{_ATOM}|\.){_ATOM}{{1,64}}(?:\.{_ATOM}{{1,64}}){{0,16}}@(?:{_LABEL}\.){{1,8}}{_LABEL}(?![\p{{L}}\p{{N}}-])"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4 = rf"(?U)(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w.])"
+_H16 = "[0-9A-Fa-f]{1,4}"
+_GROUPS = f"{_H16}(?::{_H16}){{0,6}}"
+IPV6 = rf"(?U)(?<![\w:.])(?:(?:{_H16}:){{7}}{_H16}|{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![\w:])"
+_GAP = "[ .-]"
+_NATIONAL = rf"(?:\(\d{{3}}\)|\d{{3}}){_GAP}?\d{{3}}{_GAP}\d{{4}}"
+_ABROAD = rf"\+[1-9]\d{{0,2}}{_GAP}?(?:\(\d{{1,4}}\){_GAP}?)?\d{{2,4}}(?:{_GAP}\d{{2,4}}){{1,3}}"
+PHONE = rf"(?U)(?<![\w+])(?:(?:\+[1-9]\d{{0,2}}{_GAP}?)?{_NATIONAL}|{_ABROAD})(?!\w)"
+_ROOT = r"(?:file:(?://)?/?|[A-Za-z]:[\\/]|\\\\(?=[^\\/\s])|~[\w.-]*/|\.{1,2}/|/(?![/\s])(?![.,;:!?)}](?:\s|$)))"
+_QUOTED = "|".join(rf"(?<={q}){_ROOT}[^{q}\n]+(?={q})" for q in "\"'`")
+PATH = rf"(?iU)(?:{_QUOTED}|(?<![<\w:/\\.~]){_ROOT}(?:\\[ \t]|[^\s<>\"`])+)"
 CATEGORIES = ("control", "secret", "private_key", "credential", "url", "email", "path", "ip", "phone")
 
 
 def secret_forms(secret: str) -> list[str]:
-    """A secret as it is, and in base64, base64url, HTML and JSON form; longest first."""
+    """A secret as it is and encoded: base64 at any place of a longer text, hex, percent signs, character references, JSON; longest first."""
     raw = secret.encode()
-    forms = {secret, base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), base64.b64encode(raw).decode().rstrip("="), html.escape(secret), json.dumps(secret)[1:-1]}
-    return sorted(forms, key=lambda s: (-len(s), s))
-
-
-def _replaced(text: Column, pattern: str, token) -> tuple[Column, Column]:
-    """(text with each match replaced by token(match), number of matches)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    distinct = F.array_sort(F.array_distinct(found), lambda a, b: F.length(b) - F.length(a))  # a match inside a longer one comes after it
-    return F.when(F.size(found) > 0, F.aggregate(distinct, text, lambda acc, m: F.replace(acc, m, token(m)))).otherwise(text), F.size(found)
+    forms = {secret, html.escape(secret), json.dumps(secret)[1:-1], quote(secret, safe=""), raw.hex(), raw.hex().upper()}
+    for pattern in ("%{:02x}", "%{:02X}"):
+        forms.add("".join(pattern.format(b) for b in raw))
+    for pattern in ("&#{};", "&#x{:x};", "&#x{:X};"):
+        forms.add("".join(pattern.format(ord(c)) for c in secret))
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        once = encode(raw).decode()
+        forms |= {once, once.rstrip("="), quote(once, safe=""), encode(once.encode()).decode(), encode(once.encode()).decode().rstrip("=")}
+        for shift in (1, 2):  # the characters that depend on the secret's bytes alone
+            whole = encode(b"\0" * shift + raw).decode().rstrip("=")
+            forms.add(whole[shift + 1 : 8 * (len(raw) + shift) // 6])
+        forms.add(once[: 8 * len(raw) // 6])
+    return sorted((f for f in forms if len(f) >= 8), key=lambda s: (-len(s), s))
+
+
+def canonical_ipv6(text: Column) -> Column:
+    """Eight groups of four hex digits; text that has not eight groups stays, in lower case."""
+    halves = F.split(F.lower(text), "::")
+    groups = lambda half: F.filter(F.split(F.coalesce(F.get(halves, F.lit(half)), F.lit("")), ":"), lambda g: g != "")
+    gap = F.greatest(F.lit(8) - F.size(groups(0)) - F.size(groups(1)), F.lit(0))
+    every = F.concat(groups(0), F.when(F.size(halves) > 1, F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>")), groups(1))
+    return F.when(F.size(every) == 8, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ":")).otherwise(F.lower(text))
+
+
+def canonical_email(text: Column) -> Column:
+    """The domain in lower case; a local part is what it is."""
+    return F.concat(F.regexp_extract(text, "^(.*)@", 1), F.lit("@"), F.lower(F.substring_index(text, "@", -1)))
+
+
+def _rebuilt(text: Column, pattern: str, found: Column, token) -> Column:
+    """text with each match replaced, where it stands, by token(match); found: its matches."""
+    rest = F.split(text, pattern, -1)
+    pairs = F.zip_with(found, F.slice(rest, 2, F.size(found)), lambda m, after: F.concat(token(m), after))
+    return F.when(F.size(found) > 0, F.concat(F.get(rest, F.lit(0)), F.array_join(pairs, ""))).otherwise(text)
 
 
 def redact(df: DataFrame, columns: list[str], key: bytes, epoch: int = 1, secrets: tuple[str, ...] = (), allowed_query: tuple[str, ...] = ()) -> DataFrame:
@@ -157,39 +199,40 @@ def redact(df: DataFrame, columns: list[str], key: bytes, epoch: int = 1, secret
     if len(secrets) > 128 or any(len(s) < 8 for s in secrets):
         raise ValueError("at most 128 secrets of at least 8 characters")
     counts = {c: [] for c in CATEGORIES}
-    out = df
+    out = composed(df, columns)
+    known = "|".join(re.sub(r"([^A-Za-z0-9])", r"\\\1", f) for f in sorted({f for s in secrets for f in secret_forms(s)}, key=lambda f: (-len(f), f)))
     for name in columns:
-        step, text = 0, F.col(name)
+        step, at, found = 0, F.col(f"__r_{name}_t"), F.col(f"__r_{name}_m")
 
-        def keep(value: Column, n: Column | None = None, category: str = ""):
+        def keep(value: Column, n: Column, category: str):
             nonlocal out, step
-            cols = {f"__r_{name}_t": value}
-            if n is not None:
-                cols[f"__r_{name}_{step}"] = n
-                counts[category].append(f"__r_{name}_{step}")
-            out, step = out.withColumns(cols), step + 1
-
-        at = F.col(f"__r_{name}_t")
-        keep(*normalized_text(text), "control")
-        for secret in secrets:
-            for form in secret_forms(secret):
-                keep(F.replace(at, F.lit(form), F.lit("[ol:s]")), ((F.length(at) - F.length(F.replace(at, F.lit(form), F.lit("")))) / len(form)).cast("int"), "secret")
-        keep(F.regexp_replace(at, PRIVATE_KEY, "[ol:k]"), F.regexp_count(at, F.lit(PRIVATE_KEY)), "private_key")
-        keep(F.regexp_replace(at, HEADER, "$1: [ol:c]"), F.regexp_count(at, F.lit(HEADER)), "credential")
+            out = out.withColumns({f"__r_{name}_t": value, f"__r_{name}_{step}": n})
+            counts[category].append(f"__r_{name}_{step}")
+            step += 1
+
+        def replace(pattern: str, token, category: str, hint: Column | None = None):
+            """One search for all matches of a row that the hint, a plain look, does not rule out."""
+            nonlocal out
+            matches = F.regexp_extract_all(at, F.lit(pattern), F.lit(0))
+            out = out.withColumn(f"__r_{name}_m", matches if hint is None else F.when(hint, matches).otherwise(F.array().cast("array<string>")))
+            keep(_rebuilt(at, pattern, found, token), F.size(found), category)
 
         def url_token(m):
             bare = F.regexp_replace(m, r"[.,;:!?)}\]]+$", "")
             return F.concat(F.coalesce(sanitized_url(bare, allowed_query)["value"], F.lit("[ol:u]")), F.substring(m, F.length(bare) + 1, F.length(m)))
 
-        keep(*_replaced(at, URL, url_token), "url")
+        keep(*normalized_text(F.col(name)), "control")
+        if known:
+            keep(F.regexp_replace(at, known, "[ol:s]"), F.regexp_count(at, F.lit(known)), "secret")
+        keep(F.regexp_replace(at, PRIVATE_KEY, "[ol:k]"), F.when(at.contains("PRIVATE KEY-----"), F.regexp_count(at, F.lit(PRIVATE_KEY))).otherwise(0), "private_key")
+        keep(F.regexp_replace(at, HEADER, "$1: [ol:c]"), F.regexp_count(at, F.lit(HEADER)), "credential")
+        replace(URL, url_token, "url", at.contains("://"))
         keep(F.regexp_replace(at, ASSIGNMENT, "$1$2[ol:c]"), F.regexp_count(at, F.lit(ASSIGNMENT)), "credential")
-        keep(*_replaced(at, EMAIL, lambda m: pseudonym(key, epoch, "email", m)), "email")
-        keep(*_replaced(at, FILE_URI, lambda m: local_path_token(key, epoch, m)), "path")
-        keep(*_replaced(at, IPV6, lambda m: pseudonym(key, epoch, "ip", F.lower(m))), "ip")
-        keep(*_replaced(at, IPV4, lambda m: pseudonym(key, epoch, "ip", m)), "ip")
-        keep(*_replaced(at, PHONE, lambda m: pseudonym(key, epoch, "phone", F.regexp_replace(m, r"\D", ""))), "phone")
-        for pattern in (UNC, WINDOWS, RELATIVE, TILDE, POSIX):
-            keep(*_replaced(at, pattern, lambda m: local_path_token(key, epoch, m)), "path")
+        replace(EMAIL, lambda m: pseudonym(key, epoch, "email", canonical_email(m)), "email", at.contains("@"))
+        replace(IPV6, lambda m: pseudonym(key, epoch, "ip", canonical_ipv6(m)), "ip", at.contains(":"))
+        replace(IPV4, lambda m: pseudonym(key, epoch, "ip", m), "ip", at.contains("."))
+        replace(PHONE, lambda m: pseudonym(key, epoch, "phone", F.regexp_replace(m, r"\D", "")), "phone", at.rlike(r"\d\d[ .-]\d\d"))
+        replace(PATH, lambda m: local_path_token(key, epoch, m), "path", at.rlike(r"[/\\]|(?i)file:"))
         out = out.withColumn(name, at)
     total = F.create_map(*[x for c in CATEGORIES for x in (F.lit(c), sum((F.coalesce(F.col(n), F.lit(0)) for n in counts[c]), F.lit(0)).cast("long"))])
     out = out.withColumn("redactions", F.map_filter(total, lambda _, n: n > 0)).withColumn("redaction_version", F.lit(f"r{POLICY_VERSION}-e{epoch}"))
@@ -290,13 +333,16 @@ def _swap(a: str, b: str):
 
 
 def rendered_evidence(text: Column, form: str = "plain", most_bytes: int = 10_240, most_lines: int = 200) -> Column:
-    """Untrusted text as labelled evidence: no control characters, bounded, escaped for plain, markdown or html."""
+    """STRUCT<value, error>: untrusted text as labelled evidence, without control characters and escaped for plain, markdown or html. Text beyond the bounds is refused as a whole, never cut."""
     clean = normalized_text(text)[0]
-    lines = F.slice(F.split(F.left(clean, F.lit(most_bytes // 4)), "\n"), 1, most_lines)
+    lines = F.split(clean, "\n")
+    error = F.when(F.octet_length(clean) > most_bytes, "OL_EVIDENCE_BYTES").when(F.size(lines) > most_lines, "OL_EVIDENCE_LINES")
     if form == "html":
         for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
             lines = F.transform(lines, _swap(a, b))
-        return F.concat(F.lit("<pre data-trust=\"untrusted\">"), F.array_join(lines, "\n"), F.lit("</pre>"))
-    if form == "markdown":
-        return F.concat(F.lit("untrusted evidence:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("> "), F.regexp_replace(x, r"([\\`*_{}\[\]()<>#+.!|~-])", r"\\$1"))), "\n"))
-    return F.concat(F.lit("untrusted evidence:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("| "), x)), "\n"))
+        value = F.concat(F.lit("<pre data-trust=\"untrusted\">"), F.array_join(lines, "\n"), F.lit("</pre>"))
+    elif form == "markdown":
+        value = F.concat(F.lit("untrusted evidence:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("> "), F.regexp_replace(x, r"([\\`*_{}\[\]()<>#+.!|~-])", r"\\$1"))), "\n"))
+    else:
+        value = F.concat(F.lit("untrusted evidence:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("| "), x)), "\n"))
+    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))

@@ -76,18 +76,39 @@ def normalized_documents(spark, d):
 
 
 def redaction_totals(spark, d):
+    """Planted rows: a line of each category, as often as digits of the key say."""
+    o = table(spark, d, "orders")
+    n = col("o_orderkey")
+    lines = {3: "mail a.b@example.org", 4: "call +1 (212) 555-0147", 5: "host 10.1.2.3", 6: "file /var/log/a.log", 7: "password = hunter22", 8: "go https://example.org/a?b=c", 9: "Cookie: a=b", 10: "use correct-horse-battery", 11: "use 636f72726563742d686f7273652d62617474657279"}
+    text = F.concat_ws("\n", F.col("o_comment") if "o_comment" in o.columns else F.lit("plain"), *[F.when(n % k == 0, line) for k, line in lines.items()])
+    return P.redaction_counts(P.redact(o.select(text.alias("text")), ["text"], KEY, secrets=("correct-horse-battery",)))
+
+
+def redacted_documents(spark, d):
+    """Counts over all whole documents."""
     docs = P.redact(table(spark, d, "documents").select("doc_id", "text"), ["text"], KEY, secrets=("correct-horse-battery",))
     return P.redaction_counts(docs)
 
 
 def redacted_conversations(spark, d):
-    """Turns with planted addresses and secrets: what is left of them."""
+    """Whole turns with planted addresses and secrets behind them: what the planted part adds to the counts, and whether any of it is left."""
     t = table(spark, d, "conversations")
-    planted = F.concat(F.left("text", F.lit(200)), F.lit(" mail joe.doe"), col("conv_id"), F.lit("@example.org from 10.0.0."), col("turn") % 250, F.lit(" see https://u:p@Example.com:443/a?b=1#c or /etc/passwd and ~/x/y\npassword: hunter22 correct-horse-battery Y29ycmVjdC1ob3JzZS1iYXR0ZXJ5"))
-    out = P.redact(t.select("conv_id", "turn", planted.alias("text")), ["text"], KEY, secrets=("correct-horse-battery",))
-    r = col("redactions")
-    zero = lambda c: F.coalesce(F.element_at(r, c), F.lit(0))
-    return out.select("conv_id", "turn", zero("email").alias("email"), zero("credential").alias("credential"), col("text").rlike("@|hunter22|battery|Y29y|/etc|u:p").alias("leak"))
+    tail = F.concat(F.lit("\n mail joe.doe"), col("conv_id"), F.lit("@example.org from 10.0.0."), col("turn") % 250, F.lit(" see https://u:p@Example.com:443/a?b=1#c or /etc/passwd and ~/x/y\npassword: hunter22 correct-horse-battery Y29ycmVjdC1ob3JzZS1iYXR0ZXJ5"))
+    rows = t.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("before"), F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+    with_tail = P.redact(rows, ["text"], KEY, secrets=("correct-horse-battery",)).withColumnRenamed("redactions", "all")
+    out = P.redact(with_tail, ["before"], KEY, secrets=("correct-horse-battery",))
+    more = lambda c: F.coalesce(F.element_at("all", c), F.lit(0)) - F.coalesce(F.element_at("redactions", c), F.lit(0))
+    return out.select("conv_id", "turn", more("email").alias("email"), more("credential").alias("credential"), col("text").rlike("joe\\.doe|hunter22|battery|Y29y|/etc/passwd|u:p@").alias("leak"))
+
+
+def redacted_addresses(spark, d):
+    """Planted forms of one address each: digits of a version are none, and all forms of an address have one token."""
+    e = table(spark, d, "events")
+    n = col("event_id") % 200
+    text = F.concat(F.lit("1.2.3."), n, F.lit(" and v1.2.3."), n, F.lit(".5, fe80::"), F.hex(n + 1), F.lit(" fe80:0:0:0:0:0:0:"), F.lower(F.hex(n + 1)), F.lit(" at 12:34:56, a@Example.COM a@example.com"))
+    out = P.redact(e.select("event_id", text.alias("text")), ["text"], KEY)
+    ip, mail = F.regexp_extract_all("text", F.lit("ol_ps1_e1_ip_[a-z2-7]+"), F.lit(0)), F.regexp_extract_all("text", F.lit("ol_ps1_e1_email_[a-z2-7]+"), F.lit(0))
+    return out.select("event_id", F.size(ip).alias("ips"), F.size(F.array_distinct(ip)).alias("addresses"), F.size(F.array_distinct(mail)).alias("mails"), F.contains(col("text"), F.concat(F.lit("v1.2.3."), n, F.lit(".5"))).alias("version_left"), F.contains(col("text"), F.lit("12:34:56")).alias("time_left"))
 
 
 def redaction_is_stable(spark, d):
@@ -123,8 +144,11 @@ def disclosed_events(spark, d):
 
 
 def rendered_parts(spark, d):
-    p = table(spark, d, "part").withColumn("t", F.concat(col("p_name"), F.lit("\n<b>&\x07")))
-    return p.select("p_partkey", P.rendered_evidence(col("t"), "html").alias("html"), P.rendered_evidence(col("t")).alias("plain"))
+    """Some parts have a text beyond the bounds of evidence: refused, not cut."""
+    big = F.when(col("p_partkey") % 7 == 0, F.repeat(F.lit("x"), 10_300)).when(col("p_partkey") % 11 == 0, F.repeat(F.lit("\n"), 250)).otherwise("")
+    p = table(spark, d, "part").withColumn("t", F.concat(col("p_name"), F.lit("\n<b>&\x07"), big))
+    html, plain = P.rendered_evidence(col("t"), "html"), P.rendered_evidence(col("t"))
+    return p.select("p_partkey", html["value"].alias("html"), plain["value"].alias("plain"), plain["error"].alias("error"))
 
 
 def positions_round_trip(spark, d):
@@ -145,6 +169,11 @@ _IDENTITY = f"""'{{"identity_version":1,"installation_id":"{INSTALLATION}","name
 _DEDUPE = f"""'{{"dedupe_version":1,"installation_id":"{INSTALLATION}","name":"source.event",' || {_OBS} || ',"record_type":"event","scope":"target","source":{{"id":"events",' || {_SRC} || ',"type":"site.canary"}},"target_id":"t' || (user_id % 10) || '"}}'"""
 _PICK = "(['" + "', '".join((*P.EGRESS, "moon")) + "'])[o_orderkey % 12 + 1]"
 _CELLS = ", ".join(f"('{s}', '{c}', '{v}')" for s, cells in P.EGRESS.items() for c, v in cells.items())
+#: HMAC by its definition: the pads are those of the 32-byte key, filled up to 64 bytes; \xHH stands for a byte of a blob
+_pad = lambda x: "".join(f"\\x{b ^ x:02X}" for b in KEY.ljust(64, b"\0"))
+_HEAD = "".join(f"\\x{b:02X}" for b in b"obslake-pseudonym-v1\0" + (1).to_bytes(4, "big") + b"name\0")
+_PSEUDONYMS = rf"""SELECT c_custkey, sha256('{_pad(0x5C)}'::BLOB || unhex(sha256('{_pad(0x36)}'::BLOB || '{_HEAD}'::BLOB || encode(c_name)))) AS digest,
+    (length('ol_ps1_e1_name_') + 26)::INTEGER AS n, (length('ol_fp1_e1_name_') + 52)::INTEGER AS f FROM customer"""
 ORACLES = {
     "record_digests": f"SELECT event_id::VARCHAR AS source_event_id, sha256('obslake-record-id-v1' || chr(0) || {_IDENTITY}) AS record_digest, sha256('obslake-dedupe-v1' || chr(0) || {_DEDUPE}) AS dedupe_digest FROM events",
     "record_tokens": "SELECT count(*) AS n, count(*) AS ids, count(*) AS keys, true AS ids_ok, true AS keys_ok FROM events",
@@ -158,6 +187,9 @@ ORACLES = {
     "normalized_documents": r"""WITH t AS (SELECT doc_id, replace(replace(text || CASE WHEN doc_id % 3 = 0 THEN chr(13) || chr(10) || chr(7) || chr(8203) ELSE chr(13) END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents), c AS (SELECT *, regexp_replace(t, '[\x00-\x08\x0B-\x1F\x7F-\x9F]|\p{Cf}', '', 'g') AS c FROM t)
         SELECT doc_id, length(c)::INTEGER AS n_chars, (length(t) - length(c))::INTEGER AS removed FROM c""",
     "redacted_conversations": "SELECT conv_id, turn, 1::BIGINT AS email, 1::BIGINT AS credential, false AS leak FROM conversations",
+    "redacted_addresses": "SELECT event_id, 3::INTEGER AS ips, 2::INTEGER AS addresses, 1::INTEGER AS mails, true AS version_left, true AS time_left FROM events",
+    "redaction_totals": "WITH k(category, m) AS (VALUES ('email', 3), ('phone', 4), ('ip', 5), ('path', 6), ('credential', 7), ('url', 8), ('credential', 9), ('secret', 10), ('secret', 11)) SELECT category, count(*) AS n FROM orders, k WHERE o_orderkey % m = 0 GROUP BY category",
+    "pseudonyms": _PSEUDONYMS,
     "redaction_is_stable": "SELECT count(*) AS n, count(*) AS same FROM documents",
     "redacted_drafts": "SELECT 1::BIGINT AS email, 'r1-e1' AS redaction_version, count(*) AS n FROM events",
     "allowlisted_props": "SELECT event_id, CASE WHEN user_id % 5 > 0 THEN event_type END AS kind, CASE WHEN user_id % 5 > 0 THEN props->>'$.k' END AS k, 2::INTEGER AS discarded, CASE WHEN user_id % 5 = 0 THEN 'OL_ALLOWLIST_REQUIRED' END AS error FROM events",
@@ -167,7 +199,8 @@ ORACLES = {
             WHEN ext AND NOT en THEN 'OL_EGRESS_DISABLED' WHEN ext AND NOT list_contains(al, privacy_class) THEN 'OL_EGRESS_NOT_ALLOWLISTED' WHEN cell IS NULL THEN 'OL_EGRESS_CLASS_DENIED' END AS denied FROM q) SELECT o_orderkey, CASE WHEN denied IS NULL THEN cell END AS disposition, denied FROM x""",
     "disclosed_events": """WITH e AS (SELECT *, user_id % 4 AS p, event_id % 3 AS s FROM events), x AS (SELECT *, CASE WHEN p = 3 THEN NULL WHEN s = 0 THEN CASE p WHEN 0 THEN 'metadata' WHEN 1 THEN 'redacted_metadata' END WHEN s = 1 THEN CASE WHEN p < 2 THEN 'policy_filtered_summary' END ELSE CASE WHEN p < 2 THEN 'redacted_record' ELSE 'policy_filtered_summary' END END AS disposition FROM e)
         SELECT CASE WHEN disposition IS NOT NULL THEN event_id END AS event_id, CASE WHEN disposition <> 'redacted_metadata' THEN event_type END AS event_type, CASE WHEN disposition = 'redacted_record' THEN value END AS value, disposition FROM x""",
-    "rendered_parts": """SELECT p_partkey, '<pre data-trust="untrusted">' || p_name || chr(10) || '&lt;b&gt;&amp;</pre>' AS html, 'untrusted evidence:' || chr(10) || '| ' || p_name || chr(10) || '| <b>&' AS plain FROM part""",
+    "rendered_parts": """SELECT p_partkey, CASE WHEN error IS NULL THEN '<pre data-trust="untrusted">' || p_name || chr(10) || '&lt;b&gt;&amp;</pre>' END AS html, CASE WHEN error IS NULL THEN 'untrusted evidence:' || chr(10) || '| ' || p_name || chr(10) || '| <b>&' END AS plain, error
+        FROM (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 'OL_EVIDENCE_BYTES' WHEN p_partkey % 11 = 0 THEN 'OL_EVIDENCE_LINES' END AS error FROM part)""",
     "positions_round_trip": "SELECT s_suppkey, CASE WHEN s_suppkey % 9 <> 0 THEN s_nationkey::BIGINT END AS offset, CASE WHEN s_suppkey % 9 <> 0 THEN s_name END AS source FROM supplier",
     "canonical_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events",
 }
