@@ -20,6 +20,7 @@ from __future__ import annotations
 import inspect
 import math
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,55 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Buckets(int):
+    """A number of buckets, and the tasks that they are dealt to."""
+
+    tasks: int
+
+    def __new__(cls, n: int, tasks: int):
+        made = super().__new__(cls, n)
+        made.tasks = tasks
+        return made
+
+    def __reduce__(self):
+        return Buckets, (int(self), self.tasks)
+
+
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash() of ints (Murmur3, seed 42), by which rows are dealt to partitions."""
+    turn = lambda v, r: v << np.uint32(r) | v >> np.uint32(32 - r)
+    h = np.uint32(42) ^ (turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+@cache
+def _labels(n: int, tasks: int) -> np.ndarray:
+    """Labels of n buckets, ascending, of which Spark's hash puts as many as can be alike into each task: a few bytes for BUCKET_BYTES of text."""
+    each, size = -(-n // tasks), 4 * n + 64
+    while True:
+        slot = _spark_hash(np.arange(size)).astype(np.int64) % tasks
+        order = np.argsort(slot, kind="stable")
+        first = np.searchsorted(slot[order], np.arange(tasks))
+        rank = np.empty(size, np.int64)
+        rank[order] = np.arange(size) - first[slot[order]]
+        good = np.flatnonzero(rank < each)
+        if len(good) >= min(n, each * tasks):
+            return good[:n].astype(np.int32)
+        size *= 2
+
+
+def labels_of(n: Buckets) -> np.ndarray:
+    return _labels(int(n), n.tasks)
+
+
+def number_of(table: pa.Table, n: Buckets) -> int:
+    """The number of the bucket that the rows are for."""
+    return int(np.searchsorted(labels_of(n), table.column(BUCKET)[0].as_py()))
+
+
 @dataclass(frozen=True)
 class Cuts:
     """Ranges of ids (edges: least id, cut points, greatest id), each parted evenly into `parts` blocks; and the tasks and buckets that the measured text needs."""
@@ -47,7 +97,7 @@ class Cuts:
     edges: tuple[float, ...]
     parts: int
     tasks: int = 1
-    buckets: int = 4
+    buckets: Buckets = Buckets(2, 1)
 
 
 def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> Cuts:
@@ -62,7 +112,7 @@ def cut_points(df: DataFrame, id_col: str, text_col: str, block_bytes: int | Non
     size = block_bytes or min(MOST_BYTES, max(BLOCK_BYTES, total // (8 * n)))
     want = max(n, math.ceil(total / size))
     tasks = max(n, math.ceil(total / TASK_BYTES))
-    buckets = max(4 * tasks, math.ceil(total / BUCKET_BYTES))  # several a task, so that the tasks come out alike
+    buckets = Buckets(max(2 * tasks, math.ceil(total / BUCKET_BYTES)), tasks)
     if want == 1 or seen["low"] is None:
         return Cuts((), 1, tasks, buckets)
     ranges = min(want, MOST_RANGES)
@@ -128,7 +178,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys & np.uint64(0xFFFF_FFFF)).astype(np.int64) % n
 
 
-def scatter(block: int, buckets: np.ndarray, n: int, *parts: np.ndarray) -> pa.Table:
+def scatter(block: int, buckets: np.ndarray, n: Buckets, *parts: np.ndarray) -> pa.Table:
     """Entry rows of one block: the parts (arrays of fixed-width items) packed by bucket, order kept within each."""
     order = np.argsort(buckets, kind="stable")
     bounds = np.searchsorted(buckets[order], np.arange(n + 1))
@@ -139,10 +189,10 @@ def scatter(block: int, buckets: np.ndarray, n: int, *parts: np.ndarray) -> pa.T
         width = raw.itemsize * (raw.shape[1] if raw.ndim > 1 else 1)
         cols.append(_packed(raw.view(np.uint8).reshape(-1), bounds * width, used))
     none = pa.nulls(len(used), pa.binary())
-    return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *cols, *[none] * (3 - len(cols))], names=[BUCKET, BLOCK, "a", "b", "c"])
+    return pa.table([pa.array(labels_of(n)[used]), pa.array(np.full(len(used), block, np.int32)), *cols, *[none] * (3 - len(cols))], names=[BUCKET, BLOCK, "a", "b", "c"])
 
 
-def scatter_each(block: int, n: int, *parts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+def scatter_each(block: int, n: Buckets, *parts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     """Entry rows of one block from parts of (bucket of each item, items) with unlike numbers of items."""
     sizes = [np.bincount(buckets, minlength=n) for buckets, _ in parts]
     used = np.flatnonzero(sum(sizes))
@@ -152,7 +202,7 @@ def scatter_each(block: int, n: int, *parts: tuple[np.ndarray, np.ndarray]) -> p
         width = raw.itemsize * (raw.shape[1] if raw.ndim > 1 else 1)
         cols.append(_packed(raw.view(np.uint8).reshape(-1), width * np.concatenate([[0], np.cumsum(size)]), used))
     none = pa.nulls(len(used), pa.binary())
-    return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *cols, *[none] * (3 - len(cols))], schema=ENTRY_ARROW)
+    return pa.table([pa.array(labels_of(n)[used]), pa.array(np.full(len(used), block, np.int32)), *cols, *[none] * (3 - len(cols))], schema=ENTRY_ARROW)
 
 
 def _packed(raw, bounds, used):

@@ -253,7 +253,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return B.scatter(table.column(B.BLOCK)[0].as_py(), B.bucket_of(keys, n), n, B.low48(keys), np.minimum(counts, 65535).astype("<u2")).cast(B.ENTRY_ARROW)
 
     def frequent(table):
-        bucket = table.column(B.BUCKET)[0].as_py()
+        bucket = B.number_of(table, n)
         raw, lens = B.blob(table, "a")
         keys, sizes = B.from48(raw), lens // 6
         counts = np.frombuffer(bytes(B.blob(table, "b")[0]), "<u2").astype(np.int64)

@@ -175,7 +175,7 @@ def score(
 ) -> DataFrame:
     """df with held_out, n_tokens, n_known, train_tokens, base_score and score."""
     cuts = B.cut_points(df, id_col, text_col, block_bytes)
-    n = buckets(df, text_col, order, bits, max_bytes, cuts.buckets)
+    n = B.Buckets(buckets(df, text_col, order, bits, max_bytes, cuts.buckets), cuts.tasks)
     df = df.withColumn(HELD, F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0)
 
     blocked = B.dealt(df, id_col, cuts)
@@ -213,11 +213,11 @@ def score(
         used = np.flatnonzero(np.diff(ones + twos))
         small, at = shrunk(pairs[two] >> np.uint64(32), twos[:-1])
         cols = ((words[one].astype("<u8"), 8 * ones), (small, at[twos]), (np.concatenate([c, g])[both].astype("<u4"), 4 * (ones + twos)))
-        return pa.table([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int32)), *[B._packed(x.view(np.uint8).reshape(-1), bounds, used) for x, bounds in cols]], schema=B.ENTRY_ARROW)
+        return pa.table([pa.array(B.labels_of(n)[used]), pa.array(np.full(len(used), block, np.int32)), *[B._packed(x.view(np.uint8).reshape(-1), bounds, used) for x, bounds in cols]], schema=B.ENTRY_ARROW)
 
     def tally(table):
         """For each row sent, in its order: counts (a) and levels (b) of the words, levels (c) of the longer n-grams; and a row with the bucket's part of N and V."""
-        bucket = table.column(B.BUCKET)[0].as_py()
+        bucket = B.number_of(table, n)
         (words, w), (grams, b), (raw, _) = (B.blob(table, k) for k in "abc")
         w, (grams, b) = w // 8, grown(grams, b)
         counts = np.frombuffer(bytes(raw), "<u4")

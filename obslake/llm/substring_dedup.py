@@ -96,7 +96,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         return B.scatter(block, B.bucket_of(keys, n), n, B.low48(keys))
 
     def shared(table):
-        bucket = table.column(B.BUCKET)[0].as_py()
+        bucket = B.number_of(table, n)
         raw, lens = B.blob(table, "a")
         keys, counts = B.from48(raw), lens // 6
         block = np.repeat(table.column(B.BLOCK).to_numpy(), counts)
@@ -133,7 +133,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         return B.scatter(block, B.bucket_of(h[first], n), n, h[first].astype("<u8"), check[first].astype("<u4"), at[first].astype("<u4"))
 
     def earlier(table):
-        bucket = table.column(B.BUCKET)[0].as_py()
+        bucket = B.number_of(table, n)
         raw, lens = B.blob(table, "a")
         h = np.frombuffer(raw.tobytes() if len(raw) else b"", "<u8")
         check = np.frombuffer(bytes(B.blob(table, "b")[0]), "<u4")

@@ -250,7 +250,7 @@ def _exchanged(df: DataFrame, id_col: str, text_col: str, length: int, block_byt
 
     def compare(table):
         """Code 1: the minimizer has one segment, in several blocks. Code 2: it has unequal segments. Code 3: more than `hot` of them."""
-        bucket = table.column(B.BUCKET)[0].as_py()
+        bucket = B.number_of(table, n)
         raw, lens = B.blob(table, "a")
         v, s, counts = B.from48(raw), B.from48(B.blob(table, "b")[0]), lens // 6
         many = np.frombuffer(bytes(B.blob(table, "c")[0]), "<u2").astype(np.int64)
@@ -313,7 +313,7 @@ def _exchanged(df: DataFrame, id_col: str, text_col: str, length: int, block_byt
         return items, which[seg]
 
     def scan(table):
-        bucket = table.column(B.BUCKET)[0].as_py()
+        bucket = B.number_of(table, n)
         raw, lens = B.blob(table, "a")
         items = np.frombuffer(bytes(raw), SEGMENT)
         texts = np.frombuffer(bytes(B.blob(table, "b")[0]), np.uint8).reshape(-1, width)
