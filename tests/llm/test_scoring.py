@@ -237,6 +237,16 @@ def test_costly_rules_match_brute_force(spark):
     assert sorted((key(x["doc_id"]), x["kept"]) for x in got) == brute_costly(rows)
 
 
+def test_entropy_bound_is_below_the_entropy(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in odd_rows(4, n=40) if t]
+    got = docs(spark, rows).select("text", Q.entropy(F.col("text")).alias("e"), Q.entropy_bound(F.col("text")).alias("b"), Q.low_entropy(F.col("text"), 2.0).alias("low")).collect()
+    for r in got:
+        e = -sum(c / len(r["text"]) * math.log2(c / len(r["text"])) for c in Counter(r["text"]).values())
+        assert r["e"] == pytest.approx(e) and r["b"] <= e + 1e-9 and r["low"] == (e < 2)
+
+
 def test_rejected_rows_skip_the_rules_after(spark):
     """A rule that fails the job where it is evaluated: no row that the base rules or an earlier rule rejects reaches it."""
     from pyspark.sql import functions as F
