@@ -88,8 +88,11 @@ def late_guard(samples: DataFrame, arrival: str) -> DataFrame:
 
 
 def alert_records(changes: DataFrame, collector: Column | None = None) -> DataFrame:
-    """Alert rows of transitions: key and transition id, fixed summary, severity, one year to live."""
-    collector = F.lit("collector") if collector is None else collector
+    """Alert rows of transitions: key and transition id, fixed summary, severity, one year to live. The collector is part of the key: a column of changes, or given."""
+    if collector is None:
+        if "collector" not in changes.columns:
+            raise ValueError("the alert key needs the collector")
+        collector = F.col("collector")
     out = changes.withColumn("alert_key", alert_key(F.col("rule_id"), F.col("rule_version"), collector, F.col("target")))
     seen = {"kind": F.lit("alert.sample"), "parts": {"sampled_at": F.date_format("sampled_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")}}
     summary = F.create_map(*[F.lit(x) for kv in SUMMARIES.items() for x in kv])
@@ -102,7 +105,10 @@ def alert_records(changes: DataFrame, collector: Column | None = None) -> DataFr
 def intents(alerts: DataFrame, channels: DataFrame) -> DataFrame:
     """One intent for each alert and each enabled channel that allows its class. channels is configuration: a small table."""
     on = F.col("enabled") & F.array_contains("allowed_classifications", F.col("privacy_class"))
-    return alerts.join(configuration(channels), on).select(intent_id(F.col("transition_id"), F.col("channel_id")).alias("intent_id"), "alert_key", "transition_id", "channel_id", "severity", "summary", "evidence_ids")
+    return alerts.join(configuration(channels), on).select(
+        intent_id(F.col("transition_id"), F.col("channel_id")).alias("intent_id"), "alert_key", "transition_id", "channel_id", *[c for c in ("channel_type",) if c in channels.columns], "severity", "summary", "evidence_ids",
+        *[c for c in ("expires_at",) if c in alerts.columns],
+    )
 
 
 def evidence(alerts: DataFrame, records: DataFrame) -> DataFrame:

@@ -40,12 +40,24 @@ def apply_proposals(current: DataFrame, proposals: DataFrame) -> tuple[DataFrame
 
 
 def observations(specs: DataFrame, records: DataFrame) -> DataFrame:
-    """Records that a specification looks at: its target, names and window, with lateness, before the deadline."""
-    s, r = specs.alias("s"), records.alias("r")
-    ended = F.col("s.created_at") + F.make_dt_interval(secs=F.col("s.window_seconds").cast("decimal(18,6)"))
-    late = F.col("r.ingested_at") <= F.least(ended + F.make_dt_interval(secs=F.col("s.lateness_seconds").cast("decimal(18,6)")), F.col("s.deadline"))
-    on = (F.col("s.target_id") == F.col("r.target_id")) & F.array_contains("s.names", F.col("r.name")) & F.col("r.occurred_at").between(F.col("s.created_at"), ended) & late
-    return r.join(s, on).select("s.item_id", "r.name", "r.status", "r.value", "r.occurred_at", "r.record_id")
+    """Records that a specification looks at: its target, names and window, with lateness, before the deadline, and its dimensions where both sides have them.
+
+    A range join in buckets of time: a specification stands in each bucket of its window, of about the median window's
+    length, so that it meets the records of its target, names and time only.
+    """
+    ended = F.col("created_at") + F.make_dt_interval(secs=F.col("window_seconds").cast("decimal(18,6)"))
+    last = F.least(ended + F.make_dt_interval(secs=F.col("lateness_seconds").cast("decimal(18,6)")), F.col("deadline"))
+    width = max(60, specs.agg(F.percentile_approx("window_seconds", 0.5)).first()[0] or 0)
+    bucket = lambda at: F.floor(F.unix_seconds(at) / width)
+    both = "dimensions" in specs.columns and "dimensions" in records.columns
+    s = specs.select(
+        "item_id", "target_id", F.explode(F.array_distinct("names")).alias("name"), F.col("created_at").alias("_from"), ended.alias("_to"), last.alias("_last"), *([F.col("dimensions").alias("_dims")] if both else []),
+    ).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    r = records.withColumn("_bucket", bucket(F.col("occurred_at").cast("timestamp")))
+    out = r.join(s, ["target_id", "name", "_bucket"]).where(F.col("occurred_at").between(F.col("_from"), F.col("_to")) & (F.col("ingested_at") <= F.col("_last")))
+    if both:
+        out = out.where(F.coalesce(F.forall(F.map_entries("_dims"), lambda e: F.element_at("dimensions", e["key"]) == e["value"]), F.lit(True)))
+    return out.select("item_id", "name", "status", "value", "occurred_at", "record_id")
 
 
 def verified(specs: DataFrame, records: DataFrame, now) -> DataFrame:

@@ -6,8 +6,6 @@ the ledger with planted faults.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from ..operators import alerts as AL
 from ..operators import ledger as L
 from ..sources import adapters as A
 from ..sources import segments as S
-from ..sources.adapters import collector_of, table, target_of
+from ..sources.adapters import collector_of, shared_folder, table, target_of
 
 NOW = "1999-06-01 00:00:00"
 col = F.col
@@ -77,14 +75,6 @@ def built_segments(spark, d):
     return head.select("batch_id", "day", "target_id", "record_count", "content_sha256", "retention_days")
 
 
-def _folder(spark, name):
-    """A new folder that driver and executors share."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _error_segments(spark, d):
     e = table(spark, d, "events").where("event_type = 'error'")
     rows = e.select(F.lit("events").alias("source_id"), F.date_format("ts", _DAY).alias("day"), F.lit("target").alias("scope"), target_of(col("user_id")).alias("target_id"), F.lit("internal").alias("privacy_class"), F.lit("event").alias("record_type"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), F.to_json(F.struct("event_id", "event_type")).alias("line"))
@@ -93,7 +83,7 @@ def _error_segments(spark, d):
 
 def segment_files(spark, d):
     """Batches written to the shared folder, scanned again and audited."""
-    path = _folder(spark, "segments")
+    path = shared_folder(spark, "segments")
     S.write(*_error_segments(spark, d), path)
     head, body, bad = S.scan(spark, path)
     good, trusted = S.trusted(head, body, ~col("record_id").endswith("99"))
@@ -102,7 +92,7 @@ def segment_files(spark, d):
 
 def segment_commits(spark, d):
     """Two commits of the same batches: the second adds nothing; then every batch is verified against the ledger."""
-    root = _folder(spark, "store")
+    root = shared_folder(spark, "store")
     head, body = _error_segments(spark, d)
     for _ in range(2):
         S.commit(head, body, ["a", "b"], "2024-02-01 00:00:00", root)
@@ -125,7 +115,7 @@ def integrity_report(spark, d):
 
 def json_sources(spark, d):
     """Orders as JSON lines, some torn, some too long, read as a source."""
-    path = _folder(spark, "source")
+    path = shared_folder(spark, "source")
     o = table(spark, d, "orders")
     line = F.to_json(F.struct("o_orderkey", "o_orderstatus"))
     line = F.when(col("o_orderkey") % 10 == 0, F.substring(line, 1, 8)).when(col("o_orderkey") % 11 == 0, F.concat(line, F.repeat(F.lit(" "), 200))).otherwise(line)
@@ -277,7 +267,7 @@ def alert_transitions_cooldown(spark, d):
 
 
 def _alerts(spark, d):
-    return AL.alert_records(AL.transitions(_samples(spark, d, 0))).withColumn("privacy_class", F.when(col("state") == "firing", "internal").otherwise("sensitive"))
+    return AL.alert_records(AL.transitions(_samples(spark, d, 0)), F.lit("collector")).withColumn("privacy_class", F.when(col("state") == "firing", "internal").otherwise("sensitive"))
 
 
 def alert_records(spark, d):
@@ -330,6 +320,14 @@ p AS (SELECT *, last_value(state IGNORE NULLS) OVER w AS prev, coalesce(bool_or(
 tr AS (SELECT rule_id, target, ts, record_id, event_type, CASE WHEN seen THEN prev ELSE 'inactive' END AS previous_state, state, revision FROM p WHERE state IS NOT NULL AND (seen OR state = 'firing') AND (NOT seen OR state <> prev))
 """
 _TR = f"WITH {_ALERT} SELECT rule_id, target, record_id, previous_state, state, revision FROM tr"
+#: the fold, a sample a step: a fire holds back the next for ten hours
+_FOLDED = f"""WITH RECURSIVE {_ALERT}, e AS (SELECT *, row_number() OVER (PARTITION BY rule_id, target ORDER BY ts, record_id NULLS FIRST) AS n FROM s),
+x AS (SELECT DISTINCT rule_id, target, 0::BIGINT AS n, 'inactive' AS state, 0 AS fails, 0 AS wins, NULL::TIMESTAMP AS until, NULL::VARCHAR AS record_id, NULL::VARCHAR AS previous_state FROM s
+  UNION ALL SELECT rule_id, target, n, CASE WHEN fires THEN 'firing' WHEN resolves THEN 'resolved' ELSE state END, fails, wins, CASE WHEN fires THEN ts + INTERVAL 10 HOUR ELSE until END, record_id, CASE WHEN fires OR resolves THEN state END
+  FROM (SELECT *, record_id IS NOT NULL AND outcome = 'failure' AND state <> 'firing' AND fails >= nf AND (until IS NULL OR ts >= until) AS fires, record_id IS NOT NULL AND outcome = 'success' AND state = 'firing' AND wins >= ns AS resolves
+    FROM (SELECT e.rule_id, e.target, e.n, e.ts, e.record_id, e.outcome, e.nf, e.ns, x.state, x.until, CASE WHEN e.outcome = 'failure' THEN x.fails + 1 ELSE 0 END AS fails, CASE WHEN e.outcome = 'failure' THEN 0 ELSE x.wins + 1 END AS wins
+      FROM x JOIN e ON e.rule_id = x.rule_id AND e.target = x.target AND e.n = x.n + 1)))
+SELECT rule_id, target, record_id, previous_state, state, n AS revision FROM x WHERE previous_state IS NOT NULL"""
 _W = f"WITH {_BASE} "
 ORACLES = {
     "segment_digests": _W + "SELECT batch_id, content_sha256, record_count FROM l",
@@ -368,7 +366,7 @@ ORACLES = {
     "audit_page": "SELECT o_orderkey AS id, 'retention.prune' AS action FROM orders WHERE o_orderstatus = 'P' ORDER BY 1 LIMIT 50",
     "run_summary": "SELECT collector, count(*) AS drafts, count(*) FILTER (event_type = 'purchase') AS committed, count(*) FILTER (event_type NOT IN ('error', 'purchase')) AS delivered, count(*) FILTER (event_type = 'error') AS failed FROM (SELECT 'c' || (user_id % 20) AS collector, event_type FROM events) GROUP BY ROLLUP (collector)",
     "alert_streaks": f"WITH {_ALERT} SELECT rule_id, outcome, max(streak)::INTEGER AS longest, max(revision) AS revision FROM k GROUP BY ALL",
-    "alert_transitions": _TR, "alert_transitions_folded": _TR,
+    "alert_transitions": _TR, "alert_transitions_folded": _TR, "alert_transitions_cooldown": _FOLDED,
     "alert_records": f"WITH {_ALERT} SELECT state, CASE WHEN state = 'firing' THEN 'error' ELSE 'info' END AS severity, 'Alert is ' || state AS summary, count(*) AS n, count(*) AS ids, count(DISTINCT (rule_id, target)) AS keys FROM tr GROUP BY ALL",
     "notification_intents": f"WITH {_ALERT} SELECT 'ch-' || r_regionkey AS channel_id, CASE WHEN state = 'firing' THEN 'error' ELSE 'info' END AS severity, count(*) AS n, count(*) AS ids FROM tr JOIN region ON r_regionkey <> 2 AND (state = 'firing') = (r_regionkey % 2 = 0) GROUP BY ALL",
     "alert_evidence": f"WITH {_ALERT} SELECT event_type, count(*) AS n FROM tr GROUP BY 1",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..sources.adapters import collector_of, table, target_of
+from ..functions.values import configuration
+from ..sources.adapters import collector_of, shared_folder, table, target_of
 from ..streaming import streams as ST
 from .ledger_queries import _TR
 
@@ -16,14 +15,6 @@ col = F.col
 _END = "2100-01-01 00:00:00"
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def _parts(spark, d, base, n=3):
     """A stream over folders of later and later events, and writers of the n folders, to be called one after the other.
 
@@ -51,7 +42,7 @@ def _run(stream, parts, state, sink):
 
 def streamed_ingest(spark, d):
     """Two runs over the same input: the second adds nothing."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base)
     stream = stream.select("event_id", "event_type")
     _run(stream, parts, f"{base}/state", f"{base}/out")
@@ -60,7 +51,7 @@ def streamed_ingest(spark, d):
 
 
 def streamed_dedup(spark, d):
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base, 1)
     e = stream.select(F.concat(F.lit("r"), col("event_id")).alias("record_id"), "ts")
     twice = e.unionByName(e)
@@ -70,24 +61,24 @@ def streamed_dedup(spark, d):
 
 def streamed_alerts(spark, d):
     """The alert state carried over three runs equals one fold."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     rules = table(spark, d, "nation").withColumnRenamed("n_nationkey", "rule_no").where("rule_no < 20").select(F.concat(F.lit("rule-"), col("rule_no")).alias("rule_id"), F.lit(1).alias("rule_version"), collector_of(col("rule_no")).alias("collector"), (col("rule_no") % 3 + 1).cast("int").alias("consecutive_failures"), (col("rule_no") % 2 + 1).cast("int").alias("consecutive_successes"), F.lit(0).alias("cooldown_seconds"))
     stream, parts = _parts(spark, d, base)
     s = stream.select(collector_of(col("user_id") % 20).alias("collector"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.when(col("event_id") % 9 > 0, F.concat(F.lit("r"), F.lpad(col("event_id").cast("string"), 12, "0"))).alias("record_id"), F.when(col("event_type").isin("error", "view"), "failure").otherwise("success").alias("outcome"))
-    _run(ST.alert_transitions(s.join(F.broadcast(rules), "collector")), parts, f"{base}/state", f"{base}/out")
+    _run(ST.alert_transitions(s.join(configuration(rules), "collector")), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").select("rule_id", "target", "record_id", "previous_state", "state", "revision")
 
 
 def streamed_windows(spark, d):
     """Daily counts by event type; the last windows stay open, as no later event closes them."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base)
     _run(ST.windowed_counts(stream, "ts", ["event_type"], "1 hour", "1 day"), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").where("window_start < '2024-01-30'").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def streamed_sessions(spark, d):
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base)
     e = stream.where("event_type = 'error'").withColumn("target", target_of(col("user_id")))
     _run(ST.incident_sessions(e, "ts", ["target"], "1 hour", "2 hours"), parts, f"{base}/state", f"{base}/out")
@@ -96,7 +87,7 @@ def streamed_sessions(spark, d):
 
 def streamed_exports(spark, d):
     """An idempotent sink, run twice from the start: the ledger holds back the second."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base, 1)
     e = ST.isolated(stream, {"OL_USER": col("user_id") % 7 != 0, "OL_VALUE": col("value") < 100})
     for k in range(2):
@@ -106,7 +97,7 @@ def streamed_exports(spark, d):
 
 
 def streamed_unexpired(spark, d):
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base, 1)
     e = stream.withColumn("expires_at", col("ts") + F.expr("INTERVAL 5 DAY"))
     _run(ST.unexpired(e, "2024-01-20 00:00:00").select("event_id"), parts, f"{base}/state", f"{base}/out")
@@ -115,7 +106,7 @@ def streamed_unexpired(spark, d):
 
 def streamed_heartbeats(spark, d):
     """Users from whom nothing came for 18 hours, as far as later events show it."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base, 10)
     _run(ST.stale_sources(stream, "user_id", "ts", "1 minute", 64_800), parts, f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out").agg(F.countDistinct("source_id").alias("sources"))
@@ -123,12 +114,12 @@ def streamed_heartbeats(spark, d):
 
 def streamed_intents(spark, d):
     """Alerts and their intents written batch by batch."""
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base, 2)
-    changes = stream.where("event_type = 'error'").select(F.lit("r").alias("rule_id"), F.lit(1).alias("rule_version"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), F.lit("inactive").alias("previous_state"), F.lit("firing").alias("state"), F.lit(1).cast("long").alias("revision"))
+    changes = stream.where("event_type = 'error'").select(F.lit("r").alias("rule_id"), F.lit(1).alias("rule_version"), collector_of(col("user_id")).alias("collector"), target_of(col("user_id")).alias("target"), col("ts").alias("sampled_at"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), F.lit("inactive").alias("previous_state"), F.lit("firing").alias("state"), F.lit(1).cast("long").alias("revision"))
     channels = table(spark, d, "region").select(F.concat(F.lit("ch-"), col("r_regionkey")).alias("channel_id"), (col("r_regionkey") != 2).alias("enabled"), F.array(F.lit("internal")).alias("allowed_classifications"))
-    _run(changes, parts, f"{base}/state", ST.intents_sink(channels, base))
-    return spark.read.parquet(f"{base}/intents").groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("intent_id").alias("ids"))
+    _run(changes, parts, f"{base}/state", ST.intents_sink(channels, f"{base}/out"))
+    return spark.read.parquet(f"{base}/out/intents").groupBy("channel_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("intent_id").alias("ids"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
@@ -137,8 +128,12 @@ ORACLES = {
     "streamed_dedup": "SELECT count(*) AS n, count(*) AS ids FROM events",
     "streamed_alerts": _TR,
     "streamed_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY ALL",
-    "streamed_sessions": "WITH a AS (SELECT user_id % 10 AS t, ts, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts)) >= 7200000000)::INT, 1) AS new FROM events WHERE event_type = 'error'), s AS (SELECT *, sum(new) OVER (PARTITION BY t ORDER BY ts) AS k FROM a), g AS (SELECT t, k, count(*) AS n, max(ts) + INTERVAL 2 HOUR AS e FROM s GROUP BY ALL) SELECT sum(n)::BIGINT AS alerts, count(*) AS sessions FROM g WHERE e < TIMESTAMP '2024-01-30'",
+    "streamed_sessions": "WITH a AS (SELECT user_id % 10 AS t, ts, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts)) > 7200000000)::INT, 1) AS new FROM events WHERE event_type = 'error'), s AS (SELECT *, sum(new) OVER (PARTITION BY t ORDER BY ts) AS k FROM a), g AS (SELECT t, k, count(*) AS n, max(ts) + INTERVAL 2 HOUR AS e FROM s GROUP BY ALL) SELECT sum(n)::BIGINT AS alerts, count(*) AS sessions FROM g WHERE e < TIMESTAMP '2024-01-30'",
     "streamed_exports": "SELECT CASE WHEN user_id % 7 = 0 THEN 'OL_USER' WHEN NOT value < 100 THEN 'OL_VALUE' END AS error, count(*) AS n FROM events GROUP BY 1",
     "streamed_intents": "SELECT 'ch-' || r_regionkey AS channel_id, count(*) AS n, count(*) AS ids FROM events, region WHERE event_type = 'error' AND r_regionkey <> 2 GROUP BY 1",
+    # a source is stale once the watermark, a minute behind the newest event of the folders so far, is past its last event by the limit
+    "streamed_heartbeats": """WITH w AS (SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS low, greatest(1, -(-(max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ()) // 10)) AS width FROM events WHERE ts IS NOT NULL),
+        p AS (SELECT user_id, us, least((us - low) // width, 9) AS part FROM w), l AS (SELECT k.part, user_id, max(us) AS seen FROM p, (SELECT DISTINCT part FROM p) k WHERE p.part <= k.part GROUP BY ALL), m AS (SELECT part, max(seen) AS newest FROM l GROUP BY part)
+        SELECT count(DISTINCT user_id) AS sources FROM l JOIN m USING (part) WHERE seen // 1000 + 64800000 <= newest // 1000 - 60000""",
     "streamed_unexpired": "SELECT event_id FROM events WHERE ts + INTERVAL 5 DAY > TIMESTAMP '2024-01-20'",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.identity import generation_digest
@@ -116,3 +119,16 @@ def run_filter(runs: DataFrame, workflows: list[str], since, until, column: str
 def category_counts(traces: DataFrame, session: str, category: str) -> DataFrame:
     """Counts of each session's trace categories, never content."""
     return traces.groupBy(session, category).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in spark.checkpoint.dir. Where that is unset, local mode makes one; a cluster must name it."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

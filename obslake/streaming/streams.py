@@ -101,8 +101,11 @@ def windowed_counts(stream: DataFrame, at: str, keys: list[str], lateness: str,
 
 
 def incident_sessions(stream: DataFrame, at: str, keys: list[str], lateness: str, horizon: str) -> DataFrame:
-    """(keys, opened_at, closed_at, alerts) of sessions that end after a gap of the horizon."""
-    return stream.withWatermark(at, lateness).groupBy(F.session_window(at, horizon).alias("w"), *keys).agg(F.count(F.lit(1)).alias("alerts")).select(*keys, F.col("w.start").alias("opened_at"), F.col("w.end").alias("closed_at"), "alerts")
+    """(keys, opened_at, closed_at, alerts) of sessions that end after a gap over the horizon, as in batch: one of just the horizon goes on."""
+    more = F.expr("INTERVAL 1 MICROSECOND")
+    w = F.session_window(at, F.lit(f"{horizon} 1 microsecond"))
+    per = stream.withWatermark(at, lateness).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("alerts"))
+    return per.select(*keys, F.col("w.start").alias("opened_at"), (F.col("w.end") - more).alias("closed_at"), "alerts")
 
 
 def _heartbeat(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -127,14 +130,14 @@ def stale_sources(stream: DataFrame, source: str, at: str, lateness: str, limit_
 
 
 def intents_sink(channels: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes a batch's alerts, then the intents derived from them in the same pass."""
+    """A sink that writes a batch's alerts, then the intents derived from them in the same pass, each to the batch's own folder: a repeated batch replaces what it wrote before."""
     from ..operators.alerts import alert_records, intents
 
     def sink(batch: DataFrame, number: int) -> None:
         alerts = alert_records(batch).withColumn("privacy_class", F.lit("internal")).persist()
         try:
-            alerts.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/alerts")
-            intents(alerts, channels).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/intents")
+            alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch={number}")
+            intents(alerts, channels).write.mode("overwrite").parquet(f"{path}/intents/batch={number}")
         finally:
             alerts.unpersist()
 
