@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: what is kept between the steps, under names of our own
-T_, W_, N_, C_, S_, L_, D_, R_, LS_ = "__ob_text", "__ob_words", "__ob_n", "__ob_chars", "__ob_signs", "__ob_lines", "__ob_dups", "__ob_repeats", "__ob_ls"
+T_, W_, N_, C_, S_, L_, D_, R_, LS_, Z_ = "__ob_text", "__ob_words", "__ob_n", "__ob_chars", "__ob_signs", "__ob_lines", "__ob_dups", "__ob_repeats", "__ob_ls", "__ob_z"
 
 
 #: fixed values: frequent function words of English, German, French and Spanish
@@ -59,49 +59,27 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def entropy(text: Column) -> Column:
-    """Bits a character, from the runs of the sorted characters."""
-    kinds = F.array_join(F.sort_array(F.split(text, "")), "")
-    shares = F.transform(F.regexp_extract_all(kinds, F.lit(r"(?s)(.)\1*+"), F.lit(0)), lambda run: F.char_length(run) / F.char_length(text))
-    return F.aggregate(shares, F.lit(0.0), lambda bits, share: bits - share * F.log2(share))
-
-
-def entropy_bound(text: Column) -> Column:
-    """Bits a character where all but some frequent characters count as one: never more than entropy(), and cheap."""
-    counts = F.transform(F.array(*[F.lit(c) for c in " eainorst"]), lambda c: F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit(""))))
-    term = lambda k, n: F.when(k > 0, k / n * F.log2(k / n)).otherwise(0.0)
-    start = F.struct(F.lit(0.0).alias("bits"), F.lit(0).alias("seen"), F.char_length(text).alias("n"))
-    step = lambda a, k: F.struct((a["bits"] - term(k, a["n"])).alias("bits"), (a["seen"] + k).alias("seen"), a["n"].alias("n"))
-    return F.aggregate(counts, start, step, lambda a: a["bits"] - term(a["n"] - a["seen"], a["n"]))
-
-
-def low_entropy(text: Column, least: float) -> Column:
-    """Fewer than `least` bits a character; the characters are sorted only where the bound leaves it open."""
-    return F.when(entropy_bound(text) >= least, F.lit(False)).otherwise(entropy(text) < least)
-
-
-def top_pair(words: Column, n: Column) -> Column:
-    """How often the most frequent pair of neighbouring words occurs."""
-    at = lambda i: F.element_at(words, i.cast("int"))
-    pairs = F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.xxhash64(at(i), F.coalesce(F.get(words, i.cast("int")), F.lit("")))))
+def top_window() -> Column:
+    """How often the most frequent 5-word window occurs, 0 where none occurs twice."""
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
-    def step(state, x):
-        run = F.when(state["last"] == x, state["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(run, state["best"]).alias("best"))
+    def step(state, window):
+        run = F.when(state["last"] == window["x"], state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(window["x"].alias("last"), run.alias("run"), F.greatest(run, state["best"]).alias("best"))
 
-    return F.when(n > 1, F.aggregate(pairs, start, step, lambda state: state["best"])).otherwise(F.lit(0))
+    return F.when(F.col(Z_).isNull(), F.lit(0)).otherwise(F.aggregate(F.col(Z_), start, step, lambda state: state["best"]))
 
 
 def costly_rules() -> list[Rule]:
-    """Rules that measure something of their own: hardly any function words, few kinds of characters, one pair of words again and again, lists of bullets, lines that trail off."""
+    """Rules that measure something of their own: hardly any function words, few kinds of words for the length, one window again and again, lists of bullets, lines that trail off."""
     n, lines = F.col(N_), F.col(L_)
     those = lambda pattern: F.size(F.filter(F.col(LS_), lambda x: x.rlike(pattern)))
+    kinds = F.size(F.array_distinct(F.col(W_))).cast("long")
     stops = F.size(F.filter(F.col(W_), lambda w: F.lower(w).isin(STOP_WORDS)))
     return [
         Rule("stop_words", (n >= 50) & (100 * stops < 2 * n)),
-        Rule("entropy", low_entropy(F.col(T_), 2.0)),
-        Rule("top_pair", 10 * top_pair(F.col(W_), n) > n),
+        Rule("kinds", (n >= 50) & (kinds * kinds < 4 * n)),
+        Rule("top_window", 50 * top_window() > n),
         Rule("bullets", (lines >= 3) & (10 * those(BULLET) > 9 * lines)),
         Rule("ellipsis", (lines >= 3) & (10 * those(ELLIPSIS) > 3 * lines)),
     ]
@@ -135,7 +113,7 @@ def measured(df: DataFrame, text_col: str) -> DataFrame:
 
 def with_repeats(df: DataFrame) -> DataFrame:
     """df with the number of words inside 5-word windows that occur twice or more in the text."""
-    h, s, z, p = "__ob_h", "__ob_s", "__ob_z", "__ob_p"
+    h, s, z, p = "__ob_h", "__ob_s", Z_, "__ob_p"
     out = df.withColumn(h, _hashes(F.col(W_), F.col(N_))).withColumn(s, F.sort_array(h))
     some = F.expr(f"exists(transform({s}, (x, i) -> i > 0 AND x = {s}[i - 1]), b -> b)")
     # hashes with their places, sorted: a repeated window stands next to its like
@@ -213,17 +191,15 @@ l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup,
 p AS (SELECT doc_id, s, array_to_string(w[s:s+4], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS s FROM d WHERE len(w) >= 5)),
 q AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, win) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT i) AS n_rep FROM (SELECT doc_id, unnest(generate_series(s, s + 4)) AS i FROM q WHERE c > 1) GROUP BY doc_id),
-g AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, pair, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM d WHERE len(w) > 1) GROUP BY doc_id, pair) GROUP BY doc_id),
-k AS (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(t, '(?s).')) AS ch FROM d) GROUP BY doc_id, ch),
-e AS (SELECT doc_id, -sum(c / n * log2(c / n)) AS bits FROM (SELECT doc_id, c::DOUBLE AS c, sum(c) OVER (PARTITION BY doc_id) AS n FROM k) GROUP BY doc_id),
+g AS (SELECT doc_id, max(c) AS top FROM q WHERE c > 1 GROUP BY doc_id),
 m AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses, coalesce(n_rep, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(w, lambda x: lower(x) IN (@STOPS))) AS n_stops, coalesce(top, 0) AS top, coalesce(bits, 0) AS bits
-      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN e USING (doc_id)),
+             len(list_filter(w, lambda x: lower(x) IN (@STOPS))) AS n_stops, coalesce(top, 0) AS top, len(list_distinct(w))::BIGINT AS kinds
+      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id)),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words OR n_symbols > n_words OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) OR NOT regexp_matches(t, '\p{L}')
-            OR (n_words >= 50 AND 100 * n_stops < 2 * n_words) OR bits < 2 OR 10 * top > n_words OR (n_lines >= 3 AND 10 * n_bullets > 9 * n_lines) OR (n_lines >= 3 AND 10 * n_ellipses > 3 * n_lines)) AS kept
+            OR (n_words >= 50 AND 100 * n_stops < 2 * n_words) OR (n_words >= 50 AND kinds * kinds < 4 * n_words) OR 50 * top > n_words OR (n_lines >= 3 AND 10 * n_bullets > 9 * n_lines) OR (n_lines >= 3 AND 10 * n_ellipses > 3 * n_lines)) AS kept
 FROM b
 """
 ).replace("@STOPS", _STOPS).replace("@BULLET", BULLET).replace("@ELLIPSIS", ELLIPSIS)
