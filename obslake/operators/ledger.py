@@ -18,6 +18,14 @@ def disagreements(ledger: DataFrame, files: DataFrame, fields: tuple = AGREED) -
     return both.select(F.coalesce("l.batch_id", "f.batch_id").alias("batch_id"), kind.alias("kind"), F.when(kind == "drift", F.array_join(drift, ",")).alias("fields")).where("kind IS NOT NULL")
 
 
+def supplied(segments: DataFrame, ledger: DataFrame, fields: tuple = ("record_count", "content_sha256", "byte_size", "file_sha256")) -> DataFrame:
+    """(batch_id, verdict, fields) of segments that a caller hands in: live, segment_gone without a ledger row, or segment_stale with the fields that the live row has otherwise."""
+    drift = F.array_compact(F.array(*[F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")), c) for c in fields]))
+    both = segments.alias("s").join(ledger.alias("l"), F.col("s.batch_id") == F.col("l.batch_id"), "left")
+    verdict = F.when(F.col("l.batch_id").isNull(), "segment_gone").when(F.size(drift) > 0, "segment_stale").otherwise("live")
+    return both.select(F.col("s.batch_id").alias("batch_id"), verdict.alias("verdict"), F.when(verdict == "segment_stale", F.array_join(drift, ",")).alias("fields"))
+
+
 def missing_files(ledger: DataFrame, files: DataFrame) -> DataFrame:
     return ledger.join(files, "batch_id", "left_anti")
 
@@ -87,12 +95,20 @@ def outcome_totals(results: DataFrame, ledger: DataFrame) -> DataFrame:
     return results.select("batch_id", "outcome").distinct().join(ledger.select("batch_id", "record_count"), "batch_id", "left").groupBy("outcome").agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("records"))
 
 
-def retention(expiries: DataFrame, ledger: DataFrame, now) -> DataFrame:
-    """(batch_id, state): fully_expired, mixed or live by the records' expiries; a segment without records is live."""
+def retention(expiries: DataFrame, ledger: DataFrame, now, unreadable: DataFrame | None = None, disagreeing: DataFrame | None = None) -> DataFrame:
+    """(batch_id, state): fully_expired, mixed or live by the records' expiries; a segment without records is live.
+
+    unreadable and disagreeing (batch_id): segments that can't be read, or whose file and ledger row differ; they have that state and are left alone.
+    """
     per = expiries.groupBy("batch_id").agg(F.min("expires_at").alias("_min"), F.max("expires_at").alias("_max"))
     t = F.lit(now).cast("timestamp")
     state = F.when(F.col("_max") <= t, "fully_expired").when(F.col("_min") <= t, "mixed").otherwise("live")
-    return ledger.select("batch_id").join(per, "batch_id", "left").select("batch_id", state.alias("state"))
+    out = ledger.select("batch_id").join(per, "batch_id", "left")
+    for name, marked in (("disagreeing", disagreeing), ("unreadable", unreadable)):
+        if marked is not None:
+            out = out.join(marked.select("batch_id", F.lit(1).alias(f"_{name}")).distinct(), "batch_id", "left")
+            state = F.when(F.col(f"_{name}").isNotNull(), name).otherwise(state)
+    return out.select("batch_id", state.alias("state"))
 
 
 def reclaimable(states: DataFrame, ledger: DataFrame, deliveries: DataFrame) -> DataFrame:
@@ -138,6 +154,18 @@ def reconciliation(ledger: DataFrame, files: DataFrame, fields: tuple = AGREED)
     return every.join(found, "batch_id", "left").groupBy(F.coalesce("kind", F.lit("healthy")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def reconciliation_counts(ledger: DataFrame, files: DataFrame, quarantined: DataFrame, fields: tuple = AGREED) -> DataFrame:
+    """One row: files scanned, batches registered before, adopted by this pass, quarantined (batch_id: files kept out), missing, drifted."""
+    found = disagreements(ledger, files, fields)
+    kept_out = files.join(quarantined.select("batch_id").distinct(), "batch_id", "left_semi")
+    adopted = adopted_orphans(ledger, files).join(quarantined.select("batch_id").distinct(), "batch_id", "left_anti")
+    out = None
+    for name, rows in (("scanned", files), ("registered", ledger), ("adopted", adopted), ("quarantined", kept_out), ("missing", found.where("kind = 'missing_file'")), ("drifted", found.where("kind = 'drift'"))):
+        one = rows.agg(F.count(F.lit(1)).alias(name))
+        out = one if out is None else out.join(one)
+    return out
+
+
 def unreferenced(cursors: DataFrame, ledger: DataFrame) -> DataFrame:
     """Cursors that point at no committed segment."""
     return cursors.where("batch_id IS NOT NULL").join(ledger, "batch_id", "left_anti")
@@ -157,6 +185,13 @@ def store_totals(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("records"))
 
 
+def readable_totals(ledger: DataFrame, files: DataFrame, fields: tuple = AGREED) -> DataFrame:
+    """store_totals, with how many segments and records have a file that agrees with its ledger row."""
+    bad = disagreements(ledger, files, fields).select("batch_id").distinct()
+    fine = ledger.join(bad, "batch_id", "left_anti").agg(F.count(F.lit(1)).alias("readable"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("readable_records"))
+    return store_totals(ledger).join(fine)
+
+
 def backlog(ledger: DataFrame, deliveries: DataFrame) -> DataFrame:
     """(exporter_id, segments, records, oldest) not yet delivered."""
     d = deliveries.where(F.col("delivery_status") != "delivered").join(ledger, "batch_id")
@@ -175,3 +210,14 @@ def run_summary(attempts: DataFrame) -> DataFrame:
     """(collector, drafts, committed, delivered, failed), with a total row (collector null)."""
     count = lambda c: F.sum(F.when(F.col("outcome") == c, 1).otherwise(0)).alias(c)
     return attempts.rollup("collector").agg(F.count(F.lit(1)).alias("drafts"), *[count(c) for c in ("committed", "delivered", "failed")])
+
+
+def run_totals(attempts: DataFrame, changes: DataFrame, intents: DataFrame) -> DataFrame:
+    """run_summary with the alerts fired and resolved (changes: collector, state) and the intents (collector) of each collector."""
+    fired = changes.rollup("collector").agg(*[F.sum(F.when(F.col("state") == s, 1).otherwise(0)).alias(name) for s, name in (("firing", "fired"), ("resolved", "resolved"))])
+    meant = intents.rollup("collector").agg(F.count(F.lit(1)).alias("intents"))
+    out = run_summary(attempts)
+    for more in (fired, meant):
+        more = more.withColumnRenamed("collector", "_c")
+        out = out.join(more, F.col("collector").eqNullSafe(F.col("_c")), "left").drop("_c")
+    return out.fillna(0, ["fired", "resolved", "intents"])

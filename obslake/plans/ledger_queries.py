@@ -6,7 +6,6 @@ the ledger with planted faults.
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from ..operators import alerts as AL
@@ -128,6 +127,71 @@ def ledger_disagreements(spark, d):
     return L.disagreements(ledger(spark, d), files(spark, d), _FIELDS)
 
 
+def _full(df):
+    """All fields that a file and its ledger row agree on."""
+    more = {"schema_version": "1.0", "config_generation": "g1", "scope": "target", "target_id": "t1", "privacy_class": "internal"}
+    return df.withColumns({**{c: F.lit(v) for c, v in more.items()}, "retention_days": F.lit(180)})
+
+
+def ledger_field_drift(spark, d):
+    """One field of each file differs from its ledger row, in turn, and in every 13th segment the set of its exporters."""
+    one, n = _full(ledger(spark, d)), _number("batch_id")
+    other = one
+    for k, c in enumerate(L.AGREED):
+        changed = col(c) + 1 if c in ("record_count", "byte_size", "retention_days") else F.concat(col(c), F.lit("?"))
+        other = other.withColumn(c, F.when(n % 12 == k, changed).otherwise(col(c)))
+    required = one.select("batch_id", F.when(n % 13 == 0, F.array(F.lit("a"))).when(n % 23 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("exporters"))
+    drift = L.exporter_drift(required, deliveries(spark, d)).select("batch_id", F.lit("exporters").alias("kind"), F.lit(None).cast("string").alias("fields"))
+    return L.disagreements(one, other).unionByName(drift)
+
+
+def supplied_segments(spark, d):
+    """Segments handed in again: some unknown, some with another count or digest than the live row."""
+    n = _number("batch_id")
+    s = ledger(spark, d)
+    s = s.withColumns({"record_count": F.when(n % 5 == 0, col("record_count") + 1).otherwise(col("record_count")), "content_sha256": F.when(n % 7 == 0, F.lit("x")).otherwise(col("content_sha256"))})
+    return L.supplied(s.withColumn("batch_id", F.when(n % 11 == 0, F.concat("batch_id", F.lit("?"))).otherwise(col("batch_id"))), ledger(spark, d))
+
+
+def reconciliation_counts(spark, d):
+    f = files(spark, d)
+    return L.reconciliation_counts(ledger(spark, d), f, f.where(F.length("batch_id") > 11).where(_number("batch_id") % 3 == 0), _FIELDS)
+
+
+def audited_retention(spark, d):
+    """Segments that can't be read or that differ from their ledger row are neither expired nor live."""
+    dis = L.disagreements(ledger(spark, d), files(spark, d), _FIELDS).where("kind = 'drift'")
+    return L.retention(frames(spark, d), ledger(spark, d), NOW, ledger(spark, d).where(_number("batch_id") % 17 == 0), dis)
+
+
+def readable_totals(spark, d):
+    return L.readable_totals(ledger(spark, d), files(spark, d), _FIELDS)
+
+
+def run_totals(spark, d):
+    """Per collector and in all: drafts and what became of them, alerts fired and resolved, and an intent for each fire."""
+    e = table(spark, d, "events").select(collector_of(col("user_id") % 20).alias("collector"), F.when(col("event_type") == "error", "failed").when(col("event_type") == "purchase", "committed").otherwise("delivered").alias("outcome"))
+    t = AL.transitions(_samples(spark, d, 0)).withColumn("collector", F.concat(F.lit("c"), F.substring_index("rule_id", "-", -1)))
+    return L.run_totals(e, t, t.where("state = 'firing'"))
+
+
+def trusted_segments(spark, d):
+    """Records written as JSON lines and read back: their identity is derived anew, and a batch with a changed record is not trusted."""
+    from ..functions import identity as I
+
+    r = I.finalize(A.event_drafts(table(spark, d, "events").where("event_type = 'error'")), A.INSTALLATION)
+    n = col("source_event_id").cast("long")
+    r = r.withColumn("name", F.when(n % 97 == 0, "source.other").otherwise(col("name")))
+    meta = r.select(F.lit("events").alias("source_id"), F.date_format("occurred_at", _DAY).alias("day"), "scope", col("target")["id"].alias("target_id"), F.lit("internal").alias("privacy_class"), "record_type", F.concat(F.lit("r"), n).alias("record_id"), F.to_json(F.struct(*r.columns)).alias("line"))
+    path = shared_folder(spark, "trusted")
+    S.write(*S.build(meta, ["record_id"], 20), path)
+    head, body, _ = S.scan(spark, path)
+    checked = I.verify_identity(body.select(F.from_json("line", r.schema).alias("r")).select("r.*"), A.INSTALLATION)
+    ok = checked.select(col("record_id").alias("token"), (col("id_ok") & col("dedupe_ok") & col("content_ok")).alias("identity_ok"))
+    good, trusted = S.trusted(head, body.withColumn("token", F.get_json_object("line", "$.record_id")).join(ok, "token"), col("identity_ok"))
+    return good.agg(F.count(F.lit(1)).alias("batches")).join(trusted.agg(F.count(F.lit(1)).alias("frames")))
+
+
 def ledger_missing(spark, d):
     return L.missing_files(ledger(spark, d), files(spark, d)).select("batch_id")
 
@@ -341,6 +405,16 @@ ORACLES = {
     "integrity_report": _W + "SELECT batch_id, code IS NULL AS intact, code FROM (SELECT batch_id, CASE WHEN k % 41 = 2 THEN 'OL_SEGMENT_MISSING' ELSE least(CASE WHEN k % 37 = 1 THEN 'OL_SEGMENT_LEDGER' END, CASE WHEN k % 47 = 4 AND record_count > 1 THEN 'OL_SEGMENT_SEQUENCE' WHEN k % 43 = 3 THEN 'OL_SEGMENT_DIGEST' END) END AS code FROM l)",
     "json_sources": "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'OL_SOURCE_JSON' WHEN o_orderkey % 11 = 0 THEN 'OL_SOURCE_LARGE' END AS error, CASE WHEN o_orderkey % 10 <> 0 AND o_orderkey % 11 <> 0 THEN o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2",
     "ledger_disagreements": _W + "SELECT batch_id, kind, CASE WHEN kind = 'drift' THEN 'byte_size' END AS fields FROM dis WHERE kind IS NOT NULL",
+    "ledger_field_drift": _W + f"SELECT batch_id, 'drift' AS kind, ({list(L.AGREED)})[k % 12 + 1] AS fields FROM l WHERE k % 12 < 11 UNION ALL SELECT batch_id, 'exporters', NULL FROM l WHERE k % 13 = 0",
+    "supplied_segments": _W + "SELECT batch_id || CASE WHEN k % 11 = 0 THEN '?' ELSE '' END AS batch_id, CASE WHEN k % 11 = 0 THEN 'segment_gone' WHEN k % 5 = 0 OR k % 7 = 0 THEN 'segment_stale' ELSE 'live' END AS verdict, CASE WHEN k % 11 > 0 AND (k % 5 = 0 OR k % 7 = 0) THEN concat_ws(',', CASE WHEN k % 5 = 0 THEN 'record_count' END, CASE WHEN k % 7 = 0 THEN 'content_sha256' END) END AS fields FROM l",
+    "reconciliation_counts": _W + "SELECT (SELECT count(*) FROM x) AS scanned, (SELECT count(*) FROM l) AS registered, (SELECT count(*) FROM x WHERE k % 40 = 7 AND k % 3 <> 0) AS adopted, (SELECT count(*) FROM x WHERE k % 40 = 7 AND k % 3 = 0) AS quarantined, (SELECT count(*) FROM dis WHERE kind = 'missing_file') AS missing, (SELECT count(*) FROM dis WHERE kind = 'drift') AS drifted",
+    "audited_retention": _W + "SELECT st.batch_id, CASE WHEN k % 17 = 0 THEN 'unreadable' WHEN kind = 'drift' THEN 'disagreeing' ELSE state END AS state FROM st JOIN l USING (batch_id) LEFT JOIN dis ON dis.batch_id = st.batch_id AND kind = 'drift'",
+    "readable_totals": _W + "SELECT count(*) AS segments, sum(record_count)::BIGINT AS records, count(*) FILTER (kind IS NULL) AS readable, (sum(record_count) FILTER (kind IS NULL))::BIGINT AS readable_records FROM l LEFT JOIN dis USING (batch_id)",
+    "run_totals": f"""WITH {_ALERT}, d AS (SELECT 'c' || (user_id % 20) AS collector, event_type FROM events), a AS (SELECT collector, count(*) AS drafts, count(*) FILTER (event_type = 'purchase') AS committed, count(*) FILTER (event_type NOT IN ('error', 'purchase')) AS delivered, count(*) FILTER (event_type = 'error') AS failed FROM d GROUP BY ROLLUP (collector)),
+        b AS (SELECT 'c' || string_split(rule_id, '-')[2] AS collector, count(*) FILTER (state = 'firing') AS fired, count(*) FILTER (state = 'resolved') AS resolved FROM tr GROUP BY ROLLUP (1))
+        SELECT a.*, coalesce(fired, 0) AS fired, coalesce(resolved, 0) AS resolved, coalesce(fired, 0) AS intents FROM a LEFT JOIN b ON a.collector IS NOT DISTINCT FROM b.collector""",
+    "trusted_segments": """WITH n AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, user_id % 10 AS t, (row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), user_id % 10 ORDER BY 'r' || event_id) - 1) // 20 AS c FROM events WHERE event_type = 'error'), b AS (SELECT count(*) AS k, bool_or(event_id % 97 = 0) AS bad FROM n GROUP BY day, t, c)
+        SELECT count(*) FILTER (NOT bad) AS batches, (sum(k) FILTER (NOT bad))::BIGINT AS frames FROM b""",
     "ledger_missing": _W + "SELECT batch_id FROM dis WHERE kind = 'missing_file'",
     "ledger_orphans": _W + "SELECT batch_id, day, 'reconciled' AS origin, day AS committed_on FROM x WHERE k % 40 = 7 AND NOT (month(day::DATE) = 3 AND day(day::DATE) > 15)",
     "duplicate_batches": _W + "SELECT batch_id, p AS path, CASE WHEN p = 'p1' AND k % 40 <> 7 THEN 'healthy' WHEN month(day::DATE) > 6 THEN 'conflict_divergent' ELSE 'conflict_duplicate' END AS status FROM x, (VALUES ('p1'), ('p2')) v(p) WHERE day(day::DATE) = 9",
