@@ -6,9 +6,10 @@ Frames carry their sequence, so a segment is scanned by line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.values import RETENTION_DAYS
+from ..operators.numbering import numbered
 
 HEADER = "batch_id STRING, day STRING, schema_version STRING, scope STRING, target_id STRING, privacy_class STRING, retention_days INT, record_count BIGINT, content_sha256 STRING"
 FRAME = "batch_id STRING, sequence BIGINT, scope STRING, target_id STRING, privacy_class STRING, record_id STRING, record STRING"
@@ -28,10 +29,12 @@ def content_digest(frames: DataFrame, key: str = "batch_id", sequence: str = "se
 def batched(records: DataFrame, order: list[str], most: int = 1000) -> DataFrame:
     """records with `chunk` and `sequence` (from 1): homogeneous batches of at most `most` records of one source and day.
 
-    Rows are numbered in their group by the order; a group past `most` rows goes on in further chunks.
+    Rows are numbered in their group by the order; a group past `most` rows goes on in further chunks. The numbers come
+    from ranges and prefix sums, so a source's whole day needs no task of its own.
     """
-    n = F.row_number().over(W.partitionBy("source_id", "day", *BATCH).orderBy(*order)) - 1
-    return records.withColumn("_n", n).withColumns({"chunk": F.floor(F.col("_n") / most).cast("int"), "sequence": (F.col("_n") % most + 1).cast("long")}).drop("_n")
+    rows = numbered(records, ["source_id", "day", *BATCH], order, "_n")
+    n = F.col("_n") - 1
+    return rows.withColumns({"chunk": F.floor(n / most).cast("int"), "sequence": (n % most + 1).cast("long")}).drop("_n")
 
 
 def batch_ids(batches: DataFrame, keys: list[str]) -> DataFrame:
