@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +66,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables of one run in the shared folder, removed at its end but for the result."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.folders: dict[int, str] = {}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        for folder in self.folders.values():
+            self._remove(folder)
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as a table: written, its lineage cut, read again."""
+        self.n += 1
+        folder = f"{self.base}/{self.n}"
+        df.write.option("compression", "zstd").parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[id(out)] = folder
+        out._scratch = self  # keeps the id in use
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table that nothing will read any more."""
+        self._remove(self.folders.pop(id(df)))
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df as a table that stays."""
+        out = self.keep(df)
+        self.folders.pop(id(out))
+        return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard_join, language_id, lm_score, piece_bpe, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, html_text, jaccard_join, language_id, lm_score, phrases, piece_bpe, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 _OPERATORS = {
     "op1_ngram_jaccard_join": jaccard_join,
@@ -15,6 +15,7 @@ _OPERATORS = {
     "op8_quality_rules": quality_rules,
     "op9_lm_score": lm_score,
     "op10_decontamination": decontaminate,
+    "op13_phrase_collocations": phrases,
 }
 QUERIES = {**{name: m.query for name, m in _OPERATORS.items()}, "lm_base_score": lm_score.base_query}
 ORACLES = {**{name: m.ORACLE for name, m in _OPERATORS.items() if getattr(m, "ORACLE", None)}, "lm_base_score": lm_score.BASE_ORACLE}
