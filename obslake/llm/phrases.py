@@ -35,7 +35,7 @@ from .common import Scratch, release
 from .text import BYTE_LOWER, Words, chunks, column_bytes
 
 #: bytes of text in a slice, side of a tile, positions in a counting buffer
-SLICE, TILE, BUFFER = 16 << 20, 1024, 2 << 20
+SLICE, TILE, BUFFER = 4 << 20, 1024, 1 << 20
 #: tiles on a side among which dense ones are looked for; hits that make a tile dense
 CORNER, DENSE = 64, TILE * TILE // 16
 #: fixed values: what ends a piece, and what ends a word
