@@ -2,8 +2,8 @@
 
 samples(rule_id, rule_version, target, sampled_at, record_id NULL, outcome); rules
 give failures to fire, successes to resolve, and a cooldown in seconds.  Without a
-cooldown the transitions are window functions; with one each key is folded in
-order, in batches of whole keys.
+cooldown the transitions are window functions; with one they are a scan over ranges
+of samples (see cooldown). fold is the same on one key, as streams need it.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import cooldown
 from ..functions.identity import alert_key, intent_id, transition_id
 from ..functions.values import configuration
 
-KEY = ("rule_id", "rule_version", "target")
-EMITTED = "rule_id string, rule_version int, target string, sampled_at timestamp, record_id string, previous_state string, state string, revision bigint"
+KEY, EMITTED = cooldown.KEY, cooldown.EMITTED
 SUMMARIES = {"firing": "Alert is firing", "resolved": "Alert is resolved"}
 
 
@@ -45,7 +45,7 @@ def transitions(samples: DataFrame) -> DataFrame:
     return s.where(changed).select(*KEY, "sampled_at", "record_id", F.when(F.col("_seen"), F.col("_prev")).otherwise("inactive").alias("previous_state"), "state", "revision")
 
 
-def fold(state: dict | None, samples: Iterator[tuple], failures: int, successes: int, cooldown: float):
+def fold(state: dict | None, samples: Iterator[tuple], failures: int, successes: int, pause: float):
     """Folds (time, record_id, outcome) in order into the state; yields (time, record_id, previous, state, revision).
 
     The state is {state, fails, wins, until, revision}; a fire sets until, and no fire comes before it.
@@ -60,25 +60,16 @@ def fold(state: dict | None, samples: Iterator[tuple], failures: int, successes:
             continue
         if failed and now["state"] != "firing" and now["fails"] >= failures and (now["until"] is None or at >= now["until"]):
             out.append((at, record, now["state"], "firing", now["revision"]))
-            now["state"], now["until"] = "firing", at + pd.Timedelta(seconds=cooldown)
+            now["state"], now["until"] = "firing", at + pd.Timedelta(seconds=pause)
         elif not failed and now["state"] == "firing" and now["wins"] >= successes:
             out.append((at, record, "firing", "resolved", now["revision"]))
             now["state"] = "resolved"
     return now, out
 
 
-def _fold_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["sampled_at", "record_id"], na_position="first")
-    first = pdf.iloc[0]
-    rows = zip(pdf["sampled_at"], pdf["record_id"].where(pdf["record_id"].notna(), None), pdf["outcome"])
-    _, out = fold(None, rows, int(first["consecutive_failures"]), int(first["consecutive_successes"]), float(first["cooldown_seconds"]))
-    return pd.DataFrame([(*key, *o) for o in out], columns=[c.split()[0] for c in EMITTED.split(", ")])
-
-
 def transitions_with_cooldown(samples: DataFrame) -> DataFrame:
-    """State changes with a cooldown: sequential in each rule and target, so folded there."""
-    cols = [*KEY, "sampled_at", "record_id", "outcome", "consecutive_failures", "consecutive_successes", "cooldown_seconds"]
-    return samples.select(*cols).groupBy(*KEY).applyInPandas(_fold_group, EMITTED)
+    """State changes with a cooldown, over ranges of samples: see cooldown."""
+    return cooldown.transitions(samples)
 
 
 def late_guard(samples: DataFrame, arrival: str) -> DataFrame:
