@@ -14,7 +14,7 @@ are exact and per language.
   pair numbers: neighbours in that stream overlap, so a pair of pairs is a phrase of three words, and so on. A
   phrase is only counted where both phrases inside it are frequent, which a frequent phrase's parts always are.
 
-No table goes whole to the driver or to a task by our own hand: numbers reach the slices by joins on words or pairs.
+Numbers reach the slices by joins on words or pairs: sent to all tasks while they are 32 MB at most, by shuffle beyond.
 
 Edge cases: null, empty and separator-only texts have no words; a null language is `und`, the same as a language of that
 name; repeated rows count each time; very long texts are a slice of their own; ties in score go by count, then phrase;
@@ -28,7 +28,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.numbering import numbered
 from .common import Scratch, release
@@ -38,6 +38,8 @@ from .text import BYTE_LOWER, Words, chunks, column_bytes
 SLICE, TILE, BUFFER = 4 << 20, 1024, 1 << 20
 #: tiles on a side among which dense ones are looked for; hits that make a tile dense
 CORNER, DENSE = 64, TILE * TILE // 16
+#: bytes of a table of numbers that is sent to all tasks at most, and what its row weighs besides texts
+SMALL, ROW = 32 << 20, 64
 #: fixed values: what ends a piece, and what ends a word
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -214,7 +216,7 @@ def _rewritten(lang, k: int, stream: np.ndarray) -> pa.Table:
 
 
 def in_word_numbers(slices: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The streams in the numbers of frequent words. numbers: (s, k, id) for a slice s, k a slice's own number."""
+    """The streams in the numbers of frequent words. numbers: (s, k, id) for a slice s, k a slice's own number, id BREAK for an infrequent word."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -257,6 +259,12 @@ def _ranked(df: DataFrame) -> DataFrame:
     return numbered(df, [], ["lang", F.desc("f"), "phrase"], "id")
 
 
+def _small_or_not(numbers: DataFrame, text: Column | None = None) -> DataFrame:
+    """numbers, sent to all tasks where they are SMALL bytes at most; else left to a join by shuffle."""
+    size = numbers.agg(F.sum(F.lit(ROW) + (F.lit(0) if text is None else text))).first()[0] or 0
+    return F.broadcast(numbers) if size <= SMALL else numbers
+
+
 def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, longest: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(totals, phrases): (lang, n) over all words, and (lang, phrase, m, f) of all phrases of up to `longest` words that occur `least` times or more."""
     slices = scratch.keep(sliced(docs, text_col, lang_col))
@@ -264,7 +272,8 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, lon
     totals = scratch.keep(slices.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("c")).groupBy("lang").agg(F.sum("c").alias("n")))
     counted = words.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     level = scratch.keep(_ranked(counted.withColumn("last", F.col("phrase"))))
-    numbers = words.join(level.select("lang", "phrase", "id"), ["lang", "phrase"]).select(F.col("slice").alias("s"), "k", "id")
+    known = _small_or_not(level.select("lang", "phrase", "id"), F.octet_length("lang") + F.octet_length("phrase"))
+    numbers = words.join(known, ["lang", "phrase"], "left").select(F.col("slice").alias("s"), "k", F.coalesce("id", F.lit(BREAK)).alias("id"))
     streams = scratch.keep(in_word_numbers(slices, numbers))
     phrases = [level.select("lang", "phrase", F.lit(1).alias("m"), "f")]
     for m in range(2, longest + 1):
@@ -275,7 +284,7 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, lon
         level = scratch.keep(_ranked(named))
         phrases.append(level.select("lang", "phrase", F.lit(m).alias("m"), "f"))
         if m < longest:
-            found = distinct_pairs(streams).join(level.select("l", "r", "id"), ["l", "r"]).select(F.col("slice").alias("s"), "l", "r", "id")
+            found = distinct_pairs(streams).join(_small_or_not(level.select("l", "r", "id")), ["l", "r"]).select(F.col("slice").alias("s"), "l", "r", "id")
             before, streams = streams, scratch.keep(in_pair_numbers(streams, found))
             scratch.drop(before)
     out = phrases[0]

@@ -51,6 +51,13 @@ def test_against_a_plain_count(spark, least, longest, most):
     assert sorted(map(tuple, got.collect())) == brute(rows, least, longest, most)
 
 
+def test_numbers_by_shuffle_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(P, "SMALL", -1)
+    rows = texts(9)
+    got = P.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3), least=4, longest=4)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 4, 2000)
+
+
 def test_small_slices_buffers_and_tiles_give_the_same(spark, monkeypatch):
     """Many slices, many buffers, tiles of four by four, all dense or none: one result. Run in this process, over the same functions."""
     r = np.random.default_rng(5)
