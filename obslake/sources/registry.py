@@ -1,4 +1,4 @@
-"""Collectors and exporters by name: callables in a dictionary."""
+"""Collectors and exporters by name: callables in a dictionary. See protocols for those that run as data sources."""
 
 from __future__ import annotations
 
@@ -36,8 +36,3 @@ def collect(registry: Registry, name: str, spark: SparkSession, config: dict) ->
     if n > config.get("most_drafts", MOST_DRAFTS):
         raise ValueError("OL_COLLECTOR_DRAFTS")
     return drafts
-
-
-def export(registry: Registry, name: str, batch: DataFrame, number: int) -> None:
-    """Hands a batch to an exporter, a callable of (batch, number) as foreachBatch takes."""
-    registry.resolve(name)(batch, number)
