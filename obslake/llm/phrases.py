@@ -14,7 +14,7 @@ are exact and per language.
   pair numbers: neighbours in that stream overlap, so a pair of pairs is a phrase of three words, and so on. A
   phrase is only counted where both phrases inside it are frequent, which a frequent phrase's parts always are.
 
-Numbers reach the slices by joins on words or pairs: sent to all tasks while they are 32 MB at most, by shuffle beyond.
+Numbers go to all tasks while they are 32 MB at most. Beyond that they reach the slices by joins on words or pairs.
 
 Edge cases: null, empty and separator-only texts have no words; a null language is `und`, the same as a language of that
 name; repeated rows count each time; very long texts are a slice of their own; ties in score go by count, then phrase;
@@ -215,43 +215,99 @@ def _rewritten(lang, k: int, stream: np.ndarray) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["slice", "lang", "stream"])
 
 
-def in_word_numbers(slices: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The streams in the numbers of frequent words. numbers: (s, k, id) for a slice s, k a slice's own number, id BREAK for an infrequent word."""
+class Known:
+    """Frequent pairs with their numbers, for looking up."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, ids: np.ndarray):
+        self.parts = np.unique(np.concatenate([left, right]))
+        key = np.searchsorted(self.parts, left) * len(self.parts) + np.searchsorted(self.parts, right)
+        order = np.argsort(key)
+        self.key, self.ids = key[order], ids[order]
+
+    def rewritten(self, x: np.ndarray) -> np.ndarray:
+        """The stream in the numbers of its pairs, each at its first phrase's place, all else a break."""
+        out = np.full(len(x), BREAK, np.int64)
+        at = neighbours(x)
+        if len(self.key) and len(at):
+            place = [np.minimum(np.searchsorted(self.parts, v), len(self.parts) - 1) for v in (x[at], x[at + 1])]
+            mine = place[0] * len(self.parts) + place[1]
+            got = np.minimum(np.searchsorted(self.key, mine), len(self.key) - 1)
+            there = (self.parts[place[0]] == x[at]) & (self.parts[place[1]] == x[at + 1]) & (self.key[got] == mine)
+            out[at[there]] = self.ids[got[there]]
+        return out
+
+
+def _mapped(streams: DataFrame, columns: list[str], rewrite) -> DataFrame:
+    """Streams rewritten row by row; rewrite(row of Arrow scalars) gives the new stream."""
+
+    def work(batches):
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in columns]):
+                yield from _rewritten(row[1].as_py(), row[0].as_py(), rewrite(*row)).to_batches()
+        release()
+
+    return streams.select(*columns).mapInArrow(work, STREAM)
+
+
+def _sent(numbers: DataFrame, text: Column | None = None):
+    """numbers as a broadcast Arrow table where it has SMALL bytes at most, else None: then they go by a join."""
+    size = numbers.agg(F.sum(F.lit(ROW) + (F.lit(0) if text is None else text))).first()[0] or 0
+    return numbers.sparkSession.sparkContext.broadcast(numbers.toArrow()) if size <= SMALL else None
+
+
+def in_word_numbers(slices: DataFrame, level: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
+    """The streams in the numbers of the frequent words of level(lang, phrase, id). words(slice, lang, k, phrase): k is a slice's own number."""
+    level = level.select("lang", "phrase", "id")
+    sent = _sent(level, F.octet_length("lang") + F.octet_length("phrase"))
+    if sent is not None:
+
+        def rewrite(k, lang, stream, names):
+            table = sent.value.filter(pc.equal(sent.value.column("lang"), lang.as_py()))
+            place = pc.index_in(names.values.cast(table.schema.field("phrase").type), table.column("phrase"))
+            ids = np.append(table.column("id").to_numpy(), BREAK)
+            to = np.append(ids[pc.fill_null(place, -1).to_numpy(zero_copy_only=False)], BREAK)  # the last stands for breaks
+            return to[_decoded(stream)]
+
+        out = scratch.keep(_mapped(slices, ["slice", "lang", "stream", "words"], rewrite))
+        sent.destroy()
+        return out
+    numbers = words.join(level, ["lang", "phrase"], "left").select(F.col("slice").alias("s"), "k", F.coalesce("id", F.lit(BREAK)).alias("id"))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return _rewritten("", 0, np.zeros(0, np.int64))
         x, own, ids = _decoded(left.column("stream")[0]), right.column("k").to_numpy(), right.column("id").to_numpy()
-        to = np.full(max(int(x.max(initial=0)), int(own.max(initial=0))) + 2, BREAK, np.int64)  # the last stands for breaks
+        to = np.full(int(own.max()) + 2, BREAK, np.int64)
         to[own] = ids
         return _rewritten(left.column("lang")[0].as_py(), left.column("slice")[0].as_py(), to[x])
 
-    return slices.select("slice", "lang", "stream").groupBy("slice").cogroup(numbers.groupBy("s")).applyInArrow(work, STREAM)
+    return scratch.keep(slices.select("slice", "lang", "stream").groupBy("slice").cogroup(numbers.groupBy("s")).applyInArrow(work, STREAM))
+
+
+def in_pair_numbers(streams: DataFrame, level: DataFrame, scratch: Scratch) -> DataFrame:
+    """The streams in the numbers of the frequent pairs of level(l, r, id), each at its first phrase's place."""
+    level = level.select("l", "r", "id")
+    sent = _sent(level)
+    if sent is not None:
+        made: list[Known] = []
 
+        def rewrite(k, lang, stream):
+            if not made:
+                made.append(Known(*[sent.value.column(c).to_numpy() for c in ("l", "r", "id")]))
+            return made[0].rewritten(_decoded(stream))
 
-def in_pair_numbers(streams: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The streams in the numbers of frequent pairs, each at its first phrase's place. numbers: (s, l, r, id) for a slice s."""
+        out = scratch.keep(_mapped(streams, ["slice", "lang", "stream"], rewrite))
+        sent.destroy()
+        return out
+    numbers = distinct_pairs(streams).join(level, ["l", "r"]).select(F.col("slice").alias("s"), "l", "r", "id")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _rewritten("", 0, np.zeros(0, np.int64))
-        x = _decoded(left.column("stream")[0])
-        l, r, ids = (right.column(c).to_numpy() for c in ("l", "r", "id"))  # noqa: E741
-        known = np.unique(np.concatenate([l, r]))
-        key = np.searchsorted(known, l) * len(known) + np.searchsorted(known, r)
-        order = np.argsort(key)
-        key, ids = key[order], ids[order]
-        at = neighbours(x)
-        place = [np.minimum(np.searchsorted(known, v), len(known) - 1) for v in (x[at], x[at + 1])]
-        there = (known[place[0]] == x[at]) & (known[place[1]] == x[at + 1])
-        mine = place[0] * len(known) + place[1]
-        got = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-        there &= key[got] == mine
-        out = np.full(len(x), BREAK, np.int64)
-        out[at[there]] = ids[got[there]]
-        return _rewritten(left.column("lang")[0].as_py(), left.column("slice")[0].as_py(), out)
+        known = Known(*[right.column(c).to_numpy() for c in ("l", "r", "id")])
+        return _rewritten(left.column("lang")[0].as_py(), left.column("slice")[0].as_py(), known.rewritten(_decoded(left.column("stream")[0])))
 
-    return streams.groupBy("slice").cogroup(numbers.groupBy("s")).applyInArrow(work, STREAM)
+    return scratch.keep(streams.groupBy("slice").cogroup(numbers.groupBy("s")).applyInArrow(work, STREAM))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -259,12 +315,6 @@ def _ranked(df: DataFrame) -> DataFrame:
     return numbered(df, [], ["lang", F.desc("f"), "phrase"], "id")
 
 
-def _small_or_not(numbers: DataFrame, text: Column | None = None) -> DataFrame:
-    """numbers, sent to all tasks where they are SMALL bytes at most; else left to a join by shuffle."""
-    size = numbers.agg(F.sum(F.lit(ROW) + (F.lit(0) if text is None else text))).first()[0] or 0
-    return F.broadcast(numbers) if size <= SMALL else numbers
-
-
 def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, longest: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(totals, phrases): (lang, n) over all words, and (lang, phrase, m, f) of all phrases of up to `longest` words that occur `least` times or more."""
     slices = scratch.keep(sliced(docs, text_col, lang_col))
@@ -272,9 +322,7 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, lon
     totals = scratch.keep(slices.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("c")).groupBy("lang").agg(F.sum("c").alias("n")))
     counted = words.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     level = scratch.keep(_ranked(counted.withColumn("last", F.col("phrase"))))
-    known = _small_or_not(level.select("lang", "phrase", "id"), F.octet_length("lang") + F.octet_length("phrase"))
-    numbers = words.join(known, ["lang", "phrase"], "left").select(F.col("slice").alias("s"), "k", F.coalesce("id", F.lit(BREAK)).alias("id"))
-    streams = scratch.keep(in_word_numbers(slices, numbers))
+    streams = in_word_numbers(slices, level, words, scratch)
     phrases = [level.select("lang", "phrase", F.lit(1).alias("m"), "f")]
     for m in range(2, longest + 1):
         pairs = scratch.keep(pair_counts(streams).groupBy("l", "r").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
@@ -284,8 +332,7 @@ def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, least: int, lon
         level = scratch.keep(_ranked(named))
         phrases.append(level.select("lang", "phrase", F.lit(m).alias("m"), "f"))
         if m < longest:
-            found = distinct_pairs(streams).join(_small_or_not(level.select("l", "r", "id")), ["l", "r"]).select(F.col("slice").alias("s"), "l", "r", "id")
-            before, streams = streams, scratch.keep(in_pair_numbers(streams, found))
+            before, streams = streams, in_pair_numbers(streams, level, scratch)
             scratch.drop(before)
     out = phrases[0]
     for p in phrases[1:]:
