@@ -39,25 +39,39 @@ def apply_proposals(current: DataFrame, proposals: DataFrame) -> tuple[DataFrame
     return current.join(won.select("item_id"), "item_id", "left_anti").select("item_id", "state", "revision").unionByName(won), at.select("item_id", "request_id", "at", result.alias("result"))
 
 
+#: seconds of the shortest span, by how much a span is longer than the one below it, and the number of spans (60 s to 32 years)
+SPAN, STEP, SPANS = 60, 4, 13
+
+
+def _span(seconds: Column) -> Column:
+    """The least span that a window fits in."""
+    return sum(((seconds > SPAN * STEP**k).cast("int") for k in range(SPANS - 1)), F.lit(0))
+
+
 def observations(specs: DataFrame, records: DataFrame) -> DataFrame:
-    """Records that a specification looks at: its target, names and window, with lateness, before the deadline, and its dimensions where both sides have them.
+    """Records that a specification looks at: its target, names and window, with lateness, before the deadline, and its dimensions.
 
-    A range join in buckets of time: a specification stands in each bucket of its window, of about the median window's
-    length, so that it meets the records of its target, names and time only.
+    A range join over nested spans of time, each four times the one below: a specification stands in the two buckets at most that
+    its window touches on the span it fits in, however long it is, and a record in one bucket of each span that is in use. So
+    a year's window beside a minute's costs two rows, and both meet only records of their target, names and time.
+    A dimension that a specification names must be there with its value; one that names none takes all.
     """
     ended = F.col("created_at") + F.make_dt_interval(secs=F.col("window_seconds").cast("decimal(18,6)"))
     last = F.least(ended + F.make_dt_interval(secs=F.col("lateness_seconds").cast("decimal(18,6)")), F.col("deadline"))
-    width = max(60, specs.agg(F.percentile_approx("window_seconds", 0.5)).first()[0] or 0)
-    bucket = lambda at: F.floor(F.unix_seconds(at) / width)
-    both = "dimensions" in specs.columns and "dimensions" in records.columns
-    s = specs.select(
-        "item_id", "target_id", F.explode(F.array_distinct("names")).alias("name"), F.col("created_at").alias("_from"), ended.alias("_to"), last.alias("_last"), *([F.col("dimensions").alias("_dims")] if both else []),
-    ).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
-    r = records.withColumn("_bucket", bucket(F.col("occurred_at").cast("timestamp")))
-    out = r.join(s, ["target_id", "name", "_bucket"]).where(F.col("occurred_at").between(F.col("_from"), F.col("_to")) & (F.col("ingested_at") <= F.col("_last")))
-    if both:
-        out = out.where(F.coalesce(F.forall(F.map_entries("_dims"), lambda e: F.element_at("dimensions", e["key"]) == e["value"]), F.lit(True)))
-    return out.select("item_id", "name", "status", "value", "occurred_at", "record_id")
+    width = lambda span: F.lit(SPAN) * F.pow(F.lit(STEP), span).cast("long")
+    bucket = lambda at, span: F.floor(F.unix_seconds(at) / width(span))
+    dims = F.col("dimensions") if "dimensions" in specs.columns else F.lit(None).cast("map<string,string>")
+    have = F.col("dimensions") if "dimensions" in records.columns else F.lit(None).cast("map<string,string>")
+    s = specs.withColumn("_span", _span(F.col("window_seconds")))
+    used = [r["_span"] for r in s.select("_span").distinct().collect()]  # SPANS at most
+    s = s.select(
+        "item_id", "target_id", "_span", F.explode(F.array_distinct("names")).alias("name"), F.col("created_at").alias("_from"), ended.alias("_to"), last.alias("_last"), dims.alias("_dims"),
+    ).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from"), F.col("_span")), bucket(F.col("_to"), F.col("_span")))))
+    r = records.withColumn("_have", have).withColumn("_span", F.explode(F.array(*[F.lit(k) for k in sorted(used)]).cast("array<int>")))
+    r = r.withColumn("_bucket", bucket(F.col("occurred_at").cast("timestamp"), F.col("_span")))
+    out = r.join(s, ["target_id", "name", "_span", "_bucket"]).where(F.col("occurred_at").between(F.col("_from"), F.col("_to")) & (F.col("ingested_at") <= F.col("_last")))
+    fits = F.forall(F.map_entries("_dims"), lambda e: F.coalesce(F.element_at("_have", e["key"]) == e["value"], F.lit(False)))
+    return out.where(F.coalesce(fits, F.lit(True))).select("item_id", "name", "status", "value", "occurred_at", "record_id")
 
 
 def verified(specs: DataFrame, records: DataFrame, now) -> DataFrame:

@@ -148,6 +148,15 @@ def verification_observations(spark, d):
     return FB.observations(_specs(spark, d), _named(spark, d)).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def verification_dimensions(spark, d):
+    """Windows from a minute to a year side by side, a third of them with a dimension that records must have."""
+    span = F.element_at(F.array(*[F.lit(x) for x in (60, 3_600, 43_200, 2_592_000, 31_536_000)]), (col("item_id") % 5 + 1).cast("int"))
+    k = F.when(col("item_id") % 3 == 0, F.create_map(F.lit("shard"), (col("item_id") % 4).cast("string")))
+    specs = _specs(spark, d).withColumns({"window_seconds": span, "deadline": col("created_at") + F.expr("INTERVAL 400 DAY"), "dimensions": k})
+    shard = F.when(col("event_id") % 8 < 7, F.create_map(F.lit("shard"), (col("event_id") % 4).cast("string")))
+    return FB.observations(specs, _named(spark, d).withColumn("dimensions", shard)).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("records"))
+
+
 def _errors(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").select(F.lit("g").alias("group_id"), target_of(col("user_id")).alias("target"), col("ts").alias("at"), F.when(col("value") > 60, "critical").when(col("value") > 20, "error").otherwise("warning").alias("severity"), col("event_id").alias("alert_id"))
 
@@ -235,6 +244,10 @@ ORACLES = {
     "lifecycle_states": f"WITH {_LIFE} SELECT item_id, t AS state, revision + 1 AS revision FROM k WHERE won UNION ALL SELECT item_id, state, revision FROM c WHERE item_id NOT IN (SELECT item_id FROM k WHERE won)",
     "lifecycle_results": f"WITH {_LIFE} SELECT CASE WHEN won THEN 'applied' WHEN state IS NULL THEN 'unknown_item' WHEN again THEN 'repeated' WHEN ex <> revision THEN 'stale' WHEN fits THEN 'lost' ELSE 'edge' END AS result, count(*) AS n FROM k GROUP BY 1",
     "verification_observations": f"WITH {_NAMED}, {_SPECS} SELECT item_id, count(*) AS n FROM o GROUP BY 1",
+    "verification_dimensions": f"""WITH {_NAMED}, s AS (SELECT p_partkey AS item_id, 't' || (p_partkey % 10) AS target_id, CASE WHEN p_partkey % 2 = 0 THEN 'view' ELSE 'click' END AS other, TIMESTAMP '2024-01-01' + to_seconds(p_partkey * 1000) AS c,
+            ([60, 3600, 43200, 2592000, 31536000])[p_partkey % 5 + 1] AS w FROM part)
+        SELECT item_id, count(*) AS n, count(DISTINCT record_id) AS records FROM r JOIN s ON s.target_id = r.target_id AND r.name IN ('error', other) AND r.occurred_at BETWEEN c AND c + to_seconds(w) AND r.ingested_at <= c + to_seconds(w + 7200)
+        WHERE item_id % 3 <> 0 OR (event_id % 8 < 7 AND event_id % 4 = item_id % 4) GROUP BY 1""",
     "verification_outcomes": f"""WITH {_NAMED}, {_SPECS}, m AS (SELECT item_id, count(*) AS n, arg_max(status, (occurred_at, record_id)) AS last, count(*) FILTER (status = 'degraded') AS bad, count(*) FILTER (status = 'healthy') AS good, max(value) AS worst FROM o GROUP BY 1), x AS (SELECT s.*, coalesce(n, 0) AS n, last, coalesce(bad, 0) AS bad, coalesce(good, 0) AS good, worst FROM s LEFT JOIN m USING (item_id))
         SELECT item_id, n AS observed, CASE WHEN TIMESTAMP '2024-01-20' < c + INTERVAL 14 HOUR OR n < minimum THEN 'pending' WHEN coalesce(CASE p WHEN 0 THEN last = 'degraded' WHEN 1 THEN bad = 0 WHEN 2 THEN bad <= 1 WHEN 3 THEN good >= 0.5 * n WHEN 4 THEN worst <= 120 ELSE good > 0 END, false) THEN 'verified' ELSE 'regressed' END AS outcome FROM x""",
     "incident_sessions": f"WITH {_SESS} SELECT alert_id, target, incident FROM ss",
