@@ -262,24 +262,75 @@ def redact_drafts(drafts: DataFrame, record_type: str, key: bytes, epoch: int =
     return out.withColumn("data", data).drop(*[f"__f_{f}" for f in fields])
 
 
-def allowlisted(df: DataFrame, body: str, rules: dict[str, str], key: bytes, epoch: int = 1) -> DataFrame:
-    """df with `fields` (the listed leaves of a JSON document, each as scalar, text, url or path), `discarded` and `error`.
+#: fixed values: fields of one object, rules, and names in a rule at most
+MOST_FIELDS, MOST_RULES, MOST_DEPTH = 1_000, 100, 8
 
-    rules: {"a.b": kind}; a name that ends in "!" is required. discarded counts the top-level fields not listed.
+
+def _pointer(names: tuple[str, ...]) -> str:
+    return "$" + "".join(f"['{n}']" for n in names)
+
+
+def allowlisted(df: DataFrame, body: str, rules: dict[str, str], key: bytes, epoch: int = 1, secrets: tuple[str, ...] = (), allowed_query: tuple[str, ...] = ()) -> DataFrame:
+    """df with `fields` (the listed leaves of a JSON document), `discarded`, `redactions` and `error`.
+
+    rules: {"a.b": kind}, kind being scalar, text, url or path; a name that ends in "!" is required where the objects around it are
+    there, as are those around it at the top. The document is walked as a VARIANT along the rules: at each object on the way, the fields
+    that no rule names are discarded and counted, whatever they hold. Strings are redacted, and redactions counted by
+    category over all leaves. error, a code: no object, a listed object that is none, too many fields, a required leaf
+    that isn't there, a leaf of another kind. A document with an error has no fields
+    and no redactions.
     """
-    if len(rules) > 100 or any(k.count(".") >= 8 for k in rules):
-        raise ValueError("at most 100 rules of at most 8 names")
-    leaves, lost = [], F.lit(False)
-    for name, kind in sorted(rules.items()):
-        bare = name.rstrip("!")
-        v = F.get_json_object(body, "$" + "".join(f"['{p}']" for p in bare.split(".")))
-        if name.endswith("!"):
-            lost = lost | v.isNull()
-        shown = {"scalar": v, "text": normalized_text(v)[0], "url": sanitized_url(v)["value"], "path": local_path_token(key, epoch, v)}[kind]
-        leaves.append(shown.alias(bare.replace(".", "_")))
-    tops = sorted({k.rstrip("!").split(".")[0] for k in rules})
-    error = F.when(F.json_object_keys(body).isNull(), "OL_ALLOWLIST_DOCUMENT").when(lost, "OL_ALLOWLIST_REQUIRED")
-    return df.withColumns({"error": error, "fields": F.when(error.isNull(), F.struct(*leaves)), "discarded": F.size(F.array_except(F.json_object_keys(body), F.array(*[F.lit(t) for t in tops])))})
+    names = {tuple(k.rstrip("!").split(".")): (kind, k.endswith("!")) for k, kind in rules.items()}
+    if len(rules) > MOST_RULES or any(len(n) > MOST_DEPTH for n in names) or any(n[:k] in names for n in names for k in range(1, len(n))):
+        raise ValueError(f"at most {MOST_RULES} rules of at most {MOST_DEPTH} names, none inside another")
+    doc = "__al_doc"
+    out = df.withColumn(doc, F.try_parse_json(body))
+    at = lambda n: F.try_variant_get(doc, _pointer(n), "variant")
+    kind_of = lambda v: F.schema_of_variant(v)
+    nodes = sorted({n[:k] for n in names for k in range(len(n))}, key=lambda n: (len(n), n))
+    objects = {n: f"__al_o{i}" for i, n in enumerate(nodes)}
+    out = out.withColumns({c: F.col(doc) if not n else at(n) for n, c in objects.items()})
+    is_object = lambda n: kind_of(F.col(objects[n])).startswith("OBJECT")
+    fields = {n: F.when(is_object(n), F.json_object_keys(F.to_json(F.col(c)))) for n, c in objects.items()}
+    out = out.withColumns({f"{c}_k": fields[n] for n, c in objects.items()})
+    known = {n: sorted({m[len(n)] for m in names if m[: len(n)] == n and len(m) > len(n)}) for n in nodes}
+    extra = [F.coalesce(F.size(F.array_except(f"{objects[n]}_k", F.array(*[F.lit(x) for x in known[n]]))), F.lit(0)) for n in nodes]
+    error = F.when(F.col(doc).isNull() | ~is_object(()), "OL_ALLOWLIST_DOCUMENT")
+    for n in nodes[1:]:
+        needed = any(required for m, (_, required) in names.items() if m[: len(n)] == n)
+        error = error.when(F.col(objects[n]).isNotNull() & ~is_object(n), "OL_ALLOWLIST_OBJECT")
+        if needed:
+            error = error.when(F.col(f"{objects[n[:-1]]}_k").isNotNull() & F.col(objects[n]).isNull(), "OL_ALLOWLIST_REQUIRED")
+    for n in nodes:
+        error = error.when(F.size(f"{objects[n]}_k") > MOST_FIELDS, "OL_ALLOWLIST_LARGE")
+    leaves, strings = {n: f"__al_l{i}" for i, n in enumerate(sorted(names))}, {}
+    for n, c in leaves.items():
+        kind, required = names[n]
+        v, text = at(n), F.try_variant_get(doc, _pointer(n), "string")
+        shape, there = kind_of(v), F.array_contains(f"{objects[n[:-1]]}_k", F.lit(n[-1]))
+        if required:
+            error = error.when(F.col(f"{objects[n[:-1]]}_k").isNotNull() & ~there, "OL_ALLOWLIST_REQUIRED")
+        wrong = shape.startswith("OBJECT") | shape.startswith("ARRAY") if kind == "scalar" else shape != "STRING"
+        error = error.when(F.coalesce(there, F.lit(False)) & wrong, "OL_ALLOWLIST_KIND")
+        strings[c] = text
+    out = out.withColumns({"discarded": sum(extra, F.lit(0)), "error": error, **strings})
+    out = out.drop(doc, *objects.values(), *[f"{c}_k" for c in objects.values()])
+    texts = [c for n, c in leaves.items() if names[n][0] in ("scalar", "text")]
+    before = [c for c in ("redactions", "redaction_version") if c in df.columns]
+    out = redact(out.drop(*before), texts, key, epoch, secrets, allowed_query)
+    shown, more = [], {"url": F.lit(0).cast("long"), "path": F.lit(0).cast("long")}
+    for n, c in leaves.items():
+        kind = names[n][0]
+        v = {"url": sanitized_url(F.col(c), allowed_query)["value"], "path": local_path_token(key, epoch, F.col(c))}.get(kind, F.col(c))
+        if kind == "path":
+            more["path"] = more["path"] + F.col(c).isNotNull().cast("long")
+        if kind == "url":
+            more["url"] = more["url"] + (F.col(c).isNotNull() & ~F.col(c).eqNullSafe(v)).cast("long")
+        shown.append(v.alias("_".join(n)))
+    every = F.map_zip_with("redactions", F.create_map(*[x for c, n in more.items() for x in (F.lit(c), n)]), lambda _, a, b: F.coalesce(a, F.lit(0).cast("long")) + F.coalesce(b, F.lit(0).cast("long")))
+    good = F.col("error").isNull()
+    out = out.withColumns({"fields": F.when(good, F.struct(*shown)), "redactions": F.when(good, F.map_filter(every, lambda _, n: n > 0))})
+    return out.drop(*leaves.values())
 
 
 #: fixed values: the most that each surface may show of each privacy class

@@ -128,6 +128,17 @@ def allowlisted_props(spark, d):
     return out.select("event_id", col("fields")["a_kind"].alias("kind"), col("fields")["a_k"].alias("k"), "discarded", "error")
 
 
+def allowlisted_nested(spark, d):
+    """Documents three levels deep: discards and redactions counted at each level, and each kind of error."""
+    body = F.concat(
+        F.lit('{"a":{"b":'), F.when(col("event_id") % 11 == 0, F.lit("[1]")).otherwise(F.concat(F.lit('{"note":"call '), F.lpad(col("user_id").cast("string"), 3, "0"), F.lit('-555-0123","n":'), col("user_id").cast("string"), F.when(col("event_id") % 2 == 0, ',"x":1,"y":{"z":[2]}').otherwise(""), F.lit("}"))),
+        F.when(col("event_id") % 3 == 0, ',"u":"https://h.example/p?t=1"').otherwise(""), F.lit(',"w":null},"k":'), F.when(col("event_id") % 7 == 0, '{"deep":true}').otherwise('"me@h.example"'), F.when(col("event_id") % 13 == 0, "").otherwise("}"))
+    rules = {"a.b.note": "text", "a.b.n": "scalar", "a.u": "url", "k!": "scalar"}
+    out = P.allowlisted(table(spark, d, "events").withColumn("body", body), "body", rules, KEY)
+    count = lambda c: F.coalesce(F.element_at("redactions", c), F.lit(0).cast("long"))
+    return out.select("event_id", col("fields")["a_b_n"].alias("n"), col("fields")["a_u"].alias("u"), "discarded", count("phone").alias("phones"), count("email").alias("emails"), count("url").alias("urls"), "error")
+
+
 def egress_decisions(spark, d):
     o = table(spark, d, "orders")
     pick = lambda v, n: F.element_at(F.array(*[F.lit(x) for x in v]), (n % len(v) + 1).cast("int"))
@@ -193,6 +204,9 @@ ORACLES = {
     "redaction_is_stable": "SELECT count(*) AS n, count(*) AS same FROM documents",
     "redacted_drafts": "SELECT 1::BIGINT AS email, 'r1-e1' AS redaction_version, count(*) AS n FROM events",
     "allowlisted_props": "SELECT event_id, CASE WHEN user_id % 5 > 0 THEN event_type END AS kind, CASE WHEN user_id % 5 > 0 THEN props->>'$.k' END AS k, 2::INTEGER AS discarded, CASE WHEN user_id % 5 = 0 THEN 'OL_ALLOWLIST_REQUIRED' END AS error FROM events",
+    "allowlisted_nested": """SELECT event_id, CASE WHEN error IS NULL THEN user_id::VARCHAR END AS n, CASE WHEN error IS NULL AND event_id % 3 = 0 THEN 'https://h.example/p' END AS u, CASE error WHEN 'OL_ALLOWLIST_DOCUMENT' THEN 0 WHEN 'OL_ALLOWLIST_OBJECT' THEN 1 ELSE 1 + 2 * (event_id % 2 = 0)::INTEGER END::INTEGER AS discarded,
+            (error IS NULL)::BIGINT AS phones, (error IS NULL)::BIGINT AS emails, (error IS NULL AND event_id % 3 = 0)::BIGINT AS urls, error
+        FROM (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'OL_ALLOWLIST_DOCUMENT' WHEN event_id % 11 = 0 THEN 'OL_ALLOWLIST_OBJECT' WHEN event_id % 7 = 0 THEN 'OL_ALLOWLIST_KIND' END AS error FROM events)""",
     "egress_decisions": f"""WITH m(surface, privacy_class, cell) AS (VALUES {_CELLS}), r AS (SELECT o_orderkey, {_PICK} AS surface, (['public', 'internal', 'sensitive', 'restricted'])[(o_orderkey // 12) % 4 + 1] AS privacy_class, o_custkey % 2 = 0 AS en, CASE o_custkey % 3 WHEN 0 THEN ['public'] WHEN 1 THEN ['public', 'sensitive'] ELSE [] END AS al FROM orders),
         q AS (SELECT r.*, cell, surface IN ('telegram', 'github_issues', 'hosted_clickhouse') AS ext FROM r LEFT JOIN m USING (surface, privacy_class)),
         x AS (SELECT *, CASE WHEN surface = 'moon' THEN 'OL_EGRESS_SURFACE' WHEN privacy_class = 'restricted' THEN 'OL_EGRESS_RESTRICTED' WHEN NOT ext AND (en OR len(al) > 0) THEN 'OL_EGRESS_POLICY' WHEN ext AND surface <> 'hosted_clickhouse' AND list_contains(al, 'sensitive') THEN 'OL_EGRESS_POLICY'
