@@ -114,8 +114,14 @@ def span_rules(duration: Column, status: Column) -> dict[str, Column]:
     return {"OL_SPAN_DURATION": duration >= 0, "OL_SPAN_STATUS": status.isin(*SPAN_STATUSES)}
 
 
-def run_rules(started: Column, ended: Column, status: Column) -> dict[str, Column]:
-    return {"OL_RUN_ORDER": ended >= started, "OL_RUN_STATUS": status.isin(*RUN_STATUSES)}
+def run_rules(started: Column, ended: Column, status: Column, duration_ms: Column | None = None, counts: Column | None = None) -> dict[str, Column]:
+    """duration_ms must be there and not below 0; counts, a MAP<STRING, BIGINT>, has at most 100 machine keys and no count below 0."""
+    rules = {"OL_RUN_ORDER": ended >= started, "OL_RUN_STATUS": status.isin(*RUN_STATUSES)}
+    if duration_ms is not None:
+        rules["OL_RUN_DURATION"] = duration_ms >= 0
+    if counts is not None:
+        rules["OL_RUN_COUNTS"] = counts.isNull() | ((F.size(F.map_keys(counts)) <= 100) & F.forall(F.map_keys(counts), lambda k: k.rlike(DIMENSION_KEY)) & bounded_counts(counts))
+    return rules
 
 
 def alert_rules(previous: Column, state: Column, evidence: Column) -> dict[str, Column]:

@@ -50,6 +50,15 @@ def span_errors(spark, d):
     return C.code_counts(C.check(li, C.span_rules(col("l_quantity") - 5, _pick(("ok", "error", "cancelled", "unset"), col("l_suppkey")))))
 
 
+def run_measure_errors(spark, d):
+    """Runs with durations and counts, each beyond its bounds in some."""
+    runs = table(spark, d, "orders")
+    k = col("o_orderkey")
+    duration = F.when(k % 5 == 0, F.lit(None).cast("long")).when(k % 5 == 1, -k).otherwise(k)
+    counts = F.when(k % 4 == 0, F.create_map(F.lit("files_seen"), k)).when(k % 4 == 1, F.create_map(F.lit("Bad key!"), k)).when(k % 4 == 2, F.create_map(F.lit("files_seen"), -k))
+    return C.code_counts(C.check(runs, C.run_rules(col("o_orderdate"), col("o_orderdate"), F.lit("success"), duration, counts)))
+
+
 def run_errors(spark, d):
     o = table(spark, d, "orders")
     runs = o.withColumn("ended", F.when(col("o_orderkey") % 7 == 0, col("o_orderdate") - F.expr("INTERVAL 1 HOUR")).when(col("o_orderkey") % 7 == 1, col("o_orderdate")))
@@ -205,6 +214,7 @@ ORACLES = {
     "event_errors": _codes("events", OL_EVENT_STATUS="user_id % 11 <> 0", OL_EVENT_MESSAGE="event_type <> 'view'"),
     "metric_errors": _codes("lineitem", OL_METRIC_VALUE="l_quantity <> 13", OL_METRIC_SEMANTICS="l_returnflag IN ('A', 'N') OR l_suppkey % 2 = 0", OL_METRIC_WINDOW="(l_returnflag = 'N') = (l_linestatus = 'F')"),
     "span_errors": _codes("lineitem", OL_SPAN_DURATION="l_quantity >= 5", OL_SPAN_STATUS="l_suppkey % 4 < 3"),
+    "run_measure_errors": _codes("orders", OL_RUN_DURATION="o_orderkey % 5 > 1", OL_RUN_COUNTS="o_orderkey % 4 IN (0, 3)"),
     "run_errors": _codes("orders", OL_RUN_ORDER="o_orderkey % 7 = 1", OL_RUN_STATUS="o_custkey % 6 < 5"),
     "alert_errors": _codes(f"(SELECT *, {_sql_pick(_STATES, 'o_orderkey')} AS a, {_sql_pick(_STATES, 'o_custkey')} AS b FROM orders)", OL_ALERT_EDGE=_sql_edges(C.ALERT_EDGES, "a", "b"), OL_ALERT_EVIDENCE="o_orderkey % 5 > 1"),
     "intent_errors": _codes("orders", OL_INTENT_CHANNEL="o_orderkey % 2 = 1"),

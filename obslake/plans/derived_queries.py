@@ -10,7 +10,7 @@ from ..operators import metrics as ME
 from ..operators import reports as RE
 from ..sources import logs as LG
 from ..sources import outbox as OB
-from ..sources.adapters import metric_drafts, table, target_of
+from ..sources.adapters import metric_drafts, shared_folder, table, target_of
 from .warehouse_queries import TRANSITIONS, transitions
 
 col = F.col
@@ -201,6 +201,24 @@ def daily_report(spark, d):
     return RE.rollup(e, "2024-01-01", "2024-02-03").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def weekly_report(spark, d):
+    """Day and week counts over a dense calendar that begins before the events and ends after them; one target reports on even days only."""
+    e = table(spark, d, "events").select(col("ts").alias("occurred_at"), target_of(col("user_id")).alias("target_id"), col("event_type").alias("name"))
+    e = e.where((col("target_id") != "t3") | (F.dayofmonth("occurred_at") % 2 == 0))
+    out = RE.calendar_rollup(e, "2023-12-28", "2024-02-06")
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("day", "week")})
+
+
+def log_retention_preview(spark, d):
+    """Log segments as files, scanned again: a deadline each, or what is wrong with them."""
+    folder = shared_folder(spark, "logs")
+    raw = _log_lines(spark, d).select("segment", "n", "value").repartition("segment").sortWithinPartitions("segment", "n")
+    raw.select(F.col("segment").alias("p"), "value").write.partitionBy("p").text(folder)
+    lines = LG.from_files(spark, folder).withColumn("segment", F.regexp_extract("segment", "/p=([^/]+)/", 1))
+    good = LG.parsed(lines).where((col("error").isNull()) | F.col("segment").endswith("7"))  # bad lines are left in some segments
+    return LG.retention_preview(good, 20).withColumn("deadline", F.date_format("deadline", "yyyy-MM-dd"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "lines"}
 
 _LINES = """
@@ -259,6 +277,17 @@ ORACLES = {
         SELECT target_id, name, k AS metric_semantics, count(*) AS n, round(sum(CASE WHEN k = 'gauge' THEN NULL WHEN k = 'cumulative_counter' AND x >= 0 THEN x ELSE value END), 4) AS total, round(avg(CASE WHEN k = 'gauge' THEN value END), 4) AS average, arg_max(CASE WHEN k = 'gauge' THEN value END, (ts, event_id)) AS last FROM c WHERE k <> 'window_total' OR m IS NULL OR ts >= m GROUP BY ALL""",
     "source_freshness": "SELECT 'c' || user_id AS source_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_occurred, (epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts) + INTERVAL 1 SECOND)))::BIGINT AS age_seconds FROM events GROUP BY user_id",
     "latest_transitions": f"WITH {TRANSITIONS} SELECT item_id, max(revision) AS revision, arg_max(transition_id, (revision, transition_id)) AS transition_id, arg_max(to_state, (revision, transition_id)) AS to_state FROM t GROUP BY 1",
+    "weekly_report": """WITH e AS (SELECT ts::DATE AS day, 't' || (user_id % 10) AS target_id, event_type AS name FROM events WHERE user_id % 10 <> 3 OR day(ts) % 2 = 0),
+        c AS (SELECT day, target_id, name, count(*) AS c FROM e WHERE day BETWEEN DATE '2023-12-28' AND DATE '2024-02-06' GROUP BY ALL),
+        days AS (SELECT x::DATE AS day, date_trunc('week', x)::DATE AS week FROM generate_series(TIMESTAMP '2023-12-28', TIMESTAMP '2024-02-06', INTERVAL 1 DAY) g(x)),
+        p AS (SELECT DISTINCT target_id, name FROM c), g AS (SELECT day, week, target_id, name, coalesce(c, 0) AS c FROM days CROSS JOIN p LEFT JOIN c USING (day, target_id, name)),
+        l AS (SELECT CASE GROUPING(day, week, target_id, name) WHEN 0 THEN 'day/target/name' WHEN 1 THEN 'day/target' WHEN 3 THEN 'day' WHEN 8 THEN 'week/target/name' WHEN 9 THEN 'week/target' WHEN 11 THEN 'week' ELSE 'all' END AS level, week, day, target_id, name,
+                     sum(c)::BIGINT AS n, count(DISTINCT day) AS days, count(DISTINCT day) - count(DISTINCT day) FILTER (c > 0) AS missing_days
+              FROM g GROUP BY GROUPING SETS ((day, week, target_id, name), (day, week, target_id), (day, week), (week, target_id, name), (week, target_id), (week), ()))
+        SELECT level, strftime(week, '%Y-%m-%d') AS week, strftime(day, '%Y-%m-%d') AS day, target_id, name, n, days, missing_days, missing_days = days AS missing FROM l""",
+    "log_retention_preview": """WITH s AS (SELECT user_id, min(ts)::DATE AS o, user_id % 3 > 0 AS sealed, count(*) FILTER (event_id % 17 = 0) AS bad FROM events GROUP BY user_id),
+        c AS (SELECT *, CASE WHEN user_id % 10 = 7 AND bad > 0 THEN 'OL_LOG_LINE' WHEN sealed THEN 'OL_LOG_TRAILER' END AS refused FROM s)
+        SELECT 'u' || user_id AS segment, CASE WHEN refused IS NULL THEN strftime(o + 20, '%Y-%m-%d') END AS deadline, refused FROM c""",
     "daily_report": """WITH e AS (SELECT ts::DATE AS day, 't' || (user_id % 10) AS target_id, event_type AS name, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM events)
         SELECT strftime(day, '%Y-%m-%d') AS day, target_id, name, severity, count(*) AS n, GROUPING(day, target_id, name, severity)::BIGINT AS level, false AS missing FROM e GROUP BY GROUPING SETS ((day, target_id, name, severity), (day, target_id), (day), ())
         UNION ALL SELECT strftime(x::DATE, '%Y-%m-%d'), NULL, NULL, NULL, 0, 7, true FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-03', INTERVAL 1 DAY) g(x) WHERE x::DATE NOT IN (SELECT day FROM e)""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as AL
 from ..operators import ledger as L
+from ..operators import purge as PU
 from ..sources import adapters as A
 from ..sources import segments as S
 from ..sources.adapters import collector_of, shared_folder, table, target_of
@@ -275,6 +276,25 @@ def purge_manifest(spark, d):
     return L.purged({"frames": f, "runs": f.select("record_id", "target_id").distinct()}, "t9")[1].select("table_name", "n_rows")
 
 
+def target_purge(spark, d):
+    """A target removed from two tables on disk: refused with a stale digest, done with the right one, and again without effect. Some months of `runs` hold the target only."""
+    root = shared_folder(spark, "purge")
+    f = frames(spark, d).select("record_id", "target_id", "line", F.substring("day", 1, 7).alias("month"))
+    f.write.partitionBy("month").parquet(f"{root}/frames")
+    f.drop("line").where((col("target_id") == "t9") | ~col("month").endswith("-02")).write.partitionBy("month").parquet(f"{root}/runs")
+    names = ["frames", "runs"]
+    digest = PU.digest_of(PU.manifest({n: spark.read.parquet(f"{root}/{n}").withColumn("month", F.date_format("month", "yyyy-MM")) for n in names}, "t9", "month"))
+    try:
+        PU.purge(spark, root, names, "t9", digest[::-1], "month")
+        stale = "taken"
+    except ValueError as refused:
+        stale = str(refused)
+    PU.purge(spark, root, names, "t9", digest, "month")
+    audit = PU.purge(spark, root, names, "t9", digest, "month").groupBy("action").agg(F.max("n_rows").alias("n_rows"), F.max("n_partitions").alias("n_partitions"), F.max("n_left").alias("n_left"), F.min("outcome").alias("outcome"), F.count(F.lit(1)).alias("audits"))
+    rows = [spark.read.parquet(f"{root}/{n}").agg(F.count(F.lit(1)).alias(n), F.countDistinct("month").alias(f"{n}_months")) for n in names]
+    return audit.join(rows[0]).join(rows[1]).withColumn("stale", F.lit(stale))
+
+
 def dangling_cursors(spark, d):
     return L.unreferenced(_cursors(spark, d), ledger(spark, d)).select("source", "batch_id")
 
@@ -432,6 +452,10 @@ ORACLES = {
     "pruned_audit": _W + "SELECT 'retention.prune' AS action, 'system' AS actor, 'success' AS outcome, sha256(batch_id) AS resource FROM st WHERE state = 'fully_expired'",
     "compacted": _W + f"SELECT batch_id || '-c' AS batch_id, batch_id AS old_batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY sequence) AS sequence, record_id FROM f JOIN st USING (batch_id) WHERE state = 'mixed' AND expires_at > TIMESTAMP '{NOW}'",
     "purge_manifest": _W + "SELECT t AS table_name, count(*) AS n_rows FROM f, (VALUES ('frames'), ('runs')) v(t) WHERE target_id = 't9' GROUP BY 1",
+    "target_purge": """WITH f AS (SELECT 't' || day(o_orderdate) AS target_id, strftime(o_orderdate, '%Y-%m') AS month FROM orders), r AS (SELECT * FROM f WHERE target_id = 't9' OR month NOT LIKE '%-02'), a AS (SELECT 'frames' AS t, * FROM f UNION ALL SELECT 'runs', * FROM r)
+        SELECT 'target.purge' AS action, count(*) FILTER (target_id = 't9') AS n_rows, count(DISTINCT (t, month)) FILTER (target_id = 't9') AS n_partitions, 0::BIGINT AS n_left, 'success' AS outcome, 2::BIGINT AS audits,
+               count(*) FILTER (t = 'frames' AND target_id <> 't9') AS frames, count(DISTINCT month) FILTER (t = 'frames' AND target_id <> 't9') AS frames_months,
+               count(*) FILTER (t = 'runs' AND target_id <> 't9') AS runs, count(DISTINCT month) FILTER (t = 'runs' AND target_id <> 't9') AS runs_months, 'OL_PURGE_STALE' AS stale FROM a""",
     "dangling_cursors": _W + "SELECT source, batch_id FROM cu WHERE batch_id NOT IN (SELECT batch_id FROM l)",
     "exporter_drift": _W + "SELECT batch_id FROM l WHERE k % 23 = 0 OR k % 2 = 1",
     "replay": _W + "SELECT batch_id, sequence, record_id FROM f",

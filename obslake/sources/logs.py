@@ -41,3 +41,20 @@ def deadlines(lines: DataFrame, retention_days: int) -> DataFrame:
     s = lines.groupBy("segment").agg(F.to_timestamp(h("at")).alias("opened"), h("retention_days").alias("days"), F.to_timestamp(F.max(F.when(F.col("line") == "trailer", F.col("expires_at")))).alias("sealed"))
     own = F.coalesce("sealed", F.col("opened") + F.make_dt_interval(days=F.col("days")))
     return s.select("segment", F.least(own, F.col("opened") + F.make_dt_interval(days=F.lit(retention_days))).alias("deadline"))
+
+
+def retention_preview(lines: DataFrame, retention_days: int) -> DataFrame:
+    """(segment, deadline, refused) of every segment: a deadline, or the code of what is wrong with it and no deadline.
+
+    Refused are segments with a line that doesn't parse, without exactly one header, with more than one trailer, with
+    a trailer that doesn't agree with the lines or has no expiry, or whose times don't parse. One refused segment hides no other.
+    """
+    n = lambda kind: F.count(F.when(F.col("line") == kind, 1))
+    first = lambda kind, c: F.max(F.when(F.col("line") == kind, F.col(c)))
+    seen = lines.groupBy("segment").agg(F.count("error").alias("_bad"), n("header").alias("_h"), n("trailer").alias("_t"), F.try_to_timestamp(first("header", "at")).alias("_at"), first("header", "retention_days").alias("_days"), F.try_to_timestamp(first("trailer", "expires_at")).alias("_until"))
+    out = seen.join(summaries(lines).select("segment", "agrees"), "segment", "left").join(deadlines(lines.where("error IS NULL"), retention_days), "segment", "left")
+    code = (
+        F.when(F.col("_bad") > 0, "OL_LOG_LINE").when(F.col("_h") != 1, "OL_LOG_HEADER").when(F.col("_t") > 1, "OL_LOG_TRAILER").when(F.col("_at").isNull() | F.col("_days").isNull(), "OL_LOG_HEADER")
+        .when((F.col("_t") == 1) & (F.col("_until").isNull() | ~F.coalesce("agrees", F.lit(False))), "OL_LOG_TRAILER")
+    )
+    return out.select("segment", F.when(code.isNull(), F.col("deadline")).alias("deadline"), code.alias("refused"))
