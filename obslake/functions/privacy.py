@@ -124,42 +124,49 @@ def sanitized_url(url: Column, allowed: tuple[str, ...] = (), idna: bool = False
     return F.when(good, F.struct(value.alias("value"), removed.alias("removed")))
 
 
-#: fixed values: request headers and key words that carry credentials (a space stands for a joint of _ or - or nothing)
+#: fixed values: request headers that carry credentials, and key words of assignments (a joint is _, - or nothing)
 CREDENTIAL_HEADERS = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "x-auth-token")
-CREDENTIAL_WORDS = ("api key", "access token", "refresh token", "client secret", "password", "passwd", "secret", "token")
+CREDENTIAL_WORDS = ("api[_-]?key", "access[_-]?token", "refresh[_-]?token", "client[_-]?secret", "password", "passwd", "secret", "token")
 
-# The patterns follow the definitions: RFC 7468 (armour of keys), RFC 3986 and 4291 (addresses), RFC 5322 (dot-atoms), E.164 and the North
-# American plan (telephone numbers), and the roots of POSIX, Windows and UNC paths. A key without its end line is hidden to the end.
+# The patterns follow the definitions: RFC 7468 (armour of keys), RFC 3986 and 4291 (addresses, with RFC 4007 zones), RFC 5322 (dot-atoms), E.164
+# and the North American plan (telephone numbers), and the roots of POSIX, Windows and UNC paths. A key without its end line is hidden to the end.
 PRIVATE_KEY = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----[\s\S]*?(?:-----END \1-----|\z)"
 HEADER = rf"(?im)^[ \t]*({'|'.join(CREDENTIAL_HEADERS)})[ \t]*:(?! ?\[ol:c\]$)[^\n]*$"
-ASSIGNMENT = rf"(?i)\b({'|'.join('[_-]?'.join(w.split()) for w in CREDENTIAL_WORDS)})\b(\s*[:=]\s*+)(?!\[ol:c\](?:\n|$))[^\n]+"
+ASSIGNMENT = rf"(?i)\b({'|'.join(CREDENTIAL_WORDS)})\b(\s*[:=]\s*+)(?!\[ol:c\](?:\n|$))[^\n]+"
 URL = r"(?i)https?://[^\s<>\"`]+"
-_ATOM = r"[\w!#$%&'*+/=?^`{|}~-]"
+#: a URL in running text goes as far as a letter, a digit, or a sign that ends no sentence and closes nothing
+URL_ENDS = r"^[\s\S]*[\p{L}\p{N}/_~%+=&#$@*'(\[{|^\\-]"
+_ATOM = r"[\w!#$%&'*+=?^`{|}~-]"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
-EMAIL = rf"(?U)(?<!{_ATOM}|\.){_ATOM}{{1,64}}(?:\.{_ATOM}{{1,64}}){{0,16}}@(?:{_LABEL}\.){{1,8}}{_LABEL}(?![\p{{L}}\p{{N}}-])"
+#: a local part may hold slashes only where the address stands by itself: inside a URL or a path they part names
+_SLASHED = rf"(?:(?<=^|[\s<(\[{{\"',;])(?:{_ATOM}{{1,64}}/){{1,16}})?"
+EMAIL = rf"(?U)(?<!{_ATOM}|\.){_SLASHED}{_ATOM}{{1,64}}(?:\.{_ATOM}{{1,64}}){{0,16}}@(?:{_LABEL}\.){{1,126}}{_LABEL}(?![\p{{L}}\p{{N}}-])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-IPV4 = rf"(?U)(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w.])"
+_DOTTED = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+IPV4 = rf"(?U)(?<![\w.]){_DOTTED}(?![\w.])"
 _H16 = "[0-9A-Fa-f]{1,4}"
 _GROUPS = f"{_H16}(?::{_H16}){{0,6}}"
-IPV6 = rf"(?U)(?<![\w:.])(?:(?:{_H16}:){{7}}{_H16}|{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![\w:])"
+_MIXED = rf"(?:(?:{_H16}:){{6}}|(?:{_H16}(?::{_H16}){{0,4}})?::(?:{_H16}:){{0,5}}){_DOTTED}(?!\.?[0-9])"
+_ZONE = r"(?:%[A-Za-z0-9_~-]+(?:\.[A-Za-z0-9_~-]+)*)?"
+IPV6 = rf"(?U)(?<![\w:.])(?:{_MIXED}|(?:{_H16}:){{7}}{_H16}|{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS}){_ZONE}(?![\w:])"
 _GAP = "[ .-]"
 _NATIONAL = rf"(?:\(\d{{3}}\)|\d{{3}}){_GAP}?\d{{3}}{_GAP}\d{{4}}"
 _ABROAD = rf"\+[1-9]\d{{0,2}}{_GAP}?(?:\(\d{{1,4}}\){_GAP}?)?\d{{2,4}}(?:{_GAP}\d{{2,4}}){{1,3}}"
 PHONE = rf"(?U)(?<![\w+])(?:(?:\+[1-9]\d{{0,2}}{_GAP}?)?{_NATIONAL}|{_ABROAD})(?!\w)"
-_ROOT = r"(?:file:(?://)?/?|[A-Za-z]:[\\/]|\\\\(?=[^\\/\s])|~[\w.-]*/|\.{1,2}/|/(?![/\s])(?![.,;:!?)}](?:\s|$)))"
+#: what a shell leaves in a name without quotes: no space unless escaped, no control, no quote, no redirection or pipe
+_IN_NAME = r"(?:\\[\p{Zs}\t]|[^\p{Z}\p{Cc}<>|\"`])"
+#: a POSIX path begins with a name: a letter, digit or sign, or a dot and then one of these or a dot
+_POSIX = r"/(?=[\p{L}\p{N}_~%@+$#*\[('{=&^-]|\.[\p{L}\p{N}._~-])"
+_ROOT = rf"(?:file:(?://)?/?|[A-Za-z]:[\\/]|\\\\(?=[^\\/\s])|~[\w.-]*/|\.{{1,2}}/|{_POSIX})"
 _QUOTED = "|".join(rf"(?<={q}){_ROOT}[^{q}\n]+(?={q})" for q in "\"'`")
-PATH = rf"(?iU)(?:{_QUOTED}|(?<![<\w:/\\.~]){_ROOT}(?:\\[ \t]|[^\s<>\"`])+)"
+PATH = rf"(?iU)(?:{_QUOTED}|(?<![<\w:/\\.~]){_ROOT}{_IN_NAME}+)"
 CATEGORIES = ("control", "secret", "private_key", "credential", "url", "email", "path", "ip", "phone")
 
 
 def secret_forms(secret: str) -> list[str]:
     """A secret as it is and encoded: base64 at any place of a longer text, hex, percent signs, character references, JSON; longest first."""
     raw = secret.encode()
-    forms = {secret, html.escape(secret), json.dumps(secret)[1:-1], quote(secret, safe=""), raw.hex(), raw.hex().upper()}
-    for pattern in ("%{:02x}", "%{:02X}"):
-        forms.add("".join(pattern.format(b) for b in raw))
-    for pattern in ("&#{};", "&#x{:x};", "&#x{:X};"):
-        forms.add("".join(pattern.format(ord(c)) for c in secret))
+    forms = {secret, html.escape(secret), json.dumps(secret)[1:-1], quote(secret, safe="")}
     for encode in (base64.b64encode, base64.urlsafe_b64encode):
         once = encode(raw).decode()
         forms |= {once, once.rstrip("="), quote(once, safe=""), encode(once.encode()).decode(), encode(once.encode()).decode().rstrip("=")}
@@ -167,16 +174,45 @@ def secret_forms(secret: str) -> list[str]:
             whole = encode(b"\0" * shift + raw).decode().rstrip("=")
             forms.add(whole[shift + 1 : 8 * (len(raw) + shift) // 6])
         forms.add(once[: 8 * len(raw) // 6])
-    return sorted((f for f in forms if len(f) >= 8), key=lambda s: (-len(s), s))
+    return sorted((f for f in forms | set(secret_digits(secret)) if len(f) >= 8), key=lambda s: (-len(s), s))
+
+
+def secret_digits(secret: str) -> list[str]:
+    """The forms whose hex digits may be of either case: hex, percent signs, character references."""
+    raw = secret.encode()
+    some = "".join(c if quote(c, safe="") == c else "".join(f"%{b:02x}" for b in c.encode()) for c in secret)
+    return [raw.hex(), "".join(f"%{b:02x}" for b in raw), some, "".join(f"&#{ord(c)};" for c in secret), "".join(f"&#x{ord(c):x};" for c in secret)]
+
+
+def _plain(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9])", r"\\\1", text)
+
+
+def _any_case(form: str) -> str:
+    """A pattern of a form in which escapes take hex digits of either case, and all else stays as it is."""
+    if re.fullmatch("[0-9a-f]+", form):
+        return f"(?i:{form})"
+    return "".join(f"(?i:{_plain(p)})" if p[:1] in "%&" else _plain(p) for p in re.split("((?:%[0-9a-f]{2})+|(?:&#x?[0-9a-f]+;)+)", form) if p)
+
+
+def secret_pattern(secrets: tuple[str, ...]) -> str:
+    """All forms of all secrets, longest first."""
+    digits = {d for s in secrets for d in secret_digits(s)}
+    every = sorted({f for s in secrets for f in secret_forms(s)}, key=lambda f: (-len(f), f))
+    return "|".join(_any_case(f) if f in digits else _plain(f) for f in every)
 
 
 def canonical_ipv6(text: Column) -> Column:
-    """Eight groups of four hex digits; text that has not eight groups stays, in lower case."""
-    halves = F.split(F.lower(text), "::")
+    """Eight groups of four hex digits, without the zone; a dotted tail is two groups. Text that has not eight groups stays, in lower case."""
+    bare = F.regexp_replace(F.lower(text), "%.*$", "")
+    octets = F.transform(F.split(F.regexp_extract(bare, r"([0-9.]+)$", 1), r"\."), lambda o: o.cast("int"))
+    pair = lambda k: F.lower(F.hex(F.get(octets, F.lit(k)) * 256 + F.get(octets, F.lit(k + 1))))
+    bare = F.when(bare.contains("."), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), pair(0), F.lit(":"), pair(2))).otherwise(bare)
+    halves = F.split(bare, "::")
     groups = lambda half: F.filter(F.split(F.coalesce(F.get(halves, F.lit(half)), F.lit("")), ":"), lambda g: g != "")
     gap = F.greatest(F.lit(8) - F.size(groups(0)) - F.size(groups(1)), F.lit(0))
     every = F.concat(groups(0), F.when(F.size(halves) > 1, F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>")), groups(1))
-    return F.when(F.size(every) == 8, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ":")).otherwise(F.lower(text))
+    return F.when(F.size(every) == 8, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ":")).otherwise(bare)
 
 
 def canonical_email(text: Column) -> Column:
@@ -200,7 +236,7 @@ def redact(df: DataFrame, columns: list[str], key: bytes, epoch: int = 1, secret
         raise ValueError("at most 128 secrets of at least 8 characters")
     counts = {c: [] for c in CATEGORIES}
     out = composed(df, columns)
-    known = "|".join(re.sub(r"([^A-Za-z0-9])", r"\\\1", f) for f in sorted({f for s in secrets for f in secret_forms(s)}, key=lambda f: (-len(f), f)))
+    known = secret_pattern(secrets)
     for name in columns:
         step, at, found = 0, F.col(f"__r_{name}_t"), F.col(f"__r_{name}_m")
 
@@ -217,17 +253,20 @@ def redact(df: DataFrame, columns: list[str], key: bytes, epoch: int = 1, secret
             out = out.withColumn(f"__r_{name}_m", matches if hint is None else F.when(hint, matches).otherwise(F.array().cast("array<string>")))
             keep(_rebuilt(at, pattern, found, token), F.size(found), category)
 
+        def swap(pattern: str, by: str, category: str, hint: Column):
+            keep(F.when(hint, F.regexp_replace(at, pattern, by)).otherwise(at), F.when(hint, F.regexp_count(at, F.lit(pattern))).otherwise(0), category)
+
         def url_token(m):
-            bare = F.regexp_replace(m, r"[.,;:!?)}\]]+$", "")
+            bare = F.regexp_extract(m, URL_ENDS, 0)
             return F.concat(F.coalesce(sanitized_url(bare, allowed_query)["value"], F.lit("[ol:u]")), F.substring(m, F.length(bare) + 1, F.length(m)))
 
         keep(*normalized_text(F.col(name)), "control")
         if known:
             keep(F.regexp_replace(at, known, "[ol:s]"), F.regexp_count(at, F.lit(known)), "secret")
-        keep(F.regexp_replace(at, PRIVATE_KEY, "[ol:k]"), F.when(at.contains("PRIVATE KEY-----"), F.regexp_count(at, F.lit(PRIVATE_KEY))).otherwise(0), "private_key")
-        keep(F.regexp_replace(at, HEADER, "$1: [ol:c]"), F.regexp_count(at, F.lit(HEADER)), "credential")
+        swap(PRIVATE_KEY, "[ol:k]", "private_key", at.contains("PRIVATE KEY-----"))
+        swap(HEADER, "$1: [ol:c]", "credential", at.contains(":"))
         replace(URL, url_token, "url", at.contains("://"))
-        keep(F.regexp_replace(at, ASSIGNMENT, "$1$2[ol:c]"), F.regexp_count(at, F.lit(ASSIGNMENT)), "credential")
+        swap(ASSIGNMENT, "$1$2[ol:c]", "credential", at.contains(":") | at.contains("="))
         replace(EMAIL, lambda m: pseudonym(key, epoch, "email", canonical_email(m)), "email", at.contains("@"))
         replace(IPV6, lambda m: pseudonym(key, epoch, "ip", canonical_ipv6(m)), "ip", at.contains(":"))
         replace(IPV4, lambda m: pseudonym(key, epoch, "ip", m), "ip", at.contains("."))

@@ -78,3 +78,47 @@ def test_collector_provenance_goes_both_ways(spark):
     rows = [(("collector",), ("c",), "r"), (("collector",), ("c",), None), (("importer",), ("c",), None), (("importer",), None, None)]
     rule = C.envelope_rules()["OL_PROVENANCE"]
     assert [r[0] for r in spark.createDataFrame(rows, schema).select(rule).collect()] == [True, False, False, True]
+
+
+def test_addresses_with_dotted_tails_and_zones(spark):
+    same = ["::ffff:1.2.3.4", "::FFFF:102:304", "0:0:0:0:0:ffff:1.2.3.4", "::ffff:1.2.3.4%eth0"]
+    got = redacted(spark, [f"at {t} now" for t in same] + ["fe80::1%eth0.", "fe80::1", "64:ff9b::192.0.2.33, x", "1.2.3.4:80"])
+    assert len({t for t, _ in got[:4]}) == 1 and all(c == {"ip": 1} for _, c in got[:7])
+    assert got[4][0] == got[5][0] + "." and "eth0" not in got[3][0] and "192" not in got[6][0]
+    assert not any("." in t.split()[1] for t, _ in got[:4])
+
+
+def test_secrets_in_digits_of_either_case(spark):
+    raw = SECRET.encode()
+    mixed = lambda s: "".join(c.upper() if k % 3 else c.lower() for k, c in enumerate(s))
+    forms = [mixed(raw.hex()), "".join(mixed(f"%{b:02x}") for b in raw), quote(SECRET, safe="").replace("%2B", "%2b"), "".join(f"&#x{b:{'X' if k % 2 else 'x'}};" for k, b in enumerate(raw))]
+    for (text, counts), form in zip(redacted(spark, [f"a {f} b" for f in forms], secrets=(SECRET,)), forms):
+        assert counts.get("secret") == 1 and text == "a [ol:s] b", form
+    ((text, counts),) = redacted(spark, [f"a {SECRET.upper()} b"], secrets=(SECRET,))
+    assert "secret" not in counts  # a secret itself is told by its case
+
+
+def test_emails_in_long_domains_and_in_urls(spark):
+    long = "a@" + ".".join("bcdefghijk") + ".example.com"
+    (one, _), (two, counts), (three, _) = redacted(spark, ["alice@x.example", "https://example.org/u/alice@x.example/z", "mail a/b@x.example now"])
+    assert redacted(spark, [long])[0][0].startswith("ol_ps1_e1_email_") and "example" not in redacted(spark, [long])[0][0]
+    assert two == f"https://example.org/u/{one}/z" and counts["email"] == 1
+    assert "a/" not in three and three.endswith(" now")
+
+
+@pytest.mark.parametrize("text", ["https://a.example/p.", "(see https://a.example/p)", "https://a.example/p?!", "[https://a.example/p]", "https://a.example/p;"])
+def test_urls_end_before_the_sentence_does(spark, text):
+    ((got, counts),) = redacted(spark, [text])
+    assert got == text and counts == {"url": 1}
+
+
+@pytest.mark.parametrize("text", ["and/or", "a / b", "yes/no/", "1/2", "/. then", "x /, y"])
+def test_slashes_that_are_no_paths(spark, text):
+    ((got, counts),) = redacted(spark, [text])
+    assert got == text and not counts
+
+
+@pytest.mark.parametrize("text", ["/etc/passwd", "/.ssh/id", "/..", "/tmp/a\\ b", "~/x", "/é/z", "/home/u|x"])
+def test_posix_paths(spark, text):
+    ((got, counts),) = redacted(spark, [f"in {text}"])
+    assert counts == {"path": 1} and "/" not in got and (got.endswith("|x") or "|" not in text)
