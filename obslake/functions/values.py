@@ -74,7 +74,8 @@ CONFIGURED = 100_000
 
 
 def configuration(df: DataFrame, most: int = CONFIGURED) -> DataFrame:
-    """df, to be sent to all tasks: a table of at most `most` rows, an error beyond that."""
-    if df.limit(most + 1).count() > most:
+    """df, to be sent to all tasks: a table of at most `most` rows, an error beyond that. It is read once, here, whatever uses it."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"a table of configuration has at most {most} rows")
-    return F.broadcast(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))

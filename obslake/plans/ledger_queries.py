@@ -90,6 +90,19 @@ def segment_files(spark, d):
     return good.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("records")).join(trusted.agg(F.count(F.lit(1)).alias("frames"))).join(bad.agg(F.count(F.lit(1)).alias("bad_lines"))).join(S.audit(head, body).agg(F.count("code").alias("faults")))
 
 
+def record_metadata(spark, d):
+    """All events as segments on disk, some of them damaged: metadata of the records of readable segments, by target and severity, and what was skipped."""
+    e = table(spark, d, "events")
+    line = F.to_json(F.struct(F.lit("event").alias("record_type"), col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("occurred_at"), F.when(col("event_type") == "error", "error").otherwise("info").alias("severity"), col("value").alias("payload")))
+    rows = e.select(F.lit("events").alias("source_id"), F.date_format("ts", _DAY).alias("day"), F.lit("target").alias("scope"), target_of(col("user_id")).alias("target_id"), F.lit("internal").alias("privacy_class"), F.lit("event").alias("record_type"), F.concat(F.lit("r"), col("event_id")).alias("record_id"), line.alias("line"))
+    path = shared_folder(spark, "segments")
+    head, body = S.build(rows, ["record_id"], 1000)
+    S.write(head, body.where("NOT (target_id = 't4' AND sequence = 1)"), path)  # these segments lack a frame
+    seen, skipped = S.record_metadata(*S.scan(spark, path)[:2])
+    out = seen.groupBy("target_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids"), F.min("occurred_at").alias("first"), F.max("name").alias("name"))
+    return out.unionByName(skipped.groupBy(F.lit(None).cast("string").alias("target_id"), col("code").alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("batch_id").alias("ids"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("name")))
+
+
 def segment_commits(spark, d):
     """Two commits of the same batches: the second adds nothing; then every batch is verified against the ledger."""
     root = shared_folder(spark, "store")
@@ -420,6 +433,9 @@ ORACLES = {
         SELECT 'events-' || substr(sha256(day || chr(0) || string_agg(record_id, chr(0) ORDER BY n)), 1, 24) AS batch_id, day, target_id, count(*) AS record_count, sha256(string_agg(line || chr(10), '' ORDER BY n)) AS content_sha256, 30::INTEGER AS retention_days FROM n GROUP BY day, target_id, n // 20""",
     "segment_files": """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 10 AS t, 'r' || event_id AS record_id FROM events WHERE event_type = 'error'), n AS (SELECT *, (row_number() OVER (PARTITION BY day, t ORDER BY record_id) - 1) // 50 AS c FROM r), b AS (SELECT count(*) AS k, bool_or(record_id LIKE '%99') AS bad FROM n GROUP BY day, t, c)
         SELECT count(*) FILTER (NOT bad) AS batches, (sum(k) FILTER (NOT bad))::BIGINT AS records, (sum(k) FILTER (NOT bad))::BIGINT AS frames, 0::BIGINT AS bad_lines, 0::BIGINT AS faults FROM b""",
+    "record_metadata": """WITH e AS (SELECT 't' || (user_id % 10) AS target_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, event_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events)
+        SELECT target_id, severity, count(*) AS n, count(DISTINCT event_id) AS ids, min(day) AS first, max(event_type) AS name FROM e WHERE target_id <> 't4' GROUP BY 1, 2
+        UNION ALL SELECT NULL, 'OL_SEGMENT_COUNT', count(DISTINCT day), count(DISTINCT day), NULL, NULL FROM e WHERE target_id = 't4'""",
     "segment_commits": """WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 10 AS t, 'r' || event_id AS record_id FROM events WHERE event_type = 'error'), n AS (SELECT *, (row_number() OVER (PARTITION BY day, t ORDER BY record_id) - 1) // 50 AS c FROM r), b AS (SELECT count(*) AS k FROM n GROUP BY day, t, c)
         SELECT count(*) AS batches, sum(k)::BIGINT AS records, 2 * count(*) AS pending, count(*) AS intact FROM b""",
     "integrity_report": _W + "SELECT batch_id, code IS NULL AS intact, code FROM (SELECT batch_id, CASE WHEN k % 41 = 2 THEN 'OL_SEGMENT_MISSING' ELSE least(CASE WHEN k % 37 = 1 THEN 'OL_SEGMENT_LEDGER' END, CASE WHEN k % 47 = 4 AND record_count > 1 THEN 'OL_SEGMENT_SEQUENCE' WHEN k % 43 = 3 THEN 'OL_SEGMENT_DIGEST' END) END AS code FROM l)",

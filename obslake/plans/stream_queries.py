@@ -99,9 +99,9 @@ def streamed_exports(spark, d):
     """An idempotent sink, run twice from the start: the ledger holds back the second."""
     base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base, 1)
-    e = ST.isolated(stream, {"OL_USER": col("user_id") % 7 != 0, "OL_VALUE": col("value") < 100})
+    e = ST.isolated(stream, {"OL_USER": col("user_id") % 7 != 0, "OL_VALUE": col("value") < 100}).select("event_id", "error")
     for k in range(2):
-        sink = ST.once_per_batch(lambda b: b.select("event_id", "error").write.mode("append").parquet(f"{base}/out"), f"{base}/ledger")
+        sink = ST.once_per_batch(ST.batch_folders(f"{base}/out"), f"{base}/ledger")
         _run(e, parts if k == 0 else [lambda: None], f"{base}/state{k}", sink)
     return spark.read.parquet(f"{base}/out").groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 

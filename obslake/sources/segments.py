@@ -144,3 +144,20 @@ def verified(ledger: DataFrame, headers: DataFrame, frames: DataFrame) -> DataFr
     found = lost.unionByName(drift).unionByName(own).groupBy("batch_id").agg(F.min("code").alias("code"))
     out = ledger.select("batch_id").join(found, "batch_id", "left")
     return out.select("batch_id", F.col("code").isNull().alias("intact"), "code")
+
+
+#: what a record shows without its payload
+METADATA = "record_id STRING, record_type STRING, name STRING, occurred_at STRING, severity STRING"
+
+
+def record_metadata(headers: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(metadata of the records, skipped batches with their code): a row a record of the readable segments, never its payload.
+
+    One unreadable segment hides no other: it is skipped and told. Of a record only the METADATA fields are parsed; a line that is no
+    object gives a row with nulls.
+    """
+    faults = audit(headers, frames).where("code IS NOT NULL")
+    good = frames.join(faults.select("batch_id"), "batch_id", "left_anti")
+    kept = headers.select("batch_id", "day", F.col("retention_days").alias("retention_days"))
+    out = good.join(kept, "batch_id").withColumn("m", F.from_json("line", METADATA)).select("batch_id", "sequence", "day", "scope", "target_id", "privacy_class", F.coalesce("record_id", "m.record_id").alias("record_id"), "m.record_type", "m.name", "m.occurred_at", "m.severity", "retention_days")
+    return out, faults

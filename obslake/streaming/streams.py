@@ -32,10 +32,11 @@ def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], Non
     return query
 
 
-def once_per_batch(write: Callable[[DataFrame], None], ledger: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes a batch, then its ledger row, and skips batches that the ledger has: data first, so a crash between the two repeats a batch and loses none.
+def once_per_batch(write: Callable[[DataFrame, int], None], ledger: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes a batch, then its ledger row, and skips batches that the ledger has.
 
-    The destination removes repeats by record id (see deduplicated).
+    write(batch, number) puts a batch under its number and replaces what stands there, as batch_folders does: a crash between
+    the two writes the same batch again, and neither loses nor repeats a row.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -43,12 +44,17 @@ def once_per_batch(write: Callable[[DataFrame], None], ledger: str) -> Callable[
         done = spark.read.schema("batch bigint").parquet(ledger) if _exists(spark, ledger) else None
         if done is not None and not done.where(F.col("batch") == number).isEmpty():
             return
-        write(batch)
+        write(batch, number)
         spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(ledger)
 
     return sink
 
 
+def batch_folders(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
