@@ -60,12 +60,35 @@ PART = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 END = re.compile(r"[.!?…:;\"”»)]$")
 
-NAMES = ("bias", "furniture_tag", "furniture_word", "content_tag", "content_word", "heading", "paragraph", "item", "links", "short", "long", "size", "ends", "copyright", "first", "last", "hidden", "form", "unmarked", "unmarked_size", "unmarked_ends", "unmarked_heading")
+NAMES = ("bias", "furniture_tag", "furniture_word", "content_tag", "content_word", "heading", "paragraph", "item", "links", "short", "long", "size", "ends", "copyright", "first", "last", "hidden", "form", "unmarked", "unmarked_size", "unmarked_ends", "unmarked_heading", "mixed_word", "links_inside", "listed_links_inside")
 
 
-def _evidence(tag, attrs):
-    """(furniture tag, furniture word, content tag, content word, hidden) of one element."""
-    word = content = hidden = False
+#: what an element, or one of those around it, tells of a block
+EVIDENCE = ("furniture_tag", "furniture_word", "content_tag", "content_word", "hidden", "mixed_word")
+
+
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """(furniture, content, both apart) of a class or id.
+
+    Names are read one by one. One name of words of both kinds is furniture ("sidebar-content"), but the header of an article or entry is
+    neither. Names of both kinds side by side ("popular story") are evidence of its own kind, for training to weigh.
+    """
+    furniture = content = layout = False
+    for name in value.split():
+        parts = {p.lower() for p in PART.findall(CAMEL.sub(" ", name))}
+        mine, wanted = parts & FURNITURE, parts & CONTENT
+        layout |= bool(parts & LAYOUT)
+        if mine == {"header"} and wanted:
+            continue
+        furniture |= bool(mine)
+        content |= bool(wanted) and not mine
+    furniture &= not layout
+    return (False, False, True) if furniture and content else (furniture, content, False)
+
+
+def _evidence(tag, attrs, inside):
+    """EVIDENCE of one element. inside: the evidence of what is around it; the header of an article is no furniture."""
+    word = content = hidden = mixed = False
     if attrs:
         for name, value in ATTR.findall(attrs):
             value, name = value.strip("\"'"), name.lower()
@@ -73,16 +96,18 @@ def _evidence(tag, attrs):
                 word |= value.lower() in ROLES
                 content |= value.lower() in ("main", "article")
             elif name in ("class", "id"):
-                parts = {p.lower() for p in PART.findall(CAMEL.sub(" ", value))}
-                word |= bool(parts & FURNITURE) and not parts & LAYOUT
-                content |= bool(parts & CONTENT)
+                named = _named(value)
+                word, content, mixed = word | named[0], content | named[1], mixed | named[2]
             elif name == "hidden":
                 hidden = True
             elif name == "style":
                 hidden |= "display:none" in value.replace(" ", "").lower()
             else:
                 hidden |= value.lower() == "true"
-    return tag in FURNITURE_TAGS, word and tag not in ("body", "html", "main", "article"), tag in CONTENT_TAGS, content and not word and tag not in ("body", "html"), hidden
+    own_header = tag == "header" and inside[2]
+    if tag in ("body", "html", "main", "article"):
+        word = mixed = False
+    return tag in FURNITURE_TAGS and not own_header, word, tag in CONTENT_TAGS, content and not word and tag not in ("body", "html"), hidden, mixed
 
 
 def blocks_of(page: str):
@@ -91,7 +116,7 @@ def blocks_of(page: str):
     forms: list[int] = []  # forms that are open
     forms_seen = 0
     stack: list[tuple[str, tuple]] = []  # block-level and link elements that are open, with the evidence down to them
-    none = (False,) * 5
+    none = (False,) * len(EVIDENCE)
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -167,8 +192,8 @@ def blocks_of(page: str):
         if tag == "form":
             forms_seen += 1
             forms.append(forms_seen)
-        own = _evidence(tag, m[3])
-        stack.append((tag, tuple(a or b for a, b in zip(stack[-1][1] if stack else none, own))))
+        inside = stack[-1][1] if stack else none
+        stack.append((tag, tuple(a or b for a, b in zip(inside, _evidence(tag, m[3], inside)))))
     flush()
     return out
 
@@ -178,13 +203,14 @@ def features_of(blocks) -> np.ndarray:
     held = np.bincount([b[4] for b in blocks], [len(b[0]) for b in blocks]) if blocks else np.zeros(1)
     page = held.sum()
     # a page that has no content tag or word anywhere is told by its text
-    marked = any((c or w) and not (f or g or h) for _, _, _, (f, g, c, w, h), _ in blocks)
-    for i, (text, linked, tag, (ftag, fword, ctag, cword, hidden), form) in enumerate(blocks):
+    marked = any((c or w) and not (f or g or h) for _, _, _, (f, g, c, w, h, _), _ in blocks)
+    for i, (text, linked, tag, (ftag, fword, ctag, cword, hidden, mixed), form) in enumerate(blocks):
         words, furniture = text.count(" ") + 1, ftag or fword
+        inside, links = (ctag or cword) and not furniture, linked / len(text)
         size, ends, heading = min(np.log1p(len(text)) / 6, 2), END.search(text) is not None, len(tag) == 2 and tag[0] == "h" and tag != "hr"
         x[i] = (
-            1, ftag, fword, ctag and not furniture, cword and not furniture, heading, tag in ("p", "blockquote", "pre"), tag in ("li", "dt", "dd", "td", "th"), linked / len(text), words < 5, words > 15,
-            size, ends, "©" in text, i == 0, i == len(blocks) - 1, hidden, form > 0 and 2 * held[form] < page, not marked, 0 if marked else size, not marked and ends, not marked and heading,
+            1, ftag, fword, ctag and not furniture, cword and not furniture, heading, tag in ("p", "blockquote", "pre"), tag in ("li", "dt", "dd", "td", "th"), links, words < 5, words > 15,
+            size, ends, "©" in text, i == 0, i == len(blocks) - 1, hidden, form > 0 and 2 * held[form] < page, not marked, 0 if marked else size, not marked and ends, not marked and heading, mixed and not furniture, links if inside else 0, links if inside and tag in ("li", "dd", "td") else 0,
         )
     return x
 

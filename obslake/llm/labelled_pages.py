@@ -131,9 +131,34 @@ def formulas(f: Fill) -> str:
     return f"""<html>{f.head()}<body><div class="nav">{f.link()} {f.link()}</div><article><h1>{MARK}{f.words(2, 7)}</h1>{f.body(1, 4)}<div>{MARK}<math><mi>x</mi><mo>=</mo><mn>{f.r.randint(1, 99)}</mn></math></div>{f.body(1, 4)}<p>{MARK}{f.words(1, 2)}</p></article><div class="disclaimer"><p>{f.prose(1, 2)}</p></div></body></html>"""
 
 
+def headed_article(f: Fill) -> str:
+    return f"""<html>{f.head()}<body><header><div>{f.link()}</div><p>{f.sentence(2, 6)}</p></header><article><header><h1>{MARK}{f.words(2, 9)}</h1><p>{MARK}{f.sentence()}</p></header>{f.body()}
+    <footer><p>{f.words(1, 4)}</p>{f.link()}</footer></article><footer><p>{f.sentence()}</p></footer></body></html>"""
+
+
+def sources_at_the_end(f: Fill) -> str:
+    cited = "".join(f"<li>{MARK}{f.link()}</li>" for _ in range(f.r.randint(2, 7)))
+    return f"""<html>{f.head()}<body><nav><ul>{f.links()}</ul></nav><article><h1>{MARK}{f.words(2, 8)}</h1>{f.body(3, 8)}<h2>{MARK}{f.words(1, 2)}</h2><ul>{cited}</ul></article><aside><ul>{f.links()}</ul></aside><div class="related"><ul>{f.links()}</ul></div></body></html>"""
+
+
+def mixed_names(f: Fill) -> str:
+    modifier = f.r.choice(("tags-politics", "popular", "sponsored-topic", "social", "related-coverage", "promo", "search-results", "sidebar-left"))
+    names = f.r.choice((f"topic {modifier} story", f"{modifier} article", f"{modifier} content", f"post {modifier}"))
+    return f"""<html>{f.head()}<body><div class="menu">{f.link()} {f.link()}</div><div class="{names}"><h1>{MARK}{f.words(2, 8)}</h1>{f.body(3, 8)}</div><div class="{modifier.split('-')[0]}"><p>{f.prose(1, 3)}</p>{f.links(tag="p")}</div><div class="footer"><p>{f.sentence()}</p></div></body></html>"""
+
+
+def entry_with_its_own_header(f: Fill) -> str:
+    return f"""<html>{f.head()}<body><div id="site-header"><p>{f.words(2, 5)}</p>{f.link()}</div><div class="entry"><div class="entry-header"><h2>{MARK}{f.words(2, 8)}</h2></div><div class="entry-content">{f.body(2, 8)}</div><div class="entry-footer">{f.link()} {f.link()}</div></div><div class="sidebar-content"><p>{f.prose(1, 2)}</p></div></body></html>"""
+
+
+def folded_parts(f: Fill) -> str:
+    parts = "".join(f"<details><summary>{MARK}{f.words(2, 6)}</summary><p>{MARK}{f.prose(1, 3)}</p></details>" for _ in range(f.r.randint(2, 5)))
+    return f"""<html>{f.head()}<body><nav>{f.links(tag="span")}</nav><main><h1>{MARK}{f.words(2, 6)}</h1><p>{MARK}{f.prose(1, 4)}</p>{parts}</main><footer><details><summary>{f.words(1, 3)}</summary><p>{f.sentence()}</p></details></footer></body></html>"""
+
+
 LAYOUTS = (
     article, content_and_sidebar, table_layout, blog_with_comments, whole_page_in_a_form, form_page_without_classes, main_with_aside, manual, bare_news, recipe, page_with_forms, line_breaks, entry_with_banners,
-    tables_and_figures, hidden_parts, front_page, formulas,
+    tables_and_figures, hidden_parts, front_page, formulas, headed_article, sources_at_the_end, mixed_names, entry_with_its_own_header, folded_parts,
 )
 
 

@@ -31,4 +31,24 @@ def help_page(f: Fill) -> str:
     return f"""<html>{f.head()}<body><header><form class="search"><input><button>{f.word()}</button></form><nav>{f.links()}</nav></header><main><h1>{M}{f.words(1, 5)}</h1><p>{M}{f.prose(1, 3)}</p><dl>{terms}</dl><p>{M}<math><mi>y</mi></math> {f.sentence()}</p></main><div role="complementary"><p>{f.prose(1, 3)}</p></div><footer>{f.link()}</footer></body></html>"""
 
 
-LAYOUTS = (encyclopedia, magazine, table_page_in_a_form, journal, plain, help_page)
+def newspaper(f: Fill) -> str:
+    """An article with a header of its own, a standfirst and a byline."""
+    return f"""<html>{f.head()}<body><header role="banner"><nav>{f.links(tag="span")}</nav></header><main><article class="news"><header><h1>{M}{f.words(4, 9)}</h1><h2>{M}{f.sentence()}</h2></header><p>{M}By {f.words(2, 2)}</p>{f.body(4, 8)}</article><aside><h3>{f.word()}</h3>{f.links(tag="p")}</aside></main><footer><p>{f.prose(1, 2)}</p></footer></body></html>"""
+
+
+def report_with_references(f: Fill) -> str:
+    cited = "".join(f"<li>{M}{f.link()}</li>" for _ in range(5))
+    return f"""<html>{f.head()}<body><div class="navbar">{f.links(tag="div")}</div><div class="article-body"><h1>{M}{f.words(3, 8)}</h1>{f.body(4, 8)}<h3>{M}{f.words(1, 2)}</h3><ol>{cited}</ol></div><div class="widget"><ul>{f.links()}</ul></div><div id="footer">{f.link()}</div></body></html>"""
+
+
+def popular_story(f: Fill) -> str:
+    names = f.r.choice(("popular story", "topic tags-politics story", "search-results content"))
+    return f"""<html>{f.head()}<body><div class="topbar">{f.link()} {f.link()}</div><div class="{names}"><h1>{M}{f.words(2, 7)}</h1>{f.body(5, 5)}</div><div class="popular"><h4>{f.word()}</h4><ul>{f.links()}</ul></div><div class="footer"><p>© {f.words(2, 4)}</p></div></body></html>"""
+
+
+def questions(f: Fill) -> str:
+    parts = "".join(f"<details open><summary>{M}{f.sentence(3, 8)}</summary><div>{M}{f.prose(1, 4)}</div></details>" for _ in range(4))
+    return f"""<html>{f.head()}<body><header>{f.link()}</header><article><h1>{M}{f.words(1, 5)}</h1>{parts}</article><aside><p>{f.prose(1, 2)}</p></aside><footer>{f.link()}</footer></body></html>"""
+
+
+LAYOUTS = (encyclopedia, magazine, table_page_in_a_form, journal, plain, help_page, newspaper, report_with_references, popular_story, questions)

@@ -1,6 +1,7 @@
 """Fitted operators: language, toxicity, page text; and the pipeline's stages."""
 
 import corpus_pipeline
+import pytest
 from obslake.llm import html_text as H
 from obslake.llm import language_id as LI
 from obslake.llm import toxicity as T
@@ -162,3 +163,26 @@ def test_run_on_an_empty_table(spark, tmp_path):
     d.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+FIVE = "".join(f"<p>Paragraph {k} has a number of words in it to be read.</p>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "opened,closed,kept",
+    [
+        ("<article><header><h1>HEADLINE</h1><p>Standfirst of it.</p></header>", "</article>", ["HEADLINE", "Standfirst of it."]),
+        ("<article><h1>T</h1>", "<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul></article>", ["First source", "Second source"]),
+        *[(f"<div class='{names}'><h1>T</h1>", "</div>", ["T"]) for names in ("topic tags-politics story", "popular story", "search-results content")],
+    ],
+)
+def test_headlines_sources_and_mixed_names_stay(opened, closed, kept):
+    page = f"<html><body><nav><a href=x>Home</a></nav>{opened}{FIVE}{closed}<footer>c</footer></body></html>"
+    got = H.Crf().text(page).split("\n")
+    assert set(kept) <= set(got) and all(f"Paragraph {k} has a number of words in it to be read." in got for k in range(5))
+    assert "Home" not in got and "c" not in got
+
+
+def test_names_of_furniture_inside_one_name():
+    assert H._named("sidebar-content") == (True, False, False) and H._named("entry-header") == (False, False, False)
+    assert H._named("popular story") == (False, False, True) and H._named("single has-sidebar") == (False, False, False)
