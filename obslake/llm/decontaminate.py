@@ -17,12 +17,16 @@ limit, are taken out of its text (`cleaned`).
 The benchmark is dealt into shards of `shard_words` words by DataFrame functions;
 an item that is longer is cut into pieces that overlap by a window less one word,
 so that each window stands whole in one piece.  One task a shard builds its
-automaton, once, as flat arrays in a table.  The driver hands out one shard at a
-time: a pass over the documents for each, its sparse marks written to the shared
-folder before the next shard is sent, and its broadcast destroyed.  So no process
-holds more than a shard, whatever the benchmark's size.  The last shard's pass
-reads the earlier marks by the digest of the text; marks depend on nothing else,
-so copies share theirs.
+automaton, once, as flat arrays in a table.
+
+One shard streams over the documents as they are read.  With more of them the
+documents are first held against the hashes of all windows, WINDOWS of them at a
+time: the distinct texts that hold one are written to the shared folder, and only
+these, a small part of the corpus, are streamed through shard after shard, one in
+memory at a time.  Their marks go back to the documents by the digest of the text,
+for the documents that hold a window only; all others pass by without a shuffle.
+So the documents are read three times, however many shards there are (once more for
+each further WINDOWS windows of the benchmark).
 
 Words are compared by 64-bit hashes.
 
@@ -44,11 +48,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .common import extended, release, sha256, shared_dir, with_columns
-from .text import ALNUM, BYTE_LOWER, Words, column_bytes
+from .common import checkpointed, extended, release, sha256, shared_dir, with_columns
+from .text import ALNUM, BYTE_LOWER, Words, column_bytes, inside_document, mix, window_hash
 
 SHARD_WORDS = 200_000
-DIGEST, MARKED, FOUND = "__ob_digest", "__ob_marked", "__ob_found"
+#: window hashes that are sent to all tasks at a time: 128 MB of them at most, and bits for a first look
+WINDOWS, BITS = 1 << 24, 27
+DIGEST, MARKED, FOUND, HOLDS = "__ob_digest", "__ob_marked", "__ob_found", "__ob_holds"
 SHARD, PIECE = "__ob_shard", "__ob_piece"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 NAMES = T.ArrayType(T.StringType())
@@ -278,6 +284,100 @@ def shards_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, s
     return benchmark.sparkSession.read.parquet(folder)
 
 
+class Held:
+    """Hashes of windows, sorted, and a bit field over them for a first look."""
+
+    def __init__(self, sizes: list[int], keys: np.ndarray):
+        self.sizes, self.keys = sizes, np.sort(keys)
+        bits = np.zeros(1 << BITS, bool)
+        bits[self._place(self.keys)] = True
+        self.bits = np.packbits(bits, bitorder="little")
+
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def documents(self, words: Words) -> np.ndarray:
+        """Whether each document of a batch holds a window."""
+        out = np.zeros(len(words.offsets) - 1, bool)
+        for n in self.sizes:
+            keys = _keys(words, n)
+            at = np.flatnonzero(inside_document(words.offsets, n)[: len(keys)]) if len(keys) else np.zeros(0, np.int64)
+            place = self._place(keys[at])
+            at = at[self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
+            found = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+            at = at[self.keys[found] == keys[at]]
+            out[np.searchsorted(words.offsets, at, "right") - 1] = True
+        return out
+
+
+def _keys(words: Words, n: int) -> np.ndarray:
+    return mix(window_hash(words.hashes, n) + np.uint64(n))
+
+
+def windows_of(benchmark: DataFrame, text_col: str, window: int) -> DataFrame:
+    """(n, key): the distinct windows of all items, n words each, by hash."""
+
+    def work(batches):
+        for batch in batches:
+            words = Words(*column_bytes(batch.column("t")), ALNUM, BYTE_LOWER)
+            counts, start = words.counts, words.offsets[:-1]
+            for n in sorted({window, *np.unique(counts[(counts > 0) & (counts < window)]).tolist()}):
+                keys = _keys(words, n)
+                at = np.flatnonzero(inside_document(words.offsets, n)[: len(keys)]) if n == window else start[counts == n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n), pa.int32()), pa.array(keys[at].view(np.int64), pa.int64())], names=["n", "key"])
+
+    return benchmark.select(F.col(text_col).alias("t")).mapInArrow(work, "n int, key bigint").distinct()
+
+
+def _flagged(df: DataFrame, text_col: str, sent) -> DataFrame:
+    """df with HOLDS: whether the text holds one of the windows that were sent."""
+
+    def work(batches):
+        for batch in batches:
+            for part in _slices([batch]):
+                yield with_columns(part, **{HOLDS: pa.array(sent.value.documents(Words(*column_bytes(part.column(text_col)), ALNUM, BYTE_LOWER)))})
+        release()
+
+    return df.mapInArrow(work, extended(df.schema, **{HOLDS: "boolean"}))
+
+
+def _marks(df: DataFrame, benchmark: DataFrame, automata: DataFrame, shards: list, text_col: str, item_text_col: str, window: int, take) -> DataFrame:
+    """df with the marks of all shards: see the module. Rows that hold no window get none."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/decontaminate-{uuid.uuid4().hex}"
+    windows = checkpointed(windows_of(benchmark, item_text_col, window))
+    parts = max(1, math.ceil(1.1 * windows.count() / WINDOWS))
+    sends = []
+    for k in range(parts):
+        got = windows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).toArrow()
+        sends.append(spark.sparkContext.broadcast(Held(sorted(set(got.column("n").to_pylist())), got.column("key").to_numpy().view(np.uint64))) if len(got) else None)
+    sends = [s for s in sends if s is not None]
+    texts = df.select(F.col(text_col).alias("t"))
+    held = None
+    for sent in sends:
+        some = _flagged(texts, "t", sent).where(HOLDS).select(_digest("t").alias(DIGEST), "t")
+        held = some if held is None else held.unionByName(some)
+    if held is None:
+        return df
+    held.dropDuplicates([DIGEST]).write.parquet(f"{folder}/texts")
+    distinct = spark.read.parquet(f"{folder}/texts")
+    for k in shards:
+        sent = take(k)
+        marked = distinct.select("t").mapInArrow(_sparse(sent), f"t string, {MARKED} array<struct<start:bigint,end:bigint>>, {FOUND} array<string>")
+        marked.select(_digest("t").alias(DIGEST), MARKED, FOUND).write.mode("append").parquet(f"{folder}/marks")
+        sent.destroy()
+    every = spark.read.schema(f"{DIGEST} string, {MARKED} array<struct<start:bigint,end:bigint>>, {FOUND} array<string>").parquet(f"{folder}/marks").groupBy(DIGEST).agg(F.flatten(F.collect_list(MARKED)).alias(MARKED), F.flatten(F.collect_list(FOUND)).alias(FOUND))
+    rest, out = df, None
+    for sent in sends:
+        both = _flagged(rest, text_col, sent)
+        holds = both.where(HOLDS).drop(HOLDS).withColumn(DIGEST, _digest(text_col)).join(every, DIGEST, "left").drop(DIGEST)
+        out = holds if out is None else out.unionByName(holds)
+        rest = both.where(~F.col(HOLDS)).drop(HOLDS)
+    kinds = every.schema
+    return out.unionByName(rest.select("*", *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in (MARKED, FOUND)]))
+
+
 def _digest(text_col: str):
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
@@ -293,17 +393,10 @@ def decontaminate(
     automata = shards_of(benchmark, item_col, item_text_col, window, shard_words)
     shards = [r[SHARD] for r in automata.select(SHARD).orderBy(SHARD).collect()]
     take = lambda k: spark.sparkContext.broadcast(Automaton.read(automata.where(F.col(SHARD) == k).first()))  # noqa: E731  one shard at a time
-    folder = f"{shared_dir(spark)}/decontaminate-{uuid.uuid4().hex}"
-    for k in shards[:-1]:
-        sent = take(k)
-        marked = df.select(F.col(text_col).alias("t")).mapInArrow(_sparse(sent), f"t string, {MARKED} array<struct<start:bigint,end:bigint>>, {FOUND} array<string>")
-        marked.select(_digest("t").alias(DIGEST), MARKED, FOUND).dropDuplicates([DIGEST]).write.mode("append").parquet(folder)
-        sent.destroy()
     out = df
+    last = take(shards[0]) if len(shards) == 1 else None
     if len(shards) > 1:
-        every = spark.read.schema(f"{DIGEST} string, {MARKED} array<struct<start:bigint,end:bigint>>, {FOUND} array<string>").parquet(folder).groupBy(DIGEST).agg(F.flatten(F.collect_list(MARKED)).alias(MARKED), F.flatten(F.collect_list(FOUND)).alias(FOUND))
-        out = df.withColumn(DIGEST, _digest(text_col)).join(every, DIGEST, "left").drop(DIGEST)
-    last = take(shards[-1]) if shards else None
+        out = _marks(df, benchmark, automata, shards, text_col, item_text_col, window, take)
 
     def finish(batches):
         for batch in _slices(batches):

@@ -82,6 +82,28 @@ def test_decontamination_matches_brute_force(spark, shard_words):
     assert got == brute_hits(rows, items)
 
 
+def test_the_number_of_scans_does_not_depend_on_the_shards(spark, monkeypatch):
+    """Every read of the documents counts its rows; window hashes in several parts give the same."""
+    rows = odd_rows(7) + [(2000 + k, f"{'filler ' * 40} item{k} " + " ".join(f"w{k}x{j}" for j in range(15))) for k in range(30)]
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(15))) for k in range(30)] + [(99, "ab ba")], "item_id long, text string")
+    results, scans = [], []
+    for shard_words, windows in ((200_000, 1 << 24), (20, 1 << 24), (60, 1 << 24), (20, 40)):
+        monkeypatch.setattr(D, "WINDOWS", windows)
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        base = docs(spark, rows)
+        out = D.decontaminate(base.mapInArrow(counted, base.schema), items, shard_words=shard_words)
+        results.append(sorted((str(r["doc_id"]), r["n_hit"], r["items"], r["cleaned"]) for r in out.collect()))
+        scans.append(seen.value / len(rows))
+    assert results[0] == results[1] == results[2] == results[3] and sum(r[1] for r in results[0]) > 400
+    assert scans[0] == 1 and scans[1] == scans[2] <= 3
+
+
 @pytest.mark.parametrize("shard_words", [200_000, 20])
 def test_repeated_item_ids_are_one_item(spark, shard_words):
     """Two rows of one id in one shard, and dealt over many shards."""
