@@ -32,14 +32,13 @@ def _parts(spark, d, base, n=3, end=None):
     def write(k):
         e.where(part == k).write.parquet(f"{base}/in{k}")
 
-    def mark(k):
+    def mark():
         late = F.timestamp_micros(F.lit(ends["high"] or 0)) + F.lit(end)
         marker = {"ts": late, "event_type": F.lit("~end")}
-        spark.range(1).select(*[marker.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in e.schema]).write.parquet(f"{base}/in{n}{k}")
+        spark.range(1).select(*[marker.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in e.schema]).write.parquet(f"{base}/in{n}")
 
     spark.createDataFrame([], e.schema).write.parquet(f"{base}/in")  # a folder to begin with
-    marks = [] if end is None else [partial(mark, k) for k in "ab"]  # the second, so that what the first lets out is seen
-    return ST.files(spark, f"{base}/in*", e.schema, per_trigger=2**31 - 1), [*[partial(write, k) for k in range(n)], *marks]
+    return ST.files(spark, f"{base}/in*", e.schema, per_trigger=2**31 - 1), [*[partial(write, k) for k in range(n)], *([] if end is None else [mark])]
 
 
 def _run(stream, parts, state, sink):
@@ -136,7 +135,7 @@ def streamed_segments(spark, d):
     third = lambda k: lambda: frames.where(F.pmod(col("sequence"), F.lit(3)) == k).withColumn("arrived_at", at(k)).write.parquet(f"{base}/in{k}")
     late = lambda k: lambda: spark.range(1).select(*[{"arrived_at": at(k * 1000), "batch_id": F.lit("~end"), "expected": F.lit(2)}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in frames.schema]).write.parquet(f"{base}/in{k}")
     with X.with_rocksdb(spark):
-        _run(X.whole_segments(stream, _NOW, "1 DAY"), [*[third(k) for k in range(3)], late(8), late(9)], f"{base}/state", f"{base}/out")
+        _run(X.whole_segments(stream, _NOW, "1 DAY"), [*[third(k) for k in range(3)], late(8)], f"{base}/state", f"{base}/out")
     out = spark.read.parquet(f"{base}/out").where("batch_id <> '~end'")
     return out.groupBy("batch_id", "verdict").agg(F.count("sequence").alias("frames"))
 
