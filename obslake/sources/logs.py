@@ -38,7 +38,7 @@ def summaries(lines: DataFrame) -> DataFrame:
 def deadlines(lines: DataFrame, retention_days: int) -> DataFrame:
     """(segment, deadline): the earlier of the trailer's (for an open segment its header's) expiry and the policy's; a policy only tightens."""
     h = lambda c: F.max(F.when(F.col("line") == "header", F.col(c)))
-    s = lines.groupBy("segment").agg(F.to_timestamp(h("at")).alias("opened"), h("retention_days").alias("days"), F.to_timestamp(F.max(F.when(F.col("line") == "trailer", F.col("expires_at")))).alias("sealed"))
+    s = lines.groupBy("segment").agg(F.try_to_timestamp(h("at")).alias("opened"), h("retention_days").alias("days"), F.try_to_timestamp(F.max(F.when(F.col("line") == "trailer", F.col("expires_at")))).alias("sealed"))
     own = F.coalesce("sealed", F.col("opened") + F.make_dt_interval(days=F.col("days")))
     return s.select("segment", F.least(own, F.col("opened") + F.make_dt_interval(days=F.lit(retention_days))).alias("deadline"))
 
