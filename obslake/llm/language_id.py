@@ -33,6 +33,8 @@ from .common import extended, release, with_columns
 from .text import chunks, column_bytes
 
 GRAMS = (1, 2, 3, 4)
+#: rows of the sample that the fit unfolds at a time
+BLOCK = 256
 LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 0x20, np.uint8)
 _CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -73,25 +75,26 @@ class Classifier:
         self.langs, self.landmarks, self.weights, self.bias, self.dims = langs, landmarks, weights, bias, dims
 
     @classmethod
-    def fit(cls, marks, labels, landmarks: int, ridge: float):
+    def fit(cls, packed, labels, landmarks: int, ridge: float):
+        """packed: eight marks a byte. Only the landmarks and a block of the sample at a time are unfolded, so that the driver holds little."""
         langs = sorted(set(labels))
-        x = _features(marks)
+        unfolded = lambda rows: _features(np.unpackbits(rows, axis=1))
         y = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
         # landmarks: in turn from every language
         turn: dict[str, int] = {}
         turns = [turn[v] for v in labels if not turn.update({v: turn.get(v, 0) + 1})]
-        chosen = x[np.argsort(turns, kind="stable")[:landmarks]]
+        chosen = unfolded(packed[np.argsort(turns, kind="stable")[:landmarks]])
         values, vectors = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        phi = (x @ chosen.T).astype(np.float64) @ root
+        phi = np.concatenate([(unfolded(packed[a : a + BLOCK]) @ chosen.T).astype(np.float64) for a in range(0, len(packed), BLOCK)]) @ root
         share = (y > 0).mean(axis=0)
         w = (y > 0) @ (1 / np.maximum(share, 1e-9)) / len(langs)  # languages weigh alike
         level = (y * w[:, None]).sum(axis=0) / w.sum()
         mean = (phi * w[:, None]).sum(axis=0) / w.sum()
         p = phi - mean
         solved = np.linalg.solve((p * w[:, None]).T @ p + ridge * np.eye(p.shape[1]), (p * w[:, None]).T @ (y - level))
-        return cls(langs, chosen.astype(np.float32), (root @ solved).astype(np.float32), level - mean @ solved, marks.shape[1])
+        return cls(langs, chosen.astype(np.float32), (root @ solved).astype(np.float32), level - mean @ solved, 8 * packed.shape[1])
 
     def predict(self, buf, offsets):
         """Index of the language and a score from 0 to 1 for each text."""
@@ -129,8 +132,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     got = sorted(got, key=lambda r: (r["i"], r["l"], r["m"]))
     if not got:
         return None
-    marks = np.unpackbits(np.frombuffer(b"".join(bytes(r["m"]) for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(bool)
-    return Classifier.fit(marks, [r["l"] for r in got], landmarks, ridge)
+    packed = np.frombuffer(b"".join(bytes(r["m"]) for r in got), np.uint8).reshape(len(got), -1)
+    return Classifier.fit(packed, [r["l"] for r in got], landmarks, ridge)
 
 
 def identify(df: DataFrame, model: Classifier | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
