@@ -14,6 +14,8 @@ from ..operators.numbering import numbered
 HEADER = "batch_id STRING, day STRING, schema_version STRING, scope STRING, target_id STRING, privacy_class STRING, retention_days INT, record_count BIGINT, content_sha256 STRING"
 FRAME = "batch_id STRING, sequence BIGINT, scope STRING, target_id STRING, privacy_class STRING, record_id STRING, record STRING"
 HEADER_KEYS, FRAME_KEYS = ([f.split()[0] for f in s.split(", ")] for s in (HEADER, FRAME))
+#: files of a day that one write makes, at most: lines name their batch, so many batches share a file
+FILES = 16
 BATCH = ("scope", "privacy_class", "target_id", "record_type")
 
 
@@ -71,11 +73,11 @@ def contiguous(frames: DataFrame) -> DataFrame:
 
 
 def write(headers: DataFrame, frames: DataFrame, path: str) -> None:
-    """Appends header and frame lines, a folder for each day and batch."""
+    """Appends header and frame lines, a folder for each day. A batch's lines stand together in one of the day's FILES files at most."""
     h = headers.select("day", "batch_id", F.lit(0).cast("long").alias("_s"), F.to_json(F.struct(*HEADER_KEYS)).alias("value"))
     f = frames.select("day", "batch_id", F.col("sequence").alias("_s"), F.to_json(F.struct("batch_id", "sequence", "scope", "target_id", "privacy_class", "record_id", F.col("line").alias("record"))).alias("value"))
-    lines = h.unionByName(f).repartition("day", "batch_id").sortWithinPartitions("day", "batch_id", "_s")
-    lines.select(F.col("day").alias("p_day"), F.col("batch_id").alias("p_batch"), "value").write.mode("append").partitionBy("p_day", "p_batch").text(path)
+    lines = h.unionByName(f).repartition("day", F.pmod(F.xxhash64("batch_id"), F.lit(FILES))).sortWithinPartitions("day", "batch_id", "_s")
+    lines.select(F.col("day").alias("p_day"), "value").write.mode("append").partitionBy("p_day").text(path)
 
 
 def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
