@@ -11,11 +11,14 @@ the state that comes in, and that function is small enough to be handed on witho
 3. over the ranges of a key the functions are applied one after the other, which gives each range's incoming state;
 4. each range is replayed from there.
 
-A scan sees a row for each range of a key, never its samples. A range is a task's share of the rows.
+A scan sees a row for each range of a key, never its samples, and many keys in one task. A range has at most 2**ROWS rows, however
+many a task has, so no task holds more than that in Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -32,6 +35,8 @@ TURNS = f"{PART} bigint, {_KEYS}, {AT} bigint, us bigint, record_id string, fire
 STEPS = "array<struct<us:bigint,after:boolean,firing:boolean,until:bigint>>"
 TRANSFER = f"{PART} bigint, {_KEYS}, resolves boolean, steps {STEPS}"
 START = f"{PART} bigint, {_KEYS}, firing boolean, until bigint, seen boolean"
+#: bits of the number of rows in a range
+ROWS = 17
 #: before any fire: a cooldown that is over
 NEVER = -(1 << 62)
 
@@ -66,16 +71,25 @@ def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(n=bounds[1:] - a, first_fails=fails[a], lead=lengths[run[a]], last_fails=fails[z], tail=lengths[run[z]])
 
 
-def _carried(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The revision and the streak with which each range of a key begins."""
-    revision, fails, streak, out = 0, None, 0, []
-    for r in pdf.sort_values("part").itertuples(index=False):
-        out.append((r.part, *key, revision, fails, streak))
-        whole = r.lead == r.n
-        revision += r.n
-        streak = r.tail + (streak if whole and r.last_fails == fails else 0)
-        fails = r.last_fails
-    return pd.DataFrame(out, columns=_columns(CARRY))
+def _plain(key) -> tuple:
+    return tuple(None if pd.isna(x) else x for x in key)
+
+
+def _carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The revision and the streak with which each range of a key begins; the ranges come by key and in order."""
+    key, revision, fails, streak = (), 0, None, 0
+    for pdf in batches:
+        out = []
+        for k, r in zip(zip(*[pdf[c] for c in KEY]), pdf.itertuples(index=False)):
+            k = _plain(k)
+            if k != key:
+                key, revision, fails, streak = k, 0, None, 0
+            out.append((r.part, *key, revision, fails, streak))
+            whole = r.lead == r.n
+            revision += r.n
+            streak = r.tail + (streak if whole and r.last_fails == fails else 0)
+            fails = r.last_fails
+        yield pd.DataFrame(out, columns=_columns(CARRY))
 
 
 def _turns(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
@@ -158,38 +172,41 @@ def applied(firing: bool, until: int, seen: bool, resolves: bool, steps) -> tupl
 
 
 def _segments(pdf: pd.DataFrame):
+    """(part, key, its rows, their Range) of each key of a sorted range."""
     pdf, bounds, _ = _sorted(pdf)
-    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        part = pdf.iloc[a:z]
-        yield part, Range(part["us"].to_numpy(np.int64), part["fires"].to_numpy(bool), part["pause"].to_numpy(np.int64))
+    us, fires, pause = pdf["us"].to_numpy(np.int64), pdf["fires"].to_numpy(bool), pdf["pause"].to_numpy(np.int64)
+    first = pdf.iloc[bounds[:-1]]
+    for part, key, a, z in zip(first[PART].tolist(), zip(*[first[c] for c in KEY]), bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield part, _plain(key), slice(a, z), Range(us[a:z], fires[a:z], pause[a:z])
 
 
 def _transfers(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for part, span in _segments(pdf):
-        first = part.iloc[0]
-        out.append((first[PART], *[first[c] for c in KEY], *span.transfer()))
-    return pd.DataFrame(out, columns=_columns(TRANSFER))
+    return pd.DataFrame([(part, *key, *span.transfer()) for part, key, _, span in _segments(pdf)], columns=_columns(TRANSFER))
 
 
-def _incoming(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The state with which each range of a key begins."""
-    state, out = (False, NEVER, False), []
-    for r in pdf.sort_values(PART).to_dict("records"):
-        out.append((r[PART], *key, *state))
-        state = applied(*state, r["resolves"], r["steps"])
-    return pd.DataFrame(out, columns=_columns(START))
+def _incoming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state with which each range of a key begins; the ranges come by key and in order."""
+    key, state = (), (False, NEVER, False)
+    for pdf in batches:
+        out = []
+        for k, part, resolves, steps in zip(zip(*[pdf[c] for c in KEY]), pdf[PART].tolist(), pdf["resolves"].tolist(), pdf["steps"]):
+            k = _plain(k)
+            if k != key:
+                key, state = k, (False, NEVER, False)
+            out.append((part, *key, *state))
+            state = applied(*state, resolves, steps)
+        yield pd.DataFrame(out, columns=_columns(START))
 
 
 def _replayed(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
     """The transitions of a range."""
-    plain = lambda k: tuple(None if pd.isna(x) else x for x in k)
-    known = {plain(k): v for k, *v in zip(zip(*[start[c] for c in KEY]), start["firing"], start["until"], start["seen"])}
+    known = {_plain(k): v for k, *v in zip(zip(*[start[c] for c in KEY]), start["firing"], start["until"], start["seen"])}
+    pdf = pdf.sort_values(AT, ignore_index=True)
+    every, records, revisions = pdf["us"].to_numpy(), pdf["record_id"].to_numpy(), pdf["revision"].to_numpy()
     out = []
-    for part, span in _segments(pdf) if len(pdf) else ():
-        key = plain(part.iloc[0][list(KEY)])
+    for _, key, rows, span in _segments(pdf) if len(pdf) else ():
         firing, until, seen = known[key]
-        us, record, revision = part["us"].to_numpy(), part["record_id"].to_numpy(), part["revision"].to_numpy()
+        us, record, revision = every[rows], records[rows], revisions[rows]
         at = 0
         while at < span.n:
             if firing:
@@ -216,9 +233,10 @@ def transitions(samples: DataFrame) -> DataFrame:
     order = [*KEY, "sampled_at", "record_id"]
     rows = samples.select(*order, "outcome", "consecutive_failures", "consecutive_successes", "cooldown_seconds")
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(AT, F.monotonically_increasing_id()).checkpoint()
-    rows = rows.withColumn(PART, F.shiftright(AT, 33))
-    carry = rows.groupBy(PART).applyInPandas(_ends, RUNS).groupBy(*KEY).applyInPandas(_carried, CARRY)
+    rows = rows.withColumn(PART, F.shiftright(AT, ROWS))
+    by_key = lambda df, part: df.repartition(*KEY).sortWithinPartitions(*KEY, part)
+    carry = by_key(rows.groupBy(PART).applyInPandas(_ends, RUNS), "part").mapInPandas(_carried, CARRY)
     both = lambda left, right: left.groupBy(PART).cogroup(right.withColumnRenamed(PART, "_to").groupBy("_to"))
     turns = both(rows, carry).applyInPandas(_turns, TURNS).checkpoint()
-    start = turns.groupBy(PART).applyInPandas(_transfers, TRANSFER).groupBy(*KEY).applyInPandas(_incoming, START)
+    start = by_key(turns.groupBy(PART).applyInPandas(_transfers, TRANSFER), PART).mapInPandas(_incoming, START)
     return both(turns, start).applyInPandas(_replayed, EMITTED)
