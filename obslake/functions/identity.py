@@ -44,6 +44,13 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567")
 
 
+def base32_start(hex_digest: Column) -> Column:
+    """The 26 characters of base32 that the first 128 bits of a hex digest have by themselves."""
+    parts = [F.lpad(F.conv(F.substring(hex_digest, a, 10), 16, 32), 8, "0") for a in (1, 11, 21)]
+    tail = F.substring(F.lpad(F.conv(F.concat(F.substring(hex_digest, 31, 2), F.lit("00000000")), 16, 32), 8, "0"), 1, 2)
+    return F.translate(F.concat(*parts, tail), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567")
+
+
 def token(domain: str, text: Column) -> Column:
     return F.concat(F.lit(PREFIXES[domain]), base32(digest(domain, text)))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .identity import base32
+from .identity import base32, base32_start
 
 BLOCK = 64
 POLICY_VERSION = 1
@@ -42,10 +42,14 @@ def keyed_digest(key: bytes, epoch: int, domain: str, kind: str, value: Column)
     return _hmac(key, F.concat(F.lit(head), F.encode(text, "UTF-8")))
 
 
+def _spelled(epoch: int, kind: str, digest: Column) -> Column:
+    """The token of the first 128 bits of a digest."""
+    return F.concat(F.lit(f"ol_ps1_e{epoch}_{kind}_"), base32_start(digest))
+
+
 def pseudonym(key: bytes, epoch: int, kind: str, value: Column) -> Column:
     """128-bit keyed token of a text."""
-    digest = F.substring(keyed_digest(key, epoch, "pseudonym", kind, value), 1, 32)
-    return F.concat(F.lit(f"ol_ps1_e{epoch}_{kind}_"), F.substring(base32(F.rpad(digest, 64, "0")), 1, 26))
+    return _spelled(epoch, kind, keyed_digest(key, epoch, "pseudonym", kind, value))
 
 
 def fingerprint(key: bytes, epoch: int, kind: str, value: Column) -> Column:
@@ -202,17 +206,32 @@ def secret_pattern(secrets: tuple[str, ...]) -> str:
     return "|".join(_any_case(f) if f in digits else _plain(f) for f in every)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), the value evaluated once: in the function of an array Spark evaluates what stands there n times n times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical_ipv6(text: Column) -> Column:
     """Eight groups of four hex digits, without the zone; a dotted tail is two groups. Text that has not eight groups stays, in lower case."""
-    bare = F.regexp_replace(F.lower(text), "%.*$", "")
-    octets = F.transform(F.split(F.regexp_extract(bare, r"([0-9.]+)$", 1), r"\."), lambda o: o.cast("int"))
-    pair = lambda k: F.lower(F.hex(F.get(octets, F.lit(k)) * 256 + F.get(octets, F.lit(k + 1))))
-    bare = F.when(bare.contains("."), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), pair(0), F.lit(":"), pair(2))).otherwise(bare)
-    halves = F.split(bare, "::")
-    groups = lambda half: F.filter(F.split(F.coalesce(F.get(halves, F.lit(half)), F.lit("")), ":"), lambda g: g != "")
-    gap = F.greatest(F.lit(8) - F.size(groups(0)) - F.size(groups(1)), F.lit(0))
-    every = F.concat(groups(0), F.when(F.size(halves) > 1, F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>")), groups(1))
-    return F.when(F.size(every) == 8, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ":")).otherwise(bare)
+    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+
+    def undotted(bare: Column) -> Column:
+        pair = lambda octets, k: F.lower(F.hex(F.get(octets, F.lit(k)) * 256 + F.get(octets, F.lit(k + 1))))
+        octets = F.transform(F.split(F.regexp_extract(bare, r"([0-9.]+)$", 1), r"\."), lambda o: o.cast("int"))
+        return F.when(bare.contains("."), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), _once(octets, lambda o: F.concat(pair(o, 0), F.lit(":"), pair(o, 2))))).otherwise(bare)
+
+    def filled(halves: Column) -> Column:
+        """Groups of each half, and between them as many zeros as are left out."""
+        gap = F.greatest(F.lit(8) - F.size(F.get(halves, F.lit(0))) - F.size(F.get(halves, F.lit(1))), F.lit(0))
+        none = F.array().cast("array<string>")
+        second = F.coalesce(F.get(halves, F.lit(1)), none)
+        return F.when(F.size(halves) > 1, F.concat(F.get(halves, F.lit(0)), F.array_repeat(F.lit("0"), gap), second)).otherwise(F.get(halves, F.lit(0)))
+
+    def joined(bare: Column) -> Column:
+        every = _once(F.transform(F.split(bare, "::"), groups), filled)
+        return _once(every, lambda e: F.when(F.size(e) == 8, F.array_join(F.transform(e, lambda g: F.lpad(g, 4, "0")), ":")).otherwise(bare))
+
+    return _once(_once(F.regexp_replace(F.lower(text), "%.*$", ""), undotted), joined)
 
 
 def canonical_email(text: Column) -> Column:
@@ -220,11 +239,22 @@ def canonical_email(text: Column) -> Column:
     return F.concat(F.regexp_extract(text, "^(.*)@", 1), F.lit("@"), F.lower(F.substring_index(text, "@", -1)))
 
 
-def _rebuilt(text: Column, pattern: str, found: Column, token) -> Column:
-    """text with each match replaced, where it stands, by token(match); found: its matches."""
-    rest = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(rest, 2, F.size(found)), lambda m, after: F.concat(token(m), after))
-    return F.when(F.size(found) > 0, F.concat(F.get(rest, F.lit(0)), F.array_join(pairs, ""))).otherwise(text)
+#: stands around a match; texts have no control character by then
+_MARK = "\x01"
+
+
+def _parted(text: Column, pattern: str) -> Column:
+    """The text in parts, by one search: the matches are those of odd places."""
+    return F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+
+
+def _rebuilt(text: Column, parts: Column, steps) -> Column:
+    """text with each match in its parts replaced, where it stands, by what the steps make of it, one after the other."""
+    made = F.filter(parts, lambda _, i: i % 2 == 1)
+    for step in steps:
+        made = F.transform(made, step)
+    rest = F.filter(parts, lambda _, i: i % 2 == 0)
+    return F.when(F.size(parts) > 1, F.array_join(F.flatten(F.zip_with(rest, made, lambda before, m: F.array(before, F.coalesce(m, F.lit(""))))), "")).otherwise(text)
 
 
 def redact(df: DataFrame, columns: list[str], key: bytes, epoch: int = 1, secrets: tuple[str, ...] = (), allowed_query: tuple[str, ...] = ()) -> DataFrame:
@@ -238,7 +268,7 @@ def redact(df: DataFrame, columns: list[str], key: bytes, epoch: int = 1, secret
     out = composed(df, columns)
     known = secret_pattern(secrets)
     for name in columns:
-        step, at, found = 0, F.col(f"__r_{name}_t"), F.col(f"__r_{name}_m")
+        step, at, parts = 0, F.col(f"__r_{name}_t"), F.col(f"__r_{name}_m")
 
         def keep(value: Column, n: Column, category: str):
             nonlocal out, step
@@ -246,32 +276,34 @@ def redact(df: DataFrame, columns: list[str], key: bytes, epoch: int = 1, secret
             counts[category].append(f"__r_{name}_{step}")
             step += 1
 
-        def replace(pattern: str, token, category: str, hint: Column | None = None):
-            """One search for all matches of a row that the hint, a plain look, does not rule out."""
+        def replace(pattern: str, steps, category: str, hint: Column):
+            """One search for all matches of a row that the hint, a plain look, does not rule out. A step makes one thing of one thing, so that none is evaluated twice."""
             nonlocal out
-            matches = F.regexp_extract_all(at, F.lit(pattern), F.lit(0))
-            out = out.withColumn(f"__r_{name}_m", matches if hint is None else F.when(hint, matches).otherwise(F.array().cast("array<string>")))
-            keep(_rebuilt(at, pattern, found, token), F.size(found), category)
+            out = out.withColumn(f"__r_{name}_m", F.when(hint, _parted(at, pattern)).otherwise(F.array().cast("array<string>")))
+            keep(_rebuilt(at, parts, steps), F.when(F.size(parts) > 1, F.floor(F.size(parts) / 2).cast("int")).otherwise(0), category)
+
+        def tokens(kind: str, canonical):
+            return [canonical, lambda m: keyed_digest(key, epoch, "pseudonym", kind, m), lambda m: _spelled(epoch, kind, m)]
 
         def swap(pattern: str, by: str, category: str, hint: Column):
             keep(F.when(hint, F.regexp_replace(at, pattern, by)).otherwise(at), F.when(hint, F.regexp_count(at, F.lit(pattern))).otherwise(0), category)
 
         def url_token(m):
-            bare = F.regexp_extract(m, URL_ENDS, 0)
-            return F.concat(F.coalesce(sanitized_url(bare, allowed_query)["value"], F.lit("[ol:u]")), F.substring(m, F.length(bare) + 1, F.length(m)))
+            token = lambda bare: F.concat(F.coalesce(sanitized_url(bare, allowed_query)["value"], F.lit("[ol:u]")), F.substring(m, F.length(bare) + 1, F.length(m)))
+            return _once(F.regexp_extract(m, URL_ENDS, 0), token)
 
         keep(*normalized_text(F.col(name)), "control")
         if known:
             keep(F.regexp_replace(at, known, "[ol:s]"), F.regexp_count(at, F.lit(known)), "secret")
         swap(PRIVATE_KEY, "[ol:k]", "private_key", at.contains("PRIVATE KEY-----"))
         swap(HEADER, "$1: [ol:c]", "credential", at.contains(":"))
-        replace(URL, url_token, "url", at.contains("://"))
+        replace(URL, [url_token], "url", at.contains("://"))
         swap(ASSIGNMENT, "$1$2[ol:c]", "credential", at.contains(":") | at.contains("="))
-        replace(EMAIL, lambda m: pseudonym(key, epoch, "email", canonical_email(m)), "email", at.contains("@"))
-        replace(IPV6, lambda m: pseudonym(key, epoch, "ip", canonical_ipv6(m)), "ip", at.contains(":"))
-        replace(IPV4, lambda m: pseudonym(key, epoch, "ip", m), "ip", at.contains("."))
-        replace(PHONE, lambda m: pseudonym(key, epoch, "phone", F.regexp_replace(m, r"\D", "")), "phone", at.rlike(r"\d\d[ .-]\d\d"))
-        replace(PATH, lambda m: local_path_token(key, epoch, m), "path", at.rlike(r"[/\\]|(?i)file:"))
+        replace(EMAIL, tokens("email", canonical_email), "email", at.contains("@"))
+        replace(IPV6, tokens("ip", canonical_ipv6), "ip", at.contains(":"))
+        replace(IPV4, tokens("ip", lambda m: m), "ip", at.contains("."))
+        replace(PHONE, tokens("phone", lambda m: F.regexp_replace(m, r"\D", "")), "phone", at.rlike(r"\d\d[ .-]\d\d"))
+        replace(PATH, [*tokens("path", lambda m: F.replace(m, F.lit("\\"), F.lit("/"))), lambda m: F.concat(F.lit("local-path:"), m)], "path", at.rlike(r"[/\\]|(?i)file:"))
         out = out.withColumn(name, at)
     total = F.create_map(*[x for c in CATEGORIES for x in (F.lit(c), sum((F.coalesce(F.col(n), F.lit(0)) for n in counts[c]), F.lit(0)).cast("long"))])
     out = out.withColumn("redactions", F.map_filter(total, lambda _, n: n > 0)).withColumn("redaction_version", F.lit(f"r{POLICY_VERSION}-e{epoch}"))

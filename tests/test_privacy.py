@@ -122,3 +122,10 @@ def test_slashes_that_are_no_paths(spark, text):
 def test_posix_paths(spark, text):
     ((got, counts),) = redacted(spark, [f"in {text}"])
     assert counts == {"path": 1} and "/" not in got and (got.endswith("|x") or "|" not in text)
+
+
+def test_a_match_is_searched_and_its_token_computed_once(spark):
+    rows = spark.createDataFrame([(0, "1.2.3.4 a@b.example")], "k int, t string")
+    plan = P.redact(rows, ["t"], KEY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 10  # two for each of email, both kinds of addresses, phone and path
+    assert plan.count(P.IPV4) == plan.count(P.EMAIL) == 1
