@@ -16,6 +16,12 @@ from pyspark.sql.types import StructType
 from ..operators.alerts import EMITTED, KEY, fold
 
 STATE = "state string, fails bigint, wins bigint, until timestamp, revision bigint, last timestamp"
+#: buckets of keys that share a state; a bucket's state is read and written as a whole, so billions of keys want more
+BUCKETS = 256
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def files(spark: SparkSession, path: str, schema: StructType | str, form: str = "parquet", per_trigger: int = 100) -> DataFrame:
@@ -114,25 +120,40 @@ def incident_sessions(stream: DataFrame, at: str, keys: list[str], lateness: str
     return per.select(*keys, F.col("w.start").alias("opened_at"), (F.col("w.end") - more).alias("closed_at"), "alerts")
 
 
-def _heartbeat(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        seen = state.get[0]
+def _heartbeats(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A bucket of sources. Those without an event in this batch whose time is over leave; the bucket wakes when the next one's is."""
+    watermark = max(state.getCurrentWatermarkMs(), 0)
+    known, limit, fresh = [], None, []
+    if state.exists:
+        sources, seen, limit = state.get
+        known = [pd.Series(list(seen), index=list(sources), dtype="int64")]
+    if not state.hasTimedOut:
+        for pdf in batches:
+            fresh.append(pdf.groupby("source_id")["us"].max())
+            limit = int(pdf["limit_ms"].iloc[0])
+    last = pd.concat([*known, *fresh]).groupby(level=0).max()
+    due = last // 1000 + limit
+    heard = last.index.isin(pd.concat(fresh).index) if fresh else False
+    over = (due <= watermark) & ~pd.Series(heard, index=last.index)
+    stale, kept = last[over], last[~over]
+    if len(kept):
+        state.update((kept.index.tolist(), kept.tolist(), limit))
+        state.setTimeoutTimestamp(max(int(due[~over].min()) - 1, watermark))  # it wakes once the watermark is past this
+    else:
         state.remove()
-        yield pd.DataFrame([(key[0], seen)], columns=["source_id", "last_at"])
-        return
-    seen, limit = (state.get[0] if state.exists else None), None
-    for pdf in batches:
-        top = pdf["at"].max()
-        seen = top if seen is None or top > seen else seen
-        limit = int(pdf["limit_ms"].iloc[0])
-    state.update((seen,))
-    state.setTimeoutTimestamp(max(int(pd.Timestamp(seen).timestamp() * 1000) + limit, state.getCurrentWatermarkMs() + 1))
-
-
-def stale_sources(stream: DataFrame, source: str, at: str, lateness: str, limit_seconds: int) -> DataFrame:
-    """(source_id, last_at) of sources from which nothing came for the limit, by event time; an event without a time tells nothing of it."""
-    s = stream.select(F.col(source).cast("string").alias("source_id"), F.col(at).cast("timestamp").alias("at"), F.lit(limit_seconds * 1000).cast("long").alias("limit_ms"))
-    return s.where(F.col("at").isNotNull()).withWatermark("at", lateness).groupBy("source_id").applyInPandasWithState(_heartbeat, "source_id string, last_at timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    if len(stale):
+        yield pd.DataFrame({"source_id": stale.index, "us": stale.to_numpy()})
+
+
+def stale_sources(stream: DataFrame, source: str, at: str, lateness: str, limit_seconds: int, buckets: int = BUCKETS) -> DataFrame:
+    """(source_id, last_at) of sources from which nothing came for the limit, by event time; an event without a time or a source tells nothing of it.
+
+    State is kept for a bucket of sources, by hash: a batch calls Python once a bucket, however many sources there are.
+    """
+    s = stream.select(F.col(source).cast("string").alias("source_id"), F.col(at).cast("timestamp").alias("at"), F.lit(limit_seconds * 1000).cast("long").alias("limit_ms")).withColumn("us", F.unix_micros("at"))
+    s = s.where("at IS NOT NULL AND source_id IS NOT NULL").withColumn("bucket", bucket_of(F.col("source_id"), buckets)).withWatermark("at", lateness)
+    out = s.groupBy("bucket").applyInPandasWithState(_heartbeats, "source_id string, us bigint", "sources array<string>, seen array<bigint>, limit_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("source_id", F.timestamp_micros("us").alias("last_at"))
 
 
 def intents_sink(channels: DataFrame, path: str) -> Callable[[DataFrame, int], None]:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from obslake.plans import stream_queries as SQ
+from obslake.streaming import streams as ST
 
 from .test_queries import plain
 
@@ -40,3 +41,31 @@ def test_no_event_is_left_out(spark, months, name):
 def test_alerts_and_heartbeats_take_events_without_a_time(spark, months):
     assert SQ.QUERIES["streamed_heartbeats"](spark, months).first()["sources"] > 0
     assert SQ.QUERIES["streamed_alerts"](spark, months).count() > 0
+
+
+def heartbeats_by_hand(folders, limit, late):
+    """(source, last) that leave after each folder: silent for the limit as the watermark shows it, and heard of again only by a new event."""
+    seen, out, newest = {}, [], 0
+    for events in folders:
+        for source, ms in events:
+            seen[source] = max(seen.get(source, 0), ms)
+            newest = max(newest, ms)
+        gone = {s: ms for s, ms in seen.items() if ms + limit <= newest - late}
+        out += gone.items()
+        seen = {s: ms for s, ms in seen.items() if s not in gone}
+    return sorted(out)
+
+
+def test_many_sources_share_a_state_and_leave_each_at_its_time(spark, tmp_path):
+    folders = [[(f"s{i}", k * 100_000 + 1_000 + i) for i in range(4_000) if (i + k) % 3 or i == 7] for k in range(3)]
+    stream = ST.files(spark, f"{tmp_path}/in*", "source string, ts timestamp")
+    (tmp_path / "in").mkdir()
+    rows = 0
+    for k, events in enumerate(folders):
+        spark.createDataFrame(events, "source string, ms bigint").selectExpr("source", "timestamp_millis(ms) AS ts").write.parquet(f"{tmp_path}/in{k}")
+        query = ST.run(ST.stale_sources(stream, "source", "ts", "1 second", 60), f"{tmp_path}/state", f"{tmp_path}/out")
+        rows = max([rows, *(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])])
+    got = spark.read.parquet(f"{tmp_path}/out").selectExpr("source_id", "unix_millis(last_at) AS ms").collect()
+    want = heartbeats_by_hand(folders, 60_000, 1_000)
+    assert sorted(map(tuple, got)) == want and len(want) > 2_000
+    assert 0 < rows <= ST.BUCKETS
