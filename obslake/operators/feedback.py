@@ -41,6 +41,10 @@ def apply_proposals(current: DataFrame, proposals: DataFrame) -> tuple[DataFrame
 
 #: seconds of the shortest span, by how much a span is longer than the one below it, and the number of spans (60 s to 32 years)
 SPAN, STEP, SPANS = 60, 4, 13
+#: rows of specifications by name and bucket that every task may hold; more of them are shuffled and sorted, as records are
+HELD = 100_000
+#: rows that a task of the join sorts, about, and records of one target, name and bucket that stay together
+SORTED = 2**18
 
 
 def _span(seconds: Column) -> Column:
@@ -54,6 +58,9 @@ def observations(specs: DataFrame, records: DataFrame) -> DataFrame:
     A range join over nested spans of time, each four times the one below: a specification stands in the two buckets at most that
     its window touches on the span it fits in, however long it is, and a record in one bucket of each span that is in use. So
     a year's window beside a minute's costs two rows, and both meet only records of their target, names and time.
+    The rows of specifications are counted, as Spark's estimate of their size knows nothing of names and buckets: only few
+    of them are sent to every task. Otherwise both sides are dealt to as many tasks as their rows need, and a bucket with very
+    many records is dealt in parts, each of which meets all of its specifications.
     A dimension that a specification names must be there with its value; one that names none takes all.
     """
     ended = F.col("created_at") + F.make_dt_interval(secs=F.col("window_seconds").cast("decimal(18,6)"))
@@ -63,13 +70,23 @@ def observations(specs: DataFrame, records: DataFrame) -> DataFrame:
     dims = F.col("dimensions") if "dimensions" in specs.columns else F.lit(None).cast("map<string,string>")
     have = F.col("dimensions") if "dimensions" in records.columns else F.lit(None).cast("map<string,string>")
     s = specs.withColumn("_span", _span(F.col("window_seconds")))
-    used = [r["_span"] for r in s.select("_span").distinct().collect()]  # SPANS at most
     s = s.select(
         "item_id", "target_id", "_span", F.explode(F.array_distinct("names")).alias("name"), F.col("created_at").alias("_from"), ended.alias("_to"), last.alias("_last"), dims.alias("_dims"),
     ).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from"), F.col("_span")), bucket(F.col("_to"), F.col("_span")))))
+    used = {x["_span"]: x["count"] for x in s.groupBy("_span").count().collect()}  # SPANS at most
     r = records.withColumn("_have", have).withColumn("_span", F.explode(F.array(*[F.lit(k) for k in sorted(used)]).cast("array<int>")))
     r = r.withColumn("_bucket", bucket(F.col("occurred_at").cast("timestamp"), F.col("_span")))
-    out = r.join(s, ["target_id", "name", "_span", "_bucket"]).where(F.col("occurred_at").between(F.col("_from"), F.col("_to")) & (F.col("ingested_at") <= F.col("_last")))
+    keys, few = ["target_id", "name", "_span", "_bucket"], sum(used.values()) <= HELD
+    if not few:
+        r, s = (x.withColumn("_slot", F.col("_bucket") * SPANS + F.col("_span")).drop("_bucket", "_span") for x in (r, s))  # one key, as Spark drops a constant span from keys of a join
+        keys = ["target_id", "name", "_slot"]
+        large = F.broadcast(r.groupBy(*keys).count().where(F.col("count") > SORTED).select(*keys, F.ceil(F.col("count") / SORTED).alias("_parts")))
+        parts, tasks = F.coalesce("_parts", F.lit(1)), -(-(records.count() * len(used) + sum(used.values())) // SORTED)
+        r = r.join(large, keys, "left").withColumn("_part", F.pmod(F.xxhash64("record_id", "occurred_at"), parts))
+        s = s.join(large, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        keys.append("_part")
+        r, s = (x.drop("_parts").repartition(tasks, *keys) for x in (r, s))
+    out = r.join(s.hint("broadcast" if few else "merge"), keys).where(F.col("occurred_at").between(F.col("_from"), F.col("_to")) & (F.col("ingested_at") <= F.col("_last")))
     fits = F.forall(F.map_entries("_dims"), lambda e: F.coalesce(F.element_at("_have", e["key"]) == e["value"], F.lit(False)))
     return out.where(F.coalesce(fits, F.lit(True))).select("item_id", "name", "status", "value", "occurred_at", "record_id")
 

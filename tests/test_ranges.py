@@ -50,3 +50,14 @@ def test_a_year_costs_two_buckets_and_no_cross_join(spark):
     width = F.lit(FB.SPAN) * F.pow(F.lit(FB.STEP), FB._span(F.col("window_seconds"))).cast("long")
     ends = [F.floor((F.unix_seconds("created_at") + more) / width) for more in (F.lit(0), F.col("window_seconds"))]
     assert s.agg(F.max(ends[1] - ends[0])).first()[0] <= 1
+
+
+def test_many_specifications_are_shuffled_and_large_buckets_dealt_in_parts(spark, monkeypatch):
+    """Whatever Spark thinks of their size, exploded specifications go to every task only where they are few; the pairs stay the same."""
+    pairs = lambda: sorted(tuple(r) for r in FB.observations(spark.createDataFrame(specs(), SPEC), spark.createDataFrame(records(), RECORD)).select("item_id", "record_id").collect())
+    want = pairs()
+    monkeypatch.setattr(FB, "HELD", 50, raising=False)
+    monkeypatch.setattr(FB, "SORTED", 16, raising=False)
+    assert pairs() == want and len(want) > 200
+    out = FB.observations(spark.createDataFrame(specs(), SPEC).hint("broadcast"), spark.createDataFrame(records(), RECORD))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 1 and out.rdd.getNumPartitions() > 50
