@@ -45,11 +45,13 @@ def transitions(samples: DataFrame) -> DataFrame:
     return s.where(changed).select(*KEY, "sampled_at", "record_id", F.when(F.col("_seen"), F.col("_prev")).otherwise("inactive").alias("previous_state"), "state", "revision")
 
 
-def fold(state: dict | None, samples: Iterator[tuple], failures: int, successes: int, pause: float):
+def fold(state: dict | None, samples: Iterator[tuple], failures: int, successes: int, pause: float | int):
     """Folds (time, record_id, outcome) in order into the state; yields (time, record_id, previous, state, revision).
 
-    The state is {state, fails, wins, until, revision}; a fire sets until, and no fire comes before it.
+    The state is {state, fails, wins, until, revision}; a fire sets until, and no fire comes before it. pause: seconds as a float,
+    or in the unit of times that are whole numbers.
     """
+    pause = pd.Timedelta(seconds=pause) if isinstance(pause, float) else pause
     now = state or {"state": "inactive", "fails": 0, "wins": 0, "until": None, "revision": 0}
     out = []
     for at, record, outcome in samples:
@@ -60,7 +62,7 @@ def fold(state: dict | None, samples: Iterator[tuple], failures: int, successes:
             continue
         if failed and now["state"] != "firing" and now["fails"] >= failures and (now["until"] is None or at >= now["until"]):
             out.append((at, record, now["state"], "firing", now["revision"]))
-            now["state"], now["until"] = "firing", at + pd.Timedelta(seconds=pause)
+            now["state"], now["until"] = "firing", at + pause
         elif not failed and now["state"] == "firing" and now["wins"] >= successes:
             out.append((at, record, "firing", "resolved", now["revision"]))
             now["state"] = "resolved"

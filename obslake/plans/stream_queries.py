@@ -172,13 +172,16 @@ def freshness_alerts(spark, d):
 
 
 def streamed_freshness(spark, d):
-    """The same on a stream, in two chained stateful operators; the marker takes the watermark to the last event."""
+    """The same in two streams, the second over the samples of the first; the marker takes the watermark to the last event."""
     base = shared_folder(spark, "stream")
     stream, parts = _parts(spark, d, base, end=dt.timedelta(minutes=1))
     stream = stream.withColumn("source", F.when(col("event_type") == "~end", "~end").otherwise(col("user_id").cast("string")))
-    samples = FR.silence(stream, col("source"), col("ts"), _record(), "1 minute", _SILENT)
-    with X.with_rocksdb(spark):
-        _run(_freshness_alerts(_freshness_rules(spark, d), samples.where("source_id <> '~end'"), FR.alerts), parts, f"{base}/state", f"{base}/out")
+    samples = FR.silence(stream, col("source"), col("ts"), _record(), "1 minute", _SILENT).where("source_id <> '~end'")
+    rules = _freshness_rules(spark, d)
+    for write in parts:
+        _run(samples, [write], f"{base}/silence", f"{base}/samples")
+        seen = ST.files(spark, f"{base}/samples", samples.schema, per_trigger=2**31 - 1)
+        ST.run(_freshness_alerts(rules, seen, FR.alerts), f"{base}/state", f"{base}/out")
     return spark.read.parquet(f"{base}/out")
 
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from obslake.operators import alerts as A
 from obslake.streaming import expiry as X, freshness as FR, streams as ST
 
 FRAMES = "batch_id string, sequence long, record_id string, expires_at timestamp, expected long, arrived_at timestamp"
@@ -59,3 +60,25 @@ def test_silence_by_event_time_whatever_the_order_of_arrival(spark, tmp_path, or
     want = FR.silence_in_table(every, F.col("source"), F.col("at"), F.col("record"), F.lit(hours(20)), 3 * 3600).where("source_id <> '~end'")
     assert got == sorted(map(tuple, want.collect()))
     assert [(r[1], r[3]) for r in got if r[0] == "a"] == [(hours(0), "success"), (hours(3), "failure"), (hours(4), "success"), (hours(7), "failure"), (hours(9), "success"), *[(hours(h), "failure") for h in (12, 15, 18)]]
+
+
+def test_many_sources_share_a_state_from_silence_to_alerts(spark, tmp_path):
+    """A batch calls Python once a bucket: the states are as many as buckets, however many the sources; the changes are those of the table."""
+    events = [[(f"s{i}", hours(10 * k + (7 * i + k) % 10 + i % 2 / 4), f"r{k}-{i}") for i in range(1_500) if (i + k) % 4] for k in range(3)]
+    schema, rule = "source string, at timestamp, record string", {"rule_id": F.lit("r"), "rule_version": F.lit(1), "consecutive_failures": F.lit(2), "consecutive_successes": F.lit(1), "cooldown_seconds": F.lit(7200.0)}
+    ruled = lambda s: s.where("source_id <> '~end'").withColumns({**rule, "target": F.col("source_id")})
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    stream = ST.files(spark, f"{tmp_path}/in*", spark.createDataFrame([], schema).schema)
+    samples, rows = FR.silence(stream, F.col("source"), F.col("at"), F.col("record"), "1 minute", 3 * 3600), []
+    with X.with_rocksdb(spark):
+        for k, part in enumerate([*events, [("~end", hours(40) + dt.timedelta(minutes=1), "z")]]):
+            spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/in{k}")
+            runs = [ST.run(samples, f"{tmp_path}/silence", f"{tmp_path}/samples")]
+            seen = ST.files(spark, f"{tmp_path}/samples", samples.schema, per_trigger=2**31 - 1)
+            runs.append(ST.run(FR.alerts(ruled(seen)), f"{tmp_path}/state", f"{tmp_path}/out"))
+            rows += [p["stateOperators"][0]["numRowsTotal"] for q in runs for p in q.recentProgress if p["stateOperators"]]
+    every = spark.createDataFrame([x for part in events for x in part], schema)
+    table = FR.silence_in_table(every, F.col("source"), F.col("at"), F.col("record"), F.lit(hours(40)), 3 * 3600)
+    want = sorted(map(tuple, A.transitions_with_cooldown(ruled(table)).collect()))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want and len(want) > 3_000
+    assert 0 < max(rows) <= ST.BUCKETS
